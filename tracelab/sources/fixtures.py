@@ -90,6 +90,22 @@ SERVED = [
     " WHEN response LIKE '<think>%' THEN '' ELSE response END AS content",
 ]
 
+# Answer texts in twelve forms against gold answers, right and wrong ones in each form.
+ANSWER_PAIRS = [
+    "group_id", "k", f"{BENCH} AS bench", f"{MODEL} AS model", "(group_id + k) % 12 AS form",
+    "CASE (group_id + k) % 12 WHEN 0 THEN concat(CAST(qty AS STRING), '%') WHEN 1 THEN concat('$', CAST(qty AS STRING), ',500')"
+    " WHEN 2 THEN CASE WHEN disc % 2 = 0 THEN 'Yes' ELSE 'no.' END WHEN 3 THEN concat(CAST(qty AS STRING), ' million')"
+    " WHEN 4 THEN CASE WHEN disc % 3 = 0 THEN '0' ELSE concat('0.00', CAST(disc AS STRING)) END WHEN 5 THEN concat(CAST(qty AS STRING), 'e1')"
+    " WHEN 6 THEN concat('Option ', chr(65 + disc % 5)) WHEN 7 THEN concat('  Item ', CAST(qty AS STRING), '. ')"
+    " WHEN 8 THEN '' WHEN 9 THEN concat(CAST(qty AS STRING), '.', CAST(disc AS STRING)) WHEN 10 THEN 'true story, it is'"
+    " ELSE concat('-', CAST(qty AS STRING)) END AS pred",
+    "CASE (group_id + k) % 12 WHEN 0 THEN concat(CAST(qty + disc % 3 AS STRING), '%') WHEN 1 THEN CAST(qty * 1000 + 300 + disc * 50 AS STRING)"
+    " WHEN 2 THEN CASE WHEN qty % 2 = 0 THEN 'yes' ELSE 'No' END WHEN 3 THEN CAST(qty + disc % 4 AS STRING) WHEN 4 THEN '0'"
+    " WHEN 5 THEN CAST(qty * 10 + disc AS STRING) WHEN 6 THEN chr(65 + qty % 5) WHEN 7 THEN concat('item ', CAST(qty - disc % 2 AS STRING))"
+    " WHEN 8 THEN 'No' WHEN 9 THEN CAST(qty AS STRING) WHEN 10 THEN CASE WHEN disc % 2 = 0 THEN 'TRUE' ELSE 'Nowhere' END"
+    " ELSE concat('-', CAST(qty + disc % 3 AS STRING), ' k') END AS gold",
+]
+
 JUDGE_OUTPUTS = [
     "o_orderkey AS id",
     f"{BENCH.replace('group_id', 'o_orderkey')} AS bench",
@@ -122,8 +138,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "lines":
         needed = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
         return ordinal_in_group(needed, ["l_orderkey"], LINE_ORDER, "k").selectExpr(*LINES)
-    if name in ("rollouts", "steps", "axes"):
-        columns = {"rollouts": ROLLOUTS, "steps": STEPS, "axes": AXES}[name]
+    if name in ("rollouts", "steps", "axes", "answer_pairs"):
+        columns = {"rollouts": ROLLOUTS, "steps": STEPS, "axes": AXES, "answer_pairs": ANSWER_PAIRS}[name]
         return view(spark, sf_dir, "lines").selectExpr(*columns)
     if name == "chart_cells":
         lines = view(spark, sf_dir, "lines")
@@ -162,6 +178,7 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "rollouts": (("lines",), _select(ROLLOUTS, "lines")),
     "steps": (("lines",), _select(STEPS, "lines")),
     "axes": (("lines",), _select(AXES, "lines")),
+    "answer_pairs": (("lines",), _select(ANSWER_PAIRS, "lines")),
     "chart_cells": (
         ("lines",),
         _select(CELLS_QUANTITY, "lines") + " UNION ALL " + _select(CELLS_DISCOUNT, "lines"),
