@@ -28,10 +28,10 @@ def query(name: str, views: tuple[str, ...] | str = (), sql: str | None = None):
         if sql is not None:
             wanted = (views,) if isinstance(views, str) else tuple(views)
             body = sql.strip()
-            if wanted:
-                ORACLES[name] = view_sql(*wanted) + "\n" + body
-            else:
-                ORACLES[name] = "WITH " + body[1:] if body.startswith(",") else body
+            head = view_sql(*wanted)
+            if not head and body.startswith(","):
+                head, body = "WITH", body[1:]
+            ORACLES[name] = f"{head}\n{body}" if head else body
         return fn
 
     return add

@@ -199,6 +199,8 @@ def view_sql(*names: str) -> str:
     done: dict[str, str] = {}
 
     def add(name: str) -> None:
+        if name not in VIEW_SQL:  # a given table
+            return
         needs, sql = VIEW_SQL[name]
         for need in needs:
             add(need)
@@ -206,4 +208,4 @@ def view_sql(*names: str) -> str:
 
     for name in names:
         add(name)
-    return "WITH " + ",\n".join(done.values())
+    return "WITH " + ",\n".join(done.values()) if done else ""
