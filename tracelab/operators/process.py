@@ -24,47 +24,50 @@ def number_mentions(responses: DataFrame, keys: list[str], span: str, kind: str
     return rows.select(*keys, "pos", plain_number(F.col("_t")).alias("n")).where(~is_year(F.col("n")))
 
 
+def magnitude(n: Column) -> dict[str, Column]:
+    return {
+        "sign": F.signum(n).cast("int"),
+        "size": F.abs(n),
+        "mag": F.when(n == 0, 0).otherwise(F.floor(F.log2(F.abs(n)))).cast("int"),
+    }
+
+
 def nearest_cells(values: DataFrame, cells: DataFrame) -> DataFrame:
-    """Nearest cell below and above each value in magnitude, same sign, per chart.
+    """Nearest cell below (or equal) and above each value in magnitude, same sign, per chart.
 
-    ``values`` has (chart_id, n), ``cells`` (chart_id, value). Neighbours outside a value's own
-    magnitude come from a small table of magnitude groups with their extremes.
+    ``values`` has distinct (chart_id, n), ``cells`` distinct (chart_id, value). Neighbours in
+    other magnitudes come from a short list per chart and sign: one entry per power of two, of
+    which a double has about two thousand at most.
     """
-    v = F.col("n")
+    table = cells.where(F.col("value").isNotNull()).withColumns(magnitude(F.col("value")))
     both = (
-        values.select("chart_id", v.cast("double").alias("n"), F.lit(None).cast("double").alias("cell"))
-        .unionByName(cells.select("chart_id", F.col("value").alias("n"), F.col("value").alias("cell")))
-        .groupBy("chart_id", "n")
-        .agg(F.max("cell").alias("cell"), F.bool_or(F.col("cell").isNull()).alias("wanted"))
-        .withColumns(
-            {
-                "sign": F.signum(v).cast("int"),
-                "size": F.abs(v),
-                "mag": F.when(v == 0, 0).otherwise(F.floor(F.log2(F.abs(v)))).cast("int"),
-            }
+        values.select("chart_id", F.lit(1).alias("asked"), F.col("n").cast("double").alias("n"))
+        .withColumns(magnitude(F.col("n")))
+        .withColumn("cell", F.lit(None).cast("double"))
+        .unionByName(
+            table.select("chart_id", F.lit(0).alias("asked"), F.col("value").alias("n"), "sign", "size", "mag", F.col("value").alias("cell"))
         )
     )
-    inside = Window.partitionBy("chart_id", "sign", "mag").orderBy("size")
-    near = both.select(
-        "chart_id", "n", "sign", "mag", "wanted",
-        F.last("cell", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("below"),
-        F.first("cell", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("above"),
-    ).where("wanted")
-    across = Window.partitionBy("chart_id", "sign").orderBy("mag")
-    groups = (
-        both.groupBy("chart_id", "sign", "mag")
-        .agg(F.min_by("cell", F.when(F.col("cell").isNotNull(), F.col("size"))).alias("_first"),
-             F.max_by("cell", F.when(F.col("cell").isNotNull(), F.col("size"))).alias("_last"))
-        .select(
-            "chart_id", "sign", "mag",
-            F.last("_last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-            F.first("_first", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
-        )
+    inside = Window.partitionBy("chart_id", "sign", "mag").orderBy("size", "asked")
+    near = both.withColumns(
+        {
+            "below": F.last("cell", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+            "above": F.first("cell", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)),
+        }
+    ).where("asked = 1")
+    ladder = (
+        table.groupBy("chart_id", "sign", "mag")
+        .agg(F.min_by("value", "size").alias("first"), F.max_by("value", "size").alias("last"))
+        .groupBy("chart_id", "sign")
+        .agg(F.array_sort(F.collect_list(F.struct("mag", "first", "last"))).alias("ladder"))
     )
-    return near.join(groups, ["chart_id", "sign", "mag"]).select(
-        "chart_id", "n",
-        F.coalesce("below", "_before").alias("below"),
-        F.coalesce("above", "_after").alias("above"),
+    lower = F.filter("ladder", lambda g: g["mag"] < F.col("mag"))
+    upper = F.filter("ladder", lambda g: g["mag"] > F.col("mag"))
+    return near.join(ladder, ["chart_id", "sign"], "left").select(
+        "chart_id",
+        "n",
+        F.coalesce("below", F.try_element_at(lower, F.lit(-1))["last"]).alias("below"),
+        F.coalesce("above", F.try_element_at(upper, F.lit(1))["first"]).alias("above"),
     )
 
 
