@@ -171,9 +171,9 @@ def block_b(cells: DataFrame, facts: DataFrame, cap: int) -> DataFrame:
     limit = F.create_map(
         *[F.lit(x) for name, w in BLOCK_B_WEIGHTS.items() for x in (name, max(1, round(cap * w)))]
     )
-    ranked = first_rows(rows, ["chart_id", "template"], ["_o"], cap, "_r")
+    ranked = first_rows(rows, ["chart_id", "template"], ["_o", "answer_num"], cap, "_r")
     kept = ranked.where(F.col("_r") <= F.try_element_at(limit, F.col("template")))
-    return first_rows(kept, ["chart_id"], ["_o"], cap, "slot").drop("_o", "_r")
+    return first_rows(kept, ["chart_id"], ["_o", "answer_num"], cap, "slot").drop("_o", "_r")
 
 
 def block_f(facts: DataFrame, labels: DataFrame) -> DataFrame:

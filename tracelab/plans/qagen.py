@@ -102,8 +102,8 @@ def qa_type_quota(spark, sf):
  FROM chart_cells c JOIN facts f ON c.chart_id = f.chart_id AND c.col = f.col WHERE f.n >= 3),
 qs AS (SELECT chart_id, col, 'value_of' AS template, 'numeric' AS answer_type, value AS answer_num, label AS answer_text FROM rd WHERE p <= 4
  UNION ALL {questions_sql('facts', 'chart_id, col', Q.BLOCK_B)}),
-t AS (SELECT *, {ORDER} AS o, row_number() OVER (PARTITION BY chart_id, template ORDER BY {ORDER}) AS r FROM qs),
-s AS (SELECT *, row_number() OVER (PARTITION BY chart_id ORDER BY o) AS slot FROM t WHERE r <= CASE template WHEN 'value_of' THEN 2 ELSE 1 END)
+t AS (SELECT *, {ORDER} AS o, row_number() OVER (PARTITION BY chart_id, template ORDER BY {ORDER}, answer_num) AS r FROM qs),
+s AS (SELECT *, row_number() OVER (PARTITION BY chart_id ORDER BY o, answer_num) AS slot FROM t WHERE r <= CASE template WHEN 'value_of' THEN 2 ELSE 1 END)
 {SLOT} FROM s WHERE slot <= 4""",
 )
 def qa_block_b(spark, sf):

@@ -116,6 +116,34 @@ JUDGE_OUTPUTS = [
     " WHEN 7 THEN 'LABEL: D~REASON: wrong series' ELSE 'ERROR: TimeoutError: 120s' END, '~', chr(10)) AS raw",
 ]
 
+# Claim lists as JSON in surrounding talk, some broken.
+CLAIM_TEXTS = [
+    "group_id", "k", f"{BENCH} AS bench",
+    "CASE (group_id + k) % 9 WHEN 0 THEN 'no list here' WHEN 1 THEN '[{broken' ELSE concat('Here: [{\"entity\": \"item ', CAST(l_partkey AS STRING),"
+    " '\", \"value\": ', CAST(qty AS STRING), ', \"type\": \"value\"}, {\"entity\": \"', CASE WHEN disc % 4 = 0 THEN ' ' ELSE concat('group ', CAST(disc AS STRING)) END,"
+    " '\", \"value\": null, \"type\": \"odd\"}, 5] done') END AS raw",
+]
+# Step texts with claims of every kind, one without and one with loose digits only.
+STEP_TEXTS = [
+    "group_id", "k", f"{BENCH} AS bench",
+    "CASE (group_id + k) % 6 WHEN 0 THEN concat('The value of Item ', CAST(l_partkey AS STRING), ' is ', CAST(qty AS STRING), '.')"
+    " WHEN 1 THEN concat('Quantity: ', CAST(qty AS STRING), '% while Region (', CAST(disc AS STRING), ')') WHEN 2 THEN concat('The highest value is Region ', CAST(disc AS STRING))"
+    " WHEN 3 THEN concat('There are ', CAST(disc AS STRING), ' bars, the x-axis shows Item Group North, legend is Series ', CAST(disc AS STRING))"
+    " WHEN 4 THEN concat(CAST(qty AS STRING), ' or ', CAST(disc AS STRING), ' units') ELSE 'let me look again' END AS text",
+]
+# One claim per line with the verifier's text answer.
+CLAIM_CHECKS = [
+    "group_id", "k", f"{BENCH} AS bench", "concat('Item ', CAST(l_partkey AS STRING)) AS entity", "CAST(qty AS DOUBLE) AS claim_value",
+    "CASE WHEN l_partkey % 3 = 0 THEN 'categorical' ELSE 'value' END AS type",
+    "CASE l_suppkey % 7 WHEN 0 THEN 'NOT_FOUND' WHEN 1 THEN concat('The value is ', CAST(qty AS STRING), '.') WHEN 2 THEN concat('approx ', CAST(qty + disc AS STRING))"
+    " WHEN 3 THEN 'cannot tell' WHEN 4 THEN concat('It is item-', CAST(l_partkey AS STRING)) WHEN 5 THEN 'ERROR: timeout' ELSE concat(CAST(qty * 2 AS STRING), ' units') END AS response",
+]
+# Taxonomy labels given to samples.
+TAXONOMY = [
+    "o_orderkey AS id", f"{BENCH.replace('group_id', 'o_orderkey')} AS bench", f"{MODEL.replace('group_id', 'o_orderkey')} AS model",
+    "concat('LABEL: ', chr(65 + CAST(o_custkey % 7 AS INT)), chr(10), 'REASON: case ', CAST(o_custkey % 5 AS STRING)) AS raw",
+]
+
 CORPUS_LITE = [
     "doc_id", "source", "lang", "substring(text, 1, 80) AS q80",
     "CASE WHEN doc_id % 10 = 0 THEN '' ELSE concat('src/', source, '/', CAST(doc_id AS STRING), '.png') END AS image_path",
@@ -128,6 +156,12 @@ CORPUS_DISTILLED = [
 ]
 
 
+LINE_VIEWS = {
+    "rollouts": ROLLOUTS, "steps": STEPS, "axes": AXES, "answer_pairs": ANSWER_PAIRS,
+    "claim_texts": CLAIM_TEXTS, "step_texts": STEP_TEXTS, "claim_checks": CLAIM_CHECKS,
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One given Parquet table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -138,9 +172,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "lines":
         needed = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
         return ordinal_in_group(needed, ["l_orderkey"], LINE_ORDER, "k").selectExpr(*LINES)
-    if name in ("rollouts", "steps", "axes", "answer_pairs"):
-        columns = {"rollouts": ROLLOUTS, "steps": STEPS, "axes": AXES, "answer_pairs": ANSWER_PAIRS}[name]
-        return view(spark, sf_dir, "lines").selectExpr(*columns)
+    if name in LINE_VIEWS:
+        return view(spark, sf_dir, "lines").selectExpr(*LINE_VIEWS[name])
     if name == "chart_cells":
         lines = view(spark, sf_dir, "lines")
         return lines.select(
@@ -156,6 +189,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return view(spark, sf_dir, "responses").selectExpr(*SERVED)
     if name == "judge_outputs":
         return table(spark, sf_dir, "orders").selectExpr(*JUDGE_OUTPUTS)
+    if name == "taxonomy":
+        return table(spark, sf_dir, "orders").selectExpr(*TAXONOMY)
     if name == "corpus_lite":
         return table(spark, sf_dir, "documents").selectExpr(*CORPUS_LITE)
     if name == "corpus_distilled":
@@ -175,10 +210,7 @@ _NUMBERED = (
 
 VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "lines": ((), _select(LINES, _NUMBERED)),
-    "rollouts": (("lines",), _select(ROLLOUTS, "lines")),
-    "steps": (("lines",), _select(STEPS, "lines")),
-    "axes": (("lines",), _select(AXES, "lines")),
-    "answer_pairs": (("lines",), _select(ANSWER_PAIRS, "lines")),
+    **{name: (("lines",), _select(columns, "lines")) for name, columns in LINE_VIEWS.items()},
     "chart_cells": (
         ("lines",),
         _select(CELLS_QUANTITY, "lines") + " UNION ALL " + _select(CELLS_DISCOUNT, "lines"),
@@ -189,6 +221,7 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "served": (("responses",), _select(SERVED, "responses")),
     "judge_outputs": ((), _select(JUDGE_OUTPUTS, "orders")),
+    "taxonomy": ((), _select(TAXONOMY, "orders")),
     "corpus_lite": ((), _select(CORPUS_LITE, "documents")),
     "corpus_distilled": ((), _select(CORPUS_DISTILLED, "documents WHERE doc_id % 3 = 0")),
 }
