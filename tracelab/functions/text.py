@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \n\t\r\x0b\x0c"
@@ -113,5 +113,14 @@ def rejoin(content: Column, reasoning: Column) -> Column:
     )
 
 
+def explode_items(df: DataFrame, keep: list, items: Column, pos: str, name: str) -> DataFrame:
+    """One row per array item with its position.
+
+    The outer form keeps the optimizer from adding a ``size(items) > 0`` filter below the
+    explode, which would work out the array a second time.
+    """
+    return df.select(*keep, F.posexplode_outer(items).alias(pos, name)).where(F.col(pos).isNotNull())
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelab.functions import verdicts as V
-from tracelab.functions.text import every, group, strip, sub
+from tracelab.functions.text import every, explode_items, group, strip, sub
 from tracelab.operators.scale import exact_quantiles
 
 # Claim patterns (entity and value groups), superlatives and axis phrases.
@@ -62,7 +62,7 @@ def regex_claims(steps: DataFrame, keys: list[str], text: str) -> DataFrame:
             ),
         )
     )
-    rows = steps.select(*keys, F.explode(F.concat(*found)).alias("c")).select(*keys, "c.*")
+    rows = explode_items(steps, keys, F.concat(*found), "_i", "c").select(*keys, "c.*")
     return (
         rows.groupBy(*keys, "type", F.lower("entity").alias("entity_key"), "value", "comparator")
         .agg(F.min_by("entity", "at").alias("entity"), F.min("at").alias("at"))
@@ -88,7 +88,7 @@ def axis_claims(text: Column) -> dict[str, Column]:
 
 def json_claims(rows: DataFrame, keys: list[str], raw: str, greedy: bool = True) -> DataFrame:
     """Claims of a JSON list in a text; objects without entity are dropped, odd types repaired."""
-    items = rows.select(*keys, F.posexplode(V.claim_items(F.col(raw), greedy)).alias("claim", "item"))
+    items = explode_items(rows, keys, V.claim_items(F.col(raw), greedy), "claim", "item")
     get = lambda name: F.get_json_object("item", f"$.{name}")
     kind, value = get("type"), get("value").try_cast("double")
     repaired = F.when(value.isNotNull(), "value").otherwise("categorical") if greedy else F.lit("value")

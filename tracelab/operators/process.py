@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelab.functions.text import (
-    NUMBER_PATTERNS, calc_pattern, every, first_of, group, is_year, lines_of, plain_number, reasoning_span, strip, words,
+    NUMBER_PATTERNS, calc_pattern, every, explode_items, first_of, group, is_year, lines_of, plain_number, reasoning_span, strip, words,
 )
 
 ZERO = 1e-10
@@ -20,7 +20,7 @@ ZERO = 1e-10
 
 def number_mentions(responses: DataFrame, keys: list[str], span: str, kind: str = "compat") -> DataFrame:
     """One row per number in the span with its position; likely years are left out."""
-    rows = responses.select(*keys, F.posexplode(every(F.col(span), NUMBER_PATTERNS[kind])).alias("pos", "_t"))
+    rows = explode_items(responses, keys, every(F.col(span), NUMBER_PATTERNS[kind]), "pos", "_t")
     return rows.select(*keys, "pos", plain_number(F.col("_t")).alias("n")).where(~is_year(F.col("n")))
 
 
@@ -207,9 +207,8 @@ REACH = 20
 
 def anchored_counts(responses: DataFrame, cells: DataFrame, keys: list[str], chart: str, span: str) -> DataFrame:
     """Number mentions per response, and those in the table with an entity token within reach."""
-    tokens = responses.select(
-        *keys, F.col(chart).alias("chart_id"), F.posexplode(every(F.col(span), TOKEN)).alias("pos", "text")
-    ).withColumn("token", F.lower("text"))
+    tokens = explode_items(responses, [*keys, F.col(chart).alias("chart_id")], every(F.col(span), TOKEN), "pos", "text")
+    tokens = tokens.withColumn("token", F.lower("text"))
     entities = table_entities(cells)
     known = entities.withColumn("hit", F.lit(1))
     number = F.when(F.col("token").rlike(r"^[-+]?\d"), plain_number(F.col("token")))
@@ -269,10 +268,8 @@ def taint_chain(responses: DataFrame, cells: DataFrame, keys: list[str], chart:
     body = group(F.col("response"), r"(?s)<think>(.*?)</think>")
     sentences = F.filter(lines_of(body), lambda s: F.length(s) > 5)
     pattern = NUMBER_PATTERNS["compat"]
-    said = responses.select(*keys, F.col(chart).alias("chart_id"), F.posexplode(sentences).alias("at", "sentence"))
-    numbers = said.select(
-        *keys, "chart_id", "at", F.posexplode(every(F.col("sentence"), pattern)).alias("pos", "_t")
-    ).select(*keys, "chart_id", "at", "pos", plain_number(F.col("_t")).alias("n"))
+    said = explode_items(responses, [*keys, F.col(chart).alias("chart_id")], sentences, "at", "sentence")
+    numbers = explode_items(said, [*keys, "chart_id", "at"], every(F.col("sentence"), pattern), "pos", "_t").select(*keys, "chart_id", "at", "pos", plain_number(F.col("_t")).alias("n"))
     near = nearest_cells(numbers.select("chart_id", "n").distinct(), cells.select("chart_id", "value").distinct())
     decay = lambda cell: F.when(cell == 0, F.when(F.abs("n") < 0.01, 1.0).otherwise(0.0)).otherwise(
         F.exp(-0.5 * F.pow(F.abs(F.col("n") - cell) / (F.abs(cell) * sigma), F.lit(2.0)))
@@ -315,7 +312,7 @@ def taint_chain(responses: DataFrame, cells: DataFrame, keys: list[str], chart:
 
 def qa_checks(steps: DataFrame, keys: list[str]) -> DataFrame:
     """Calculations of the reasoning steps per question: how many, all right, last stated value."""
-    calcs = steps.select(*keys, "step_idx", F.posexplode(calculations(F.col("text"), "wide")).alias("pos", "c"))
+    calcs = explode_items(steps, [*keys, "step_idx"], calculations(F.col("text"), "wide"), "pos", "c")
     calcs = calcs.where(F.col("c.expected").isNotNull())
     found = calcs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_calcs"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelab.functions.text import group, lines_of, or_empty, strip, words
+from tracelab.functions.text import explode_items, group, lines_of, or_empty, strip, words
 
 # Discourse markers that open a step when they start a line.
 STEP_MARKERS = [
@@ -73,18 +73,19 @@ def segment_steps(
     return df.withColumn(out, F.flatten(split)).drop("_blocks", "_merged")
 
 
-def split_by_markers(text: Column, most: int = 8) -> Column:
+def split_by_markers(df: DataFrame, text: str, out: str, most: int = 8) -> DataFrame:
     """Split at marker lines, else pack sentences to about 200 characters; the first few long parts."""
-    flat = F.replace(text, F.lit("\n\n"), F.lit("\n"))
-    marked = F.split(flat, MARKER_SPLIT)
     # the very first piece counts one character more: packing starts from a blank
     sentences = F.transform(
-        F.split(flat, r"(?<=[.?!])\s+"),
+        F.split("_flat", r"(?<=[.?!])\s+"),
         lambda t, i: F.struct(t.alias("text"), (F.length(t) + (i == 0).cast("int")).alias("len")),
     )
     packed = F.transform(pack(sentences, " ", lambda a, b: a + b <= 200, glue=1), lambda p: p["text"])
-    parts = F.transform(F.when(F.size(marked) >= 2, marked).otherwise(packed), strip)
-    return F.slice(F.filter(parts, lambda p: F.length(p) > 15), 1, most)
+    df = df.withColumn("_flat", F.replace(F.col(text), F.lit("\n\n"), F.lit("\n")))
+    df = df.withColumn("_marked", F.split("_flat", MARKER_SPLIT))
+    df = df.withColumn("_parts", F.when(F.size("_marked") >= 2, F.col("_marked")).otherwise(packed))
+    long = F.filter(F.transform("_parts", strip), lambda p: F.length(p) > 15)
+    return df.withColumn(out, F.slice(long, 1, most)).drop("_flat", "_marked", "_parts")
 
 
 def cumulative_prefix(steps: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
@@ -133,5 +134,5 @@ def quality_gates(traces: DataFrame, steps: DataFrame, keys: list[str]) -> DataF
 
 def trace_lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Lines of a text as steps."""
-    rows = df.select(*keys, F.posexplode(lines_of(F.col(text))).alias("step", "step_text"))
+    rows = explode_items(df, keys, lines_of(F.col(text)), "step", "step_text")
     return rows.withColumns({"len": words(F.col("step_text")), "terminal": F.col("step_text").rlike(r"[.!?]$")})

@@ -16,7 +16,7 @@ KEYS = ["group_id", "k"]
 
 
 def hits_sql(pattern: str, e: int, v: int, base: int) -> str:
-    return f"SELECT group_id, k, bench, 'value' AS type, unnest({ra('text', pattern, e)}) AS entity, unnest({ra('text', pattern, v)}) AS v, {base} + unnest(range(len({ra('text', pattern, e)}))) AS at FROM step_texts"
+    return f"SELECT group_id, k, bench, 'value' AS type, unnest({ra('text', pattern, e)}) AS entity, unnest({ra('text', pattern, v)}) AS v, {base} + unnest(range(len({ra('text', pattern, e)}))) AS hit_at FROM step_texts"
 
 
 @query(
@@ -24,8 +24,8 @@ def hits_sql(pattern: str, e: int, v: int, base: int) -> str:
     "step_texts",
     ", h AS ("
     + " UNION ALL ".join(hits_sql(p, e, v, 1000 * i) for i, (p, e, v) in enumerate(L.VALUE_PATTERNS))
-    + f"""), c AS (SELECT DISTINCT ON (group_id, k, lower(trim(entity)), v) bench, type, trim(entity) AS entity, v FROM (SELECT * REPLACE (CAST(v AS DOUBLE) AS v) FROM h)
- ORDER BY group_id, k, lower(trim(entity)), v, at),
+    + f""" ), c AS (SELECT DISTINCT ON (group_id, k, lower(trim(entity)), v) bench, type, trim(entity) AS entity, v FROM (SELECT * REPLACE (CAST(v AS DOUBLE) AS v) FROM h)
+ ORDER BY group_id, k, lower(trim(entity)), v, hit_at),
 s AS (SELECT DISTINCT group_id, k, bench, lower(trim(e)) AS e, lower(c) AS c FROM (SELECT group_id, k, bench, unnest({ra('text', L.SUPERLATIVE, 2)}) AS e, unnest({ra('text', L.SUPERLATIVE, 1)}) AS c FROM step_texts))
 SELECT bench, type, lower(entity) AS entity, v AS value, CAST(NULL AS VARCHAR) AS comparator, count(*) AS n FROM c GROUP BY ALL
 UNION ALL SELECT bench, 'categorical', e, NULL, c, count(*) FROM s GROUP BY ALL""",

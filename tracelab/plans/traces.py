@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelab.functions.text import words
+from tracelab.functions.text import explode_items
 from tracelab.operators import traces as G
 from tracelab.plans.answers import CONTENT, REASON
 from tracelab.plans.registry import query, r6
@@ -42,17 +42,17 @@ def doc_segments(spark, sf):
 @query("tr_segment_steps")
 def tr_segment_steps(spark, sf):
     rows = doc_segments(spark, sf)
-    return rows.select("doc_id", F.size("steps").alias("n_steps"), F.posexplode("steps").alias("step", "s")).select(
-        "doc_id", "n_steps", "step", F.col("s.len").alias("len"), F.md5("s.text").alias("text_md5")
+    return explode_items(rows, ["doc_id"], F.col("steps"), "step", "s").select(
+        "doc_id", "step", F.col("s.len").alias("len"), F.md5("s.text").alias("text_md5")
     )
 
 
 @query("tr_split_markers")
 def tr_split_markers(spark, sf):
-    rows = view(spark, sf, "served").select(
-        "group_id", "k", G.split_by_markers(G.thinking_text(F.col("content"), F.col("reasoning_content"))).alias("p")
-    )
-    return rows.select("group_id", "k", F.size("p").alias("n_steps"), F.posexplode("p").alias("step", "text"))
+    text = G.thinking_text(F.col("content"), F.col("reasoning_content"))
+    rows = view(spark, sf, "served").select("group_id", "k", text.alias("t"))
+    rows = G.split_by_markers(rows, "t", "p")
+    return explode_items(rows, ["group_id", "k"], F.col("p"), "step", "text")
 
 
 @query(
