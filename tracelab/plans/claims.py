@@ -9,7 +9,7 @@ from tracelab.operators import claims as L
 from tracelab.operators import mc as M
 from tracelab.plans.mc import AXES, AXIS_MEAN_SQL, AXIS_NAMES, std0
 from tracelab.plans.registry import query, r6
-from tracelab.plans.sqltext import ra, rm, sub
+from tracelab.plans.sqltext import ra, rm, rx, sub
 from tracelab.sources.fixtures import table, view
 
 KEYS = ["group_id", "k"]
@@ -37,13 +37,24 @@ def cl_regex_claims(spark, sf):
     )
 
 
-@query("cl_axis_claims")
+def axis_sql(axis: str, patterns: list[str]) -> str:
+    hits = " ".join(f"WHEN {rm('text', p)} THEN left(trim({rx('text', p)}), 150)" for p in patterns)
+    return f"SELECT bench, '{axis}' AS axis, CASE {hits} END AS claim FROM step_texts"
+
+
+@query(
+    "cl_axis_claims",
+    "step_texts",
+    ", c AS ("
+    + " UNION ALL ".join(axis_sql(a, p) for a, p in L.AXIS_PATTERNS.items())
+    + """ ) SELECT bench, axis, count(*) AS n, min(claim) AS first_claim, max(claim) AS last_claim FROM c WHERE claim <> '' GROUP BY bench, axis""",
+)
 def cl_axis_claims(spark, sf):
     steps = view(spark, sf, "step_texts").withColumns(L.axis_claims(F.col("text")))
     pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("claim")) for a in L.AXIS_PATTERNS])).alias("c")
     rows = steps.select("bench", pairs).where(F.col("c.claim") != "")
     return rows.groupBy("bench", "c.axis").agg(
-        F.count(F.lit(1)).alias("n"), F.min("c.claim").alias("first"), F.max("c.claim").alias("last")
+        F.count(F.lit(1)).alias("n"), F.min("c.claim").alias("first_claim"), F.max("c.claim").alias("last_claim")
     )
 
 

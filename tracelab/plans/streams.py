@@ -48,11 +48,19 @@ def st_resume_dedupe(spark, sf):
     )
 
 
-@query("st_reward_telemetry")
+@query(
+    "st_reward_telemetry",
+    "events",
+    f"""SELECT strftime(d, '%Y-%m-%d') AS window_day, event_type, count(*) AS n, {r6('avg(value)')} AS reward_mean, {r6('stddev_pop(value)')} AS reward_std, {r6('avg(CASE WHEN value >= 0.95 THEN 1.0 ELSE 0.0 END)')} AS frac_correct
+ FROM (SELECT *, date_trunc('day', ts) AS d FROM events) WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY d, event_type""",
+)
 def st_reward_telemetry(spark, sf):
     # windows still open at the end of the input wait for the watermark, as in any append stream
     events = event_stream(spark, sf).select("ts", "event_type", "value")
     rows = written(spark, jobs.reward_windows(events, "ts", "event_type", "value"))
     return rows.select(
-        "window_start", "event_type", "n", *[F.round(c, 6).alias(c) for c in ("reward_mean", "reward_std", "frac_correct")]
+        F.date_format("window_start", "yyyy-MM-dd").alias("window_day"),
+        "event_type",
+        "n",
+        *[F.round(c, 6).alias(c) for c in ("reward_mean", "reward_std", "frac_correct")],
     )
