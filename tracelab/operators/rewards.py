@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelab.functions import extract, scoring
 from tracelab.functions.text import think_words
 from tracelab.operators import process as P
+from tracelab.operators.scale import where_late
 
 RIGHT = 0.95
 BONUS = 0.3
@@ -30,13 +31,9 @@ def outcome_terms(responses: DataFrame) -> DataFrame:
 def with_process(
     rows: DataFrame, cells: DataFrame, keys: list[str], chart: str, needed: Column, terms=P.process_terms, **options
 ) -> DataFrame:
-    """Attach process terms to the rows that need them; the others skip the table join.
-
-    The row id keeps the optimizer from pushing the condition below the staged extraction
-    columns, where it would be written out once per reference.
-    """
-    marked = rows.withColumn("_row", F.monotonically_increasing_id()).where(needed & (F.col("_row") >= 0))
-    part = terms(marked.select(*keys, "response"), cells, keys, chart, **options).drop("response")
+    """Attach process terms to the rows that need them; the others skip the table join."""
+    wanted = where_late(rows, needed).select(*keys, "response")
+    part = terms(wanted, cells, keys, chart, **options).drop("response")
     return rows.join(part.withColumn("joined", F.lit(True)), keys, "left")
 
 

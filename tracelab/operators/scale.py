@@ -58,6 +58,16 @@ def ordinal_in_group(
     return rest.unionByName(numbered)
 
 
+def where_late(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter rows above staged columns.
+
+    The optimizer writes a plain filter out in terms of the scan's columns, which for long chains
+    of staged text columns multiplies the work. The row id ties the filter to its place.
+    """
+    marked = df.withColumn("_row", F.monotonically_increasing_id())
+    return marked.where(condition & (F.col("_row") >= 0)).drop("_row")
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list, n: int, name: str = "rn") -> DataFrame:
     """First ``n`` rows per group in the given order, with their rank.
 

@@ -9,6 +9,7 @@ from tracelab.functions.text import NUMBER_PATTERNS, calc_pattern, every, is_yea
 from tracelab.operators import mc as M
 from tracelab.operators import process as P
 from tracelab.operators import rewards as R
+from tracelab.operators.scale import where_late
 from tracelab.plans.answers import SCORE_SQL, format_rewards, train_sql
 from tracelab.plans.registry import query, r6
 from tracelab.plans.sqltext import num, q, ra, rm, rx, st, sub
@@ -419,8 +420,8 @@ def rw_telemetry(spark, sf):
  FROM rw JOIN r3 USING (group_id, k) WHERE kind = 'augmented' GROUP BY bench""",
 )
 def rw_inflation_audit(spark, sf):
-    rows = reward_rows(spark, sf, "rw_conditional_v2").where("kind = 'augmented'")
-    rows = rows.withColumn("mult", R.multiplicative(P.reward_v2()))
+    rows = reward_rows(spark, sf, "rw_conditional_v2").withColumn("mult", R.multiplicative(P.reward_v2()))
+    rows = where_late(rows, F.col("kind") == "augmented")
     full = lambda c: F.col(c) >= 1
     return rows.groupBy("bench").agg(
         F.count(F.lit(1)).alias("n_wrong"),
