@@ -58,6 +58,11 @@ def ordinal_in_group(
     return rest.unionByName(numbered)
 
 
+def over_all(column: str) -> Column:
+    """Total of a column over a small grouped result (one row per label, family or template)."""
+    return F.sum(column).over(Window.partitionBy(F.lit(1)))
+
+
 def where_late(df: DataFrame, condition: Column) -> DataFrame:
     """Filter rows above staged columns.
 

@@ -9,7 +9,7 @@ from tracelab.functions.text import FLOAT_PATTERN, strip, sub, think_words, to_n
 from tracelab.functions.extract import train
 from tracelab.operators import corpus as K
 from tracelab.operators import qagen as Q
-from tracelab.operators.scale import first_rows
+from tracelab.operators.scale import first_rows, over_all
 from tracelab.plans.answers import MC_SQL, SCORE_SQL, norm_sql, train_sql
 from tracelab.plans.process import WORDS, span_sql
 from tracelab.plans.registry import query, r6
@@ -196,9 +196,8 @@ def cp_funnel(spark, sf):
         count(rows.where("rule = 'kept'"), "n_kept"), "family", "full"
     )
     stages = stages.na.fill(0)
-    total = stages.agg(F.sum("n_raw").alias("_r"), F.sum("n_kept").alias("_k"))  # one row
-    raw, kept = 100.0 * F.col("n_raw") / F.col("_r"), 100.0 * F.col("n_kept") / F.col("_k")
-    return stages.join(F.broadcast(total)).select(
+    raw, kept = 100.0 * F.col("n_raw") / over_all("n_raw"), 100.0 * F.col("n_kept") / over_all("n_kept")
+    return stages.select(
         "family", "n_raw", "n_lite", "n_kept",
         F.round(raw, 6).alias("raw_pct"), F.round(kept, 6).alias("kept_pct"), F.round(kept - raw, 6).alias("delta_pct"),
     )

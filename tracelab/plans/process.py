@@ -9,7 +9,7 @@ from tracelab.functions.text import NUMBER_PATTERNS, calc_pattern, every, is_yea
 from tracelab.operators import mc as M
 from tracelab.operators import process as P
 from tracelab.operators import rewards as R
-from tracelab.operators.scale import where_late
+from tracelab.operators.scale import over_all, where_late
 from tracelab.plans.answers import SCORE_SQL, format_rewards, train_sql
 from tracelab.plans.registry import query, r6
 from tracelab.plans.sqltext import num, q, ra, rm, rx, st, sub
@@ -264,8 +264,7 @@ def pr_qa_verify_reasons(spark, sf):
     rows = qa_checked(spark, sf).join(tables, "qa_id", "left")
     rows = rows.withColumn("reason", P.qa_reason(F.col("a"), F.coalesce("t", F.lit(False))))
     counts = rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_all"))  # one row
-    return counts.join(F.broadcast(total)).select("reason", "n", F.round(100.0 * F.col("n") / F.col("_all"), 6).alias("share"))
+    return counts.withColumn("share", F.round(100.0 * F.col("n") / over_all("n"), 6))
 
 
 # ---- rewards --------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelab.operators import qagen as Q
+from tracelab.operators.scale import over_all
 from tracelab.plans.registry import query, r6
 from tracelab.sources.fixtures import table, view
 
@@ -278,18 +279,14 @@ def qa_stats(spark, sf):
     counts = rows.groupBy("template").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("answer_num").isNull()).alias("_text")
     )
-    total = counts.agg(F.sum("n").alias("_all"), F.sum("_text").alias("_t"))  # one row
-    return counts.join(F.broadcast(total)).select(
+    return counts.select(
         "template",
         "n",
-        F.round(100.0 * F.col("n") / F.col("_all"), 6).alias("share"),
-        F.round(100.0 * F.col("_t") / F.col("_all"), 6).alias("text_share"),
+        F.round(100.0 * F.col("n") / over_all("n"), 6).alias("share"),
+        F.round(100.0 * over_all("_text") / over_all("n"), 6).alias("text_share"),
     )
 
 
-FMT = "CAST(CAST({x} AS INT) AS VARCHAR)"
-
-
 @query(
     "qa_rule_cot",
     "chart_cells",
