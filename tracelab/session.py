@@ -26,19 +26,18 @@ def build_session(master: str = "local[*]", app: str = "tracelab", **conf: str)
     return builder.getOrCreate()
 
 
-def checkpoint(df):
-    """Cut lineage through the checkpoint folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one below the warehouse where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    return folder.rstrip("/")
+
 
-    The folder is read from ``spark.checkpoint.dir``; only where that is unset (tests) does
-    a temporary folder take its place.
-    """
+def checkpoint(df):
+    """Cut lineage through the shared folder; see ``shared_folder``."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
