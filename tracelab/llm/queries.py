@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelab.llm import minhash
+from tracelab.llm import decontaminate, minhash, mixing, quality, sharding
 from tracelab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +28,23 @@ def query(name: str, sql: str | None = None):
 @query("op5_minhash_bayes")
 def op5(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_wu_manber", decontaminate.SQL)
+def op10(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_decision_list")
+def op9(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_poisson_mix", mixing.SQL)
+def op8(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_minimax_shards")
+def op2(spark, sf_dir):
+    return sharding.report(table(spark, sf_dir, "documents"))
