@@ -107,21 +107,25 @@ def _held(tests: list[Test]) -> Column:
 
 
 def smoothed(good: int, bad: int, prior: float) -> float:
-    """Share of bad rows, drawn towards ``prior`` by two rows' weight."""
-    return (bad + 2 * prior) / (good + bad + 2)
+    """Share of bad rows, drawn towards ``prior`` by one row's weight."""
+    return (bad + prior) / (good + bad + 1)
+
+
+def share(good: int, bad: int) -> float:
+    return bad / max(1, good + bad)
 
 
 def learn_rules(
-    stats: DataFrame, labels: DataFrame, most_rules: int = 8, most_tests: int = 3, precision: float = 0.97, least_share: float = 0.002
+    stats: DataFrame, labels: DataFrame, most_rules: int = 8, most_tests: int = 3, precision: float = 0.97, sure: float = 0.8, least_share: float = 0.002
 ) -> list[list[Test]]:
     """Ordered rules that reject documents, from all labelled rows.
 
     ``stats`` has ``doc_id`` and the counts of ``with_statistics``; ``labels`` has ``doc_id, quality`` (1 good, 0 bad, null
     ignored). Two thirds of the labelled rows (by a hash of the id) grow rules, one third prunes them. A rule grows by
     the threshold with the largest information gain of bad rows (FOIL), at most ``most_tests``; then tests are dropped from
-    its end while the pruning rows' smoothed share of bad rows does not fall. It is kept if that share is at least
-    ``precision`` on both parts and it covers ``least_share`` of the growing rows; covered rows leave, and
-    the next rule starts. Only grouped counts reach the driver: at most (rates x cuts x labels) rows a step.
+    its end while the pruning rows' smoothed share of bad rows does not fall. It is kept if on both parts the share of bad rows
+    is at least ``precision``, smoothed at least ``sure`` (so a few rows prove nothing), and it covers ``least_share`` of
+    the growing rows; covered rows leave, and the next rule starts. Only grouped counts reach the driver: at most (rates x cuts x labels) rows a step.
     """
     binned = {f"bin_{r}": F.expr(" + ".join(f"int(({e}) >= {c!r})" for c in CUTS)) for r, e in RATES.items()}
     rows = stats.where("not base_failed").join(labels.where("quality in (0, 1)").select("doc_id", "quality"), "doc_id")
@@ -152,7 +156,7 @@ def learn_rules(
             break
         best, n = max(kept, key=lambda x: (round(smoothed(*x[0], prior), 6), -x[1]))
         on_grow = _pair(growing.where(_held(tests[:n])))
-        if min(smoothed(*best, prior), smoothed(*on_grow, prior)) < precision or sum(on_grow) < max(3, least_share * sum(total)):
+        if min(share(*best), share(*on_grow)) < precision or min(smoothed(*best, prior), smoothed(*on_grow, prior)) < sure or sum(on_grow) < max(3, least_share * sum(total)):
             break
         rules.append(tests[:n])
     return rules
