@@ -286,6 +286,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = classes.select("v", F.explode(bands).alias("key"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("leader")).where("n > 1")
     members = staged(keys.join(buckets, "key"), "members")
+    # one shuffle of the texts at every size; all later steps read the share that is in some bucket
+    texts = staged(texts.join(members.select("v").distinct().hint("shuffle_hash"), "v", "left_semi"), "member-texts")
     pairs = members.where("v != leader").select(F.col("leader").alias("a"), F.col("v").alias("b")).distinct()
     first = staged(_links(pairs, classes, texts, "first"), "links-first")
     label = components(first)

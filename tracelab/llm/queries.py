@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelab.llm import decontaminate, minhash, mixing, quality, sharding
+from tracelab.llm import bytecnn, chat, decontaminate, minhash, mixing, quality, secretscan, sharding, urls
 from tracelab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,23 @@ def op8(spark, sf_dir):
 @query("op2_minimax_shards")
 def op2(spark, sf_dir):
     return sharding.report(table(spark, sf_dir, "documents"))
+
+
+@query("op1_budgeted_windows")
+def op1(spark, sf_dir):
+    return chat.report(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
+@query("op3_byte_cnn")
+def op3(spark, sf_dir):
+    return bytecnn.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_template_tree", urls.SQL)
+def op6(spark, sf_dir):
+    return urls.report(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_secret_cnn")
+def op7(spark, sf_dir):
+    return secretscan.report(table(spark, sf_dir, "documents"))
