@@ -286,8 +286,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = classes.select("v", F.explode(bands).alias("key"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("leader")).where("n > 1")
     members = staged(keys.join(buckets, "key"), "members")
-    # one shuffle of the texts at every size; all later steps read the share that is in some bucket
-    texts = staged(texts.join(members.select("v").distinct().hint("shuffle_hash"), "v", "left_semi"), "member-texts")
     pairs = members.where("v != leader").select(F.col("leader").alias("a"), F.col("v").alias("b")).distinct()
     first = staged(_links(pairs, classes, texts, "first"), "links-first")
     label = components(first)
@@ -304,3 +302,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return owner.select("doc_id", "n_shingles", alone.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     )
+
+
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WORDS - 1}, 1) + 1)) AS k FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + {WORDS - 1}], ' ') AS x FROM i),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN z y ON y.doc_id = a JOIN z v ON v.doc_id = b WHERE 100 * c >= {PERCENT} * (y.n + v.n - c)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(id, o) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, u.b FROM r JOIN u ON r.o = u.a),
+c AS (SELECT id, min(o) AS component_id FROM r GROUP BY id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN c ON id = doc_id LEFT JOIN z USING (doc_id)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelab.llm import bytecnn, chat, decontaminate, minhash, mixing, quality, secretscan, sharding, urls
+from tracelab.llm import bytecnn, chat, decontaminate, editlines, minhash, mixing, quality, secretscan, sharding, urls
 from tracelab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op5_minhash_bayes")
+@query("op5_minhash_bayes", minhash.SQL)
 def op5(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -68,3 +68,8 @@ def op6(spark, sf_dir):
 @query("op7_secret_cnn")
 def op7(spark, sf_dir):
     return secretscan.report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_edit_lines", editlines.SQL)
+def op4(spark, sf_dir):
+    return editlines.report(table(spark, sf_dir, "documents"))

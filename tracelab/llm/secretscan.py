@@ -29,7 +29,7 @@ BEFORE, AFTER = 24, 8  # characters of context on either side of a candidate
 WIDTH, DEPTH, FILTERS = 5, 4, 24
 SAMPLE_DOCS, SAMPLE_CANDIDATES = 12_000, 20_000  # bounds of what the network is fitted on
 RECALL = 0.98  # share of held-out findings that the threshold must keep
-EPOCHS, BATCH, RATE = 6, 64, 0.02
+EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 800, 64, 0.02
 
 
 def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
@@ -93,7 +93,7 @@ def fit(data: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> dict[str,
     weight = np.where(labels == 1, len(labels) / (2 * max(1, labels.sum())), len(labels) / (2 * max(1, (1 - labels).sum())))
     first, second = ({k: np.zeros_like(v) for k, v in net.items()} for _ in range(2))
     rng, step = np.random.default_rng(seed), 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // -(-len(data) // BATCH)))):
         order = rng.permutation(len(data))
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
