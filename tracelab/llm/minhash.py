@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tracelab.llm.common import shipped, small_batches, staged
 from tracelab.llm.graph import components
@@ -145,7 +146,7 @@ def least_matches(compared: int, percent: int = PERCENT, miss: float = MISS) ->
     return compared
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _still_likely(x: pd.Series, y: pd.Series) -> pd.Series:
     """Compare signatures batch by batch; a pair leaves at the first batch whose posterior falls below the bound."""
     n = BANDS * ROWS
