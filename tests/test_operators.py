@@ -1,7 +1,6 @@
 """Brute-force checks of the operators SQL cannot check, and of the skew paths."""
 
 import random
-import re
 import tempfile
 
 import pytest
@@ -12,13 +11,16 @@ from tracelab.sources import readers
 from tracelab.sources.fixtures import view
 
 
-def test_ordinal_hot_path_equals_plain(spark):
+@pytest.mark.parametrize("lead", [1, 2])
+def test_ordinals_are_positions_in_sorted_groups(spark, lead):
     rng = random.Random(3)
-    rows = [(1 if i % 3 else i, rng.randrange(50), i) for i in range(3000)]
+    rows = [(None if i % 5 == 0 else 1 if i % 3 else i, rng.choice([None, *range(9)]), i) for i in range(2000)]
     df = spark.createDataFrame(rows, "g int, o int, id int")
-    plain = {tuple(r) for r in scale.ordinal_in_group(df, ["g"], ["o", "id"], "k").select("g", "id", "k").collect()}
-    hot = {tuple(r) for r in scale.ordinal_in_group(df, ["g"], ["o", "id"], "k", hot_rows=100).select("g", "id", "k").collect()}
-    assert plain == hot
+    got = {r["id"]: r["k"] for r in scale.ordinal_in_group(df, ["g"], ["o", "id"], "k", lead).collect()}
+    groups: dict = {}
+    for g, o, i in rows:
+        groups.setdefault(g, []).append((o is not None, o or 0, i))
+    assert got == {i: k for members in groups.values() for k, (_, _, i) in enumerate(sorted(members))}
 
 
 def test_quantiles_and_auc_against_brute_force(spark):
@@ -55,126 +57,79 @@ def test_best_match_against_brute_force(spark):
             assert (r["best"] > limit) == (want > limit)
 
 
-def taint(response, values, sigma=0.1):
-    number = r"[-+]?\d{1,3}(?:,\d{3})*(?:\.\d+)?"
-    calc = rf"({number})\s*([+\-*/×÷])\s*({number})\s*[=≈]\s*({number})"
-    num = lambda s: float(s.replace(",", ""))
-    body = re.search(r"<think>(.*?)</think>", response, re.S)
-    if not body or not values:
-        return 0.0
-
-    def quality(n):
-        best = 0.0
-        for t in values:
-            score = (1.0 if abs(n) < 0.01 else 0.0) if t == 0 else 2.718281828459045 ** (-0.5 * (abs(n - t) / (abs(t) * sigma)) ** 2)
-            best = max(best, score)
-        return best
-
-    bad, rewards_ = [], []
-    for line in (s.strip() for s in body.group(1).split("\n")):
-        found = [num(x) for x in re.findall(number, line)]
-        if len(line) <= 5 or not found:
-            continue
-        used = [any(abs(n - t) / max(abs(t), 1e-10) < 0.05 for t in bad) for n in found]
-        low = min(0.3 if u else quality(n) for u, n in zip(used, found))
-        m, logic = re.search(calc, line), 1.0
-        if m:
-            a, op, b, c = num(m[1]), m[2], num(m[3]), num(m[4])
-            e = {"+": a + b, "-": a - b, "*": a * b, "×": a * b}.get(op, a / b if b else None)
-            if e is not None and abs(c - e) / max(abs(e), 1e-10) >= 0.05:
-                logic = 0.0
-        rewards_.append(logic * low)
-        if rewards_[-1] < 0.5 and not any(used):
-            bad += found
-    return sum(rewards_) / len(rewards_) if rewards_ else 0.0
-
-
-def test_taint_chain_against_brute_force(spark, sf):
-    responses = view(spark, sf, "responses").where("group_id <= 120").select("group_id", "k", "response")
-    extra = spark.createDataFrame(
-        [(9001, 0, "<think>\nWe read 90 here.\nThen 90 + 3 = 93 follows.\nAlso 0 stays.\n10 / 0 = 4 hmm\n</think> x"), (9002, 0, "no think 5")],
-        "group_id long, k int, response string",
-    )
-    rows = responses.unionByName(extra)
-    table = view(spark, sf, "chart_cells").where("chart_id <= 120").select("chart_id", "value")
-    table = table.unionByName(spark.createDataFrame([(9001, 10.0), (9001, 0.0), (9001, 100.0)], "chart_id long, value double"))
-    values: dict = {}
-    for r in table.collect():
-        values.setdefault(r["chart_id"], set()).add(r["value"])
-    got = process.taint_chain(rows, table, ["group_id", "k"], "group_id").collect()
-    assert len(got) == rows.count()
-    for r in got:
-        assert r["taint"] == pytest.approx(taint(r["response"], values.get(r["group_id"])), abs=1e-6), r["response"]
-
-
-def pack_words(text, low, high):
-    size = lambda s: len(s.split())
-    merged, buf = [], ""
-    for block in (b.strip() for b in text.split("\n\n")):
-        if not block:
-            continue
-        joined = f"{buf}\n\n{block}" if buf else block
-        if buf and size(joined) < low:
-            buf = joined
-        else:
-            merged += [buf] if buf else []
-            buf = block
-    merged += [buf] if buf else []
-    out = []
-    for m in merged:
-        if size(m) <= high:
-            out.append(m)
-            continue
-        chunk = ""
-        for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])", m):
-            joined = f"{chunk} {s}" if chunk else s
-            if size(joined) <= high:
-                chunk = joined
-            else:
-                out += [chunk] if chunk else []
-                chunk = s
-        out += [chunk] if chunk else []
-    return out
-
-
-def test_segment_steps_against_brute_force(spark):
+def test_one_wide_chart_is_matched_in_linear_work(spark):
+    """Cells and mentions of one chart in one power of two: each mention meets its own cell."""
+    n = 60_000
+    cell_rows = spark.range(n).selectExpr("1L as chart_id", "65536.0D + id as value")
+    values = spark.range(n).selectExpr("1L as chart_id", "65536.25D + id as n")
+    near = process.nearest_cells(values, cell_rows)
+    assert near.where("below != n - 0.25 or (above != n + 0.75 and n < 125535)").count() == 0
+    assert near.where("above is null").count() == 1
+
+
+TAINT_CASES = [  # worked out by hand: sentence rewards, mean
+    ("<think>\nThe value is 100.\n</think>", 1.0),
+    # right, wrong sum (0, taints 10 and 50), a use of 50 (0.3), untouched number
+    ("<think>\nThe value is 100.\nThen 10 + 10 = 50 fails.\nLater 50 is used.\nStill 100 holds.\n</think>", (1 + 0 + 0.3 + 1) / 4),
+    # a use of a tainted number taints nothing itself: 100 stays good
+    ("<think>\nSo 10 + 10 = 50 fails.\nBoth 50 and 100 here.\nThen 100 again.\n</think>", (0 + 0.3 + 1) / 3),
+    # division by zero is no failed sum, but 4 and 0 are far from the table
+    ("<think>\nok: 10 / 0 = 4 hm\n</think>", 0.0),
+    ("<think>\nno number\n100\n</think>", 0.0),
+    ("no reasoning, 100", 0.0),
+]
+
+
+def test_taint_chain_cases(spark):
+    rows = [(1, k, text) for k, (text, _) in enumerate(TAINT_CASES)]
+    rows += [(2, 0, "<think>\nIt is 5 now.\nIt is 5 now.\nIt is 5 now.\n</think>")]  # no table
+    rows += [(3, 0, TAINT_CASES[0][0])]  # a table without numbers
+    df = spark.createDataFrame(rows, "group_id long, k int, response string")
+    table = spark.createDataFrame([(1, 10.0), (1, 100.0), (3, None)], "chart_id long, value double")
+    got = {(r["group_id"], r["k"]): r["taint"] for r in process.taint_chain(df, table, ["group_id", "k"], "group_id").collect()}
+    assert got == {**{(1, k): pytest.approx(want, abs=1e-6) for k, (_, want) in enumerate(TAINT_CASES)}, (2, 0): 0.0, (3, 0): 0.0}
+
+
+def test_segments_by_hand(spark):
+    cases = [
+        ("a b\n\nc\n\nd e f g", ["a b\n\nc", "d e f g"]),  # 2 + 1 words stay below 4; 3 + 4 do not
+        ("", []),
+        ("\n\n  \n\n", []),
+        ("Aa b c. Dd e f. Gg h.", ["Aa b c. Dd e f.", "Gg h."]),  # 8 words are too many, 3 + 3 fit into 6
+        ("Aa b c d e f g h", ["Aa b c d e f g h"]),  # one long sentence stays whole
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    for r in traces.segment_steps(df, "t", "s", low=4, high=6).collect():
+        assert [s["text"] for s in r["s"]] == cases[r["i"]][1]
+
+
+def test_segments_keep_the_text_and_the_bounds(spark):
     rng = random.Random(11)
-    texts = []
-    for _ in range(60):
-        blocks = []
-        for _ in range(rng.randrange(0, 9)):
-            blocks.append(" ".join("Aa " + "bb " * rng.randrange(1, 12) + "c." for _ in range(rng.randrange(1, 6))))
-        texts.append("\n\n".join(blocks))
+    sentence = lambda: "Aa " + "bb " * rng.randrange(1, 12) + "c."
+    texts = ["\n\n".join(" ".join(sentence() for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(0, 9))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    rows = traces.segment_steps(df, "t", "s", low=12, high=30).orderBy("i").collect()
-    for text, r in zip(texts, rows):
-        assert [s["text"] for s in r["s"]] == pack_words(text, 12, 30)
-
-
-def split_markers(trace, most):
-    text = trace.replace("\n\n", "\n")
-    markers = r"\bstep\s*\d+|\bfirst,|\bnext,|\bnow,|\bso,|\bfinally,|\bwait[,\s]|\bhmm[,\s]|\blet's"
-    parts = re.split(r"\n(?=" + markers + ")", text, flags=re.I)
-    if len(parts) < 2:
-        parts, cur = [], ""
-        for s in re.split(r"(?<=[.?!])\s+", text):
-            if len(cur) + len(s) > 200 and cur:
-                parts.append(cur)
-                cur = s
-            else:
-                cur += " " + s
-        parts.append(cur)
-    return [p.strip() for p in parts if len(p.strip()) > 15][:most]
-
-
-def test_split_by_markers_against_brute_force(spark):
-    rng = random.Random(13)
-    texts = ["", "Intro line here is long\nFirst, read the chart axis\nSo, it is 5 and more\n\nWait, check again please"]
-    texts += [" ".join("w" * rng.randrange(1, 9) + rng.choice(["", "", ".", "?"]) for _ in range(rng.randrange(1, 150))) for _ in range(60)]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    rows = traces.split_by_markers(df, "t", "p", 8).orderBy("i").collect()
-    for text, r in zip(texts, rows):
-        assert r["p"] == split_markers(text, 8)
+    for r in traces.segment_steps(df, "t", "s", low=12, high=30).collect():
+        parts = [s["text"] for s in r["s"]]
+        assert " ".join(" ".join(parts).split()) == " ".join(texts[r["i"]].split())
+        assert all(s["len"] == len(s["text"].split()) for s in r["s"])
+        assert all(s["len"] <= 30 or s["text"].count(".") == 1 for s in r["s"])
+
+
+def test_marker_split_by_hand(spark):
+    s = ["x" * 89 + ".", "y" * 89 + ".", "z" * 89 + "."]
+    cases = [
+        ("Intro line here is long\nFirst, read the chart axis\nSo, it is 5 and more\n\nWait, check again please",
+         ["Intro line here is long", "First, read the chart axis", "So, it is 5 and more", "Wait, check again please"]),
+        ("An opening line of text\nNow, short\nstep 2 reads the legend", ["An opening line of text", "step 2 reads the legend"]),
+        (" ".join(s), [f"{s[0]} {s[1]}", s[2]]),  # two of 90 characters fit into 200
+        ("", []),
+        ("\n".join(["A first line of words"] + [f"Step {i} goes on and on" for i in range(30)]),
+         ["A first line of words"] + [f"Step {i} goes on and on" for i in range(30)]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    for r in traces.split_by_markers(df, "t", "p").collect():
+        assert r["p"] == cases[r["i"]][1]
+    assert [len(r["p"]) for r in traces.split_by_markers(df, "t", "p", 2).orderBy("i").collect()] == [2, 2, 2, 0, 2]
 
 
 def test_near_fingerprints_against_brute_force(spark):
@@ -317,3 +272,18 @@ def test_stream_restart_scores_each_file_once(spark):
     spark.createDataFrame([(9, "new")], "id int, raw string").write.mode("append").parquet(f"{base}/in")
     jobs.run_available(stream(), f"{base}/out", f"{base}/state")
     assert spark.read.parquet(f"{base}/out").count() == 6
+
+
+def test_late_keys_and_open_windows_are_kept(spark):
+    from tracelab.streaming import jobs
+
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    schema = "id int, ts timestamp, kind string, value double"
+    batch = lambda ids, day: spark.createDataFrame([(i, f"2024-01-{day} 12:00:00", "a", 1.0) for i in ids], "id int, ts string, kind string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = lambda: spark.readStream.schema(schema).parquet(f"{base}/in")
+    for ids, day in ((range(100), "20"), ([*range(100, 200), 5, 5], "01")):  # the second file is older and repeats a key
+        batch(ids, day).write.mode("append").parquet(f"{base}/in")
+        jobs.dedupe_available(stream(), "id", f"{base}/once", f"{base}/s1")
+        jobs.totals_available(jobs.reward_windows(stream(), "ts", "kind", "value"), f"{base}/sums", f"{base}/s2")
+    assert spark.read.parquet(f"{base}/once").count() == spark.read.parquet(f"{base}/once").select("id").distinct().count() == 200
+    assert sorted(r["n"] for r in spark.read.parquet(f"{base}/sums").collect()) == [100, 102]

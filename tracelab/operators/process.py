@@ -2,8 +2,8 @@
 
 The table match is a nearest-value search. Mentions and cells are first reduced to distinct
 values per chart; each mention then meets only its two neighbours among the cells of the same
-sign, found by ordered windows over (chart, sign, magnitude) groups. No pair of mention and
-cell is ever built, and a hot chart splits over its magnitudes.
+sign, found by ordered windows over (chart, sign, value range) groups. No pair of mention and
+cell is ever built, and a hot chart splits over its value ranges.
 """
 
 from __future__ import annotations
@@ -24,11 +24,15 @@ def number_mentions(responses: DataFrame, keys: list[str], span: str, kind: str
     return rows.select(*keys, "pos", plain_number(F.col("_t")).alias("n")).where(~is_year(F.col("n")))
 
 
+BINS = 16  # value ranges of a power of two
+
+
 def magnitude(n: Column) -> dict[str, Column]:
+    power = F.floor(F.log2(F.abs(n)))
     return {
         "sign": F.signum(n).cast("int"),
         "size": F.abs(n),
-        "mag": F.when(n == 0, 0).otherwise(F.floor(F.log2(F.abs(n)))).cast("int"),
+        "mag": F.when(n == 0, -(2**30)).otherwise(BINS * power + F.floor((F.abs(n) / F.pow(F.lit(2.0), power) - 1) * BINS)).cast("int"),
     }
 
 
@@ -36,8 +40,9 @@ def nearest_cells(values: DataFrame, cells: DataFrame) -> DataFrame:
     """Nearest cell below (or equal) and above each value in magnitude, same sign, per chart.
 
     ``values`` has distinct (chart_id, n), ``cells`` distinct (chart_id, value). Neighbours in
-    other magnitudes come from a short list per chart and sign: one entry per power of two, of
-    which a double has about two thousand at most.
+    other value ranges come from a short list per chart and sign: one entry per non-empty
+    sixteenth of a power of two. Both window passes run up to the current row only, so the work is linear
+    in values and cells, and one power of two of one chart splits over sixteen tasks.
     """
     table = cells.where(F.col("value").isNotNull()).withColumns(magnitude(F.col("value")))
     both = (
@@ -48,11 +53,13 @@ def nearest_cells(values: DataFrame, cells: DataFrame) -> DataFrame:
             table.select("chart_id", F.lit(0).alias("asked"), F.col("value").alias("n"), "sign", "size", "mag", F.col("value").alias("cell"))
         )
     )
-    inside = Window.partitionBy("chart_id", "sign", "mag").orderBy("size", "asked")
+    inside = Window.partitionBy("chart_id", "sign", "mag")
+    up = inside.orderBy("size", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    down = inside.orderBy(F.desc("size"), "asked").rowsBetween(Window.unboundedPreceding, 0)
     near = both.withColumns(
         {
-            "below": F.last("cell", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-            "above": F.first("cell", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)),
+            "below": F.last("cell", ignorenulls=True).over(up),
+            "above": F.last("cell", ignorenulls=True).over(down),
         }
     ).where("asked = 1")
     ladder = (
@@ -76,7 +83,11 @@ def relative_gap(n: Column, cell: Column) -> Column:
 
 
 def best_match(values: DataFrame, cells: DataFrame) -> DataFrame:
-    """Best score 1 / (1 + relative gap) of each (chart, value) over the chart's cells."""
+    """Best score 1 / (1 + relative gap) of each (chart, value) over the chart's cells of the same sign.
+
+    A cell of the other sign scores 0.5 at most, so the result is the overall best wherever that is above 0.5; the
+    thresholds in use are 0.8 and 0.9.
+    """
     near = nearest_cells(values, cells)
     gap = F.least(relative_gap(F.col("n"), F.col("below")), relative_gap(F.col("n"), F.col("above")))
     return near.select("chart_id", "n", F.coalesce(1.0 / (1.0 + gap), F.lit(0.0)).alias("best"), gap.alias("gap"))
@@ -260,7 +271,7 @@ def length_weighted(limit: int = 4096) -> Column:
 
 
 def taint_chain(responses: DataFrame, cells: DataFrame, keys: list[str], chart: str, sigma: float = 0.1) -> DataFrame:
-    """Mean sentence reward where numbers of a failed sentence taint later uses of them.
+    """Mean sentence reward where numbers of a failed sentence taint later uses of them; 0 without a table.
 
     The table quality of every number comes from the nearest-cell join; the order-dependent part
     is a fold over the few sentences of one response.
@@ -307,7 +318,9 @@ def taint_chain(responses: DataFrame, cells: DataFrame, keys: list[str], chart:
     )
     folded = ordered.select(*keys, F.aggregate("chain", start, step).alias("s"))
     value = folded.select(*keys, (F.col("s.total") / F.col("s.n")).alias("taint"))
-    return responses.join(value, keys, "left").withColumn("taint", F.coalesce("taint", F.lit(0.0)))
+    tables = cells.where("value is not null").select(F.col("chart_id").alias(chart)).distinct().withColumn("_table", F.lit(True))
+    scored = responses.join(value, keys, "left").join(tables, chart, "left")
+    return scored.withColumn("taint", F.when(F.col("_table"), F.coalesce("taint", F.lit(0.0))).otherwise(0.0)).drop("_table")
 
 
 def qa_checks(steps: DataFrame, keys: list[str]) -> DataFrame:

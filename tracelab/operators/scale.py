@@ -2,60 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelab.session import checkpoint
-
-HOT_KEY_ROWS = 5_000_000
-
-
-def ordinal_in_group(
-    df: DataFrame, keys: list[str], order: list[str], name: str, hot_rows: int = HOT_KEY_ROWS
-) -> DataFrame:
-    """Zero-based position of each row inside its group.
+def ordinal_in_group(df: DataFrame, keys: list[str], order: list[str], name: str, lead: int = 1) -> DataFrame:
+    """Zero-based position (bigint) of each row inside its group; one plan at every size.
 
-    A plain window serves groups of ordinary size. Groups above ``hot_rows`` rows are
-    numbered apart: their rows are range-partitioned on the full sort key, so one group
-    spreads over many tasks, numbered inside each partition, and shifted by the sizes of
-    the group's earlier partitions. The partition number is fixed by a checkpoint, so that
-    a lost executor cannot change it between the two passes.
+    The first ``lead`` order columns cut a group into blocks. Rows are numbered inside their block and shifted by the
+    number of rows in the group's earlier blocks, which comes from counts combined before the shuffle. So a group with a
+    third of all rows is spread over as many tasks as it has blocks; ``lead`` should reach columns that vary inside a group.
     """
-    window = Window.partitionBy(*keys).orderBy(*order)
-    plain = lambda rows: rows.withColumn(name, (F.row_number().over(window) - 1).cast("int"))
-    if df.count() <= hot_rows:  # a footer count on Parquet: no group can be above the bound
-        return plain(df)
-    sizes = df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys)
-    if sizes.isEmpty():
-        return plain(df)
-    hot = checkpoint(
-        df.join(sizes, keys, "left_semi")
-        .repartitionByRange(*[F.col(c) for c in (*keys, *order)])
-        .withColumn("_part", F.spark_partition_id())
-    )
-    shift = (
-        hot.groupBy(*keys, "_part")
-        .count()
-        .withColumn(
-            "_shift",
-            F.coalesce(
-                F.sum("count").over(
-                    Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .drop("count")
-    )
-    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
-    numbered = (
-        hot.withColumn("_at", F.row_number().over(inside))
-        .join(shift, [*keys, "_part"])
-        .withColumn(name, (F.col("_shift") + F.col("_at") - 1).cast("int"))
-        .drop("_part", "_at", "_shift")
+    block = [*keys, *order[:lead]]
+    before = Window.partitionBy(*keys).orderBy(*order[:lead]).rowsBetween(Window.unboundedPreceding, -1)
+    shift = df.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).select(
+        *[F.col(c).alias(f"_b{i}") for i, c in enumerate(block)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")
     )
-    rest = plain(df.join(sizes, keys, "left_anti"))
-    return rest.unionByName(numbered)
+    numbered = df.withColumn("_at", F.row_number().over(Window.partitionBy(*block).orderBy(*order)))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(block)])
+    return numbered.join(shift, same).withColumn(name, F.col("_shift") + F.col("_at") - 1).drop("_at", "_shift", *shift.columns[:-1])
 
 
 def over_all(column: str) -> Column:

@@ -73,8 +73,8 @@ def segment_steps(
     return df.withColumn(out, F.flatten(split)).drop("_blocks", "_merged")
 
 
-def split_by_markers(df: DataFrame, text: str, out: str, most: int = 8) -> DataFrame:
-    """Split at marker lines, else pack sentences to about 200 characters; the first few long parts."""
+def split_by_markers(df: DataFrame, text: str, out: str, most: int | None = None) -> DataFrame:
+    """Split at marker lines, else pack sentences to about 200 characters; the long parts, or the first ``most`` of them."""
     # the very first piece counts one character more: packing starts from a blank
     sentences = F.transform(
         F.split("_flat", r"(?<=[.?!])\s+"),
@@ -85,7 +85,7 @@ def split_by_markers(df: DataFrame, text: str, out: str, most: int = 8) -> DataF
     df = df.withColumn("_marked", F.split("_flat", MARKER_SPLIT))
     df = df.withColumn("_parts", F.when(F.size("_marked") >= 2, F.col("_marked")).otherwise(packed))
     long = F.filter(F.transform("_parts", strip), lambda p: F.length(p) > 15)
-    return df.withColumn(out, F.slice(long, 1, most)).drop("_flat", "_marked", "_parts")
+    return df.withColumn(out, long if most is None else F.slice(long, 1, most)).drop("_flat", "_marked", "_parts")
 
 
 def cumulative_prefix(steps: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:

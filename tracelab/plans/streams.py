@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tracelab.functions import verdicts as V
@@ -11,9 +13,9 @@ from tracelab.sources.fixtures import JUDGE_OUTPUTS
 from tracelab.streaming import jobs
 
 
-def written(spark, rows, mode="append"):
-    base = jobs.shared_folder(spark)
-    jobs.run_available(rows, f"{base}/out", f"{base}/state", mode)
+def written(spark, rows, run=jobs.run_available):
+    base = jobs.fresh_folder(spark)
+    run(rows, out=f"{base}/out", checkpoint=f"{base}/state")
     return spark.read.schema(rows.schema).parquet(f"{base}/out")
 
 
@@ -42,8 +44,8 @@ def st_incremental_scoring(spark, sf):
 )
 def st_resume_dedupe(spark, sf):
     events = event_stream(spark, sf).select("event_id", "ts", "event_type", "value")
-    once = jobs.dedupe_once(events.unionByName(events), "event_id", "ts")
-    return written(spark, once).groupBy("event_type").agg(
+    rows = written(spark, events.unionByName(events), partial(jobs.dedupe_available, key="event_id"))
+    return rows.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total")
     )
 
@@ -52,12 +54,11 @@ def st_resume_dedupe(spark, sf):
     "st_reward_telemetry",
     "events",
     f"""SELECT strftime(d, '%Y-%m-%d') AS window_day, event_type, count(*) AS n, {r6('avg(value)')} AS reward_mean, {r6('stddev_pop(value)')} AS reward_std, {r6('avg(CASE WHEN value >= 0.95 THEN 1.0 ELSE 0.0 END)')} AS frac_correct
- FROM (SELECT *, date_trunc('day', ts) AS d FROM events) WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY d, event_type""",
+ FROM (SELECT *, date_trunc('day', ts) AS d FROM events) GROUP BY d, event_type""",
 )
 def st_reward_telemetry(spark, sf):
-    # windows still open at the end of the input wait for the watermark, as in any append stream
     events = event_stream(spark, sf).select("ts", "event_type", "value")
-    rows = written(spark, jobs.reward_windows(events, "ts", "event_type", "value"))
+    rows = written(spark, jobs.reward_windows(events, "ts", "event_type", "value"), jobs.totals_available)
     return rows.select(
         F.date_format("window_start", "yyyy-MM-dd").alias("window_day"),
         "event_type",

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[*]", app: str = "tracelab", **conf: str) -> SparkSession:
-    """A session with adaptive execution on; every setting can be overridden by ``conf``."""
-    cores = os.cpu_count() or 8
+    """A session with adaptive execution on; every setting can be overridden by ``conf``.
+
+    The number of shuffle partitions is left to the cluster: adaptive execution merges small ones but cannot add any.
+    """
     settings = {
-        "spark.sql.shuffle.partitions": str(cores),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -171,7 +171,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived input view as a DataFrame."""
     if name == "lines":
         needed = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
-        return ordinal_in_group(needed, ["l_orderkey"], LINE_ORDER, "k").selectExpr(*LINES)
+        numbered = ordinal_in_group(needed, ["l_orderkey"], LINE_ORDER, "k")
+        return numbered.withColumn("k", F.col("k").cast("int")).selectExpr(*LINES)
     if name in LINE_VIEWS:
         return view(spark, sf_dir, "lines").selectExpr(*LINE_VIEWS[name])
     if name == "chart_cells":

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tracelab.session import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's checkpoint folder; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/tracelab-{spark.range(1).select(F.uuid()).first()[0]}"
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share."""
+    return f"{shared_folder(spark)}/tracelab-{uuid.uuid4().hex}"
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,16 +36,39 @@ def run_available(rows: DataFrame, out: str, checkpoint: str, mode: str = "appen
     return query
 
 
-def dedupe_once(events: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:
-    """Drop repeats of a key; the watermark bounds the kept state."""
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+def _run_batches(rows: DataFrame, write, checkpoint: str, mode: str) -> StreamingQuery:
+    query = rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def dedupe_available(rows: DataFrame, key: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Append each key once, however late it comes: a batch writes the keys that the output does not hold yet.
+
+    No state and no watermark, so no key is ever lost; a batch that is repeated after a failure adds nothing. Each batch
+    reads the key column of the output.
+    """
+    schema = rows.schema
+
+    def write(batch: DataFrame, _: int) -> None:
+        once = batch.dropDuplicates([key])
+        batch.limit(0).write.mode("append").parquet(out)  # so that there is an output to read
+        done = batch.sparkSession.read.schema(schema).parquet(out).select(key)
+        once.join(done, key, "left_anti").select(*schema.names).write.mode("append").parquet(out)
+
+    return _run_batches(rows, write, checkpoint, "append")
+
+
+def totals_available(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Keep an aggregate's whole result in ``out``, windows still open included; late rows count as well."""
+    return _run_batches(rows, lambda batch, _: batch.write.mode("overwrite").parquet(out), checkpoint, "complete")
 
 
-def reward_windows(events: DataFrame, time: str, kind: str, reward: str, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Reward telemetry per time window and reward type."""
+def reward_windows(events: DataFrame, time: str, kind: str, reward: str, window: str = "1 day") -> DataFrame:
+    """Reward telemetry per time window and reward type; the state is one row per window and type."""
     value = F.col(reward)
     return (
-        events.withWatermark(time, delay)
+        events
         .groupBy(F.window(time, window).alias("w"), kind)
         .agg(
             F.count(F.lit(1)).alias("n"),
