@@ -98,10 +98,11 @@ def label(raw: Column, names: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(lookup, letter), F.lit("PARSE_FAIL"))
 
 
-def labelled_field(raw: Column, name: str, cap: int) -> Column:
-    """Text behind ``<name>:`` up to the next labelled line, capped."""
+def labelled_field(raw: Column, name: str, cap: int | None = None) -> Column:
+    """Text behind ``<name>:`` up to the next labelled line, whole or its first ``cap`` characters."""
     tail = group(raw, rf"(?si){name}:\s*(.+)")
-    return F.left(strip(sub(tail, r"(?s)\n[A-Za-z]+:.*$")), F.lit(cap))
+    text = strip(sub(tail, r"(?s)\n[A-Za-z]+:.*$"))
+    return text if cap is None else F.left(text, F.lit(cap))
 
 
 def not_found(raw: Column) -> Column:

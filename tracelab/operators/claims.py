@@ -43,22 +43,22 @@ def regex_claims(steps: DataFrame, keys: list[str], text: str) -> DataFrame:
     t = F.col(text)
     found = []
 
-    def value_claim(base: int):
+    def value_claim(number: int):
         return lambda c, at: F.struct(
             F.lit("value").alias("type"), strip(c["e"]).alias("entity"), c["v"].try_cast("double").alias("value"),
-            F.lit(None).cast("string").alias("comparator"), (F.lit(base) + at).alias("at"),
+            F.lit(None).cast("string").alias("comparator"), F.struct(F.lit(number).alias("pattern"), at.alias("hit")).alias("at"),
         )
 
     for i, (pattern, e, v) in enumerate(VALUE_PATTERNS):
         zipped = F.arrays_zip(every(t, pattern, e).alias("e"), every(t, pattern, v).alias("v"))
-        found.append(F.transform(zipped, value_claim(1000 * i)))
+        found.append(F.transform(zipped, value_claim(i)))
     tops = F.arrays_zip(every(t, SUPERLATIVE, 1).alias("c"), every(t, SUPERLATIVE, 2).alias("e"))
     found.append(
         F.transform(
             tops,
             lambda c, at: F.struct(
                 F.lit("categorical").alias("type"), strip(c["e"]).alias("entity"), F.lit(None).cast("double").alias("value"),
-                F.lower(c["c"]).alias("comparator"), (F.lit(9000) + at).alias("at"),
+                F.lower(c["c"]).alias("comparator"), F.struct(F.lit(len(VALUE_PATTERNS)).alias("pattern"), at.alias("hit")).alias("at"),
             ),
         )
     )
@@ -78,10 +78,10 @@ def has_claim(text: Column) -> Column:
 
 
 def axis_claims(text: Column) -> dict[str, Column]:
-    """At most one claim per axis: the first pattern that hits, capped at 150 characters."""
+    """At most one claim per axis: the first pattern that hits."""
     out = {}
     for axis, patterns in AXIS_PATTERNS.items():
-        hits = [F.when(text.rlike(p), F.left(strip(group(text, p)), F.lit(150))) for p in patterns]
+        hits = [F.when(text.rlike(p), strip(group(text, p))) for p in patterns]
         out[axis] = F.coalesce(*hits, F.lit(""))
     return out
 

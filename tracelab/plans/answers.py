@@ -346,7 +346,7 @@ def label_sql(names: dict[str, str]) -> str:
     "label_reason",
     "judge_outputs",
     f""", l AS (SELECT bench, model, {label_sql(V.ROOT_CAUSES)} AS root_cause, {label_sql(V.FLAW_KINDS)} AS flaw_kind,
- left({st(sub(rx('raw', '(?si)REASON:\\s*(.+)'), '(?s)\\n[A-Za-z]+:.*$'))}, 250) AS reason FROM judge_outputs)
+ {st(sub(rx('raw', '(?si)REASON:\\s*(.+)'), '(?s)\\n[A-Za-z]+:.*$'))} AS reason FROM judge_outputs)
 SELECT bench, model, root_cause, flaw_kind, reason, count(*) AS n FROM l GROUP BY ALL""",
 )
 def label_reason(spark, sf):
@@ -356,7 +356,7 @@ def label_reason(spark, sf):
         "model",
         V.label(raw, V.ROOT_CAUSES).alias("root_cause"),
         V.label(raw, V.FLAW_KINDS).alias("flaw_kind"),
-        V.labelled_field(raw, "REASON", 250).alias("reason"),
+        V.labelled_field(raw, "REASON").alias("reason"),
     )
     return rows.groupBy("bench", "model", "root_cause", "flaw_kind", "reason").agg(F.count(F.lit(1)).alias("n"))
 

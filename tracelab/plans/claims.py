@@ -38,7 +38,7 @@ def cl_regex_claims(spark, sf):
 
 
 def axis_sql(axis: str, patterns: list[str]) -> str:
-    hits = " ".join(f"WHEN {rm('text', p)} THEN left(trim({rx('text', p)}), 150)" for p in patterns)
+    hits = " ".join(f"WHEN {rm('text', p)} THEN trim({rx('text', p)})" for p in patterns)
     return f"SELECT bench, '{axis}' AS axis, CASE {hits} END AS claim FROM step_texts"
 
 

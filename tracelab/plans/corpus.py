@@ -9,7 +9,7 @@ from tracelab.functions.text import FLOAT_PATTERN, strip, sub, think_words, to_n
 from tracelab.functions.extract import train
 from tracelab.operators import corpus as K
 from tracelab.operators import qagen as Q
-from tracelab.operators.scale import first_rows, over_all
+from tracelab.operators.scale import over_all, ranked_histogram
 from tracelab.plans.answers import MC_SQL, SCORE_SQL, norm_sql, train_sql
 from tracelab.plans.process import WORDS, span_sql
 from tracelab.plans.registry import query, r6
@@ -64,12 +64,12 @@ def cp_contamination_text(spark, sf):
     "cp_pool_filter",
     "documents",
     f"""SELECT source, count(*) AS n_all, count(*) FILTER (WHERE w >= 8) AS n_long, count(*) FILTER (WHERE lang = 'en') AS n_type, count(*) FILTER (WHERE w >= 8 AND lang = 'en') AS n_kept
- FROM (SELECT source, lang, {WORDS("split_part(text, chr(10), 1)")} AS w FROM documents) GROUP BY source""",
+ FROM (SELECT source, lang, {WORDS("text")} AS w FROM documents) GROUP BY source""",
 )
 def cp_pool_filter(spark, sf):
     from tracelab.functions.text import words
 
-    rows = table(spark, sf, "documents").select("source", "lang", words(F.substring_index("text", "\n", 1)).alias("w"))
+    rows = table(spark, sf, "documents").select("source", "lang", words(F.col("text")).alias("w"))
     long, kind = F.col("w") >= 8, F.col("lang") == "en"
     return rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_all"),
@@ -89,7 +89,7 @@ def cp_stratified_sample(spark, sf):
     return K.stratified_sample(rows, "source", "doc_id", 20)
 
 
-REASON_SQL = "CASE WHEN coalesce(image_path, '') = '' THEN 'missing_image' WHEN coalesce(q80, '') = '' OR answer IS NULL THEN 'missing_qa' ELSE 'kept' END"
+REASON_SQL = "CASE WHEN coalesce(image_path, '') = '' THEN 'missing_image' WHEN coalesce(question, '') = '' OR answer IS NULL THEN 'missing_qa' ELSE 'kept' END"
 
 
 @query(
@@ -99,24 +99,28 @@ REASON_SQL = "CASE WHEN coalesce(image_path, '') = '' THEN 'missing_image' WHEN
 )
 def cp_sft_filter(spark, sf):
     rows = view(spark, sf, "corpus_lite")
-    reason = K.sft_reason(F.col("image_path"), F.col("q80"), F.col("answer").cast("string"))
+    reason = K.sft_reason(F.col("image_path"), F.col("question"), F.col("answer").cast("string"))
     return rows.groupBy("source", reason.alias("reason")).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg(F.when(F.col("answer") > 500, 1.0).otherwise(0.0)), 6).alias("with_reasoning"),
     )
 
 
+TEACHER_FIELDS = ["teacher_reasoning_len", "format_family", "teacher_pred", "teacher_match", "teacher_finish_reason"]
+
+
 @query(
     "cp_distill_override",
     ("corpus_lite", "corpus_distilled"),
-    """, l AS (SELECT * FROM corpus_distilled QUALIFY row_number() OVER (PARTITION BY image_path, q80 ORDER BY doc_id DESC) = 1)
-SELECT c.doc_id, c.source, l.doc_id IS NOT NULL AS overridden, l.teacher_reasoning_len FROM corpus_lite c LEFT JOIN l ON c.image_path = l.image_path AND c.q80 = l.q80""",
+    """, l AS (SELECT * FROM corpus_distilled QUALIFY row_number() OVER (PARTITION BY image_path, question_md5 ORDER BY doc_id DESC) = 1)
+SELECT c.doc_id, c.source, l.doc_id IS NOT NULL AS overridden, l.teacher_reasoning_len, l.format_family, l.teacher_pred, l.teacher_match, l.teacher_finish_reason
+FROM corpus_lite c LEFT JOIN l ON c.image_path = l.image_path AND c.question_md5 = l.question_md5""",
 )
 def cp_distill_override(spark, sf):
     rows = K.override(
-        view(spark, sf, "corpus_lite"), view(spark, sf, "corpus_distilled"), ["image_path", "q80"], "doc_id", ["teacher_reasoning_len"]
+        view(spark, sf, "corpus_lite"), view(spark, sf, "corpus_distilled"), ["image_path", "question_md5"], "doc_id", TEACHER_FIELDS
     )
-    return rows.select("doc_id", "source", "overridden", "teacher_reasoning_len")
+    return rows.select("doc_id", "source", "overridden", *TEACHER_FIELDS)
 
 
 @query(
@@ -157,7 +161,7 @@ def cp_teacher_match(spark, sf):
 FAMILY = "CASE CAST(substring(source, 4) AS INT) % 3 WHEN 0 THEN 'chartqa' WHEN 1 THEN 'charxiv' ELSE 'chartmuseum' END"
 KIND = "CASE lang WHEN 'en' THEN 'text' WHEN 'fr' THEN 'numeric' ELSE 'multichoice' END"
 DISTILLED = [
-    "doc_id", "source", f"{FAMILY} AS family", f"{KIND} AS kind", "n_chars", "substring(text, 1, CAST(doc_id % 300 AS INT)) AS answer", "doc_id % 3 <> 0 AS matched",
+    "doc_id", "source", f"{FAMILY} AS family", f"{KIND} AS kind", "n_chars", "text AS answer", "doc_id % 3 <> 0 AS matched",
 ]
 RULE_SQL = """CASE WHEN n_chars < 150 THEN 'R1_reasoning_too_short' WHEN family = 'chartmuseum' AND length(answer) > 200 THEN 'R2_answer_body_long'
  WHEN family = 'chartmuseum' AND contains(answer, chr(10)) THEN 'R3_answer_body_multiline' WHEN kind = 'numeric' AND NOT matched THEN 'R4a_numeric_mismatch'
@@ -190,7 +194,7 @@ SELECT *, {r6('100.0 * n_raw / sum(n_raw) OVER ()')} AS raw_pct, {r6('100.0 * n_
 def cp_funnel(spark, sf):
     rows = distilled(spark, sf)
     lite = view(spark, sf, "corpus_lite").withColumn("family", F.expr(FAMILY))
-    kept_lite = lite.where(K.sft_reason(F.col("image_path"), F.col("q80"), F.col("answer").cast("string")) == "kept")
+    kept_lite = lite.where(K.sft_reason(F.col("image_path"), F.col("question"), F.col("answer").cast("string")) == "kept")
     count = lambda df, name: df.groupBy("family").agg(F.count(F.lit(1)).alias(name))
     stages = count(rows, "n_raw").join(count(kept_lite, "n_lite"), "family", "full").join(
         count(rows.where("rule = 'kept'"), "n_kept"), "family", "full"
@@ -209,21 +213,19 @@ POINTS = {"p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 @query(
     "cp_length_percentiles",
     "documents",
-    """, s AS (SELECT n_chars // 4 AS len FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 1000),
+    """, s AS (SELECT n_chars // 4 AS len FROM documents),
 r AS (SELECT len, row_number() OVER (ORDER BY len) AS rn, count(*) OVER () AS n FROM s)
-SELECT max(n) AS n_sampled, """
+SELECT max(n) AS n_docs, """
     + ", ".join(f"max(CASE WHEN rn = CAST(floor(n * {q}) AS BIGINT) + 1 THEN len END) AS {p}" for p, q in POINTS.items())
     + ", max(len) AS max_len FROM r",
 )
 def cp_length_percentiles(spark, sf):
-    docs = table(spark, sf, "documents")
-    sample = docs.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(1000)
-    lengths = sample.select(F.floor(F.col("n_chars") / 4).cast("bigint").alias("len"))
-    # a thousand rows at most: ranking them in one place is bounded
-    ordered = lengths.agg(F.array_sort(F.collect_list("len")).alias("v")).withColumn("n", F.size("v"))
-    at = lambda q: F.try_element_at("v", (F.floor(F.col("n") * q) + 1).cast("int"))
-    return ordered.select(
-        F.col("n").cast("bigint").alias("n_sampled"), *[at(q).alias(p) for p, q in POINTS.items()], F.array_max("v").alias("max_len")
+    lengths = table(spark, sf, "documents").select(F.lit(1).alias("all"), F.floor(F.col("n_chars") / 4).cast("bigint").alias("len"))
+    ranked = ranked_histogram(lengths, ["all"], "len", {"n": F.count(F.lit(1))})
+    at = lambda q: F.floor(F.col("total_n") * q)
+    holds = lambda q: (F.col("below_n") <= at(q)) & (at(q) < F.col("below_n") + F.col("n"))
+    return ranked.agg(
+        F.max("total_n").cast("bigint").alias("n_docs"), *[F.max(F.when(holds(q), F.col("len"))).alias(p) for p, q in POINTS.items()], F.max("len").alias("max_len")
     )
 
 
@@ -287,14 +289,14 @@ def cp_difficulty_filter(spark, sf):
 
 
 SELECT_SQL = f""", pr AS (SELECT group_id, k, gold, response, pred FROM {train_sql('responses')}),
-c AS (SELECT group_id, k, {SCORE_SQL['cerm']} >= 0.95 AND CASE WHEN contains(response, '</think>') THEN {WORDS(span_sql())} ELSE 0 END BETWEEN 5 AND 1500 AS good FROM pr),
+c AS (SELECT group_id, k, {SCORE_SQL['cerm']} >= 0.95 AND CASE WHEN contains(response, '</think>') THEN {WORDS(span_sql())} ELSE 0 END BETWEEN 30 AND 1500 AS good FROM pr),
 sl AS (SELECT group_id, count(*) AS n_candidates, count(*) FILTER (WHERE good) AS n_good, min(CASE WHEN good THEN k END) AS chosen FROM c GROUP BY group_id)"""
 
 
 def selected(spark, sf):
     rows = train(view(spark, sf, "responses"))
     length = think_words(F.col("response"))
-    good = (S.closeness(F.col("pred"), F.col("gold")) >= 0.95) & length.between(5, 1500)
+    good = (S.closeness(F.col("pred"), F.col("gold")) >= 0.95) & length.between(30, 1500)
     rows = rows.select("group_id", "k", good.alias("good"))
     return rows.groupBy("group_id").agg(
         F.count(F.lit(1)).alias("n_candidates"),
@@ -365,8 +367,8 @@ def src_jsonl_scan(spark, sf):
 IMAGE = "concat('img/', CAST({k} AS STRING), '.png')"
 LISTED = "SELECT DISTINCT concat('img/', CAST(page_id AS STRING), '.png') AS image_path FROM pages"
 MANIFESTS = [
-    ("documents", "doc_id", "substring(text, 1, 40)", "CAST(n_chars AS STRING)", "chart_a", "relaxed_correctness"),
-    ("benchmark", "item_id", "substring(text, 1, 40)", "CAST(length(text) AS STRING)", "chart_b", "charxiv_judge"),
+    ("documents", "doc_id", "text", "CAST(n_chars AS STRING)", "chart_a", "relaxed_correctness"),
+    ("benchmark", "item_id", "text", "CAST(length(text) AS STRING)", "chart_b", "charxiv_judge"),
     ("conversations", "conv_id", "concat(role, ' ', CAST(turn AS STRING))", "role", "chart_c", "chartmuseum_judge"),
 ]
 
@@ -450,13 +452,13 @@ PICK_CELL = "md5(concat_ws('|', CAST(chart_id AS VARCHAR), entity))"
     "src_entity_melt",
     "chart_cells",
     f""", e AS (SELECT chart_id, row_idx, concat(label, ' (', col, ')') AS entity, value FROM chart_cells),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY chart_id ORDER BY {PICK_CELL}, row_idx) AS INT) AS rn FROM e) SELECT chart_id, entity, value, rn FROM r WHERE rn <= 5""",
+r AS (SELECT *, {PICK_CELL} AS pick FROM e) SELECT chart_id, entity, value, pick FROM r""",
 )
 def src_entity_melt(spark, sf):
     entity = F.concat(F.col("label"), F.lit(" ("), F.col("col"), F.lit(")"))
     rows = view(spark, sf, "chart_cells").where(F.col("value").isNotNull()).select("chart_id", "row_idx", entity.alias("entity"), "value")
-    rows = rows.withColumn("_o", Q.pick_key(F.col("chart_id").cast("string"), F.col("entity")))
-    return first_rows(rows, ["chart_id"], ["_o", "row_idx"], 5).select("chart_id", "entity", "value", "rn")
+    # ``pick`` orders the cells of a chart for whoever wants only some of them
+    return rows.withColumn("pick", Q.pick_key(F.col("chart_id").cast("string"), F.col("entity"))).select("chart_id", "entity", "value", "pick")
 
 
 @query(
@@ -472,17 +474,16 @@ def src_numeric_cell_count(spark, sf):
 @query(
     "src_chart_text",
     "lines",
-    """, r AS (SELECT group_id AS chart_id, k, concat('item ', CAST(l_partkey AS VARCHAR), ',', CAST(qty AS VARCHAR), ',', CAST(disc AS VARCHAR)) AS line FROM lines WHERE k < 50)
-SELECT chart_id, count(*) AS n_rows, concat('label,quantity,discount_pct', chr(10), string_agg(line, chr(10) ORDER BY k)) AS csv FROM r GROUP BY chart_id""",
+    """ SELECT group_id AS chart_id, k + 1 AS line_no, concat('item ', CAST(l_partkey AS VARCHAR), ',', CAST(qty AS VARCHAR), ',', CAST(disc AS VARCHAR)) AS line FROM lines
+UNION ALL SELECT DISTINCT group_id, 0, 'label,quantity,discount_pct' FROM lines""",
 )
 def src_chart_text(spark, sf):
-    # the first fifty rows by position: the gathered text of a chart is bounded
+    # one row per line of a chart's text, so that no chart is gathered in one task
     whole = lambda c: F.col(c).cast("string")
     line = F.concat_ws(",", F.concat(F.lit("item "), whole("l_partkey")), whole("qty"), whole("disc"))
-    rows = view(spark, sf, "lines").where("k < 50").select(F.col("group_id").alias("chart_id"), "k", line.alias("line"))
-    out = rows.groupBy("chart_id").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("r"))
-    text = F.concat(F.lit("label,quantity,discount_pct\n"), F.array_join(F.col("r.line"), "\n"))
-    return out.select("chart_id", F.size("r").cast("bigint").alias("n_rows"), text.alias("csv"))
+    lines = view(spark, sf, "lines")
+    head = lines.select(F.col("group_id").alias("chart_id")).distinct().select("chart_id", F.lit(0).alias("line_no"), F.lit("label,quantity,discount_pct").alias("line"))
+    return lines.select(F.col("group_id").alias("chart_id"), (F.col("k") + 1).alias("line_no"), line.alias("line")).unionByName(head)
 
 
 @query(

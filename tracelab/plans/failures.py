@@ -28,24 +28,24 @@ def failed(spark, sf, flawed: bool = False):
 @query(
     "ft_wrong_samples",
     ("rollouts", "responses"),
-    "SELECT r.group_id, r.k, r.bench, r.model, left(s.gold, 200) AS gold, right(s.response, 2500) AS trace_tail FROM rollouts r JOIN responses s USING (group_id, k) WHERE outcome = 0",
+    "SELECT r.group_id, r.k, r.bench, r.model, s.gold, s.response AS trace FROM rollouts r JOIN responses s USING (group_id, k) WHERE outcome = 0",
 )
 def ft_wrong_samples(spark, sf):
     texts = view(spark, sf, "responses").select(*KEYS, "gold", "response")
     return failed(spark, sf).join(texts, KEYS).select(
-        *KEYS, "bench", "model", F.left("gold", F.lit(200)).alias("gold"), F.right("response", F.lit(2500)).alias("trace_tail")
+        *KEYS, "bench", "model", "gold", F.col("response").alias("trace")
     )
 
 
 @query(
     "ft_careful_flawed",
     ("rollouts", "responses"),
-    f"SELECT r.group_id, r.k, r.bench, r.model, {r6('perception')} AS perception, right(s.response, 1500) AS trace_tail FROM rollouts r JOIN responses s USING (group_id, k) WHERE outcome = 0 AND perception >= 0.5",
+    f"SELECT r.group_id, r.k, r.bench, r.model, {r6('perception')} AS perception, s.response AS trace FROM rollouts r JOIN responses s USING (group_id, k) WHERE outcome = 0 AND perception >= 0.5",
 )
 def ft_careful_flawed(spark, sf):
     texts = view(spark, sf, "responses").select(*KEYS, "response")
     return failed(spark, sf, True).join(texts, KEYS).select(
-        *KEYS, "bench", "model", F.round("perception", 6).alias("perception"), F.right("response", F.lit(1500)).alias("trace_tail")
+        *KEYS, "bench", "model", F.round("perception", 6).alias("perception"), F.col("response").alias("trace")
     )
 
 
@@ -110,7 +110,7 @@ nf AS (SELECT bench, avg(CASE WHEN {NF} THEN 1.0 ELSE 0.0 END) AS rate FROM clai
 p AS (SELECT bench, {r6('100 * avg(rate)')} AS not_found_pct FROM nf GROUP BY bench),
 j AS (SELECT id, bench, raw, {VERDICT_SQL['remote']} AS v FROM judge_outputs),
 o AS (SELECT bench, count(*) FILTER (WHERE v = 1) AS judge_pass, count(*) FILTER (WHERE v = 0) AS judge_fail, count(*) FILTER (WHERE v IS NULL) AS judge_null FROM j GROUP BY bench),
-s AS (SELECT bench, string_agg(left(raw, 100), ' | ' ORDER BY id) AS raw_sample FROM (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY bench ORDER BY id) <= 5) GROUP BY bench)
+s AS (SELECT bench, string_agg(raw, ' | ' ORDER BY id) AS raw_sample FROM (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY bench ORDER BY id) <= 5) GROUP BY bench)
 SELECT * FROM i JOIN p USING (bench) JOIN o USING (bench) JOIN s USING (bench)""",
 )
 def ft_artifact_audit(spark, sf):
@@ -132,7 +132,7 @@ def ft_artifact_audit(spark, sf):
         F.count_if(F.col("v").isNull()).alias("judge_null"),
     )
     first = first_rows(judged, ["bench"], ["id"], 5)
-    shown = first.groupBy("bench").agg(F.array_sort(F.collect_list(F.struct("rn", F.left("raw", F.lit(100)).alias("t")))).alias("s"))
+    shown = first.groupBy("bench").agg(F.array_sort(F.collect_list(F.struct("rn", F.col("raw").alias("t")))).alias("s"))
     sample = shown.select("bench", F.array_join(F.col("s.t"), " | ").alias("raw_sample"))
     return inference.join(perception, "bench").join(outcome, "bench").join(sample, "bench")
 

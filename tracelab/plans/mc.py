@@ -315,18 +315,14 @@ def sg_zero_signal(spark, sf):
     ("axes", "rollouts"),
     SIGNAL_SQL
     + f""" SELECT * FROM (SELECT 'rescued' AS kind, prompt_id, {r6('std_add50')} AS std_add50 FROM g
- WHERE std_out < 1e-6 AND std_add50 >= 0.05 ORDER BY prompt_id LIMIT 10)
+ WHERE std_out < 1e-6 AND std_add50 >= 0.05)
 UNION ALL SELECT * FROM (SELECT 'dead' AS kind, prompt_id, {r6('std_add50')} AS std_add50 FROM g
- WHERE std_out < 1e-6 AND std_per < 1e-6 AND std_add50 < 1e-6 ORDER BY prompt_id LIMIT 5)""",
+ WHERE std_out < 1e-6 AND std_per < 1e-6 AND std_add50 < 1e-6)""",
 )
 def sg_rescues_and_dead(spark, sf):
     groups = signal_groups(spark, sf)
     low = lambda c: F.col(c) < M.GROUP_EPS
-    show = lambda kind, rows, n: (
-        rows.orderBy("prompt_id")
-        .limit(n)
-        .select(F.lit(kind).alias("kind"), "prompt_id", F.round("std_add50", 6).alias("std_add50"))
-    )
+    show = lambda kind, rows: rows.select(F.lit(kind).alias("kind"), "prompt_id", F.round("std_add50", 6).alias("std_add50"))
     rescued = groups.where(low("std_out") & (F.col("std_add50") >= 0.05))
     dead = groups.where(low("std_out") & low("std_per") & low("std_add50"))
-    return show("rescued", rescued, 10).unionByName(show("dead", dead, 5))
+    return show("rescued", rescued).unionByName(show("dead", dead))

@@ -176,8 +176,8 @@ anc AS (SELECT t.*, coalesce(n_mentions, 0) AS n_mentions, coalesce(n_anchored,
  CASE WHEN has_table AND coalesce(n_mentions, 0) > 0 THEN n_anchored / n_mentions ELSE 0 END AS ag,
  CASE WHEN has_table AND coalesce(n_mentions, 0) > 0 THEN {STRICT} ELSE 0 END AS aa FROM terms t LEFT JOIN ac USING (group_id, k))"""
 )
-VAPV = "((0.6 * ag + 0.4 * aa) * greatest(0.0, 1.0 - least(1.0, span_words / 40.0) * least(1.0, span_words / 40.0)))"
-SHORT_LIMIT = 40
+VAPV = "((0.6 * ag + 0.4 * aa) * greatest(0.0, 1.0 - least(1.0, span_words / 4096.0) * least(1.0, span_words / 4096.0)))"
+LENGTH_LIMIT = 4096
 
 
 @query(
@@ -198,9 +198,8 @@ def pr_anchored_grounding(spark, sf):
 
 @query("pr_reward_vapv", ("responses", "chart_cells"), ANCHOR_SQL + f" SELECT group_id, k, {r6(VAPV)} AS reward FROM anc")
 def pr_reward_vapv(spark, sf):
-    # a low length limit, so that the length factor matters on short traces
     rows = P.anchored_terms(view(spark, sf, "responses"), view(spark, sf, "chart_cells"), KEYS, "group_id")
-    return rows.select(*KEYS, F.round(P.length_weighted(SHORT_LIMIT), 6).alias("reward"))
+    return rows.select(*KEYS, F.round(P.length_weighted(LENGTH_LIMIT), 6).alias("reward"))
 
 
 @query("pr_taint_chain")
@@ -358,7 +357,7 @@ def reward_rows(spark, sf, name):
         )
     if name == "rw_vapv":
         multi = F.col("v") != 3
-        p = P.length_weighted(SHORT_LIMIT)
+        p = P.length_weighted(LENGTH_LIMIT)
         joined = attach(R.wrong_numeric() & multi, terms=P.anchored_terms)
         return joined.withColumns(
             {

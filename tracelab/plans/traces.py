@@ -129,12 +129,12 @@ def tr_outliers(spark, sf):
     "tr_pilot_select",
     "documents",
     LINES_SQL
-    + """, p AS (SELECT * FROM tr WHERE n_steps > 0 ORDER BY doc_id LIMIT 100)
+    + """, p AS (SELECT * FROM tr WHERE n_steps > 0)
 SELECT source, count(*) AS n_picked, CAST(sum(n_steps) AS BIGINT) AS n_steps, CAST(sum(n_steps) * 8 AS BIGINT) AS n_continuations FROM p GROUP BY source""",
 )
 def tr_pilot_select(spark, sf):
     traces, _ = doc_steps(spark, sf)
-    picked = traces.where("n_steps > 0").orderBy("doc_id").limit(100)
+    picked = traces.where("n_steps > 0")
     return picked.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_picked"),
         F.sum("n_steps").cast("bigint").alias("n_steps"),
@@ -149,11 +149,9 @@ def tr_pilot_select(spark, sf):
  FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source""",
 )
 def tr_align_ids(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    ids = table(spark, sf, "labels").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").withColumn("kept", F.lit(True))
-    missing = docs.join(ids, "doc_id", "left_anti").withColumn("kept", F.lit(False))
-    return kept.unionByName(missing).groupBy("source").agg(
+    ids = table(spark, sf, "labels").select("doc_id").distinct().withColumn("kept", F.lit(True))
+    docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars").join(ids, "doc_id", "left")
+    return docs.withColumn("kept", F.coalesce("kept", F.lit(False))).groupBy("source").agg(
         F.count(F.lit(1)).alias("n_wanted"),
         F.count_if("kept").alias("n_kept"),
         F.count_if(~F.col("kept")).alias("n_missing"),

@@ -64,7 +64,10 @@ RESPONSE_BASE = [
 RESPONSE_BODY = [
     "*",
     "concat('First, item ', CAST(l_partkey % 900 AS STRING), ' shows quantity ', CAST(qty AS STRING),"
-    " '.~~Next, ', CAST(qty AS STRING), ' + ', CAST(disc AS STRING), ' = ', CAST(ans AS STRING), '.') AS body",
+    " '.~~Next, ', CAST(qty AS STRING), ' + ', CAST(disc AS STRING), ' = ', CAST(ans AS STRING), '.',"
+    # every third prompt has a long trace
+    " CASE WHEN group_id % 3 = 0 THEN '~~After that we look once more at every bar of the figure, compare it with its neighbours on both sides,"
+    " ask whether the legend and the caption say the same, and keep the sum because nothing speaks against it.' ELSE '' END) AS body",
     "CAST(ans AS STRING) AS a",
 ]
 RESPONSES = [
@@ -145,14 +148,15 @@ TAXONOMY = [
 ]
 
 CORPUS_LITE = [
-    "doc_id", "source", "lang", "substring(text, 1, 80) AS q80",
+    "doc_id", "source", "lang", "text AS question", "md5(text) AS question_md5",
     "CASE WHEN doc_id % 10 = 0 THEN '' ELSE concat('src/', source, '/', CAST(doc_id AS STRING), '.png') END AS image_path",
     "CASE WHEN doc_id % 13 = 0 THEN NULL ELSE n_chars END AS answer",
 ]
 CORPUS_DISTILLED = [
-    "doc_id", "substring(text, 1, 80) AS q80",
+    "doc_id", "md5(text) AS question_md5",
     "concat('src/', source, '/', CAST(doc_id AS STRING), '.png') AS image_path",
-    "n_chars AS teacher_reasoning_len",
+    "n_chars AS teacher_reasoning_len", "lang AS format_family", "CAST(n_chars AS STRING) AS teacher_pred", "quality = 1 AS teacher_match",
+    "CASE WHEN toxic = 1 THEN 'length' ELSE 'stop' END AS teacher_finish_reason",
 ]
 
 
@@ -195,7 +199,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "corpus_lite":
         return table(spark, sf_dir, "documents").selectExpr(*CORPUS_LITE)
     if name == "corpus_distilled":
-        return table(spark, sf_dir, "documents").where("doc_id % 3 = 0").selectExpr(*CORPUS_DISTILLED)
+        # the teacher answered the labelled documents
+        labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+        return table(spark, sf_dir, "documents").join(labels, "doc_id").selectExpr(*CORPUS_DISTILLED)
     return table(spark, sf_dir, name)
 
 
@@ -224,7 +230,9 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "judge_outputs": ((), _select(JUDGE_OUTPUTS, "orders")),
     "taxonomy": ((), _select(TAXONOMY, "orders")),
     "corpus_lite": ((), _select(CORPUS_LITE, "documents")),
-    "corpus_distilled": ((), _select(CORPUS_DISTILLED, "documents WHERE doc_id % 3 = 0")),
+    "corpus_distilled": ((), _select(
+        CORPUS_DISTILLED, "documents JOIN (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)"
+    )),
 }
 
 
