@@ -8,10 +8,11 @@ over the facts. Random picks follow an md5 order and so are the same in every ru
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelab.operators.scale import first_rows
+from tracelab.operators.scale import exact_quantiles, first_rows
+from tracelab.operators.wording import record
 
 Template = tuple[str, str, str, str | None, str | None]
 
@@ -22,8 +23,16 @@ FICTIONAL = [
 ]
 
 
+def wording(name: str) -> list[Column]:
+    """Question text, reasoning steps and difficulty of a template."""
+    difficulty, question, steps = record(name)
+    return [
+        F.expr(question).alias("question"), F.array(*[F.expr(step) for step in steps]).alias("reasoning_steps"), F.expr(difficulty).alias("difficulty"),
+    ]
+
+
 def write_questions(facts: DataFrame, keys: list[str], templates: list[Template]) -> DataFrame:
-    """One row per question whose condition holds."""
+    """One row per question whose condition holds: answer, question, reasoning steps and difficulty."""
     made = []
     for name, kind, condition, number, text in templates:
         value = F.round(F.round(F.expr(number), 6), 2).cast("double") if number else F.lit(None).cast("double")
@@ -36,6 +45,7 @@ def write_questions(facts: DataFrame, keys: list[str], templates: list[Template]
                     F.lit(kind).alias("answer_type"),
                     value.alias("answer_num"),
                     words.alias("answer_text"),
+                    *wording(name),
                 ),
             )
         )
@@ -48,13 +58,19 @@ def pick_key(*parts) -> Column:
     return F.md5(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts]))
 
 
-def numeric_columns(cells: DataFrame) -> DataFrame:
-    """Value columns per chart: numeric, not year-like unless nothing else is left, the first two."""
+def numeric_columns(cells: DataFrame, most: int | None = None) -> DataFrame:
+    """Value columns per chart in order: numeric, not year-like unless nothing else is left; all, or the first ``most``."""
     columns = cells.groupBy("chart_id", "col", "col_idx").agg(F.count("value").alias("n"))
     columns = columns.where("n >= 2").withColumn("yearish", F.col("col").rlike(NOT_VALUE))
     plain = columns.groupBy("chart_id").agg(F.count_if(~F.col("yearish")).alias("n_plain"))
     eligible = columns.join(plain, "chart_id").where(~F.col("yearish") | (F.col("n_plain") == 0))
-    return first_rows(eligible, ["chart_id"], ["col_idx"], 2, "rank").select("chart_id", "col", "n", "rank")
+    # one row per column of a chart: a small group
+    ranked = eligible.withColumn("rank", F.row_number().over(Window.partitionBy("chart_id").orderBy("col_idx")))
+    ranked = ranked if most is None else ranked.where(F.col("rank") <= most)
+    return ranked.select("chart_id", "col", "n", "rank")
+
+
+QUARTERS = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
 def column_facts(cells: DataFrame) -> DataFrame:
@@ -74,14 +90,14 @@ def column_facts(cells: DataFrame) -> DataFrame:
         F.min_by("label", F.struct(F.col("value"), F.col("row_idx"))).alias("min_e"),
         F.min_by(entry, order).alias("a"),
         F.max_by(entry, order).alias("b"),
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("qs"),
     )
-    first = first.select(
+    cuts = exact_quantiles(cells.where(F.col("value").isNotNull()), keys, "value", QUARTERS)
+    first = first.join(cuts, keys).select(
         *keys, "n", "max_v", "min_v", "mean_v", "sum_v", "max_e", "min_e",
         F.col("a.label").alias("e1"), F.col("a.value").alias("v1"),
         F.col("b.label").alias("e2"), F.col("b.value").alias("v2"),
-        F.col("qs")[1].alias("median_v"),
-        F.try_element_at("qs", (F.col("chart_id") % 3 + 1).cast("int")).alias("cut_v"),
+        F.col("q50").alias("median_v"),
+        F.try_element_at(F.array("q25", "q50", "q75"), (F.col("chart_id") % 3 + 1).cast("int")).alias("cut_v"),
     )
     head = F.col("row_idx") < F.floor(F.col("n") / 2)
     v = F.col("value")
@@ -165,7 +181,7 @@ def block_b(cells: DataFrame, facts: DataFrame, cap: int) -> DataFrame:
         "_p",
     ).select(
         "chart_id", "col", F.lit("value_of").alias("template"), F.lit("numeric").alias("answer_type"),
-        F.col("value").alias("answer_num"), F.col("label").alias("answer_text"),
+        F.col("value").alias("answer_num"), F.col("label").alias("answer_text"), *wording("value_of"),
     )
     rows = readings.unionByName(write_questions(facts, ["chart_id", "col"], BLOCK_B)).withColumn("_o", question_order())
     limit = F.create_map(
@@ -181,9 +197,10 @@ def block_f(facts: DataFrame, labels: DataFrame) -> DataFrame:
     chart = F.col("chart_id").cast("string")
     pick = lambda salt, n: F.conv(F.substring(pick_key(chart, F.col("col"), salt), 1, 6), 16, 10).cast("bigint") % n
     first_column = facts.where("n >= 3").groupBy("chart_id").agg(F.min("col").alias("col"))
-    base = facts.join(first_column, ["chart_id", "col"])
+    base = facts.join(first_column, ["chart_id", "col"]).withColumn(
+        "raised", F.try_element_at(F.array(*[F.lit(p) for p in (10, 15, 20, 25, 30, 50)]), (pick("pct", 6) + 1).cast("int"))
+    )
     two = lambda c: F.round(F.round(c, 6), 2)
-    raised = F.try_element_at(F.array(*[F.lit(p) for p in (10, 15, 20, 25, 30, 50)]), (pick("pct", 6) + 1).cast("int"))
     place = pick("place", 4)
     options = []
     for j in range(4):
@@ -194,11 +211,11 @@ def block_f(facts: DataFrame, labels: DataFrame) -> DataFrame:
     none = F.lit(None).cast("double")
     make = lambda name, kind, num, text, extra: F.struct(
         F.lit(name).alias("template"), F.lit(kind).alias("answer_type"), num.alias("answer_num"),
-        text.alias("answer_text"), extra.alias("options"),
+        text.alias("answer_text"), extra.alias("options"), *wording(name),
     )
     no_text, no_options = F.lit(None).cast("string"), F.lit(None).cast("array<double>")
     made = F.array(
-        F.when(F.col("v1") != 0, make("hypothetical", "numeric", two(F.col("v1") * (1 + raised / 100.0)), no_text, no_options)),
+        F.when(F.col("v1") != 0, make("hypothetical", "numeric", two(F.col("v1") * (1 + F.col("raised") / 100.0)), no_text, no_options)),
         F.when(
             F.col("v1") != 0,
             make("multi_choice", "multichoice", F.col("v1"), F.try_element_at(letters, (place + 1).cast("int")), F.array(*options)),
@@ -217,7 +234,7 @@ def block_f(facts: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = absent.groupBy("chart_id", "col").agg(F.min_by("label", pick_key(chart, F.col("label"))).alias("answer_text"))
     unanswerable = chosen.select(
         "chart_id", "col", F.lit("unanswerable").alias("template"), F.lit("unanswerable").alias("answer_type"),
-        none.alias("answer_num"), "answer_text", no_options.alias("options"),
+        none.alias("answer_num"), "answer_text", no_options.alias("options"), *wording("unanswerable"),
     )
     return rows.unionByName(unanswerable)
 
@@ -378,15 +395,16 @@ def method_facts(points: DataFrame) -> DataFrame:
         F.min("y").alias("min_y"),
         F.avg("y").alias("mean_y"),
         F.round(F.stddev_samp("y"), 9).alias("std_y"),
-        F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("qs"),
     )
+    quarters = exact_quantiles(points.where(F.col("y").isNotNull()), keys, "y", QUARTERS)
     middle = (
         points.join(per.select(*keys, "n"), keys)
         .where(F.col("row") == F.floor(F.col("n") / 2))
         .select(*keys, (F.col("y_upper") - F.col("y_lower")).alias("mid_width"), F.col("y").alias("mid_y"))
     )
     m = F.col("method")
-    rows = per.join(middle, keys, "left").withColumns({"med": F.col("qs")[1], "iqr": F.col("qs")[2] - F.col("qs")[0]})
+    rows = per.join(middle, keys, "left").join(quarters, keys, "left")
+    rows = rows.withColumns({"med": F.col("q50"), "iqr": F.col("q75") - F.col("q25")})
     key = F.when(F.col("n") >= 2, pick_key(F.col("chart_id").cast("string"), m.cast("string")))
     top = lambda c: F.max_by("method", F.when(F.col(c).isNotNull(), F.struct(F.round(c, 9).alias("v"), -m)))
     return rows.groupBy("chart_id").agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelab.operators import qagen as Q
+from tracelab.operators.wording import record
 from tracelab.operators.scale import over_all
 from tracelab.plans.registry import query, r6
 from tracelab.sources.fixtures import table, view
@@ -14,12 +15,29 @@ def r2(x: str) -> str:
     return f"(CAST(round(CAST(round(CAST({x} AS DOUBLE), 6) AS DECIMAL(24, 6)), 2) AS DOUBLE) + 0.0)"
 
 
+def number_text(x: str) -> str:
+    return f"CAST(CAST(round(CAST(round(CAST({x} AS DOUBLE), 6) AS DECIMAL(24, 6)), 2) AS DECIMAL(24, 2)) AS VARCHAR)"
+
+
+def wording_sql(name: str) -> str:
+    difficulty, question, steps = record(name, number_text)
+    return f"{question} AS question, {' || chr(10) || '.join(steps)} AS reasoning, {difficulty} AS difficulty"
+
+
+def records(rows):
+    """Question records with their steps as lines of one text."""
+    whole = F.when(~F.exists("reasoning_steps", lambda s: s.isNull()), F.array_join("reasoning_steps", "\n"))
+    return rows.withColumn("reasoning", whole).drop("reasoning_steps")
+
+
 def questions_sql(facts: str, keys: str, templates) -> str:
     parts = []
     for name, kind, cond, number, text in templates:
         num = r2(number) if number else "CAST(NULL AS DOUBLE)"
         txt = f"CAST({text} AS VARCHAR)" if text else "CAST(NULL AS VARCHAR)"
-        parts.append(f"SELECT {keys}, '{name}' AS template, '{kind}' AS answer_type, {num} AS answer_num, {txt} AS answer_text FROM {facts} WHERE {cond}")
+        parts.append(
+            f"SELECT {keys}, '{name}' AS template, '{kind}' AS answer_type, {num} AS answer_num, {txt} AS answer_text, {wording_sql(name)} FROM {facts} WHERE {cond}"
+        )
     return " UNION ALL ".join(parts)
 
 
@@ -58,7 +76,7 @@ def with_years(spark, sf):
 c AS (SELECT chart_id, col, col_idx, count(value) AS n FROM y GROUP BY ALL HAVING count(value) >= 2),
 p AS (SELECT *, regexp_matches(col, '(?i)year|date|time|index') AS yearish, count(*) FILTER (WHERE NOT regexp_matches(col, '(?i)year|date|time|index')) OVER (PARTITION BY chart_id) AS n_plain FROM c),
 r AS (SELECT chart_id, col, n, CAST(row_number() OVER (PARTITION BY chart_id ORDER BY col_idx) AS INT) AS "rank" FROM p WHERE NOT yearish OR n_plain = 0)
-SELECT * FROM r WHERE "rank" <= 2""",
+SELECT * FROM r""",
 )
 def qa_eligible_columns(spark, sf):
     return Q.numeric_columns(with_years(spark, sf))
@@ -69,16 +87,16 @@ KEYS = ["chart_id", "col"]
 
 @query("qa_core", "chart_cells", FACTS_SQL + " " + questions_sql("facts", "chart_id, col", Q.CORE))
 def qa_core(spark, sf):
-    return Q.write_questions(facts(spark, sf), KEYS, Q.CORE)
+    return records(Q.write_questions(facts(spark, sf), KEYS, Q.CORE))
 
 
 @query("qa_block_a", "chart_cells", FACTS_SQL + " " + questions_sql("facts", "chart_id, col", Q.BLOCK_A))
 def qa_block_a(spark, sf):
-    return Q.write_questions(facts(spark, sf), KEYS, Q.BLOCK_A)
+    return records(Q.write_questions(facts(spark, sf), KEYS, Q.BLOCK_A))
 
 
 ORDER = "md5(concat_ws('|', CAST(chart_id AS VARCHAR), col, template, coalesce(answer_text, '')))"
-SLOT = 'SELECT chart_id, col, template, answer_type, answer_num, answer_text, CAST(slot AS INT) AS slot'
+SLOT = 'SELECT chart_id, col, template, answer_type, answer_num, answer_text, question, reasoning, difficulty, CAST(slot AS INT) AS slot'
 
 
 @query(
@@ -101,7 +119,7 @@ def qa_type_quota(spark, sf):
     FACTS_SQL
     + f""", rd AS (SELECT c.chart_id, c.col, label, value, row_number() OVER (PARTITION BY c.chart_id, c.col ORDER BY {PICK.replace('chart_id', 'c.chart_id').replace(' col', ' c.col')}) AS p
  FROM chart_cells c JOIN facts f ON c.chart_id = f.chart_id AND c.col = f.col WHERE f.n >= 3),
-qs AS (SELECT chart_id, col, 'value_of' AS template, 'numeric' AS answer_type, value AS answer_num, label AS answer_text FROM rd WHERE p <= 4
+qs AS (SELECT chart_id, col, 'value_of' AS template, 'numeric' AS answer_type, value AS answer_num, label AS answer_text, {wording_sql('value_of')} FROM rd WHERE p <= 4
  UNION ALL {questions_sql('facts', 'chart_id, col', Q.BLOCK_B)}),
 t AS (SELECT *, {ORDER} AS o, row_number() OVER (PARTITION BY chart_id, template ORDER BY {ORDER}, answer_num) AS r FROM qs),
 s AS (SELECT *, row_number() OVER (PARTITION BY chart_id ORDER BY o, answer_num) AS slot FROM t WHERE r <= CASE template WHEN 'value_of' THEN 2 ELSE 1 END)
@@ -109,13 +127,13 @@ s AS (SELECT *, row_number() OVER (PARTITION BY chart_id ORDER BY o, answer_num)
 )
 def qa_block_b(spark, sf):
     cells = view(spark, sf, "chart_cells")
-    return Q.block_b(cells, Q.column_facts(cells), cap=4)
+    return records(Q.block_b(cells, Q.column_facts(cells), cap=4))
 
 
 @query("qa_block_f")
 def qa_block_f(spark, sf):
     cells = view(spark, sf, "chart_cells")
-    return Q.block_f(Q.column_facts(cells), cells).withColumn("options", F.to_json("options"))
+    return records(Q.block_f(Q.column_facts(cells), cells)).withColumn("options", F.to_json("options"))
 
 
 POINTS = ["group_id AS chart_id", "k AS row_idx", "concat('item ', CAST(l_partkey AS STRING)) AS label", "CAST(qty AS DOUBLE) AS y", "CAST(disc * 5 AS DOUBLE) AS y2"]
@@ -145,17 +163,14 @@ def xy(spark, sf):
 def _register_xy(name: str) -> None:
     @query(name, "lines", XY_SQL + " " + questions_sql("xy", "chart_id", XY_SETS[name]))
     def run(spark, sf):
-        return Q.write_questions(xy(spark, sf), ["chart_id"], XY_SETS[name])
+        return records(Q.write_questions(xy(spark, sf), ["chart_id"], XY_SETS[name]))
 
 
 for _name in XY_SETS:
     _register_xy(_name)
 
 
-@query(
-    "qa_sci_panel",
-    "lines",
-    f""", pt AS (SELECT o_custkey AS chart_id, group_id AS panel, k AS epoch, CAST(qty AS DOUBLE) AS value FROM lines JOIN orders ON o_orderkey = group_id),
+PANEL_SQL = """, pt AS (SELECT o_custkey AS chart_id, group_id AS panel, k AS epoch, CAST(qty AS DOUBLE) AS value FROM lines JOIN orders ON o_orderkey = group_id),
 p AS (SELECT chart_id, panel, count(*) AS n, max(value) AS top, arg_max(epoch, value * 1000 - epoch) AS peak_epoch, arg_max(value, epoch) AS final FROM pt GROUP BY chart_id, panel),
 l AS (SELECT pt.chart_id, pt.panel, round(stddev_samp(value), 9) AS late_std FROM pt JOIN p USING (chart_id, panel) WHERE n >= 4 AND epoch >= n // 2 GROUP BY pt.chart_id, pt.panel),
 j AS (SELECT p.*, late_std, CASE WHEN n >= 2 THEN md5(concat_ws('|', CAST(chart_id AS VARCHAR), CAST(panel AS VARCHAR))) END AS o FROM p LEFT JOIN l USING (chart_id, panel)),
@@ -163,31 +178,33 @@ c AS (SELECT chart_id, count(*) AS n_panels FROM j GROUP BY chart_id),
 bp AS (SELECT chart_id, panel AS best_panel FROM j QUALIFY row_number() OVER (PARTITION BY chart_id ORDER BY top DESC, panel) = 1),
 pk AS (SELECT chart_id, peak_epoch, top, final FROM j WHERE o IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chart_id ORDER BY o) = 1),
 sp AS (SELECT chart_id, panel AS stable_panel FROM j WHERE late_std IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chart_id ORDER BY late_std, panel) = 1),
-pf AS (SELECT c.*, best_panel, peak_epoch, top, final, stable_panel FROM c LEFT JOIN bp USING (chart_id) LEFT JOIN pk USING (chart_id) LEFT JOIN sp USING (chart_id))
-{questions_sql('pf', 'chart_id', Q.PANEL)}""",
-)
-def qa_sci_panel(spark, sf):
+pf AS (SELECT c.*, best_panel, peak_epoch, top, final, stable_panel FROM c LEFT JOIN bp USING (chart_id) LEFT JOIN pk USING (chart_id) LEFT JOIN sp USING (chart_id))"""
+
+
+def panels(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("group_id"), F.col("o_custkey").alias("chart_id"))
     points = view(spark, sf, "lines").join(orders, "group_id")
     points = points.selectExpr("chart_id", "group_id AS panel", "k AS epoch", "CAST(qty AS DOUBLE) AS value")
-    return Q.write_questions(Q.panel_facts(points), ["chart_id"], Q.PANEL)
+    return Q.panel_facts(points)
+
+
+@query("qa_sci_panel", "lines", PANEL_SQL + " " + questions_sql("pf", "chart_id", Q.PANEL))
+def qa_sci_panel(spark, sf):
+    return records(Q.write_questions(panels(spark, sf), ["chart_id"], Q.PANEL))
 
 
 MATRIX_CELLS = "l_suppkey AS chart_id, least(l_linenumber, CAST(l_partkey % 7 + 1 AS INT)) AS i, greatest(l_linenumber, CAST(l_partkey % 7 + 1 AS INT)) AS j, CAST(disc AS DOUBLE) / 5 - 1 AS one"
 
 
-@query(
-    "qa_sci_corr",
-    "lines",
-    f""", mc AS (SELECT chart_id, i, j, round(avg(one), 9) AS r FROM (SELECT {MATRIX_CELLS} FROM lines) WHERE i < j GROUP BY chart_id, i, j),
+MATRIX_SQL = f""", mc AS (SELECT chart_id, i, j, round(avg(one), 9) AS r FROM (SELECT {MATRIX_CELLS} FROM lines) WHERE i < j GROUP BY chart_id, i, j),
 t AS (SELECT *, CASE WHEN i = chart_id % 7 + 1 THEN j WHEN j = chart_id % 7 + 1 THEN i END AS pt FROM mc),
 c AS (SELECT chart_id, count(*) AS n_pairs, min(r) AS weakest_r, max(CASE WHEN i = 1 AND j = 2 THEN r END) AS cell FROM mc GROUP BY chart_id),
 sg AS (SELECT chart_id, concat(i, ' and ', j) AS strongest FROM mc QUALIFY row_number() OVER (PARTITION BY chart_id ORDER BY r DESC, i, j) = 1),
 pa AS (SELECT chart_id, pt AS partner FROM t WHERE pt IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chart_id ORDER BY r DESC, pt) = 1),
-mf AS (SELECT c.*, strongest, partner FROM c LEFT JOIN sg USING (chart_id) LEFT JOIN pa USING (chart_id))
-{questions_sql('mf', 'chart_id', Q.MATRIX)}""",
-)
-def qa_sci_corr(spark, sf):
+mf AS (SELECT c.*, strongest, partner FROM c LEFT JOIN sg USING (chart_id) LEFT JOIN pa USING (chart_id))"""
+
+
+def matrices(spark, sf):
     cells = view(spark, sf, "lines").selectExpr(
         "l_suppkey AS chart_id",
         "least(l_linenumber, CAST(l_partkey % 7 + 1 AS INT)) AS i",
@@ -195,7 +212,12 @@ def qa_sci_corr(spark, sf):
         "CAST(disc AS DOUBLE) / 5 - 1 AS one",
     )
     matrix = cells.where("i < j").groupBy("chart_id", "i", "j").agg(F.round(F.avg("one"), 9).alias("r"))
-    return Q.write_questions(Q.matrix_facts(matrix), ["chart_id"], Q.MATRIX)
+    return Q.matrix_facts(matrix)
+
+
+@query("qa_sci_corr", "lines", MATRIX_SQL + " " + questions_sql("mf", "chart_id", Q.MATRIX))
+def qa_sci_corr(spark, sf):
+    return records(Q.write_questions(matrices(spark, sf), ["chart_id"], Q.MATRIX))
 
 
 METHOD_SQL = """, mp AS (SELECT o_custkey AS chart_id, group_id AS method, k AS row, CAST(qty AS DOUBLE) AS y, CAST(qty - disc AS DOUBLE) AS y_lower, CAST(qty + disc AS DOUBLE) + l_linenumber AS y_upper
@@ -226,15 +248,18 @@ def methods(spark, sf):
 
 @query("qa_sci_band", "lines", METHOD_SQL + " " + questions_sql("mt", "chart_id", Q.BAND_Q))
 def qa_sci_band(spark, sf):
-    return Q.write_questions(methods(spark, sf), ["chart_id"], Q.BAND_Q)
+    return records(Q.write_questions(methods(spark, sf), ["chart_id"], Q.BAND_Q))
 
 
 @query("qa_sci_violin", "lines", METHOD_SQL + " " + questions_sql("mt", "chart_id", Q.VIOLIN))
 def qa_sci_violin(spark, sf):
-    return Q.write_questions(methods(spark, sf), ["chart_id"], Q.VIOLIN)
+    return records(Q.write_questions(methods(spark, sf), ["chart_id"], Q.VIOLIN))
 
 
-# Chart type of a chart and the template set each type asks for.
+# Chart type of a chart and the template set each type asks for; the last four come in tables of their own.
+OWN_TABLES = {
+    "panels": (PANEL_SQL, "pf", Q.PANEL), "heatmap": (MATRIX_SQL, "mf", Q.MATRIX), "band": (METHOD_SQL, "mt", Q.BAND_Q), "violin": (METHOD_SQL, "mt", Q.VIOLIN),
+}
 CHART_TYPES = ["scatter_regression", "errorbar_comparison", "logscale_plot", "dual_axis", "simple_xy"]
 TYPE_OF = "CASE chart_id % 6 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(CHART_TYPES)) + " ELSE 'other' END"
 
@@ -246,7 +271,8 @@ TYPE_OF = "CASE chart_id % 6 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enu
     + FACTS_SQL
     + f""", tx AS (SELECT *, {TYPE_OF} AS chart_type FROM xy), tf AS (SELECT *, {TYPE_OF} AS chart_type FROM facts),
 u AS ({" UNION ALL ".join(questions_sql(f"(SELECT * FROM tx WHERE chart_type = '{t}')", "chart_type", ts) for t, ts in zip(CHART_TYPES, XY_SETS.values()))}
- UNION ALL {questions_sql("(SELECT * FROM tf WHERE chart_type = 'other')", "chart_type", Q.CORE + Q.BLOCK_A)})
+ UNION ALL {questions_sql("(SELECT * FROM tf WHERE chart_type = 'other')", "chart_type", Q.CORE + Q.BLOCK_A)}
+ {" ".join(f"UNION ALL SELECT * FROM (WITH {sql.strip()[1:]} {questions_sql(f, f"'{t}' AS chart_type", ts)})" for t, (sql, f, ts) in OWN_TABLES.items())})
 SELECT chart_type, template, answer_type, count(*) AS n, {r6('avg(answer_num)')} AS mean_answer FROM u GROUP BY ALL""",
 )
 def qa_dispatch(spark, sf):
@@ -257,6 +283,9 @@ def qa_dispatch(spark, sf):
         for t, ts in zip(CHART_TYPES, XY_SETS.values())
     ]
     parts.append(Q.write_questions(typed_facts.where("chart_type = 'other'"), ["chart_type"], Q.CORE + Q.BLOCK_A))
+    own = {"panels": (panels(spark, sf), Q.PANEL), "heatmap": (matrices(spark, sf), Q.MATRIX)}
+    own |= {"band": (methods(spark, sf), Q.BAND_Q), "violin": (methods(spark, sf), Q.VIOLIN)}
+    parts += [Q.write_questions(rows.withColumn("chart_type", F.lit(t)), ["chart_type"], ts) for t, (rows, ts) in own.items()]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
@@ -287,19 +316,21 @@ def qa_stats(spark, sf):
     )
 
 
-@query(
-    "qa_rule_cot",
-    "chart_cells",
-    FACTS_SQL
-    + """ SELECT chart_id, col, concat('Step 1: The maximum ', col, ' is ', CAST(CAST(max_v AS INT) AS VARCHAR), '.', chr(10), 'Step 2: The minimum ', col, ' is ', CAST(CAST(min_v AS INT) AS VARCHAR), '.', chr(10),
- 'The answer is ', CAST(CAST(max_v - min_v AS INT) AS VARCHAR), '.') AS cot FROM facts WHERE n >= 2 AND max_v <> min_v""",
-)
+def cot_sql() -> str:
+    parts = []
+    for name, _, cond, number, text in Q.CORE:
+        _, _, steps = record(name, number_text)
+        answer = number_text(number) if number else f"CAST({text} AS VARCHAR)"
+        lines = [f"'Step {i}: ' || {s}" for i, s in enumerate(steps, 1)] + [f"'The answer is ' || {answer} || '.'"]
+        parts.append(f"SELECT chart_id, col, '{name}' AS template, {' || chr(10) || '.join(lines)} AS cot FROM facts WHERE {cond}")
+    return " UNION ALL ".join(parts)
+
+
+@query("qa_rule_cot", "chart_cells", FACTS_SQL + " " + cot_sql())
 def qa_rule_cot(spark, sf):
-    whole = lambda c: c.cast("int").cast("string")
-    say = lambda word, c: F.concat(F.lit(f"The {word} "), F.col("col"), F.lit(" is "), whole(F.col(c)), F.lit("."))
-    steps = F.array(say("maximum", "max_v"), say("minimum", "min_v"))
-    rows = facts(spark, sf).where("n >= 2 AND max_v <> min_v")
-    return rows.select("chart_id", "col", Q.rule_cot(steps, whole(F.col("max_v") - F.col("min_v"))).alias("cot"))
+    rows = Q.write_questions(facts(spark, sf), KEYS, Q.CORE)
+    answer = F.coalesce("answer_text", F.col("answer_num").cast("decimal(24,2)").cast("string"))
+    return rows.select(*KEYS, "template", Q.rule_cot(F.col("reasoning_steps"), answer).alias("cot"))
 
 
 # Tables of a supplier: entity, year and value per row, in the order of their order lines.
