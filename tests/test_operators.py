@@ -244,9 +244,10 @@ def test_append_resume_twice_adds_nothing(spark):
     readers.append_resume(rows, path, ["id"])
     readers.append_resume(rows, path, ["id"])
     assert spark.read.parquet(path).count() == 3
-    again = spark.createDataFrame([(2, "ok now")], "id int, raw string")
-    readers.append_resume(again, path, ["id"], raw="raw")
+    again = spark.createDataFrame([(2, "ok now"), (2, "ok now"), (4, "new")], "id int, raw string")
+    done = readers.append_resume(again, path, ["id"], raw="raw")
     assert spark.read.parquet(path).where("id = 2").count() == 2
+    assert {r["id"]: r["raw"] for r in done.collect()} == {1: "ok", 2: "ok now", 3: "ok", 4: "new"} and done.count() == 4
 
 
 def test_status_and_report_sinks(spark):

@@ -72,8 +72,8 @@ def near_fingerprints(train: DataFrame, test: DataFrame, limit: int = 5) -> Data
 
 
 def simhash_bits(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """64-bit simhash over the words of a text, as blocks."""
-    words = docs.select(key, F.explode(F.split(F.lower(F.col(text)), r"\W+")).alias("w")).where("w <> ''")
+    """64-bit simhash over the words (letters and digits of any script) of a text, as blocks; texts without a word are left out."""
+    words = docs.select(key, F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+")).alias("w")).where("w <> ''")
     h = F.xxhash64("w")
     votes = [
         F.sum(F.when(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)).alias(f"v{i}") for i in range(64)
@@ -141,7 +141,8 @@ def user_text(question: Column, family: Column, answer: Column, kind: Column) ->
         F.when(family == "chartqa", F.concat(question, F.lit(SINGLE_WORD)))
         .when((family == "charxiv") & numeric, F.concat(question, F.lit("\n"), number_hint(answer)))
         .when(family == "charxiv", F.concat(question, F.lit("\n* Answer in the words of the chart.")))
-        .otherwise(F.concat(F.lit("Think first, then answer in tags.\n"), choice))
+        .when(family == "chartmuseum", F.concat(F.lit("Think first, then answer in tags.\n"), choice))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown answer family: "), F.coalesce(family, F.lit("null")))))
     )
 
 

@@ -49,6 +49,9 @@ def first_rows(df: DataFrame, keys: list[str], order: list, n: int, name: str =
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)
 
 
+CUTS = 64  # quantile bins of a group whose value range is not known
+
+
 def ranked_histogram(
     df: DataFrame,
     keys: list[str],
@@ -63,19 +66,21 @@ def ranked_histogram(
     ``below_<w>`` sums the weight over strictly smaller values of the group. Rows are first
     reduced to distinct values; these are cut into value bins so that the running sums of a
     group run in up to ``bins`` tasks, and the bin totals (at most ``bins`` rows per group)
-    give the offsets. With ``low``/``high`` the value range is known and not measured.
+    give the offsets. With ``low``/``high`` the range is known (a score) and the bins are equally wide; else they are cut
+    at estimated quantiles of the group's distinct values, so that heavy tails fill no single bin. The estimate
+    only places the cuts; the result is exact.
     """
     names = list(weights)
     hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         *[agg.alias(name) for name, agg in weights.items()]
     )
     if low is None:
-        ends = hist.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        hist = hist.join(ends, keys)
+        points = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+        cuts = hist.groupBy(*keys).agg(F.percentile_approx(value, points, F.lit(1000)).alias("_cuts"))
+        hist = hist.join(cuts, keys).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     else:
-        hist = hist.withColumn("_lo", F.lit(float(low))).withColumn("_hi", F.lit(float(high)))
-    share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    hist = hist.withColumn("_bin", F.coalesce(F.floor(share * bins), F.lit(0))).drop("_lo", "_hi")
+        share = (F.col(value) - float(low)) / (float(high) - float(low))
+        hist = hist.withColumn("_bin", F.floor(share * bins))
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = (

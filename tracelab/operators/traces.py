@@ -89,9 +89,15 @@ def split_by_markers(df: DataFrame, text: str, out: str, most: int | None = None
 
 
 def cumulative_prefix(steps: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
-    """Each step with all steps of its trace up to it."""
+    """Where each step begins and ends in its trace (steps joined by a line feed): ``start, prefix_chars``.
+
+    The prefix up to a step is the trace's first ``prefix_chars`` characters. Writing all prefixes out would take the square of
+    a trace's length, so only offsets are kept; a running sum holds one row at a time.
+    """
     window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("prefix", F.array_join(F.collect_list(text).over(window), "\n"))
+    size = F.length(text).cast("bigint")
+    end = F.sum(size + 1).over(window) - 1
+    return steps.withColumn("prefix_chars", end).withColumn("start", F.col("prefix_chars") - size)
 
 
 def length_summary(rows: DataFrame, keys: list[str], length: str, name: str) -> DataFrame:

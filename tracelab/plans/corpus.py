@@ -16,7 +16,8 @@ from tracelab.plans.registry import query, r6
 from tracelab.plans.sqltext import nest, num, st
 from tracelab.plans.sqltext import sub as sub_sql
 from tracelab.sources.fixtures import table, view
-from tracelab.sources.readers import finished, pending
+from tracelab.session import fresh_folder
+from tracelab.sources.readers import append_resume, read_jsonl, write_by_status, write_report
 
 PLANT = "CASE WHEN vec_id % 10 = 1 AND i < vec_id % 7 THEN 1 - bit ELSE bit END"
 
@@ -55,7 +56,9 @@ def cp_contamination_text(spark, sf):
     docs = K.simhash_bits(table(spark, sf, "documents"), "doc_id", "text")
     items = K.simhash_bits(table(spark, sf, "benchmark"), "item_id", "text")
     near = K.near_fingerprints(docs, items)
-    return docs.join(near, K.NAMES, "left").select(
+    hits = docs.join(near, K.NAMES).select("doc_id", "distance", "n_test")
+    # documents without a word have no fingerprint and stay clean
+    return table(spark, sf, "documents").select("doc_id").join(hits, "doc_id", "left").select(
         "doc_id", F.col("distance").isNotNull().alias("contaminated"), F.col("distance").cast("int").alias("distance"), "n_test"
     )
 
@@ -317,8 +320,9 @@ def cp_rejection_select(spark, sf):
     + " SELECT CASE WHEN chosen IS NULL THEN 'failure' ELSE 'success' END AS status, count(*) AS n_keys, CAST(sum(n_candidates) AS BIGINT) AS n_candidates, CAST(sum(n_good) AS BIGINT) AS n_good FROM sl GROUP BY 1",
 )
 def sink_success_failure_split(spark, sf):
-    status = F.when(F.col("chosen").isNull(), "failure").otherwise("success")
-    return selected(spark, sf).groupBy(status.alias("status")).agg(
+    path = fresh_folder(spark)
+    write_by_status(selected(spark, sf).withColumn("status", F.when(F.col("chosen").isNull(), "failure").otherwise("success")), path)
+    return spark.read.parquet(path).groupBy("status").agg(
         F.count(F.lit(1)).alias("n_keys"), F.sum("n_candidates").alias("n_candidates"), F.sum("n_good").alias("n_good")
     )
 
@@ -352,9 +356,9 @@ SELECT event_type, count(*) FILTER (WHERE trim(line) <> '') AS n_lines, count(*)
  CAST(sum(CASE WHEN json_valid(line) THEN CAST(json_extract_string(line, '$.k') AS INT) END) AS BIGINT) AS sum_k FROM l GROUP BY event_type""",
 )
 def src_jsonl_scan(spark, sf):
-    lines = table(spark, sf, "events").select("event_type", F.expr(JSON_LINE).alias("line")).where(strip(F.col("line")) != "")
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
-    rows = lines.select("event_type", F.from_json("line", "k int, broken string", options).alias("r")).select("event_type", "r.*")
+    path = fresh_folder(spark)
+    table(spark, sf, "events").select("event_type", F.expr(JSON_LINE).alias("line")).write.partitionBy("event_type").text(path)
+    rows = read_jsonl(spark, path, "k int, event_type string", broken="broken")
     ok = F.col("broken").isNull()
     return rows.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n_lines"),
@@ -492,10 +496,13 @@ def src_chart_text(spark, sf):
     """SELECT bench, count(*) AS n_rows, count(DISTINCT group_id) AS n_keys FROM rollouts r ANTI JOIN (SELECT id FROM judge_outputs WHERE NOT starts_with(raw, 'ERROR')) d ON r.group_id = d.id GROUP BY bench""",
 )
 def sink_append_resume(spark, sf):
-    written = view(spark, sf, "judge_outputs").select(F.col("id").alias("group_id"), "raw")
-    todo = pending(view(spark, sf, "rollouts"), finished(written, "raw"), ["group_id"])
-    keys = todo.groupBy("bench", "group_id").agg(F.count(F.lit(1)).alias("n"))
-    return keys.groupBy("bench").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"))
+    path = fresh_folder(spark)
+    judged = view(spark, sf, "judge_outputs").selectExpr("id AS group_id", "CAST(NULL AS STRING) AS bench", "0L AS n", "raw")
+    append_resume(judged, path, ["group_id"], "raw")
+    todo = view(spark, sf, "rollouts").groupBy("bench", "group_id").agg(F.count(F.lit(1)).alias("n")).withColumn("raw", F.lit("scored"))
+    for _ in range(2):  # the second run finds nothing left to do
+        done = append_resume(todo.select("group_id", "bench", "n", "raw"), path, ["group_id"], "raw")
+    return done.where("raw = 'scored'").groupBy("bench").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"))
 
 
 @query(
@@ -513,4 +520,6 @@ def sink_report(spark, sf):
     combo = (
         F.when(F.col("bench").isNull(), "global").when(F.col("model").isNull(), F.col("bench")).otherwise(F.concat_ws("__", "model", "bench"))
     )
-    return rows.select(combo.alias("combo"), F.to_json(F.struct("n", "n_pass", "n_null")).alias("report"))
+    path = fresh_folder(spark)
+    write_report(rows.select(combo.alias("combo"), F.to_json(F.struct("n", "n_pass", "n_null")).alias("report")), path)
+    return spark.read.schema("combo string, report string").json(path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelab.operators import inputdep as D
 from tracelab.operators import mc as M
+from tracelab.operators.scale import exact_quantiles
 from tracelab.plans.mc import CATEGORY, designs_sql, std0
 from tracelab.plans.registry import query, r6
 from tracelab.sources.fixtures import view
@@ -27,36 +28,32 @@ def paired(spark, sf):
 
 VD_SQL = ", vd AS (SELECT *, mc_with - mc_without AS vd FROM steps)"
 
-# Sub-outcomes of the two arms in long form: six continuations per step and arm, the first
-# mc*6 of them right.
-ARMS_SQL = """, arms AS (SELECT sample_id, k, 'with' AS arm, i, CASE WHEN mc_with IS NULL THEN NULL WHEN i < round(mc_with * 6) THEN 1.0 ELSE 0.0 END AS ok
- FROM steps, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS i) n
- UNION ALL SELECT sample_id, k, 'without', i, CASE WHEN mc_without IS NULL THEN NULL WHEN i < round(mc_without * 6) THEN 1.0 ELSE 0.0 END
- FROM steps, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS i) n)"""
+# Continuations of a step, one per order line: supplier and line number name the step, the part the arm, the quantity the outcome
+# (null where the discount says that the continuation failed).
+ARMS = [
+    "l_suppkey AS sample_id", "l_linenumber AS k", "CASE WHEN l_partkey % 2 = 0 THEN 'with' ELSE 'without' END AS arm",
+    "CASE WHEN disc = 10 THEN NULL WHEN qty <= 25 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS ok",
+]
+ARMS_SQL = f", arms AS (SELECT {', '.join(ARMS)} FROM lines)"
 
 
 @query(
     "vd_paired_value",
-    "steps",
+    "lines",
     ARMS_SQL
     + f""" SELECT sample_id, k, {r6("avg(ok) FILTER (WHERE arm = 'with')")} AS mc_value, {r6("avg(ok) FILTER (WHERE arm = 'without')")} AS mc_without_value,
  {r6(std0("CASE WHEN arm = 'with' THEN ok END"))} AS mc_std, {r6(std0("CASE WHEN arm = 'without' THEN ok END"))} AS mc_without_std,
  {r6("avg(ok) FILTER (WHERE arm = 'with') - avg(ok) FILTER (WHERE arm = 'without')")} AS vd FROM arms GROUP BY sample_id, k""",
 )
 def vd_paired_value(spark, sf):
-    w, wo, vd = cols()
-    hits = lambda mc: F.when(mc.isNotNull(), F.when(F.col("i") < F.round(mc * 6), 1.0).otherwise(0.0))
-    arms = (
-        view(spark, sf, "steps")
-        .withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(6)])))
-        .select("sample_id", "k", hits(w).alias("ok_with"), hits(wo).alias("ok_without"))
-    )
-    mean_w, mean_wo = F.avg("ok_with"), F.avg("ok_without")
+    arms = view(spark, sf, "lines").selectExpr(*ARMS)
+    ok = lambda arm: F.when(F.col("arm") == arm, F.col("ok"))
+    mean_w, mean_wo = F.avg(ok("with")), F.avg(ok("without"))
     return arms.groupBy("sample_id", "k").agg(
         F.round(mean_w, 6).alias("mc_value"),
         F.round(mean_wo, 6).alias("mc_without_value"),
-        F.round(M.pstd(F.col("ok_with")), 6).alias("mc_std"),
-        F.round(M.pstd(F.col("ok_without")), 6).alias("mc_without_std"),
+        F.round(M.pstd(ok("with")), 6).alias("mc_std"),
+        F.round(M.pstd(ok("without")), 6).alias("mc_without_std"),
         F.round(mean_w - mean_wo, 6).alias("vd"),
     )
 
@@ -297,18 +294,18 @@ SELECT *, CASE pattern WHEN 'C' THEN mean_modulation >= 1.3 WHEN 'B' THEN mean_m
  WHEN 'D' THEN mean_modulation BETWEEN 1.0 AND 1.2 END AS h3_pass FROM a""",
 )
 def vd_advantage_report(spark, sf):
-    # modulation takes few distinct values (a K-step grid), so the median buffer stays small
+    rows = advantages(spark, sf)
+    median = exact_quantiles(rows, ["pattern"], "modulation", {"median_modulation": 0.5})
     report = (
-        advantages(spark, sf)
-        .groupBy("pattern")
+        rows.groupBy("pattern")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.round(F.avg("modulation"), 6).alias("mean_modulation"),
-            F.round(F.median("modulation"), 6).alias("median_modulation"),
             F.round(F.avg("vd"), 6).alias("mean_vd"),
             F.round(F.avg("final_adv"), 6).alias("mean_final_adv"),
         )
     )
+    report = report.join(median.withColumn("median_modulation", F.round("median_modulation", 6)), "pattern", "left")
     mod = F.col("mean_modulation")
     verdict = (
         F.when(F.col("pattern") == "C", mod >= 1.3)

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from tracelab.functions import verdicts as V
 from tracelab.plans.answers import VERDICT_SQL
 from tracelab.plans.registry import query, r6
+from tracelab.session import fresh_folder
 from tracelab.sources.fixtures import JUDGE_OUTPUTS
 from tracelab.streaming import jobs
 
 
 def written(spark, rows, run=jobs.run_available):
-    base = jobs.fresh_folder(spark)
+    base = fresh_folder(spark)
     run(rows, out=f"{base}/out", checkpoint=f"{base}/state")
     return spark.read.schema(rows.schema).parquet(f"{base}/out")
 

@@ -59,15 +59,12 @@ def tr_split_markers(spark, sf):
     "tr_cum_prefix",
     "lines",
     """, s AS (SELECT group_id, k, concat('step ', CAST(k AS VARCHAR), ': item ', CAST(l_partkey AS VARCHAR)) AS text FROM lines)
-SELECT group_id, k, length(p) AS prefix_chars, md5(p) AS prefix_md5 FROM (SELECT group_id, k, string_agg(text, chr(10)) OVER (PARTITION BY group_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM s)""",
+SELECT group_id, k, length(p) - length(text) AS start, length(p) AS prefix_chars FROM (SELECT group_id, k, text, string_agg(text, chr(10)) OVER (PARTITION BY group_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM s)""",
 )
 def tr_cum_prefix(spark, sf):
     text = F.concat(F.lit("step "), F.col("k").cast("string"), F.lit(": item "), F.col("l_partkey").cast("string"))
     steps = view(spark, sf, "lines").select("group_id", "k", text.alias("text"))
-    rows = G.cumulative_prefix(steps, ["group_id"], "k", "text")
-    return rows.select(
-        "group_id", "k", F.length("prefix").cast("bigint").alias("prefix_chars"), F.md5("prefix").alias("prefix_md5")
-    )
+    return G.cumulative_prefix(steps, ["group_id"], "k", "text").select("group_id", "k", "start", "prefix_chars")
 
 
 LINES_SQL = f""", ln AS (SELECT doc_id, source, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: {st('x')}), lambda x: x <> '')) AS step_text FROM documents),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -33,6 +35,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/tracelab-{uuid.uuid4().hex}"
+
+
 def checkpoint(df):
     """Cut lineage through the shared folder; see ``shared_folder``."""
     spark = df.sparkSession

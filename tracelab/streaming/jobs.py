@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracelab.session import shared_folder
-
-
-def fresh_folder(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share."""
-    return f"{shared_folder(spark)}/tracelab-{uuid.uuid4().hex}"
-
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a folder as a file stream; new files with that name pattern are picked up."""
