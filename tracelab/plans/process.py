@@ -202,7 +202,27 @@ def pr_reward_vapv(spark, sf):
     return rows.select(*KEYS, F.round(P.length_weighted(LENGTH_LIMIT), 6).alias("reward"))
 
 
-@query("pr_taint_chain")
+# The chain over a trace's sentences as a recursion; every number meets every cell of its chart.
+TAINT_SQL = f""", tl AS (SELECT group_id, k, list_filter(list_transform(string_split({rx('response', PAIRED)}, chr(10)), lambda x: {st('x')}), lambda x: length(x) > 5) AS s FROM responses),
+ts AS (SELECT group_id, k, unnest(s) AS sentence, unnest(range(len(s))) AS i FROM tl),
+tn AS (SELECT group_id, k, i, {to_n('t')} AS n, pos FROM (SELECT group_id, k, i, unnest({ra('sentence', NUM)}) AS t, unnest(range(len({ra('sentence', NUM)}))) AS pos FROM ts)),
+tq AS (SELECT d.group_id, d.n, max(CASE WHEN value = 0 THEN CASE WHEN abs(n) < 0.01 THEN 1.0 ELSE 0.0 END ELSE exp(-0.5 * pow(abs(n - value) / (abs(value) * 0.1), 2)) END) AS q
+ FROM (SELECT DISTINCT group_id, n FROM tn) d JOIN chart_cells c ON c.chart_id = d.group_id AND value IS NOT NULL GROUP BY ALL),
+tc AS (SELECT group_id, k, i, CASE WHEN abs(c - e) / greatest(abs(e), 1e-10) >= 0.05 THEN 0.0 ELSE 1.0 END AS logic FROM ({calc_sql('ts', 'sentence', 'group_id, k, i')}) WHERE cpos = 0),
+tg AS (SELECT tn.group_id, tn.k, tn.i, list(struct_pack(n := tn.n, q := coalesce(q, 0)) ORDER BY pos) AS nums FROM tn LEFT JOIN tq ON tq.group_id = tn.group_id AND tq.n = tn.n GROUP BY ALL),
+tp AS (SELECT tg.*, coalesce(logic, 1.0) AS logic, row_number() OVER (PARTITION BY group_id, k ORDER BY i) AS seq FROM tg LEFT JOIN tc USING (group_id, k, i)),
+tr AS (SELECT * FROM (WITH RECURSIVE f AS (
+ SELECT DISTINCT group_id, k, CAST(0 AS BIGINT) AS seq, CAST([] AS DOUBLE[]) AS bad, CAST(0 AS DOUBLE) AS total FROM tp
+ UNION ALL SELECT group_id, k, seq, CASE WHEN reward < 0.5 AND NOT list_bool_or(hits) THEN list_concat(bad, list_transform(nums, lambda x: x.n)) ELSE bad END, total + reward
+ FROM (SELECT *, logic * list_min(list_transform(nums, lambda x, j: CASE WHEN hits[j] THEN 0.3 ELSE x.q END)) AS reward
+ FROM (SELECT f.group_id, f.k, tp.seq, f.bad, f.total, tp.nums, tp.logic,
+ list_transform(tp.nums, lambda x: coalesce(list_bool_or(list_transform(f.bad, lambda t: abs(x.n - t) / greatest(abs(t), 1e-10) < 0.05)), FALSE)) AS hits
+ FROM f JOIN tp ON tp.group_id = f.group_id AND tp.k = f.k AND tp.seq = f.seq + 1))) SELECT * FROM f)),
+te AS (SELECT group_id, k, max_by(total, seq) / max(seq) AS taint FROM tr WHERE seq > 0 GROUP BY group_id, k),
+tv AS (SELECT r.group_id, r.k, CASE WHEN r.group_id IN (SELECT chart_id FROM chart_cells WHERE value IS NOT NULL) THEN coalesce(taint, 0) ELSE 0 END AS taint FROM responses r LEFT JOIN te USING (group_id, k))"""
+
+
+@query("pr_taint_chain", ("responses", "chart_cells"), TAINT_SQL + f" SELECT group_id, k, {r6('taint')} AS taint FROM tv")
 def pr_taint_chain(spark, sf):
     rows = view(spark, sf, "responses").select(*KEYS, "response")
     scored = P.taint_chain(rows, view(spark, sf, "chart_cells"), KEYS, "group_id")
