@@ -39,7 +39,27 @@ def doc_segments(spark, sf):
     return G.segment_steps(docs, "text", "steps", separator="\n").drop("text")
 
 
-@query("tr_segment_steps")
+def packed_sql(source: str, keys: str, fits: str) -> str:
+    """Chunk number of every piece (i from 1, w words): a piece stays in the open chunk while ``fits`` holds."""
+    on = " AND ".join(f"f.{k} = p.{k}" for k in keys.split(", "))
+    own = ", ".join(f"p.{k}" for k in keys.split(", "))
+    return f"""SELECT * FROM (WITH RECURSIVE f AS (SELECT {keys}, i, w AS size, 1 AS chunk FROM {source} WHERE i = 1
+ UNION ALL SELECT {own}, p.i, CASE WHEN {fits} THEN f.size + p.w ELSE p.w END, CASE WHEN {fits} THEN f.chunk ELSE f.chunk + 1 END FROM f JOIN {source} p ON {on} AND p.i = f.i + 1) SELECT * FROM f)"""
+
+
+SEGMENT_SQL = f""", sl AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {st('x')}), lambda x: x <> '') AS b FROM documents),
+sb AS (SELECT *, {WORDS('t')} AS w FROM (SELECT doc_id, unnest(b) AS t, unnest(range(1, len(b) + 1)) AS i FROM sl)),
+sm AS ({packed_sql('sb', 'doc_id', 'f.size + p.w < 80')}),
+sc AS (SELECT doc_id, chunk AS part, string_agg(t, chr(10) ORDER BY i) AS t, CAST(sum(w) AS INT) AS w FROM sb JOIN sm USING (doc_id, i) GROUP BY ALL),
+sp AS (SELECT doc_id, part, string_split(regexp_replace(t, '([.!?])\\s+([A-Z])', concat('\\1', chr(1), '\\2'), 'g'), chr(1)) AS b FROM sc WHERE w > 560),
+sq AS (SELECT *, {WORDS('t')} AS w FROM (SELECT doc_id, part, unnest(b) AS t, unnest(range(1, len(b) + 1)) AS i FROM sp)),
+sr AS ({packed_sql('sq', 'doc_id, part', 'f.size + p.w <= 560')}),
+se AS (SELECT doc_id, part, 0 AS sub, t, w FROM sc WHERE w <= 560
+ UNION ALL SELECT doc_id, part, chunk, string_agg(t, ' ' ORDER BY i), CAST(sum(w) AS INT) FROM sq JOIN sr USING (doc_id, part, i) GROUP BY doc_id, part, chunk)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part, sub) - 1 AS INT) AS step, w AS len, md5(t) AS text_md5 FROM se"""
+
+
+@query("tr_segment_steps", "documents", SEGMENT_SQL)
 def tr_segment_steps(spark, sf):
     rows = doc_segments(spark, sf)
     return explode_items(rows, ["doc_id"], F.col("steps"), "step", "s").select(
