@@ -74,10 +74,11 @@ def near_fingerprints(train: DataFrame, test: DataFrame, limit: int = 5) -> Data
 def simhash_bits(docs: DataFrame, key: str, text: str) -> DataFrame:
     """64-bit simhash over the words (letters and digits of any script) of a text, as blocks; texts without a word are left out."""
     words = docs.select(key, F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+")).alias("w")).where("w <> ''")
-    h = F.xxhash64("w")
-    votes = [
-        F.sum(F.when(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)).alias(f"v{i}") for i in range(64)
-    ]
+    half = lambda i: F.conv(F.substring(F.md5("w"), 8 * i + 1, 8), 16, 10).cast("bigint")
+    # copies of a word in a text vote together, so its hash is taken once
+    words = words.groupBy(key, "w").agg(F.count(F.lit(1)).alias("n")).select(key, "n", half(0).alias("h0"), half(1).alias("h1"))
+    bit = lambda i: F.shiftright(f"h{i // 32}", i % 32).bitwiseAND(F.lit(1)) == 1
+    votes = [F.sum(F.when(bit(i), F.col("n")).otherwise(-F.col("n"))).alias(f"v{i}") for i in range(64)]
     summed = words.groupBy(key).agg(*votes)
     return summed.select(key, *[c.alias(n) for n, c in bit_blocks([(F.col(f"v{i}") > 0).cast("int") for i in range(64)]).items()])
 

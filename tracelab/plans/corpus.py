@@ -51,7 +51,21 @@ def cp_contamination(spark, sf):
     )
 
 
-@query("cp_contamination_text")
+def simhash_sql(source: str, key: str) -> str:
+    """64-bit simhash as a bit string, from the first 64 bits of each word's md5."""
+    bits = ", ".join(f"CASE WHEN sum(CASE WHEN (h{i // 32} >> {i % 32}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN '1' ELSE '0' END" for i in range(64))
+    half = lambda i: f"CAST('0x' || substr(md5(w), {8 * i + 1}, 8) AS BIGINT) AS h{i}"
+    words = f"SELECT {key}, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM {source}"
+    return f"SELECT {key}, concat({bits}) AS s FROM (SELECT {key}, {half(0)}, {half(1)} FROM ({words}) WHERE w <> '') GROUP BY {key}"
+
+
+@query(
+    "cp_contamination_text",
+    ("documents", "benchmark"),
+    f""", tr AS ({simhash_sql('documents', 'doc_id')}), te AS ({simhash_sql('benchmark', 'item_id')}),
+m AS (SELECT doc_id, min(hamming(tr.s, te.s)) AS distance, count(*) AS n_test FROM tr, te WHERE hamming(tr.s, te.s) < 5 GROUP BY doc_id)
+SELECT d.doc_id, m.doc_id IS NOT NULL AS contaminated, CAST(m.distance AS INT) AS distance, m.n_test FROM documents d LEFT JOIN m USING (doc_id)""",
+)
 def cp_contamination_text(spark, sf):
     docs = K.simhash_bits(table(spark, sf, "documents"), "doc_id", "text")
     items = K.simhash_bits(table(spark, sf, "benchmark"), "item_id", "text")
