@@ -483,7 +483,18 @@ def legacy_mix(spark, sf):
     return rows.withColumn("reward", 0.5 * F.col("acc") + 0.3 * F.col("taint") + 0.2 * F.col("fmt"))
 
 
-@query("rw_legacy_mix")
+FMT = f"""CASE WHEN contains(response, '<think>') AND contains(response, '</think>') THEN 0.25 + CASE WHEN len(list_filter(string_split(split_part(split_part(response, '<think>', 2), '</think>', 1), chr(10)), lambda x: {st('x')} <> '')) >= 3
+ THEN 0.5 ELSE 0 END ELSE 0 END + CASE WHEN contains(response, '<answer>') THEN 0.25 ELSE 0 END"""
+
+
+@query(
+    "rw_legacy_mix",
+    ("responses", "chart_cells"),
+    TAINT_SQL
+    + f""", lp AS (SELECT group_id, k, bench, v, CAST({SCORE_SQL['relaxed_match_legacy']} AS DOUBLE) AS acc, CAST({FMT} AS DOUBLE) AS fmt FROM (SELECT * FROM {train_sql('responses')})),
+lm AS (SELECT bench, v, acc, taint, fmt, 0.5 * acc + 0.3 * taint + 0.2 * fmt AS reward FROM lp JOIN tv USING (group_id, k))
+SELECT bench, v, count(*) AS n, {', '.join(f"{r6(f'avg({c})')} AS {c}_mean" for c in ('acc', 'taint', 'fmt', 'reward'))} FROM lm GROUP BY bench, v""",
+)
 def rw_legacy_mix(spark, sf):
     return (
         legacy_mix(spark, sf)
