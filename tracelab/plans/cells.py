@@ -213,7 +213,8 @@ def al_auc_lift(spark, sf):
     + f""", c AS (SELECT bench, model, {corr_sql('p', 'm')} AS r_pm FROM al9 GROUP BY bench, model)
 SELECT c.bench, c.model, auc_p.auc AS perception_auc, auc_m.auc AS mc_auc, r_pm,
  coalesce(auc_p.auc >= 0.65, FALSE) AS perception_ok, coalesce(auc_m.auc >= 0.70, FALSE) AS mc_ok,
- coalesce(r_pm BETWEEN 0.3 AND 0.7, FALSE) AS complementary_ok
+ coalesce(r_pm BETWEEN 0.3 AND 0.7, FALSE) AS complementary_ok,
+ CAST(coalesce(auc_p.auc >= 0.65, FALSE) AS INT) + CAST(coalesce(auc_m.auc >= 0.70, FALSE) AS INT) + CAST(coalesce(r_pm BETWEEN 0.3 AND 0.7, FALSE) AS INT) AS n_passed
 FROM c LEFT JOIN auc_p USING (bench, model) LEFT JOIN auc_m USING (bench, model)""",
 )
 def al_gates(spark, sf):
@@ -233,6 +234,7 @@ def al_gates(spark, sf):
                 "complementary_ok": ok(F.col("r_pm").between(0.3, 0.7)),
             }
         )
+        .withColumn("n_passed", sum(F.col(c).cast("int") for c in ("perception_ok", "mc_ok", "complementary_ok")))
     )
 
 

@@ -144,16 +144,16 @@ def cp_distill_override(spark, sf):
     "cp_retry_join",
     ("documents", "labels"),
     """, f AS (SELECT doc_id * 2 AS source_index, quality, toxic FROM labels WHERE quality = 0)
-SELECT source_index, coalesce(source, 'orphan') AS source, coalesce(n_chars, toxic) AS n_chars, d.doc_id IS NOT NULL AS matched FROM f LEFT JOIN documents d ON d.doc_id = f.source_index""",
+SELECT source_index, coalesce(source, 'orphan') AS source, lang, n_chars, quality, toxic, d.doc_id IS NOT NULL AS matched FROM f LEFT JOIN documents d ON d.doc_id = f.source_index""",
 )
 def cp_retry_join(spark, sf):
-    failed = table(spark, sf, "labels").where("quality = 0").selectExpr("doc_id * 2 AS source_index", "toxic")
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("source_index"), "source", "n_chars")
+    failed = table(spark, sf, "labels").where("quality = 0").selectExpr("doc_id * 2 AS source_index", "quality", "toxic")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("source_index"), "source", "lang", "n_chars", F.lit(True).alias("found"))
     return failed.join(docs, "source_index", "left").select(
         "source_index",
         F.coalesce("source", F.lit("orphan")).alias("source"),
-        F.coalesce("n_chars", "toxic").alias("n_chars"),
-        F.col("source").isNotNull().alias("matched"),
+        "lang", "n_chars", "quality", "toxic",
+        F.col("found").isNotNull().alias("matched"),
     )
 
 

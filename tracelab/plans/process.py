@@ -508,19 +508,20 @@ def rw_legacy_mix(spark, sf):
 
 @query(
     "rw_length_penalty",
-    "documents",
-    f"""SELECT lang, source, count(*) AS n, {r6('avg(p2)')} AS penalty_v2, {r6('avg(p3)')} AS penalty_v3, {r6('avg(greatest(0, 0.2 - p2))')} AS floored_v2, {r6('avg(greatest(0, 0.2 - p3))')} AS floored_v3
+    ("documents", "labels"),
+    f"""SELECT lang, source, count(*) AS n, {r6('avg(p2)')} AS penalty_v2, {r6('avg(p3)')} AS penalty_v3, {r6('avg(greatest(0, reward - p2))')} AS floored_v2, {r6('avg(greatest(0, reward - p3))')} AS floored_v3
  FROM (SELECT *, 0.2 * greatest(0, least(1, (w - 300) / 300.0)) AS p2, CASE WHEN w <= 250 THEN 0 ELSE 0.3 * least((w - 250) / 250.0, 1) END AS p3
- FROM (SELECT lang, source, {WORDS('text')} AS w FROM documents)) GROUP BY lang, source""".replace("SELECT lang, source, count", "SELECT lang, source, count"),
+ FROM (SELECT lang, source, {WORDS('text')} AS w, CAST(quality AS DOUBLE) AS reward FROM documents JOIN labels USING (doc_id))) GROUP BY lang, source""",
 )
 def rw_length_penalty(spark, sf):
     from tracelab.functions.text import words
     from tracelab.sources.fixtures import table
 
-    # real prose, so that lengths fall on both sides of the limits
-    rows = table(spark, sf, "documents").select("lang", "source", words(F.col("text")).alias("w"))
+    # real prose, so that lengths fall on both sides of the limits; the label is the reward
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    rows = rows.select("lang", "source", words(F.col("text")).alias("w"), F.col("quality").cast("double").alias("reward"))
     rows = rows.withColumns({"p2": R.length_penalty(F.col("w"), 2), "p3": R.length_penalty(F.col("w"), 3)})
-    floor = lambda c: F.greatest(F.lit(0.0), 0.2 - F.col(c))
+    floor = lambda c: F.greatest(F.lit(0.0), F.col("reward") - F.col(c))
     return rows.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg("p2"), 6).alias("penalty_v2"),
