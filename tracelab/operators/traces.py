@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelab.functions.text import explode_items, group, lines_of, or_empty, strip, words
+from tracelab.functions.text import explode_items, group, lines_of, or_empty, strip, sub, words
 
 # Discourse markers that open a step when they start a line.
 STEP_MARKERS = [
@@ -55,13 +55,13 @@ def measured(texts: Column, length=words) -> Column:
 
 
 def segment_steps(
-    df: DataFrame, text: str, out: str, low: int = 80, high: int = 560, separator: str = "\n\n", length=words
+    df: DataFrame, text: str, out: str, low: int = 80, high: int = 560, separator: str = "\n\n", length=words, split_at: str | None = None
 ) -> DataFrame:
     """Steps of a trace: blocks merged forward below ``low``, split at sentences above ``high``.
 
-    Both passes are folds over one trace's own blocks, so nothing is shuffled.
+    Blocks are joined by ``separator`` and cut at it, or at the pattern ``split_at``. Both passes are folds over one trace's own blocks, so nothing is shuffled.
     """
-    blocks = F.filter(F.transform(F.split(F.col(text), separator), strip), lambda b: b != "")
+    blocks = F.filter(F.transform(F.split(F.col(text), split_at or separator), strip), lambda b: b != "")
     df = df.withColumn("_blocks", measured(blocks, length))
     df = df.withColumn("_merged", pack(F.col("_blocks"), separator, lambda a, b: a + b < low))
     split = F.transform(
@@ -73,6 +73,14 @@ def segment_steps(
     return df.withColumn(out, F.flatten(split)).drop("_blocks", "_merged")
 
 
+BLANK_LINE = r"\n\s*\n"
+
+
+def before_answer(text: Column) -> Column:
+    """The trace without its final answer: from the first mention of one to the end."""
+    return strip(sub(text, r"(?is)\b(?:final answer|the answer is).*$"))
+
+
 def split_by_markers(df: DataFrame, text: str, out: str, most: int | None = None) -> DataFrame:
     """Split at marker lines, else pack sentences to about 200 characters; the long parts, or the first ``most`` of them."""
     # the very first piece counts one character more: packing starts from a blank

@@ -12,6 +12,9 @@ from tracelab.operators.scale import first_rows
 from tracelab.plans.answers import CONTENT, REASON, VERDICT_SQL, label_sql
 from tracelab.plans.claims import NF
 from tracelab.plans.inputdep import pct
+from tracelab.operators.inputdep import pattern_of
+from tracelab.plans.corpus import DIST_SQL, distilled
+from tracelab.plans.inputdep import PATTERN_V1, VD_SQL
 from tracelab.plans.registry import query, r6
 from tracelab.plans.sqltext import ra, rm, st
 from tracelab.sources.fixtures import view
@@ -171,3 +174,33 @@ def ft_top_examples(spark, sf):
     return first_rows(rows, ["bench", "model"], ["group_id", "k"], 3).select(
         "bench", "model", "group_id", "k", F.round("perception", 6).alias("perception"), "rn"
     )
+
+
+@query(
+    "ft_examples_by_rule",
+    "documents",
+    DIST_SQL
+    + """ SELECT rule, doc_id, family, CAST(rn AS INT) AS rn, n AS n_of_rule FROM (SELECT rule, doc_id, family, row_number() OVER (PARTITION BY rule ORDER BY doc_id) AS rn,
+ count(*) OVER (PARTITION BY rule) AS n FROM dr WHERE rule <> 'kept') WHERE rn <= 3""",
+)
+def ft_examples_by_rule(spark, sf):
+    """The first three documents that each quality rule drops, and how many it drops in all."""
+    rows = distilled(spark, sf).where("rule <> 'kept'").select("rule", "doc_id", "family")
+    counts = rows.groupBy("rule").agg(F.count(F.lit(1)).alias("n_of_rule"))
+    return first_rows(rows, ["rule"], ["doc_id"], 3).join(counts, "rule").select("rule", "doc_id", "family", "rn", "n_of_rule")
+
+
+@query(
+    "ft_examples_by_pattern",
+    "steps",
+    VD_SQL
+    + f""", p AS (SELECT sample_id, k, {PATTERN_V1} AS pattern FROM vd),
+r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY md5(concat_ws('|', CAST(sample_id AS VARCHAR), CAST(k AS VARCHAR))), sample_id, k) AS rn, count(*) OVER (PARTITION BY pattern) AS n FROM p)
+SELECT pattern, sample_id, k, CAST(rn AS INT) AS rn, n AS n_of_pattern FROM r WHERE rn <= 5""",
+)
+def ft_examples_by_pattern(spark, sf):
+    """Five random steps of each pattern, the same in every run, and how many there are."""
+    rows = view(spark, sf, "steps").select("sample_id", "k", pattern_of(F.col("mc_with"), F.col("mc_without")).alias("pattern"))
+    counts = rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n_of_pattern"))
+    ordered = rows.withColumn("_o", F.md5(F.concat_ws("|", F.col("sample_id").cast("string"), F.col("k").cast("string"))))
+    return first_rows(ordered, ["pattern"], ["_o", "sample_id", "k"], 5).join(counts, "pattern").select("pattern", "sample_id", "k", "rn", "n_of_pattern")

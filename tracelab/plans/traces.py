@@ -8,7 +8,7 @@ from tracelab.functions.text import explode_items
 from tracelab.operators import traces as G
 from tracelab.plans.answers import CONTENT, REASON
 from tracelab.plans.registry import query, r6
-from tracelab.plans.sqltext import ra, rm, rx, st
+from tracelab.plans.sqltext import ra, rm, rx, st, sub
 from tracelab.sources.fixtures import table, view
 
 BODY = r"(?s)<think>(.*?)</think>"
@@ -47,24 +47,47 @@ def packed_sql(source: str, keys: str, fits: str) -> str:
  UNION ALL SELECT {own}, p.i, CASE WHEN {fits} THEN f.size + p.w ELSE p.w END, CASE WHEN {fits} THEN f.chunk ELSE f.chunk + 1 END FROM f JOIN {source} p ON {on} AND p.i = f.i + 1) SELECT * FROM f)"""
 
 
-SEGMENT_SQL = f""", sl AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {st('x')}), lambda x: x <> '') AS b FROM documents),
-sb AS (SELECT *, {WORDS('t')} AS w FROM (SELECT doc_id, unnest(b) AS t, unnest(range(1, len(b) + 1)) AS i FROM sl)),
-sm AS ({packed_sql('sb', 'doc_id', 'f.size + p.w < 80')}),
-sc AS (SELECT doc_id, chunk AS part, string_agg(t, chr(10) ORDER BY i) AS t, CAST(sum(w) AS INT) AS w FROM sb JOIN sm USING (doc_id, i) GROUP BY ALL),
-sp AS (SELECT doc_id, part, string_split(regexp_replace(t, '([.!?])\\s+([A-Z])', concat('\\1', chr(1), '\\2'), 'g'), chr(1)) AS b FROM sc WHERE w > 560),
-sq AS (SELECT *, {WORDS('t')} AS w FROM (SELECT doc_id, part, unnest(b) AS t, unnest(range(1, len(b) + 1)) AS i FROM sp)),
-sr AS ({packed_sql('sq', 'doc_id, part', 'f.size + p.w <= 560')}),
-se AS (SELECT doc_id, part, 0 AS sub, t, w FROM sc WHERE w <= 560
- UNION ALL SELECT doc_id, part, chunk, string_agg(t, ' ' ORDER BY i), CAST(sum(w) AS INT) FROM sq JOIN sr USING (doc_id, part, i) GROUP BY doc_id, part, chunk)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part, sub) - 1 AS INT) AS step, w AS len, md5(t) AS text_md5 FROM se"""
+def segment_sql(source: str, keys: str, pieces: str, joiner: str, low: int, high: int = 560) -> str:
+    """Rows (keys, step, len, text_md5) of a source whose blocks are the list ``pieces``."""
+    return f""", sl AS (SELECT {keys}, list_filter(list_transform({pieces}, lambda x: {st('x')}), lambda x: x <> '') AS b FROM {source}),
+sb AS (SELECT *, {WORDS('t')} AS w FROM (SELECT {keys}, unnest(b) AS t, unnest(range(1, len(b) + 1)) AS i FROM sl)),
+sm AS ({packed_sql('sb', keys, f'f.size + p.w < {low}')}),
+sc AS (SELECT {keys}, chunk AS part, string_agg(t, {joiner} ORDER BY i) AS t, CAST(sum(w) AS INT) AS w FROM sb JOIN sm USING ({keys}, i) GROUP BY ALL),
+sp AS (SELECT {keys}, part, string_split(regexp_replace(t, '([.!?])\\s+([A-Z])', concat('\\1', chr(1), '\\2'), 'g'), chr(1)) AS b FROM sc WHERE w > {high}),
+sq AS (SELECT *, {WORDS('t')} AS w FROM (SELECT {keys}, part, unnest(b) AS t, unnest(range(1, len(b) + 1)) AS i FROM sp)),
+sr AS ({packed_sql('sq', keys + ', part', f'f.size + p.w <= {high}')}),
+se AS (SELECT {keys}, part, 0 AS sub, t, w FROM sc WHERE w <= {high}
+ UNION ALL SELECT {keys}, part, chunk, string_agg(t, ' ' ORDER BY i), CAST(sum(w) AS INT) FROM sq JOIN sr USING ({keys}, part, i) GROUP BY {keys}, part, chunk)
+SELECT {keys}, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY part, sub) - 1 AS INT) AS step, w AS len, md5(t) AS text_md5 FROM se"""
 
 
-@query("tr_segment_steps", "documents", SEGMENT_SQL)
+def step_rows(rows, keys):
+    return explode_items(rows, keys, F.col("steps"), "step", "s").select(*keys, "step", F.col("s.len").alias("len"), F.md5("s.text").alias("text_md5"))
+
+
+HARD_SQL = f""", hb AS (SELECT group_id, k, {st(sub(THINK_SQL, '(?is)\\b(?:final answer|the answer is).*$'))} AS text FROM served)""" + segment_sql(
+    "hb", "group_id, k", "string_split_regex(text, '\\n\\s*\\n')", "chr(10) || chr(10)", 60
+)
+
+
+@query("tr_segment_hard", "served", HARD_SQL)
+def tr_segment_hard(spark, sf):
+    """The hard-bench form: cut before the final answer, blank lines with white space, 60 words at least."""
+    text = G.before_answer(G.thinking_text(F.col("content"), F.col("reasoning_content")))
+    rows = view(spark, sf, "served").select("group_id", "k", text.alias("text"))
+    return step_rows(G.segment_steps(rows, "text", "steps", low=60, split_at=G.BLANK_LINE).drop("text"), ["group_id", "k"])
+
+
+@query("tr_segment_turns", "conversations", """, ct AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')""" + segment_sql("ct", "conv_id, turn", "string_split(text, chr(10))", "chr(10)", 80))
+def tr_segment_turns(spark, sf):
+    """Answers of the conversations cut into steps."""
+    rows = table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
+    return step_rows(G.segment_steps(rows, "text", "steps", separator="\n").drop("text"), ["conv_id", "turn"])
+
+
+@query("tr_segment_steps", "documents", segment_sql("documents", "doc_id", "string_split(text, chr(10))", "chr(10)", 80))
 def tr_segment_steps(spark, sf):
-    rows = doc_segments(spark, sf)
-    return explode_items(rows, ["doc_id"], F.col("steps"), "step", "s").select(
-        "doc_id", "step", F.col("s.len").alias("len"), F.md5("s.text").alias("text_md5")
-    )
+    return step_rows(doc_segments(spark, sf), ["doc_id"])
 
 
 @query("tr_split_markers")
