@@ -9,7 +9,7 @@ from tracelab.llm.common import plain_text, staged
 
 EDITS = 2  # insertions, deletions and substitutions of a link, at most
 LEAST_CHARS = 24  # shorter lines are never dropped and link with nothing
-LETTERS = "eatniorh"  # letters whose counts may differ by 2 * EDITS in sum
+LETTERS = "eatniorhsldcumgb"  # letters whose counts may differ by 2 * EDITS in sum
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -26,20 +26,22 @@ def segment(length: Column, number: int, edits: int = EDITS) -> tuple[Column, Co
     return start, base + (F.lit(number + 0) > parts - longer).cast("int")
 
 
+def key(length: Column, number: int, start: Column, width: Column) -> Column:
+    """Hash of a length, a segment's number and the characters there; ``wide`` has four bytes a character, so a slice needs no scan."""
+    return F.xxhash64(length, F.lit(number), F.substring("wide", 4 * start - 3, 4 * width))
+
+
 def index_keys(edits: int = EDITS) -> Column:
     """Keys under which a line waits: its length and each of its segments."""
-    keys = []
-    for i in range(1, edits + 2):
-        start, width = segment(F.col("n"), i, edits)
-        keys.append(F.xxhash64(F.col("n"), F.lit(i), F.substring("line", start, width)))
-    return F.array(*keys)
+    return F.array(*[key(F.col("n"), i, *segment(F.col("n"), i, edits)) for i in range(1, edits + 2)])
 
 
 def probe_keys(edits: int = EDITS) -> Column:
     """Keys at which a line asks for lines of its own length or up to EDITS less.
 
     A line within EDITS edits keeps a segment unchanged whose shift is bounded from both ends: the edits before it and the edits
-    behind it, which leaves a few starts for each segment and length.
+    behind it, which leaves a few starts for each segment and length. Lines of one length and segments in place are left
+    out: there the index meets itself.
     """
     keys = []
     for less in range(edits + 1):
@@ -47,25 +49,26 @@ def probe_keys(edits: int = EDITS) -> Column:
         for i in range(1, edits + 2):
             start, width = segment(length, i, edits)
             for shift in range(max(1 - i, less - (edits + 1 - i)), min(i - 1, less + (edits + 1 - i)) + 1):
-                keys.append(F.xxhash64(length, F.lit(i), F.substring("line", start + shift, width)))
+                if less or shift:
+                    keys.append(key(length, i, start + shift, width))
     return F.array(*keys)
 
 
 def letter_counts() -> Column:
-    """Counts of eight letters, eight bits each, in one number."""
+    """Counts of sixteen letters, four bits each, in one number."""
     out = F.lit(0).cast("bigint")
     for i, c in enumerate(LETTERS):
-        count = F.length("line") - F.length(F.replace(F.col("line"), F.lit(c), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft((count % 256).cast("bigint"), 8 * i))
+        count = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft((count % 16).cast("bigint"), 4 * i))
     return out
 
 
 def counts_fit(a: str, b: str, edits: int = EDITS) -> Column:
-    """True wherever the letter counts allow EDITS edits (counts modulo 256: never false for a link)."""
+    """True wherever the letter counts allow EDITS edits (counts modulo 16: never false for a link)."""
     total = "0"
     for i in range(len(LETTERS)):
-        x = f"abs(((shiftrightunsigned({a}, {8 * i}) & 255) - (shiftrightunsigned({b}, {8 * i}) & 255)))"
-        total += f" + least({x}, 256 - {x})"
+        x = f"abs(((shiftrightunsigned({a}, {4 * i}) & 15) - (shiftrightunsigned({b}, {4 * i}) & 15)))"
+        total += f" + least({x}, 16 - {x})"
     return F.expr(f"({total}) <= {2 * edits}")
 
 
@@ -99,10 +102,10 @@ def distance(a: str, b: str, edits: int = EDITS) -> Column:
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """Each different line once: ``h`` (hash), ``line``, ``n``, first place ``doc_id, at`` and number of ``copies``."""
+    """Each different line once: ``h`` (hash), ``c`` (letter counts), ``line``, ``n``, first place ``doc_id, at`` and number of ``copies``."""
     lines = lines_of(docs).where("doc_id is not null")
     grouped = lines.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("p"), F.count(F.lit(1)).alias("copies"))
-    return grouped.select(F.xxhash64("line").alias("h"), "line", F.length("line").alias("n"), "p.doc_id", "p.at", "copies")
+    return grouped.select(F.xxhash64("line").alias("h"), letter_counts().alias("c"), "line", F.length("line").alias("n"), "p.doc_id", "p.at", "copies")
 
 
 def links(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -113,10 +116,12 @@ def links(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
     common line has one row per key. Lines go by a 64-bit hash until the verification, which compares the texts of every
     line of either hash, so equal hashes of different lines lose nothing.
     """
-    thin = distinct.withColumn("c", letter_counts())
-    waiting = thin.select(F.explode(index_keys(edits)).alias("key"), F.col("h").alias("x"), F.col("c").alias("cx"))
-    asking = thin.select(F.explode(probe_keys(edits)).alias("key"), F.col("h").alias("y"), F.col("c").alias("cy"))
-    pairs = waiting.join(asking, "key").where((F.col("x") != F.col("y")) & counts_fit("cx", "cy", edits))
+    wide = distinct.select("h", "c", "n", F.encode("line", "UTF-32").alias("wide"))
+    rows = lambda keys, h, c: wide.select(F.explode(keys).alias("key"), F.col("h").alias(h), F.col("c").alias(c))
+    waiting, asking = rows(index_keys(edits), "x", "cx"), rows(probe_keys(edits), "y", "cy")
+    in_place = waiting.join(rows(index_keys(edits), "y", "cy"), "key").where((F.col("x") < F.col("y")) & counts_fit("cx", "cy", edits))
+    shifted = waiting.join(asking, "key").where((F.col("x") != F.col("y")) & counts_fit("cx", "cy", edits))
+    pairs = in_place.select("x", "y").unionByName(shifted.select("x", "y"))
     pairs = staged(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
     texts = staged(distinct.join(wanted.hint("shuffle_hash"), "h", "left_semi").select("h", "line", "doc_id", "at"), "line-texts")
@@ -138,7 +143,7 @@ def decisions(docs: DataFrame) -> DataFrame:
     drop nothing; a row that repeats a ``doc_id`` and text shares its places, so its lines stay or go as in the first.
     """
     docs = docs.select("doc_id", "text")
-    distinct = staged(distinct_lines(docs), "lines")
+    distinct = staged(distinct_lines(docs), "lines", "zstd")
     near = links(distinct).select(F.col("b_doc").alias("doc_id"), F.col("b_at").alias("at")).distinct().withColumn("near", F.lit(True))
     kinds = distinct.select("h", "line", "doc_id", "at", "copies").join(near, ["doc_id", "at"], "left").where("near or copies > 1")
     kinds = kinds.select(F.xxhash64("line", F.lit(1)).alias("h2"), "h", F.col("doc_id").alias("f_doc"), F.col("at").alias("f_at"), "near")
