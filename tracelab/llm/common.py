@@ -21,17 +21,18 @@ def shipped(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps reuse it and no lost executor recomputes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) -> None:
     """Bound what one Arrow batch of whole texts holds, so that a Python worker's memory does not grow with the table."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
