@@ -145,8 +145,9 @@ def decisions(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     distinct = staged(distinct_lines(docs), "lines", "zstd")
     near = links(distinct).select(F.col("b_doc").alias("doc_id"), F.col("b_at").alias("at")).distinct().withColumn("near", F.lit(True))
-    kinds = distinct.select("h", "line", "doc_id", "at", "copies").join(near, ["doc_id", "at"], "left").where("near or copies > 1")
-    kinds = kinds.select(F.xxhash64("line", F.lit(1)).alias("h2"), "h", F.col("doc_id").alias("f_doc"), F.col("at").alias("f_at"), "near")
+    # both hashes are taken below the join, so that no text moves
+    kinds = distinct.select("h", F.xxhash64("line", F.lit(1)).alias("h2"), "doc_id", "at", "copies").join(near, ["doc_id", "at"], "left")
+    kinds = kinds.where("near or copies > 1").select("h", "h2", F.col("doc_id").alias("f_doc"), F.col("at").alias("f_at"), "near")
     places = lines_of(docs).where("doc_id is not null").select("doc_id", "at", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"))
     is_first = (F.col("doc_id") == F.col("f_doc")) & (F.col("at") == F.col("f_at"))
     return (
