@@ -49,7 +49,7 @@ def first_rows(df: DataFrame, keys: list[str], order: list, n: int, name: str =
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)
 
 
-CUTS = 64  # quantile bins of a group whose value range is not known
+PARTS = 256  # bins of each power of two, where the value range of a group is not known
 
 
 def ranked_histogram(
@@ -66,18 +66,18 @@ def ranked_histogram(
     ``below_<w>`` sums the weight over strictly smaller values of the group. Rows are first
     reduced to distinct values; these are cut into value bins so that the running sums of a
     group run in up to ``bins`` tasks, and the bin totals (at most ``bins`` rows per group)
-    give the offsets. With ``low``/``high`` the range is known (a score) and the bins are equally wide; else they are cut
-    at estimated quantiles of the group's distinct values, so that heavy tails fill no single bin. The estimate
-    only places the cuts; the result is exact.
+    give the offsets. With ``low``/``high`` the range is known (a score) and the bins are equally wide; else a bin is
+    the 256th part of a power of two, so that heavy tails fill no single bin and no range has to be measured.
     """
     names = list(weights)
     hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         *[agg.alias(name) for name, agg in weights.items()]
     )
     if low is None:
-        points = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-        cuts = hist.groupBy(*keys).agg(F.percentile_approx(value, points, F.lit(1000)).alias("_cuts"))
-        hist = hist.join(cuts, keys).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+        size = F.abs(F.col(value).cast("double"))
+        power = F.floor(F.log2(size))
+        place = (power + 1100) * PARTS + F.floor((size / F.pow(F.lit(2.0), power) - 1) * PARTS) + 1
+        hist = hist.withColumn("_bin", F.when(size == 0, 0).otherwise(F.signum(F.col(value).cast("double")) * place).cast("bigint"))
     else:
         share = (F.col(value) - float(low)) / (float(high) - float(low))
         hist = hist.withColumn("_bin", F.floor(share * bins))
