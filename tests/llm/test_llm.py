@@ -492,6 +492,16 @@ def test_lines_of_odd_rows(spark):
     assert len(got) == 11 and all(r["dropped"] == ("0" if r["doc_id"] == 2 else "") for r in got)
 
 
+def test_copies_of_short_lines(spark):
+    texts = ["Les.\nAnd ornd.\n\n \t", "And ornd.\nLes!\n" + "a line long enough to link", "Les.\nLes.\n\n" + "a line long enough to think"]
+    docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(None, "Les.", "s")], extra=True)
+    gone = {(r["doc_id"], r["at"], r["reason"]) for r in editlines.decisions(docs, short=True).collect()}
+    assert gone == {(1, 0, "copy"), (2, 0, "copy"), (2, 1, "copy"), (2, 3, "near")}
+    clean = {r["doc_id"]: r["text"] for r in editlines.without_repeats(docs, short=True).collect()}
+    assert clean == {0: texts[0], 1: "Les!\na line long enough to link", 2: "", None: "Les."}
+    assert {r["doc_id"]: r["dropped"] for r in editlines.report(docs, short=True).collect()} == {0: "", 1: "0", 2: "0,1,3", None: ""}
+
+
 # pipeline
 
 

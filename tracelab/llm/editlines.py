@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tracelab.llm.common import plain_text, staged
 
 EDITS = 2  # insertions, deletions and substitutions of a link, at most
-LEAST_CHARS = 24  # shorter lines are never dropped and link with nothing
+LEAST_CHARS = 24  # shorter lines link with nothing; their copies go only where ``short`` is set
 LETTERS = "eatniorhsldcumgb"  # letters whose counts may differ by 2 * EDITS in sum
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """Lines (split at line feeds) of LEAST_CHARS characters or more: ``doc_id, at, line``; ``at`` counts all lines from 0."""
+def lines_of(docs: DataFrame, short: bool = False) -> DataFrame:
+    """Lines (split at line feeds) of LEAST_CHARS characters or more, with ``short`` all lines with a word: ``doc_id, at, line``; ``at`` counts all lines from 0."""
     split = docs.select("doc_id", F.posexplode(F.split(plain_text(), "\n")).alias("at", "line"))
-    return split.where(F.length("line") >= LEAST_CHARS)
+    return split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]") if short else F.length("line") >= LEAST_CHARS)
 
 
 def segment(length: Column, number: int, edits: int = EDITS) -> tuple[Column, Column]:
@@ -101,9 +101,9 @@ def distance(a: str, b: str, edits: int = EDITS) -> Column:
     )
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
+def distinct_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """Each different line once: ``h`` (hash), ``c`` (letter counts), ``line``, ``n``, first place ``doc_id, at`` and number of ``copies``."""
-    lines = lines_of(docs).where("doc_id is not null")
+    lines = lines_of(docs, short).where("doc_id is not null")
     grouped = lines.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("p"), F.count(F.lit(1)).alias("copies"))
     return grouped.select(F.xxhash64("line").alias("h"), letter_counts().alias("c"), "line", F.length("line").alias("n"), "p.doc_id", "p.at", "copies")
 
@@ -135,20 +135,23 @@ def links(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
     ).select("a", "b", F.col("p.doc_id").alias("a_doc"), F.col("p.at").alias("a_at"), F.col("q.doc_id").alias("b_doc"), F.col("q.at").alias("b_at"), "distance")
 
 
-def decisions(docs: DataFrame) -> DataFrame:
+def decisions(docs: DataFrame, short: bool = False) -> DataFrame:
     """One row per dropped line: ``doc_id, at, reason``.
 
     A line goes as ``copy`` if it equals an earlier line (by doc_id, then line number), as ``near`` if it is the first of its kind but
     within EDITS edits of a line that occurs earlier. Null texts have no lines; lines of a null ``doc_id`` are never dropped and
     drop nothing; a row that repeats a ``doc_id`` and text shares its places, so its lines stay or go as in the first.
+
+    Lines under LEAST_CHARS characters stay, as the check SQL has it. With ``short`` those with a word go as ``copy`` like all others,
+    by the same grouping; their edit bound is 0, as two edits would turn one short line into another one.
     """
     docs = docs.select("doc_id", "text")
-    distinct = staged(distinct_lines(docs), "lines", "zstd")
-    near = links(distinct).select(F.col("b_doc").alias("doc_id"), F.col("b_at").alias("at")).distinct().withColumn("near", F.lit(True))
+    distinct = staged(distinct_lines(docs, short), "lines", "zstd")
+    near = links(distinct.where(F.col("n") >= LEAST_CHARS) if short else distinct).select(F.col("b_doc").alias("doc_id"), F.col("b_at").alias("at")).distinct().withColumn("near", F.lit(True))
     # both hashes are taken below the join, so that no text moves
     kinds = distinct.select("h", F.xxhash64("line", F.lit(1)).alias("h2"), "doc_id", "at", "copies").join(near, ["doc_id", "at"], "left")
     kinds = kinds.where("near or copies > 1").select("h", "h2", F.col("doc_id").alias("f_doc"), F.col("at").alias("f_at"), "near")
-    places = lines_of(docs).where("doc_id is not null").select("doc_id", "at", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"))
+    places = lines_of(docs, short).where("doc_id is not null").select("doc_id", "at", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"))
     is_first = (F.col("doc_id") == F.col("f_doc")) & (F.col("at") == F.col("f_at"))
     return (
         places.join(kinds, ["h", "h2"])
@@ -158,10 +161,10 @@ def decisions(docs: DataFrame) -> DataFrame:
     )
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, short: bool = False) -> DataFrame:
     """Per document: ``doc_id, n_lines, n_copy, n_near, dropped`` (numbers of the dropped lines, comma-joined)."""
     docs = docs.select("doc_id", "text")
-    gone = decisions(docs).groupBy("doc_id").agg(
+    gone = decisions(docs, short).groupBy("doc_id").agg(
         F.count(F.when(F.col("reason") == "copy", 1)).alias("n_copy"),
         F.count(F.when(F.col("reason") == "near", 1)).alias("n_near"),
         F.array_join(F.array_sort(F.collect_set("at")), ",").alias("dropped"),
@@ -171,9 +174,9 @@ def report(docs: DataFrame) -> DataFrame:
     return counted.join(gone, "doc_id", "left").select("doc_id", "n_lines", zero("n_copy"), zero("n_near"), F.coalesce("dropped", F.lit("")).alias("dropped"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, short: bool = False) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``; a document may end up empty, null texts stay null."""
-    gone = decisions(docs).groupBy("doc_id").agg(F.collect_set("at").alias("_gone"))
+    gone = decisions(docs, short).groupBy("doc_id").agg(F.collect_set("at").alias("_gone"))
     kept = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (x, i) -> struct(x, i)), s -> not array_contains(_gone, s.i)), s -> s.x), '\\n')")
     return docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_gone")
 
