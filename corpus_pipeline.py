@@ -22,10 +22,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id stays of every near-duplicate class."""
-    classes = minhash.near_duplicates(docs)
-    gone = classes.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The document with the smallest id stays of every near-duplicate class, and one row of those that repeat an id and text.
+
+    Rows of a null ``doc_id`` are linked with nothing and stay. An id names one document: if a row of it goes, all do.
+    """
+    classes = minhash.near_duplicates(docs).where("doc_id is not null")
+    marks = classes.groupBy("doc_id").agg(F.max(~F.col("kept")).alias("gone"), F.count(F.lit(1)).alias("rows")).where("gone or rows > 1")
+    marks = staged(marks, "near-marks")
+    ids = lambda condition: marks.where(condition).select("doc_id")
+    kept = docs.join(ids("gone"), "doc_id", "left_anti")
+    if ids("not gone").isEmpty():
+        return kept
+    # only rows of repeated ids are compared; of equal ones the first by all columns stays
+    repeated = kept.join(ids("not gone"), "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    return kept.join(ids("not gone"), "doc_id", "left_anti").unionByName(repeated.select("_row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

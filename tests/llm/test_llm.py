@@ -533,3 +533,14 @@ def test_pipeline_matches_brute_force(spark, sf, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         odd = stage(spark, odd, str(tmp_path))
         odd.collect()
+
+
+def test_near_duplicates_stage_keeps_rows_without_id(spark, tmp_path):
+    rng = random.Random(19)
+    a, b, c = (prose(rng, 80, 10**6) for _ in range(3))
+    rows = [(None, a, "s1"), (None, a, "s1"), (None, b, "s2"), (None, None, None), (1, a, "s1"), (2, a, "s1"), (3, b, "s2"), (3, b, "s2"), (3, b, "s1"), (4, None, "s1"), (4, None, "s1"), (5, c, None)]
+    docs = docs_of(spark, rows)
+    want = [(None, a, "s1"), (None, a, "s1"), (None, b, "s2"), (None, None, None), (1, a, "s1"), (3, b, "s1"), (4, None, "s1"), (5, c, None)]
+    out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert collections.Counter((r["doc_id"], r["text"], r["source"]) for r in out.collect()) == collections.Counter(want)
