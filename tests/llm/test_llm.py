@@ -351,6 +351,31 @@ def test_secret_network_on_held_out_findings():
     assert ((a * z + b > 0) == labels[400:]).mean() > 0.98
 
 
+def test_secret_findings_count_wherever_they_are(spark):
+    rng = random.Random(20)
+    ids = [r["id"] for r in spark.range(13_000).orderBy(F.xxhash64("id", F.lit(7)), "id").collect()]
+    value = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(20))
+    host = lambda: ".".join(str(rng.randrange(100, 256)) for _ in range(4))
+    texts = {i: f"see host {host()} or ask" for i in ids[:300]} | {i: f"with the code {value()} at hand" for i in ids[-300:]}
+    docs = docs_of(spark, [(i, texts.get(i, "plain words"), "s") for i in ids] + [(None, f"x {value()}", "s")], extra=True)
+    model = secretscan.learn(docs)
+    held = [r for r in secretscan.labelled(docs).where("held and label = 1").collect()]
+    z = secretscan.logits(model["net"], [secretscan.encoded(r["context"], r["start"], r["end"]) for r in held])
+    p = 1 / (1 + secretscan.np.exp(-(model["scale"] * z + model["offset"])))
+    assert len(held) > 50 and (p >= model["threshold"]).mean() >= secretscan.RECALL and model["threshold"] > 0.1
+    assert secretscan.learn(docs.where(F.col("text").contains("words"))) is None
+
+
+def test_secret_threshold():
+    import numpy as np
+
+    p, count = np.array([0.9, 0.2, 0.5]), np.array([900, 20, 80])
+    assert secretscan.threshold(p, count) == 0.5 and secretscan.threshold(p, np.array([900, 21, 79])) == 0.2
+    assert secretscan.calibrated(np.array([-1.0, 2.0]), np.array([0, 1]), np.array([3, 2])) == pytest.approx(
+        secretscan.calibrated(np.array([-1.0, -1, -1, 2, 2]), np.array([0, 0, 0, 1, 1]))
+    )
+
+
 # quality rules
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import shipped, small_batches
+from tracelab.llm.common import shipped, small_batches, staged
 
 shipped(__name__)
 
@@ -27,7 +27,8 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")  # every base match holds such a run, and every candidate is one
 BEFORE, AFTER = 24, 8  # characters of context on either side of a candidate
 WIDTH, DEPTH, FILTERS = 5, 4, 24
-SAMPLE_DOCS, SAMPLE_CANDIDATES = 12_000, 20_000  # bounds of what the network is fitted on
+SAMPLE_CANDIDATES = 20_000  # bound of what the network is fitted on, half of it for each label
+BIN, FURTHEST = 1 / 64, 64  # width of a bin of held-out logits, and where the last bins begin
 RECALL = 0.98  # share of held-out findings that the threshold must keep
 EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 800, 64, 0.02
 
@@ -123,25 +124,20 @@ def logits(net: dict, data: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([forward(net, data[i : i + 256])[0] for i in range(0, len(data), 256)]) if data else np.zeros(0)
 
 
-def calibrated(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of Platt's scaling, by a few damped Newton steps."""
+def calibrated(z: np.ndarray, labels: np.ndarray, count: np.ndarray | float = 1.0) -> tuple[float, float]:
+    """Slope and offset of Platt's scaling, by a few damped Newton steps; every logit stands for ``count`` candidates."""
     a, b = 1.0, 0.0
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        g, w = p - labels, p * (1 - p)
+        g, w = count * (p - labels), count * p * (1 - p)
         hessian = np.array([[(w * z * z).sum() + 1e-2, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-2]])
         step = np.linalg.solve(hessian, [(g * z).sum() + 1e-2 * (a - 1), g.sum() + 1e-2 * b])
         a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
     return float(a), float(b)
 
 
-def learn(docs: DataFrame) -> dict | None:
-    """Fit, calibrate and choose the threshold on labelled findings of at most SAMPLE_DOCS documents, first by hash of the id.
-
-    A candidate is a finding (label 1) if it meets a base span. A third of the candidates, by hash of their context, is held out:
-    it sets Platt's scaling and the largest threshold that still keeps RECALL of its findings. None where one label is missing.
-    """
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(SAMPLE_DOCS)
+def labelled(docs: DataFrame) -> DataFrame:
+    """Every different candidate of all documents with an id: ``context, start, end, label, h, held``; a third is held out, by hash."""
 
     def extract(batches):
         for batch in batches:
@@ -156,20 +152,50 @@ def learn(docs: DataFrame) -> dict | None:
                     out.append((text[low : b + AFTER], a - low, b - low, int(found)))
             yield pd.DataFrame(out, columns=["context", "start", "end", "label"])
 
-    found = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(extract, "context string, start int, end int, label int")
+    found = docs.where("doc_id is not null").select("text").mapInPandas(extract, "context string, start int, end int, label int")
     found = found.distinct().withColumn("h", F.xxhash64("context", F.lit(9)))
-    both = [found.where(f"label = {q}").orderBy("h", "context", "start").limit(SAMPLE_CANDIDATES // 2).collect() for q in (0, 1)]
-    rows = sorted((r for part in both for r in part), key=lambda r: (r["h"], r["context"], r["start"]))
-    labels = np.array([r["label"] for r in rows])
-    held = np.array([r["h"] % 3 == 0 for r in rows], bool)
-    if any(((labels == q) & (held == h)).sum() < 3 for q in (0, 1) for h in (True, False)):
+    return found.withColumn("held", F.pmod("h", F.lit(3)) == 0)
+
+
+def threshold(p: np.ndarray, count: np.ndarray) -> float:
+    """The largest of ``p`` that leaves RECALL of the findings at or above it; ``count`` findings have each."""
+    order = np.argsort(p)
+    return float(p[order][np.searchsorted(np.cumsum(count[order]), int((1 - RECALL) * count.sum()), side="right")])
+
+
+def learn(docs: DataFrame) -> dict | None:
+    """Fit on a sample of the labelled candidates of all documents; calibrate and choose the threshold on all that are held out.
+
+    A candidate is a finding (label 1) if it meets a base span. A third of the candidates, by hash of their context, is held out. Of the
+    others about SAMPLE_CANDIDATES / 2 of each label, by the same hash, fit the network. Held-out logits reach the driver as
+    counts per label and bin of BIN; they set Platt's scaling and the largest bin edge that still keeps RECALL of the findings.
+    None where one label is missing in either part.
+    """
+    found = staged(labelled(docs), "candidates", "zstd")
+    sizes = {(r["label"], r["held"]): r["count"] for r in found.groupBy("label", "held").count().collect()}
+    if any(sizes.get((q, h), 0) < 3 for q in (0, 1) for h in (True, False)):
         return None
-    data = [encoded(r["context"], r["start"], r["end"]) for r in rows]
-    net = fit([c for c, h in zip(data, held) if not h], labels[~held])
-    z = logits(net, [c for c, h in zip(data, held) if h])
-    a, b = calibrated(z, labels[held])
-    p = np.sort(1 / (1 + np.exp(-(a * z + b)))[labels[held] == 1])
-    return {"net": net, "scale": a, "offset": b, "threshold": float(p[int((1 - RECALL) * len(p))])}
+    # by a share of the hash range, so that no task ranks the candidates of all others
+    least = {q: int(min(1.0, SAMPLE_CANDIDATES / 2 / sizes[q, False]) * (1 << 40)) for q in (0, 1)}
+    picked = F.shiftrightunsigned("h", 24) < F.when(F.col("label") == 1, F.lit(least[1])).otherwise(F.lit(least[0]))
+    rows = sorted(found.where(~F.col("held") & picked).collect(), key=lambda r: (r["h"], r["context"], r["start"]))
+    labels = np.array([r["label"] for r in rows])
+    net = fit([encoded(r["context"], r["start"], r["end"]) for r in rows], labels)
+
+    def score(batches):
+        for batch in batches:
+            z = logits(net, [encoded(t, a, b) for t, a, b in zip(batch["context"], batch["start"], batch["end"])])
+            yield pd.DataFrame({"label": batch["label"], "bin": np.floor(np.clip(z, -FURTHEST, FURTHEST) / BIN).astype(np.int64)})
+
+    scored = found.where("held").select("context", "start", "end", "label").mapInPandas(score, "label int, bin bigint")
+    got = scored.groupBy("label", "bin").count().collect()
+    label, low, count = (np.array([r[c] for r in got], float) for c in ("label", "bin", "count"))
+    a, b = calibrated((low + 0.5) * BIN, label, count)
+    # the edge of a bin that scores lower; beyond FURTHEST there is none
+    edge = np.where(low * BIN <= -FURTHEST, -np.inf, low * BIN) if a >= 0 else np.where(low * BIN >= FURTHEST, np.inf, (low + 1) * BIN)
+    with np.errstate(over="ignore"):
+        p = 1 / (1 + np.exp(-(a * edge + b)))
+    return {"net": net, "scale": a, "offset": b, "threshold": threshold(p[label == 1], count[label == 1])}
 
 
 def spans_of(text: str | None, model: dict | None) -> list[tuple[int, int, str]]:
