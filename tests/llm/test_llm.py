@@ -314,6 +314,29 @@ def test_bad_template_is_rejected(spark):
     assert got == {("/spam/*", "block"), ("/news/*", "allow")}
 
 
+def test_bad_section_among_many(spark):
+    pages = [(i, f"http://h.com/{'abcdefghijklmnopqrstuvwxy'[i % 25]}/{i}") for i in range(2500)]
+    labels = [(i, int(i % 25 == 7)) for i in range(0, 2500, 2)]
+    judged = urls.judged(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "page_id bigint, bad int"))
+    got = collections.defaultdict(set)
+    for r in judged.collect():
+        got[r["verdict"]].add(r["path"].split("/")[1])
+    assert got == {"block": {"h"}, "allow": set("abcdefgijklmnopqrstuvwxy")}
+
+
+def test_bad_branch_far_down(spark):
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    pages = [(i, f"http://h.com/a/b/c/d/{'bad' if i % 4 == 0 else 'good'}/{word(i)}/x") for i in range(800)]
+    pages += [(900, "http://h.com"), (901, "http://h.com/a/b"), (902, "http://other.com/a/b/c/d/bad/1/2/3")]
+    labels = [(i, int(i % 4 == 0)) for i in range(0, 800, 2)] + [(900, 0), (901, 0)]
+    judged = urls.judged(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "page_id bigint, bad int"))
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in judged.collect()}
+    assert len(got) == len(pages)
+    assert all(got[i][1] == ("block" if i % 4 == 0 else "allow") for i in range(800))
+    assert {got[i][0].split("/")[5] for i in range(0, 800, 4)} == {"bad"} and len(got[0][0].split("/")) == 8
+    assert got[900] == ("/", "allow") and got[902] == ("/*/*/*/*/*/*/*/*", "allow")
+
+
 # secrets
 
 

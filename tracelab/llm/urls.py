@@ -10,8 +10,9 @@ from tracelab.llm.common import staged
 #: Rules: (rule, verdict).
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
-DEPTH = 4  # levels of the tree; deeper segments stay together in the last one
-RARE = 20  # a segment seen in under 1/RARE of its parent's pages is variable
+DEPTH = 4  # levels of the check SQL; the tree goes as deep as the paths
+RARE = 20  # a segment seen in under 1/RARE of its parent's pages is variable, if it has fewer than ENOUGH labelled pages
+ENOUGH = 10
 SIMILAR = 3.84  # chi-square, one degree of freedom, 5 %: below it two branches count as one
 WEIGHT = 4  # weight of the overall share of bad pages in a template's share
 REJECT = 0.5
@@ -40,9 +41,10 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = R
     """Verdict on every page: ``page_id, host, path, rule, verdict, template``.
 
     ``labels`` has ``page_id, bad`` (1 bad, 0 good) for some pages. Digits inside a path segment become ``*``; then,
-    level by level from the host down, a segment becomes ``*`` where it is rare among its parent's pages or where its
-    labelled pages do not differ from its siblings' (chi-square), so that alike branches share one template. A
-    template is rejected if its share of bad labelled pages, drawn towards the overall share, is REJECT or more. All
+    level by level from the host down, a segment becomes ``*`` where its labelled pages do not differ from its siblings'
+    (chi-square), so that alike branches share one template, or where it is rare among its parent's pages and has fewer than
+    ENOUGH labelled ones. A level is built while some template has two different labelled paths, one of them deeper; below
+    that nothing can differ and all segments are ``*``. A template is rejected if its share of bad labelled pages, drawn towards the overall share, is REJECT or more. All
     steps run on page counts per host and digit-free path, combined before the shuffle, so a host with a third of all
     pages is a few rows.
 
@@ -52,36 +54,49 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = R
     host, path = host_path(F.col("url").cast("string"))
     base = pages.select("page_id", host.alias("host"), path.alias("path"))
     segments = F.expr("filter(split(path, '/'), x -> x != '')")
-    base = base.withColumn("_s", F.transform(segments, lambda x: F.regexp_replace(x, "[0-9]+", "*")))
-    levels = [f"a{d}" for d in range(1, DEPTH + 1)]
-    tail = F.concat_ws("/", F.slice("_s", DEPTH, 2_000_000_000))
-    base = base.withColumns({a: F.coalesce(F.try_element_at("_s", F.lit(d)), F.lit("")) if d < DEPTH else tail for d, a in enumerate(levels, 1)})
+    base = base.withColumn("_k", F.array_join(F.transform(segments, lambda x: F.regexp_replace(x, "[0-9]+", "*")), "/"))
     known = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    keys = ["host", *levels]
-    shapes = base.join(known, "page_id", "left").groupBy(*keys).agg(
+    shapes = base.join(known, "page_id", "left").groupBy("host", "_k").agg(
         F.count(F.lit(1)).alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).cast("bigint").alias("bad")
     )
-    shapes = staged(shapes, "shapes")
-    parent = ["host"]
-    for d, a in enumerate(levels, 1):
-        child = shapes.groupBy(*parent, a).agg(*[F.sum(c).alias(c) for c in ("n", "lab", "bad")])
-        whole = child.groupBy(*parent).agg(*[F.sum(c).alias(f"{c}_p") for c in ("n", "lab", "bad")])
+    parts = F.when(F.col("_k") == "", F.array().cast("array<string>")).otherwise(F.split("_k", "/"))
+    left = staged(shapes.select("*", parts.alias("_s"), F.lit("").alias("t")), "shapes")
+    done, d = [], 0  # ``t`` is the template's first d segments, each behind a slash
+    while True:
+        deep = F.when(F.col("lab") > 0, F.size("_s"))
+        groups = left.groupBy("host", "t").agg(((F.count(deep) > 1) & F.coalesce(F.max(deep) > d, F.lit(False))).alias("_open"))
+        left = staged(left.join(groups, ["host", "t"]), f"groups-{d}")
+        done.append(left.where("not _open").withColumn("t", F.concat("t", F.repeat(F.lit("/*"), F.size("_s") - d))))
+        left = left.where("_open").drop("_open")
+        if left.isEmpty():
+            break
+        d += 1
+        left = left.withColumn("a", F.coalesce(F.try_element_at("_s", F.lit(d)), F.lit("")))
+        child = left.groupBy("host", "t", "a").agg(*[F.sum(c).alias(c) for c in ("n", "lab", "bad")])
+        whole = child.groupBy("host", "t").agg(*[F.sum(c).alias(f"{c}_p") for c in ("n", "lab", "bad")])
+        rare = (RARE * F.col("n") < F.col("n_p")) & (F.col("lab") < ENOUGH)
         alike = (F.col("lab") == 0) | (F.col("lab") == F.col("lab_p")) | F.expr(_ALIKE)
-        choice = child.join(whole, parent).select(
-            *parent, a, F.when(F.col(a) == "", "").when((RARE * F.col("n") < F.col("n_p")) | alike, "*").otherwise(F.col(a)).alias(f"t{d}")
+        choice = child.join(whole, ["host", "t"]).select(
+            "host", "t", "a", F.when(F.col("a") == "", "").when(rare | alike, "/*").otherwise(F.concat(F.lit("/"), "a")).alias("_t")
         )
-        shapes = staged(shapes.join(choice, [*parent, a]), f"level-{d}")
-        parent = [*parent, f"t{d}"]
+        left = left.join(choice, ["host", "t", "a"]).withColumn("t", F.concat("t", "_t")).drop("a", "_t")
+        left = staged(left, f"level-{d}")
+        done.append(left.where(F.size("_s") < d))
+        left = left.where(F.size("_s") >= d)
+    name = F.when(F.col("t") == "", "/").otherwise(F.col("t")).alias("template")
+    shapes = done[0].select("host", "_k", "lab", "bad", name)
+    for part in done[1:]:
+        shapes = shapes.unionByName(part.select("host", "_k", "lab", "bad", name))
+    shapes = staged(shapes, "shapes-done")
     total = shapes.agg(F.sum("bad").alias("bad"), F.sum("lab").alias("lab")).first()
     prior = (total["bad"] or 0) / (total["lab"] or 1)
     share = (F.col("bad_t") + WEIGHT * prior) / (F.col("lab_t") + WEIGHT)
-    templates = shapes.groupBy(*parent).agg(F.sum("bad").alias("bad_t"), F.sum("lab").alias("lab_t")).withColumn("rejected", share >= REJECT)
-    name = F.concat_ws("/", *[F.when(F.col(f"t{d}") != "", F.col(f"t{d}")) for d in range(1, DEPTH + 1)])
-    final = staged(shapes.join(templates, parent).select(*keys, "rejected", F.concat(F.lit("/"), name).alias("template")), "templates")
+    templates = shapes.groupBy("host", "template").agg(F.sum("bad").alias("bad_t"), F.sum("lab").alias("lab_t")).withColumn("rejected", share >= REJECT)
+    final = staged(shapes.join(templates, ["host", "template"]).select("host", "_k", "rejected", "template"), "templates")
     if final.count() <= BROADCAST_ROWS:
         final = F.broadcast(final)
     verdict = F.coalesce(_rule(rules, F.col("host"), F.col("path"), 1), F.when(F.col("rejected"), "block").otherwise("allow"))
-    return base.join(final, keys).select(
+    return base.join(final, ["host", "_k"]).select(
         "page_id", "host", "path", _rule(rules, F.col("host"), F.col("path"), 0).alias("rule"), verdict.alias("verdict"), "template"
     )
 
