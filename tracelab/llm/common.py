@@ -54,3 +54,20 @@ def split_words(text: Column) -> Column:
     """Words between white space; an empty array for a text without one."""
     trimmed = F.trim(text, F.lit(SPACE_CHARS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
+
+
+def lower_ascii_text(column: Column) -> Column:
+    """As ``lower_ascii``, by the quick way for texts of ASCII alone."""
+    return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(lower_ascii(column))
+
+
+#: DuckDB tables for an unsigned CRC-32: the 256 remainders by their rule, as one list ``tab``.
+CRC_SQL = """
+crc_step(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM crc_step WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB expression of the CRC-32 of a text's UTF-8 bytes; ``crc.tab`` must be in scope."""
+    byte = f"list_transform(range(0, octet_length(encode({text}))), lambda k: CAST('0x' || substr(hex(encode({text})), CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {byte}), lambda a, b: xor(a >> 8, crc.tab[(xor(a, b) & 255) + 1])), 4294967295)"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelab.llm import bytecnn, chat, decontaminate, editlines, minhash, mixing, quality, secretscan, sharding, urls
+from tracelab.llm import bytecnn, chat, decontaminate, editlines, exactindex, merkle, minhash, mixing, pivotal, quality, secretscan, sharding, urls
 from tracelab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,18 @@ def op7(spark, sf_dir):
 @query("op4_edit_lines", editlines.SQL)
 def op4(spark, sf_dir):
     return editlines.report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_extendible_hash", exactindex.SQL)
+def op11(spark, sf_dir):
+    return exactindex.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_pivotal_grams", pivotal.SQL)
+def op12(spark, sf_dir):
+    return pivotal.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_merkle_manifest", merkle.SQL)
+def op13(spark, sf_dir):
+    return merkle.report(table(spark, sf_dir, "documents"))
