@@ -35,7 +35,7 @@ def prefix(depth: int) -> Column:
 class Index:
     """An index of different texts.
 
-    ``directory`` (slot, bucket, local_depth) has 2**depth slots; a bucket of a lesser depth has several. ``entries`` has one row per
+    ``directory`` (slot, bucket, local_depth) has 2**depth slots, of which those without a text have no row; a bucket of a lesser depth has several. ``entries`` has one row per
     text: ``bucket, h, chain, chained, body, keep_id, group_size, text_sha256``. Equal hashes of different texts are a
     chain, numbered from 0 by their bytes; ``chained`` is its length. Each owner task wrote one file, in key order.
     """

@@ -12,7 +12,8 @@ DELETED = 199  # a run whose hash this divides loses a letter
 LEAST_LETTERS = 6
 LEAST_COUNT = 5
 TIMES = 5  # a form is at least so many times as frequent as its variant
-BESIDE = 10  # letters next to a bigram that its key holds, on the side without the edit
+BESIDE = 10  # letters of each part of a word that a key holds, at most
+CARRIED = 64  # letters of a word that its keys carry along; longer words are fetched for comparison
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -30,21 +31,22 @@ def words(docs: DataFrame) -> DataFrame:
 
 
 def gram_prefixes(vocabulary: DataFrame) -> DataFrame:
-    """Each word's rarest bigrams: ``id, last, len, chars, grams`` (array of structs ``rank, w, pos, g`` in order of position).
+    """Each word's rarest bigrams: ``id, word, last, len, chars, grams`` (array of structs ``pos, w, g, rank`` in order of position).
 
-    Bigrams are ranked by the number of their places in the vocabulary, rarest first, ties by letters; ``last`` is the rank of the third
-    rarest and ``grams`` are all with that rank or less, so equal bigrams never fall on both sides of a prefix. Words go by
-    a 64-bit hash. The ranks (two letters of an alphabet of 90, so at most 8,100) are broadcast.
+    Bigrams are ranked by the number of their places in the vocabulary, rarest first, ties by letters (below U+0100, so two bytes); ``last`` is the rank of
+    the third rarest and ``grams`` are all with that rank or less, so equal bigrams never fall on both sides of a prefix. Words go by
+    a 64-bit hash, and by their letters up to CARRIED. The counts (two letters of an alphabet of 90, so at most 8,100) are broadcast.
     """
-    split = vocabulary.select(F.xxhash64("word").alias("id"), F.split("word", "").alias("chars")).withColumn("len", F.size("chars"))
+    split = vocabulary.select(F.xxhash64("word").alias("id"), F.when(F.char_length("word") <= CARRIED, F.col("word")).alias("word"), F.split("word", "").alias("chars"))
+    split = split.withColumn("len", F.size("chars"))
     places = split.select("id", F.posexplode(F.expr("transform(sequence(0, len - 2), i -> concat(chars[i], chars[i + 1]))")).alias("pos", "g"))
     places = staged(places, "gram-places")
-    # a rank is the place's weight and letters, which need no numbering
-    ranks = places.groupBy("g").agg(F.count(F.lit(1)).alias("w"))
-    ranked = places.join(F.broadcast(ranks), "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("w", "g", "pos"))).alias("all"))
-    ranked = ranked.select("id", F.struct(F.col("all")[2]["w"].alias("w"), F.col("all")[2]["g"].alias("g")).alias("last"), "all")
-    near = F.expr("array_sort(transform(filter(all, x -> struct(x.w, x.g) <= last), x -> struct(x.pos, x.w, x.g)))")
-    return split.join(ranked.select("id", "last", near.alias("grams")), "id")
+    rank = F.shiftleft("w", 16) + F.ascii("g") * 256 + F.ascii(F.substring("g", 2, 1))
+    ranks = places.groupBy("g").agg(F.count(F.lit(1)).alias("w")).withColumn("rank", rank)
+    ranked = places.join(F.broadcast(ranks), "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "w", "g", "pos"))).alias("all"))
+    near = F.expr("array_sort(transform(filter(all, x -> x.rank <= last), x -> struct(x.pos, x.w, x.g)))")
+    ranked = ranked.select("id", F.expr("all[2].rank").alias("last"), "all").select("id", "last", near.alias("grams"))
+    return split.join(ranked, "id")
 
 
 def pivots(grams: str) -> Column:
@@ -63,34 +65,43 @@ def pivots(grams: str) -> Column:
     return F.expr(f"aggregate({grams}, {start}, (s, x) -> {step}).pair.xs")
 
 
-def keys(x: Column, chars: Column, length: Column, longer: int, side: str) -> Column:
-    """Key of a bigram that the edit leaves as it is, for a partner ``longer`` letters longer.
+def keys(x: Column, chars: Column, length: Column, longer: int) -> list[Column]:
+    """Keys of a bigram that the edit leaves as it is, for a partner ``longer`` letters longer than this word.
 
-    An edit behind it leaves its place and the letters before it; an edit before it leaves its distance from the end and the letters
-    behind it. ``length`` is the word's own, the key holds the partner's.
+    An edit behind the bigram leaves its place and the letters before it; an edit before it leaves its distance from the end and the
+    letters behind it. On the edited side either the nearer or the farther half (of the partner's letters there, less one) is as it was too. ``length`` is the word's own, the
+    keys hold the partner's. At most BESIDE letters of each part are taken, so a key costs the same for every word.
     """
-    if side == "l":
-        beside = F.slice(chars, F.greatest(x["pos"] + 1 - BESIDE, F.lit(1)), F.least(x["pos"], F.lit(BESIDE)))
-        place = x["pos"]
-    else:
-        beside = F.slice(chars, x["pos"] + 3, F.lit(BESIDE))
-        place = length - x["pos"]
-    return F.xxhash64(F.lit(side), x["g"], place, length + longer, F.array_join(beside, ""))
+    some = lambda start, n: F.array_join(F.slice(chars, start, n), "")
+    half = lambda n: F.least(F.greatest(F.floor((n + (longer - 1)) / 2).cast("int"), F.lit(0)), F.lit(BESIDE))
+    pos, behind = x["pos"], length - x["pos"] - 2
+    before, after = F.least(pos, F.lit(BESIDE)), half(behind)
+    left = [some(pos + 1 - before, before), pos]
+    right = [some(pos + 3, F.lit(BESIDE)), behind]
+    lead = half(pos)
+    parts = [
+        ["ln", *left, some(pos + 3, after)], ["lf", *left, some(length + 1 - after, after)],
+        ["rn", *right, some(pos + 1 - lead, lead)], ["rf", *right, some(F.lit(1), lead)],
+    ]
+    return [F.xxhash64(F.lit(tag), x["g"], length + longer, *rest) for tag, *rest in parts]
 
 
 def candidates(vocabulary: DataFrame) -> DataFrame:
     """Pairs ``a, b`` (word hashes, each pair once) among which are all words one edit apart.
 
     Of two words one edit apart, the two disjoint pivots of one cannot both be hit by it, and the one left belongs to the other's prefix
-    wherever that prefix reaches at least as far in the order of ranks. Each word waits under its prefix and asks with its pivots.
+    wherever that prefix reaches at least as far in the order of ranks. Each word waits under its prefix and asks with its pivots. Words
+    that carry their letters are compared where they meet, so that few pairs move.
     """
     known = staged(gram_prefixes(vocabulary), "gram-prefixes")
-    waiting = F.transform("grams", lambda x: F.array(keys(x, F.col("chars"), F.col("len"), 0, "l"), keys(x, F.col("chars"), F.col("len"), 0, "r")))
-    asking = F.transform(
-        pivots("grams"), lambda x: F.array(*[keys(x, F.col("chars"), F.col("len"), d, s) for d in (-1, 0, 1) for s in "lr"])
-    )
-    side = lambda made, i, last: known.select(F.explode(F.flatten(made)).alias("key"), F.col("id").alias(i), F.col("last").alias(last))
-    met = side(asking, "x", "x_last").join(side(waiting, "y", "y_last"), "key").where("x != y and x_last <= y_last")
+    waiting = F.transform("grams", lambda x: F.array(*keys(x, F.col("chars"), F.col("len"), 0)))
+    asking = F.transform(pivots("grams"), lambda x: F.array(*[k for d in (-1, 0, 1) for k in keys(x, F.col("chars"), F.col("len"), d)]))
+
+    def side(made: Column, i: str) -> DataFrame:
+        return known.select(F.explode(F.flatten(made)).alias("key"), F.col("id").alias(i), F.col("last").alias(f"{i}_last"), F.col("word").alias(f"{i}_word"))
+
+    met = side(asking, "x").join(side(waiting, "y"), "key").where("x != y and x_last <= y_last")
+    met = met.where(F.coalesce(F.levenshtein(F.col("x_word"), F.col("y_word"), 1) == 1, F.lit(True)))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
