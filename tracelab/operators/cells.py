@@ -50,17 +50,18 @@ def cell_distribution(
     )
 
 
-def auc_by_group(rows: DataFrame, keys: list[str], score: str, label: str, low=None, high=None) -> DataFrame:
+def auc_by_group(rows: DataFrame, keys: list[str], score: str, label: str, low=None, high=None, weight: str | None = None) -> DataFrame:
     """Tie-averaged rank-sum ROC AUC per group; null for one class or a constant score.
 
-    Works on the histogram of distinct scores, so a group is never ranked in one task.
+    Works on the histogram of distinct scores, so a group is never ranked in one task. ``weight`` is the number of rows that a row stands for.
     """
     valid = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    each = F.lit(1) if weight is None else F.col(weight)
     ranked = ranked_histogram(
         valid,
         keys,
         score,
-        {"n": F.count(F.lit(1)), "pos": F.sum(F.col(label).cast("bigint"))},
+        {"n": F.sum(each.cast("bigint")), "pos": F.sum(F.col(label).cast("bigint") * each)},
         low=low,
         high=high,
     )

@@ -11,10 +11,11 @@ from tracelab.operators.scale import exact_quantiles
 
 # Claim patterns (entity and value groups), superlatives and axis phrases.
 VALUE_PATTERNS = [
-    (r"(?i)([A-Z][\w\s\-]{1,30}?)\s*(?:[=:]|\bis\b|\bequals\b)\s*(-?\d+(?:\.\d+)?)\s*(?:%|million|billion|M|B|K)?", 1, 2),
+    (r"(?i)([A-Z][\w\s\-]{1,30}?)\s*(?:[=:]|\bis\b|\bequals\b)\s*(-?\d+(?:\.\d+)?)\s*(%|million|billion|M|B|K)?", 1, 2),
     (r"(?i)(?:value\s+of\s+|for\s+)([\w\s\-]{1,30}?)\s+is\s+(-?\d+(?:\.\d+)?)", 1, 2),
     (r"([A-Z][\w\s\-]{1,30})\s*\((-?\d+(?:\.\d+)?)\)", 1, 2),
 ]
+WITH_UNIT = 0  # the pattern whose third group is a unit
 SUPERLATIVE = (
     r"(?i)(highest|lowest|maximum|minimum|largest|smallest)\s+(?:value|category|entity|region)?\s*(?:is|=)\s*([\w\s\-]{1,30})"
 )
@@ -43,14 +44,17 @@ def regex_claims(steps: DataFrame, keys: list[str], text: str) -> DataFrame:
     t = F.col(text)
     found = []
 
+    none = F.lit(None).cast("string")
+
     def value_claim(number: int):
         return lambda c, at: F.struct(
             F.lit("value").alias("type"), strip(c["e"]).alias("entity"), c["v"].try_cast("double").alias("value"),
-            F.lit(None).cast("string").alias("comparator"), F.struct(F.lit(number).alias("pattern"), at.alias("hit")).alias("at"),
+            (F.nullif(c["u"], F.lit("")) if number == WITH_UNIT else none).alias("unit"), none.alias("comparator"), F.struct(F.lit(number).alias("pattern"), at.alias("hit")).alias("at"),
         )
 
     for i, (pattern, e, v) in enumerate(VALUE_PATTERNS):
-        zipped = F.arrays_zip(every(t, pattern, e).alias("e"), every(t, pattern, v).alias("v"))
+        more = [every(t, pattern, 3).alias("u")] if i == WITH_UNIT else []
+        zipped = F.arrays_zip(every(t, pattern, e).alias("e"), every(t, pattern, v).alias("v"), *more)
         found.append(F.transform(zipped, value_claim(i)))
     tops = F.arrays_zip(every(t, SUPERLATIVE, 1).alias("c"), every(t, SUPERLATIVE, 2).alias("e"))
     found.append(
@@ -58,14 +62,14 @@ def regex_claims(steps: DataFrame, keys: list[str], text: str) -> DataFrame:
             tops,
             lambda c, at: F.struct(
                 F.lit("categorical").alias("type"), strip(c["e"]).alias("entity"), F.lit(None).cast("double").alias("value"),
-                F.lower(c["c"]).alias("comparator"), F.struct(F.lit(len(VALUE_PATTERNS)).alias("pattern"), at.alias("hit")).alias("at"),
+                none.alias("unit"), F.lower(c["c"]).alias("comparator"), F.struct(F.lit(len(VALUE_PATTERNS)).alias("pattern"), at.alias("hit")).alias("at"),
             ),
         )
     )
     rows = explode_items(steps, keys, F.concat(*found), "_i", "c").select(*keys, "c.*")
     return (
         rows.groupBy(*keys, "type", F.lower("entity").alias("entity_key"), "value", "comparator")
-        .agg(F.min_by("entity", "at").alias("entity"), F.min("at").alias("at"))
+        .agg(F.min_by("entity", "at").alias("entity"), F.min_by("unit", "at").alias("unit"), F.min("at").alias("at"))
         .drop("entity_key")
     )
 

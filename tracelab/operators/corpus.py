@@ -40,14 +40,23 @@ def bit_blocks(bits: list[Column]) -> dict[str, Column]:
 NAMES = [f"b{b}" for b in range(len(BLOCKS))]
 
 
-def near_fingerprints(train: DataFrame, test: DataFrame, limit: int = 5) -> DataFrame:
-    """Distinct train fingerprints within Hamming distance ``limit`` - 1 of a test fingerprint.
+def fingerprint_classes(items: DataFrame, key: str, name: str) -> DataFrame:
+    """Equal fingerprints as one class: the blocks, ``<name>_class`` (smallest key) and ``n_<name>``, the number of its items."""
+    return items.groupBy(*NAMES).agg(F.min(key).alias(f"{name}_class"), F.count(F.lit(1)).alias(f"n_{name}"))
+
+
+def class_members(items: DataFrame, key: str, name: str) -> DataFrame:
+    """``<key>, <name>_class`` of every item."""
+    return items.join(fingerprint_classes(items, key, name), NAMES).select(key, f"{name}_class")
+
 
-    Copies are merged first: however many items share a fingerprint, it is compared once. Returns
-    the train blocks with the smallest distance and the number of test items in reach.
+def near_pairs(train: DataFrame, test: DataFrame, limit: int = 5) -> DataFrame:
+    """Pairs of a train and a test class within Hamming distance ``limit`` - 1: blocks of the train side as ``a_b*``, the other columns, ``distance``.
+
+    Both sides have one row per distinct fingerprint, so however many items share one it is compared once. With the members of each class
+    the pairs give every pair of items; they are not written out.
     """
-    a = train.select(*NAMES).distinct()
-    b = test.groupBy(*NAMES).agg(F.count(F.lit(1)).alias("n_test"))
+    a, b = train, test
 
     def keyed(df: DataFrame, prefix: str) -> DataFrame:
         keys = [
@@ -65,7 +74,12 @@ def near_fingerprints(train: DataFrame, test: DataFrame, limit: int = 5) -> Data
     for i, (x, y) in reversed(list(enumerate(combinations(range(len(BLOCKS)), 2)))):
         first = F.when(same[x] & same[y], i).otherwise(first)
     distance = sum(F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"t_{n}"))) for n in NAMES)
-    close = pairs.where((F.col("pair") == first) & (distance < limit)).withColumn("distance", distance)
+    return pairs.where((F.col("pair") == first) & (distance < limit)).withColumn("distance", distance)
+
+
+def near_fingerprints(train: DataFrame, test: DataFrame, limit: int = 5) -> DataFrame:
+    """Distinct train fingerprints near a test fingerprint: their blocks, the smallest distance and the number of test items in reach."""
+    close = near_pairs(train.select(*NAMES).distinct(), test.groupBy(*NAMES).agg(F.count(F.lit(1)).alias("n_test")), limit)
     return close.groupBy(*[F.col(f"a_{n}").alias(n) for n in NAMES]).agg(
         F.min("distance").alias("distance"), F.sum("n_test").alias("n_test")
     )

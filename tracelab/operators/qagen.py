@@ -16,11 +16,11 @@ from tracelab.operators.wording import record
 
 Template = tuple[str, str, str, str | None, str | None]
 
-# Words that mark a column as no value column, and invented entity names.
+# Fixed value: words that mark a column as no value column.
 NOT_VALUE = r"(?i)year|date|time|index"
-FICTIONAL = [
-    "Atlantis", "Narnia", "Wakanda", "Mordor", "Zamunda", "Freedonia", "Genovia", "Elbonia", "Latveria", "Sokovia",
-]
+#: Invented entity names, for questions that no chart can answer.
+FICTIONAL = ["Brindlemoor", "Quenlith", "Ostravane", "Pellucidar Bay", "Tharnholm", "Vexley Sound"]
+UNANSWERABLE = "Cannot be determined"
 
 
 def wording(name: str) -> list[Column]:
@@ -193,7 +193,11 @@ def block_b(cells: DataFrame, facts: DataFrame, cap: int) -> DataFrame:
 
 
 def block_f(facts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Edge cases: hypothetical change, unanswerable entity, multiple choice, two turns."""
+    """Edge cases: hypothetical change, unanswerable entity, multiple choice, two turns.
+
+    The question of a multiple choice names its four options, the answer is a letter. An unanswerable question asks for an invented ``entity``
+    that the chart does not name; its answer is that it cannot be determined.
+    """
     chart = F.col("chart_id").cast("string")
     pick = lambda salt, n: F.conv(F.substring(pick_key(chart, F.col("col"), salt), 1, 6), 16, 10).cast("bigint") % n
     first_column = facts.where("n >= 3").groupBy("chart_id").agg(F.min("col").alias("col"))
@@ -207,13 +211,15 @@ def block_f(facts: DataFrame, labels: DataFrame) -> DataFrame:
         offset = (0.1 + 0.2 * (pick(f"off{j}", 1000) / 1000.0)) * F.abs("v1")
         sign = F.when(pick(f"sign{j}", 2) == 0, -1).otherwise(1)
         options.append(F.when(place == j, F.col("v1")).otherwise(two(F.col("v1") + sign * offset)))
+    base = base.withColumns({f"o{j}": option for j, option in enumerate(options)})
+    options = [F.col(f"o{j}") for j in range(4)]
     letters = F.array(*[F.lit(x) for x in "ABCD"])
     none = F.lit(None).cast("double")
+    no_text, no_options = F.lit(None).cast("string"), F.lit(None).cast("array<double>")
     make = lambda name, kind, num, text, extra: F.struct(
         F.lit(name).alias("template"), F.lit(kind).alias("answer_type"), num.alias("answer_num"),
-        text.alias("answer_text"), extra.alias("options"), *wording(name),
+        text.alias("answer_text"), no_text.alias("entity"), extra.alias("options"), *wording(name),
     )
-    no_text, no_options = F.lit(None).cast("string"), F.lit(None).cast("array<double>")
     made = F.array(
         F.when(F.col("v1") != 0, make("hypothetical", "numeric", two(F.col("v1") * (1 + F.col("raised") / 100.0)), no_text, no_options)),
         F.when(
@@ -231,10 +237,10 @@ def block_f(facts: DataFrame, labels: DataFrame) -> DataFrame:
     # an invented entity counts as unanswerable only where the chart does not name it
     fakes = base.select("chart_id", "col", F.explode(F.array(*[F.lit(f) for f in FICTIONAL])).alias("label"))
     absent = fakes.join(labels.select("chart_id", "label").distinct(), ["chart_id", "label"], "left_anti")
-    chosen = absent.groupBy("chart_id", "col").agg(F.min_by("label", pick_key(chart, F.col("label"))).alias("answer_text"))
+    chosen = absent.groupBy("chart_id", "col").agg(F.min_by("label", pick_key(chart, F.col("label"))).alias("entity"))
     unanswerable = chosen.select(
         "chart_id", "col", F.lit("unanswerable").alias("template"), F.lit("unanswerable").alias("answer_type"),
-        none.alias("answer_num"), "answer_text", no_options.alias("options"), *wording("unanswerable"),
+        none.alias("answer_num"), F.lit(UNANSWERABLE).alias("answer_text"), "entity", no_options.alias("options"), *wording("unanswerable"),
     )
     return rows.unionByName(unanswerable)
 

@@ -49,6 +49,22 @@ def first_rows(df: DataFrame, keys: list[str], order: list, n: int, name: str =
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)
 
 
+PLACES = 9  # decimal places that exact sums keep
+
+
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles in fixed point (PLACES decimals): the same however the rows are ordered or partitioned."""
+    return F.sum(F.round(value * 10.0**PLACES).cast("decimal(28,0)"))
+
+
+def exact_mean(value: Column) -> Column:
+    """Mean of doubles by ``exact_sum``, for decisions at a threshold; null without values.
+
+    An average of doubles depends in its last bit on the order of addition, so a mean that should equal the threshold falls on either side.
+    """
+    return F.try_divide(exact_sum(value).cast("double") / 10.0**PLACES, F.count(value))
+
+
 PARTS = 256  # bins of each power of two, where the value range of a group is not known
 
 

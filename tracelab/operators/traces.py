@@ -150,3 +150,20 @@ def trace_lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Lines of a text as steps."""
     rows = explode_items(df, keys, lines_of(F.col(text)), "step", "step_text")
     return rows.withColumns({"len": words(F.col("step_text")), "terminal": F.col("step_text").rlike(r"[.!?]$")})
+
+
+def pilot(traces: DataFrame, order: str, keys: list[str], n: int, continuations: int = 8) -> DataFrame:
+    """The first ``n`` traces with steps, by ``order``: per group how many were picked and left, their steps and the continuations to score.
+
+    The last picked place is found by a top-n, whose tasks keep ``n`` rows each; the rest is one grouped sum. ``order`` should be
+    unique: all rows of the last place are picked.
+    """
+    valid = traces.where("n_steps > 0")
+    last = valid.select(order).orderBy(order).limit(n).agg(F.max(order).alias("_last"), F.lit(1).alias("_one"))
+    picked = F.coalesce(F.col(order) <= F.col("_last"), F.lit(False))
+    steps = F.coalesce(F.sum(F.when(picked, F.col("n_steps"))), F.lit(0)).cast("bigint")
+    # one row joins on a constant key
+    rows = valid.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one")
+    return rows.groupBy(*keys).agg(
+        F.count_if(picked).alias("n_picked"), F.count_if(~picked).alias("n_left"), steps.alias("n_steps"), (steps * continuations).alias("n_continuations")
+    )

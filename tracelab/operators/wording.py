@@ -105,8 +105,8 @@ WORDING: dict[str, Words] = {
     "sci_violin_widest": ("medium", "Which violin shows the widest spread?", "Compare the standard deviations."),
     "sci_violin_iqr": ("hard", "How far apart are the quartiles of the marked violin?", "The box is [iqr] high."),
     "hypothetical": ("hard", "Suppose the {col} of {e1} rose by {raised} percent. What would it be?", "The {col} of {e1} is [v1].", "Add {raised} percent."),
-    "unanswerable": ("hard", "What is the {col} of {answer_text}?", "Look for {answer_text}.", "The chart does not show it."),
-    "multi_choice": ("medium", "Which of the four options is the {col} of {e1}?", "The {col} of {e1} is [v1]."),
+    "unanswerable": ("hard", "What is the {col} of {entity}?", "Look for {entity}.", "The chart does not show it."),
+    "multi_choice": ("medium", "What is the {col} of {e1}? A) [o0], B) [o1], C) [o2], D) [o3]", "The {col} of {e1} is [v1]."),
     "conversational": ("hard", "Who has the largest {col}? And what is the {col} of {e2}?", "The largest is [max_v], at {max_e}.", "{e2} has [v2]."),
 }
 

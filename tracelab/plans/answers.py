@@ -8,6 +8,7 @@ from tracelab.functions import extract as X
 from tracelab.functions import scoring as S
 from tracelab.functions import text as T
 from tracelab.functions import verdicts as V
+from tracelab.functions.text import or_empty, strip
 from tracelab.plans.registry import query, r6
 from tracelab.plans.sqltext import at, line, nest, num, part, q, ra, rm, rx, st, sub
 from tracelab.sources.fixtures import view
@@ -342,12 +343,16 @@ def label_sql(names: dict[str, str]) -> str:
     return f"CASE {letter} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " ELSE 'PARSE_FAIL' END"
 
 
+def field_sql(name: str) -> str:
+    return st(sub(rx("raw", f"(?si){name}:\\s*(.+)"), "(?s)\\n[A-Za-z]+:.*$"))
+
+
 @query(
     "label_reason",
     "judge_outputs",
     f""", l AS (SELECT bench, model, {label_sql(V.ROOT_CAUSES)} AS root_cause, {label_sql(V.FLAW_KINDS)} AS flaw_kind,
- {st(sub(rx('raw', '(?si)REASON:\\s*(.+)'), '(?s)\\n[A-Za-z]+:.*$'))} AS reason FROM judge_outputs)
-SELECT bench, model, root_cause, flaw_kind, reason, count(*) AS n FROM l GROUP BY ALL""",
+ {field_sql('QUOTE')} AS quote, {field_sql('REASON')} AS reason FROM judge_outputs)
+SELECT bench, model, root_cause, flaw_kind, quote, reason, count(*) AS n FROM l GROUP BY ALL""",
 )
 def label_reason(spark, sf):
     raw = F.col("raw")
@@ -356,9 +361,10 @@ def label_reason(spark, sf):
         "model",
         V.label(raw, V.ROOT_CAUSES).alias("root_cause"),
         V.label(raw, V.FLAW_KINDS).alias("flaw_kind"),
+        V.labelled_field(raw, "QUOTE").alias("quote"),
         V.labelled_field(raw, "REASON").alias("reason"),
     )
-    return rows.groupBy("bench", "model", "root_cause", "flaw_kind", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("bench", "model", "root_cause", "flaw_kind", "quote", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- scoring --------------------------------------------------------------------------
@@ -615,18 +621,22 @@ def rescored(spark, sf):
 
 
 FLIP_SQL = "count(*) FILTER (WHERE old_score = 1 AND new_score <> 1) AS flips_lost, count(*) FILTER (WHERE old_score <> 1 AND new_score = 1) AS flips_gained, count(*) FILTER (WHERE pred = '') AS empty_pred"
+# where the answer came from in the early rescoring: the reasoning channel, or nothing to read at all
+CHANNEL_SQL = f"count(*) FILTER (WHERE {st(CONTENT)} = '' AND {st(REASON)} <> '') AS from_reasoning, count(*) FILTER (WHERE {st(CONTENT)} = '' AND {st(REASON)} = '') AS needs_rerun"
 
 
 @query(
     "eval_rescore_diff",
     "served",
     rescored_sql()
-    + f""", b AS (SELECT bench, count(*) AS n, avg(CAST(old_score = 1 AS DOUBLE)) AS old_acc, avg(CAST(new_score = 1 AS DOUBLE)) AS new_acc, {FLIP_SQL} FROM rs GROUP BY bench)
-SELECT bench, n, {r6('old_acc')} AS old_acc, {r6('new_acc')} AS new_acc, flips_lost, flips_gained, empty_pred FROM b
-UNION ALL SELECT 'AVG', CAST(sum(n) AS BIGINT), {r6('avg(old_acc)')}, {r6('avg(new_acc)')}, CAST(sum(flips_lost) AS BIGINT), CAST(sum(flips_gained) AS BIGINT), CAST(sum(empty_pred) AS BIGINT) FROM b""",
+    + f""", b AS (SELECT bench, count(*) AS n, avg(CAST(old_score = 1 AS DOUBLE)) AS old_acc, avg(CAST(new_score = 1 AS DOUBLE)) AS new_acc, {FLIP_SQL} FROM rs GROUP BY bench),
+h AS (SELECT bench, {CHANNEL_SQL} FROM served GROUP BY bench)
+SELECT bench, n, {r6('old_acc')} AS old_acc, {r6('new_acc')} AS new_acc, flips_lost, flips_gained, empty_pred, from_reasoning, needs_rerun FROM b JOIN h USING (bench)
+UNION ALL SELECT 'AVG', CAST(sum(n) AS BIGINT), {r6('avg(old_acc)')}, {r6('avg(new_acc)')}, CAST(sum(flips_lost) AS BIGINT), CAST(sum(flips_gained) AS BIGINT), CAST(sum(empty_pred) AS BIGINT), CAST(sum(from_reasoning) AS BIGINT), CAST(sum(needs_rerun) AS BIGINT) FROM b JOIN h USING (bench)""",
 )
 def eval_rescore_diff(spark, sf):
     old, new = F.col("old_score") == 1, F.col("new_score") == 1
+    said, thought = strip(or_empty(F.col("content"))), strip(or_empty(F.col("reasoning_content")))
     per = (
         rescored(spark, sf)
         .groupBy("bench")
@@ -637,15 +647,18 @@ def eval_rescore_diff(spark, sf):
             F.count_if(old & ~new).alias("flips_lost"),
             F.count_if(~old & new).alias("flips_gained"),
             F.count_if(F.col("pred") == "").alias("empty_pred"),
+            F.count_if((said == "") & (thought != "")).alias("from_reasoning"),
+            F.count_if((said == "") & (thought == "")).alias("needs_rerun"),
         )
     )
     # the macro average runs over the few benchmark rows: one rollup carries both levels
+    counters = ["flips_lost", "flips_gained", "empty_pred", "from_reasoning", "needs_rerun"]
     rolled = per.rollup("bench").agg(
-        *[F.sum(c).alias(c) for c in ("n", "flips_lost", "flips_gained", "empty_pred")],
+        *[F.sum(c).alias(c) for c in ("n", *counters)],
         *[F.round(F.avg(c), 6).alias(c) for c in ("old_acc", "new_acc")],
     )
     return rolled.select(
-        F.coalesce("bench", F.lit("AVG")).alias("bench"), "n", "old_acc", "new_acc", "flips_lost", "flips_gained", "empty_pred"
+        F.coalesce("bench", F.lit("AVG")).alias("bench"), "n", "old_acc", "new_acc", *counters
     )
 
 

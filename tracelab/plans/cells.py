@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelab.operators import cells as C
-from tracelab.plans.registry import corr_sql, query, r6
+from tracelab.operators import logistic as L
+from tracelab.operators.scale import exact_mean
+from tracelab.plans.registry import corr_sql, mean9, query, r6
+from tracelab.plans.sqltext import nest
+from tracelab.session import checkpoint
 from tracelab.sources.fixtures import view
 
 CELL_SQL = """CASE WHEN outcome IS NULL OR perception IS NULL THEN 'unknown'
@@ -37,15 +41,15 @@ def dist_sql(keys: str, where: str = "TRUE", t: str = "0.5", source: str = "roll
 
 
 def sample_level(spark, sf):
-    """One row per prompt: mean perception over its rows, outcome and step value of its first row."""
+    """One row per prompt: mean perception over its rows (exact, as a cell is decided on it), outcome and step value of its first row."""
     rolls = view(spark, sf, "rollouts")
     first = lambda c: F.max(F.when(F.col("k") == 0, F.col(c)))
     return rolls.groupBy("group_id", "bench", "model").agg(
-        F.avg("perception").alias("perception"), first("outcome").alias("outcome")
+        exact_mean(F.col("perception")).alias("perception"), first("outcome").alias("outcome")
     )
 
 
-SAMPLE_SQL = """, samples AS (SELECT group_id, bench, model, avg(perception) AS perception,
+SAMPLE_SQL = f""", samples AS (SELECT group_id, bench, model, {mean9('perception')} AS perception,
  max(CASE WHEN k = 0 THEN outcome END) AS outcome FROM rollouts GROUP BY ALL)"""
 
 
@@ -111,8 +115,8 @@ def fc_pattern(spark, sf):
     return C.drift_pattern(dist, "model", "m0", "m1")
 
 
-ALIGN_SQL = """, p AS (SELECT group_id, bench, model, avg(perception) AS p FROM rollouts WHERE perception IS NOT NULL GROUP BY ALL),
-m AS (SELECT sample_id, avg(mc_with) AS m, max_by(mc_with, k) AS last_mc FROM steps WHERE mc_with IS NOT NULL GROUP BY 1),
+ALIGN_SQL = f""", p AS (SELECT group_id, bench, model, {mean9('perception')} AS p FROM rollouts WHERE perception IS NOT NULL GROUP BY ALL),
+m AS (SELECT sample_id, {mean9('mc_with')} AS m, max_by(mc_with, k) AS last_mc FROM steps WHERE mc_with IS NOT NULL GROUP BY 1),
 o AS (SELECT group_id, outcome FROM rollouts WHERE k = 0),
 al AS (SELECT p.group_id, bench, model, p, m, outcome FROM p JOIN m ON p.group_id = m.sample_id JOIN o ON p.group_id = o.group_id WHERE outcome IS NOT NULL)"""
 
@@ -123,12 +127,12 @@ def alignment_inputs(spark, sf):
     p = (
         rolls.where(F.col("perception").isNotNull())
         .groupBy("group_id", "bench", "model")
-        .agg(F.avg("perception").alias("p"))
+        .agg(exact_mean(F.col("perception")).alias("p"))
     )
     m = (
         steps.where(F.col("mc_with").isNotNull())
         .groupBy(F.col("sample_id").alias("group_id"))
-        .agg(F.avg("mc_with").alias("m"))
+        .agg(exact_mean(F.col("mc_with")).alias("m"))
     )
     o = rolls.where("k = 0 AND outcome IS NOT NULL").select("group_id", "outcome")
     return p.join(m, "group_id").join(o, "group_id")
@@ -175,67 +179,93 @@ def al_auc(spark, sf):
     return C.auc_by_group(view(spark, sf, "rollouts"), ["bench", "model"], "perception", "outcome", 0.0, 1.0)
 
 
-@query("al_auc_lift")
-def al_auc_lift(spark, sf):
-    """AUC gained by adding perception to the step value in a logistic model (in sample)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = alignment_inputs(spark, sf).select("m", "p", F.col("outcome").cast("double").alias("label"))
-    n = rows.count()
-    scored = rows
-    for name, columns in (("mc", ["m"]), ("both", ["m", "p"])):
-        data = VectorAssembler(inputCols=columns, outputCol="features").transform(scored)
-        model = LogisticRegression(
-            regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=100
-        ).fit(data)
-        scored = (
-            model.transform(data)
-            .withColumn(name, F.round(vector_to_array("probability")[1], 12))
-            .drop("features", "rawPrediction", "probability", "prediction")
-        )
-    scored = scored.withColumn("one", F.lit(1)).withColumn("outcome", F.col("label").cast("int"))
-    mc = C.auc_by_group(scored, ["one"], "mc", "outcome", 0.0, 1.0).select("one", "n", F.col("auc").alias("mc_only_auc"))
-    both = C.auc_by_group(scored, ["one"], "both", "outcome", 0.0, 1.0).select("one", F.col("auc").alias("both_auc"))
-    return mc.join(both, "one").select(
-        "n", "mc_only_auc", "both_auc", F.round(F.col("both_auc") - F.col("mc_only_auc"), 6).alias("auc_lift")
+MODELS = {"mc": ["m"], "both": ["m", "p"]}
+_COEFFICIENTS = [L.coefficient(m, j) for m, x in MODELS.items() for j in range(len(x) + 1)]
+
+
+def _newton_sql() -> str:
+    """One Newton step over the rows of ``fit``, as a recursive term."""
+    sums, stages = [], []
+    for m, x in MODELS.items():
+        t = L.terms(x)
+        q = f"(1 / (1 + exp(-({L.score(m, x)}))))"
+        sums += [f"sum(w * (outcome - {q}) * {a}) AS {m}_g{i}" for i, a in enumerate(t)]
+        sums += [f"sum(w * {q} * (1 - {q}) * {t[i]} * {t[j]}) AS {m}_h{i}{j}" for i in range(len(t)) for j in range(i + 1)]
+        stages += L.solved(m, len(t))
+    keys = "bench, model, step, " + ", ".join(_COEFFICIENTS)
+    source = f"(SELECT {keys}, {', '.join(sums)} FROM fit JOIN points USING (bench, model) WHERE step < {L.STEPS} GROUP BY {keys})".replace("1.0D", "1.0")
+    return f"SELECT bench, model, step + 1, {', '.join(f'{c} + ' + c.replace('_', '_s') for c in _COEFFICIENTS)} FROM {nest(source, stages)}"
+
+
+LIFT_SQL = f""", points AS (SELECT bench, model, round(m, 9) AS m, round(p, 9) AS p, outcome, CAST(count(*) AS DOUBLE) AS w FROM al GROUP BY ALL),
+fit AS (SELECT bench, model, 0 AS step, {', '.join(f'CAST(0 AS DOUBLE) AS {c}' for c in _COEFFICIENTS)} FROM al GROUP BY bench, model HAVING sum(outcome) > 0 AND sum(outcome) < count(*)
+ UNION ALL {_newton_sql()}),
+scored AS (SELECT bench, model, al.outcome, round({L.score('mc', MODELS['mc'])}, 9) AS s_mc, round({L.score('both', MODELS['both'])}, 9) AS s_both
+ FROM (SELECT bench, model, round(m, 9) AS m, round(p, 9) AS p, outcome FROM al) al JOIN fit USING (bench, model) WHERE step = {L.STEPS})""".replace("1.0D", "1.0")
+for _m in MODELS:
+    LIFT_SQL += AUC_SQL.format(keys="bench, model", s=f"s_{_m}", src="scored").replace("ranked", f"ranked_{_m}").replace("auc AS (", f"auc_{_m} AS (")
+LIFT_SQL += """, lift AS (SELECT bench, model, auc_mc.n, coalesce(auc_mc.auc, 0.5) AS mc_only_auc, coalesce(auc_both.auc, 0.5) AS both_auc,
+ round(coalesce(auc_both.auc, 0.5) - coalesce(auc_mc.auc, 0.5), 6) + 0.0 AS auc_lift FROM auc_mc JOIN auc_both USING (bench, model))"""
+
+
+def auc_lift(rows, keys):
+    """AUC in sample of a logistic model of the outcome on the step value, on the step value and perception, and what the second gains.
+
+    All groups are fitted together; a group with one outcome only has no row, a model with one score for all rows has 0.5.
+    """
+    points = rows.groupBy(*keys, "m", "p", "outcome").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    points = checkpoint(points)
+    fitted = points.join(L.fit_groups(points, keys, MODELS, "outcome"), keys)
+    for name, features in MODELS.items():
+        fitted = fitted.withColumn(f"s_{name}", F.round(F.expr(L.score(name, features)), 9))
+    fitted = checkpoint(fitted.select(*keys, "outcome", "w", *[f"s_{name}" for name in MODELS]))
+    auc = {m: C.auc_by_group(fitted, keys, f"s_{m}", "outcome", weight="w").withColumn("auc", F.coalesce("auc", F.lit(0.5))) for m in MODELS}
+    return auc["mc"].withColumnRenamed("auc", "mc_only_auc").join(auc["both"].select(*keys, F.col("auc").alias("both_auc")), keys).select(
+        *keys, F.col("n").cast("bigint").alias("n"), "mc_only_auc", "both_auc", F.round(F.col("both_auc") - F.col("mc_only_auc"), 6).alias("auc_lift")
     )
 
 
+def rounded_alignment(spark, sf):
+    return alignment_inputs(spark, sf).withColumns({"p": F.round("p", 9), "m": F.round("m", 9)})
+
+
+@query("al_auc_lift", ("rollouts", "steps"), ALIGN_SQL + LIFT_SQL + " SELECT * FROM lift", recursive=True)
+def al_auc_lift(spark, sf):
+    return auc_lift(rounded_alignment(spark, sf), ["bench", "model"])
+
+
+GATES = {
+    "perception_ok": "perception_auc >= 0.65", "mc_ok": "mc_auc >= 0.70", "complementary_ok": "r_pm BETWEEN 0.3 AND 0.7", "lift_ok": "auc_lift >= 0.02",
+}
+
+
 @query(
     "al_gates",
     ("rollouts", "steps"),
     ALIGN_SQL
     + ", al9 AS (SELECT bench, model, round(p, 9) AS p, round(m, 9) AS m, outcome FROM al)"
-    + AUC_SQL.format(keys="bench, model", s="p", src="al9").replace("ranked", "rank_p").replace("auc AS", "auc_p AS")
-    + AUC_SQL.format(keys="bench, model", s="m", src="al9").replace("ranked", "rank_m").replace("auc AS", "auc_m AS")
-    + f""", c AS (SELECT bench, model, {corr_sql('p', 'm')} AS r_pm FROM al9 GROUP BY bench, model)
-SELECT c.bench, c.model, auc_p.auc AS perception_auc, auc_m.auc AS mc_auc, r_pm,
- coalesce(auc_p.auc >= 0.65, FALSE) AS perception_ok, coalesce(auc_m.auc >= 0.70, FALSE) AS mc_ok,
- coalesce(r_pm BETWEEN 0.3 AND 0.7, FALSE) AS complementary_ok,
- CAST(coalesce(auc_p.auc >= 0.65, FALSE) AS INT) + CAST(coalesce(auc_m.auc >= 0.70, FALSE) AS INT) + CAST(coalesce(r_pm BETWEEN 0.3 AND 0.7, FALSE) AS INT) AS n_passed
-FROM c LEFT JOIN auc_p USING (bench, model) LEFT JOIN auc_m USING (bench, model)""",
+    + AUC_SQL.format(keys="bench, model", s="p", src="al9").replace("ranked", "rank_p").replace("auc AS (", "auc_p AS (")
+    + AUC_SQL.format(keys="bench, model", s="m", src="al9").replace("ranked", "rank_m").replace("auc AS (", "auc_m AS (")
+    + LIFT_SQL
+    + f""", c AS (SELECT bench, model, {corr_sql('p', 'm')} AS r_pm FROM al9 GROUP BY bench, model),
+v AS (SELECT c.bench, c.model, auc_p.auc AS perception_auc, auc_m.auc AS mc_auc, r_pm, auc_lift
+ FROM c LEFT JOIN auc_p USING (bench, model) LEFT JOIN auc_m USING (bench, model) LEFT JOIN lift USING (bench, model)),
+g AS (SELECT *, {', '.join(f'coalesce({test}, FALSE) AS {name}' for name, test in GATES.items())} FROM v)
+SELECT *, {' + '.join(f'CAST({name} AS INT)' for name in GATES)} AS n_passed FROM g""",
+    recursive=True,
 )
 def al_gates(spark, sf):
+    """Four gates per bench and model: perception and step value tell the outcome, they complement each other, and both tell it better."""
     keys = ["bench", "model"]
-    rows = alignment_inputs(spark, sf).withColumns({"p": F.round("p", 9), "m": F.round("m", 9)})
+    rows = rounded_alignment(spark, sf)
     p = C.auc_by_group(rows, keys, "p", "outcome", 0.0, 1.0).select(*keys, F.col("auc").alias("perception_auc"))
     m = C.auc_by_group(rows, keys, "m", "outcome", 0.0, 1.0).select(*keys, F.col("auc").alias("mc_auc"))
     r = rows.groupBy(*keys).agg(C.pearson("p", "m").alias("r_pm"))
-    ok = lambda c: F.coalesce(c, F.lit(False))
-    return (
-        r.join(p, keys, "left")
-        .join(m, keys, "left")
-        .withColumns(
-            {
-                "perception_ok": ok(F.col("perception_auc") >= 0.65),
-                "mc_ok": ok(F.col("mc_auc") >= 0.70),
-                "complementary_ok": ok(F.col("r_pm").between(0.3, 0.7)),
-            }
-        )
-        .withColumn("n_passed", sum(F.col(c).cast("int") for c in ("perception_ok", "mc_ok", "complementary_ok")))
-    )
+    lift = auc_lift(rows, keys).select(*keys, "auc_lift")
+    out = r.join(p, keys, "left").join(m, keys, "left").join(lift, keys, "left")
+    out = out.select(*keys, "perception_auc", "mc_auc", "r_pm", "auc_lift")
+    out = out.withColumns({name: F.coalesce(F.expr(test), F.lit(False)) for name, test in GATES.items()})
+    return out.withColumn("n_passed", sum(F.col(name).cast("int") for name in GATES))
 
 
 @query(

@@ -16,7 +16,8 @@ KEYS = ["group_id", "k"]
 
 
 def hits_sql(pattern: str, e: int, v: int, base: int) -> str:
-    return f"SELECT group_id, k, bench, 'value' AS type, unnest({ra('text', pattern, e)}) AS entity, unnest({ra('text', pattern, v)}) AS v, {base} + unnest(range(len({ra('text', pattern, e)}))) AS hit_at FROM step_texts"
+    unit = f"unnest({ra('text', pattern, 3)})" if base == 1000 * L.WITH_UNIT else "CAST(NULL AS VARCHAR)"
+    return f"SELECT group_id, k, bench, 'value' AS type, unnest({ra('text', pattern, e)}) AS entity, unnest({ra('text', pattern, v)}) AS v, {unit} AS unit, {base} + unnest(range(len({ra('text', pattern, e)}))) AS hit_at FROM step_texts"
 
 
 @query(
@@ -24,15 +25,15 @@ def hits_sql(pattern: str, e: int, v: int, base: int) -> str:
     "step_texts",
     ", h AS ("
     + " UNION ALL ".join(hits_sql(p, e, v, 1000 * i) for i, (p, e, v) in enumerate(L.VALUE_PATTERNS))
-    + f""" ), c AS (SELECT DISTINCT ON (group_id, k, lower(trim(entity)), v) bench, type, trim(entity) AS entity, v FROM (SELECT * REPLACE (CAST(v AS DOUBLE) AS v) FROM h)
+    + f""" ), c AS (SELECT DISTINCT ON (group_id, k, lower(trim(entity)), v) bench, type, trim(entity) AS entity, v, nullif(unit, '') AS unit FROM (SELECT * REPLACE (CAST(v AS DOUBLE) AS v) FROM h)
  ORDER BY group_id, k, lower(trim(entity)), v, hit_at),
 s AS (SELECT DISTINCT group_id, k, bench, lower(trim(e)) AS e, lower(c) AS c FROM (SELECT group_id, k, bench, unnest({ra('text', L.SUPERLATIVE, 2)}) AS e, unnest({ra('text', L.SUPERLATIVE, 1)}) AS c FROM step_texts))
-SELECT bench, type, lower(entity) AS entity, v AS value, CAST(NULL AS VARCHAR) AS comparator, count(*) AS n FROM c GROUP BY ALL
-UNION ALL SELECT bench, 'categorical', e, NULL, c, count(*) FROM s GROUP BY ALL""",
+SELECT bench, type, lower(entity) AS entity, v AS value, unit, CAST(NULL AS VARCHAR) AS comparator, count(*) AS n FROM c GROUP BY ALL
+UNION ALL SELECT bench, 'categorical', e, NULL, NULL, c, count(*) FROM s GROUP BY ALL""",
 )
 def cl_regex_claims(spark, sf):
     claims = L.regex_claims(view(spark, sf, "step_texts"), [*KEYS, "bench"], "text")
-    return claims.groupBy("bench", "type", F.lower("entity").alias("entity"), "value", "comparator").agg(
+    return claims.groupBy("bench", "type", F.lower("entity").alias("entity"), "value", "unit", "comparator").agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -87,6 +88,18 @@ def claims_json(spark, sf):
     return json_claims(spark, sf).groupBy("bench", "type", "entity", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The early form takes the first closing bracket and calls every odd type a value; a quarter of the texts go on with a second list.
+NESTED = "CASE WHEN (group_id + k) % 4 = 3 THEN concat('[{\"entity\": \"bar ', CAST(k AS STRING), '\", \"value\": \"x\", \"type\": \"odd\"}] and [', raw, ']') ELSE raw END"
+LAZY_SQL = f""", lz AS (SELECT group_id, k, bench, {NESTED} AS raw FROM claim_texts)""" + JSON_SQL.replace("\\[.*\\]", "\\[.*?\\]").replace("FROM claim_texts", "FROM lz").replace("WHEN value IS NOT NULL THEN 'value' ELSE 'categorical' END", "ELSE 'value' END")
+
+
+@query("claims_json_lazy", "claim_texts", LAZY_SQL + " SELECT bench, type, entity, value, count(*) AS n FROM cj GROUP BY ALL")
+def claims_json_lazy(spark, sf):
+    texts = view(spark, sf, "claim_texts").withColumn("raw", F.expr(NESTED))
+    claims = L.json_claims(texts, ["group_id", "k", "bench"], "raw", greedy=False)
+    return claims.groupBy("bench", "type", "entity", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "cl_coverage",
     "claim_texts",

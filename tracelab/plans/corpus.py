@@ -51,6 +51,36 @@ def cp_contamination(spark, sf):
     )
 
 
+PAIR_SQL = f""", u AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+b AS (SELECT vec_id, i, CASE WHEN x > 0 THEN 1 ELSE 0 END AS bit FROM u),
+tr AS (SELECT vec_id, string_agg(CAST(bit AS VARCHAR), '' ORDER BY i) AS s FROM b WHERE vec_id % 5 <> 0 GROUP BY vec_id),
+te AS (SELECT vec_id, string_agg(CAST({PLANT} AS VARCHAR), '' ORDER BY i) AS s FROM b WHERE vec_id % 5 = 0 OR vec_id % 10 = 1 GROUP BY vec_id),
+ca AS (SELECT s, min(vec_id) AS train_class, count(*) AS n_train FROM tr GROUP BY s), cb AS (SELECT s, min(vec_id) AS test_class, count(*) AS n_test FROM te GROUP BY s)"""
+
+
+@query(
+    "cp_contamination_pairs",
+    (),
+    PAIR_SQL + " SELECT train_class, test_class, CAST(hamming(ca.s, cb.s) AS INT) AS distance, n_train, n_test, n_train * n_test AS n_links FROM ca, cb WHERE hamming(ca.s, cb.s) < 5",
+)
+def cp_contamination_pairs(spark, sf):
+    """Near pairs of classes of equal fingerprints with the number of item pairs each stands for; see cp_contamination_members."""
+    train_side, test_side = fingerprints(spark, sf)
+    pairs = K.near_pairs(K.fingerprint_classes(train_side, "vec_id", "train"), K.fingerprint_classes(test_side, "vec_id", "test"))
+    return pairs.select("train_class", "test_class", F.col("distance").cast("int").alias("distance"), "n_train", "n_test", (F.col("n_train") * F.col("n_test")).alias("n_links"))
+
+
+@query(
+    "cp_contamination_members",
+    (),
+    PAIR_SQL + " SELECT 'train' AS side, vec_id, train_class AS class FROM tr JOIN ca USING (s) UNION ALL SELECT 'test', vec_id, test_class FROM te JOIN cb USING (s)",
+)
+def cp_contamination_members(spark, sf):
+    """Class of every train and test item."""
+    sides = [K.class_members(items, "vec_id", name).select(F.lit(name).alias("side"), "vec_id", F.col(f"{name}_class").alias("class")) for items, name in zip(fingerprints(spark, sf), ("train", "test"))]
+    return sides[0].unionByName(sides[1])
+
+
 def simhash_sql(source: str, key: str) -> str:
     """64-bit simhash as a bit string, from the first 64 bits of each word's md5."""
     bits = ", ".join(f"CASE WHEN sum(CASE WHEN (h{i // 32} >> {i % 32}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN '1' ELSE '0' END" for i in range(64))
@@ -140,6 +170,24 @@ def cp_distill_override(spark, sf):
     return rows.select("doc_id", "source", "overridden", *TEACHER_FIELDS)
 
 
+@query(
+    "cp_override_counts",
+    ("corpus_lite", "corpus_distilled"),
+    """, l AS (SELECT * FROM corpus_distilled QUALIFY row_number() OVER (PARTITION BY image_path, question_md5 ORDER BY doc_id DESC) = 1)
+SELECT c.source, count(*) AS n, count(l.doc_id) AS n_override, count(*) - count(l.doc_id) AS n_fallback, count(*) FILTER (WHERE teacher_match) AS n_match, count(*) FILTER (WHERE teacher_finish_reason = 'length') AS n_cut
+FROM corpus_lite c LEFT JOIN l ON c.image_path = l.image_path AND c.question_md5 = l.question_md5 GROUP BY c.source""",
+)
+def cp_override_counts(spark, sf):
+    """How many rows took the teacher's fields and how many fell back to their own."""
+    return cp_distill_override(spark, sf).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("overridden").alias("n_override"),
+        F.count_if(~F.col("overridden")).alias("n_fallback"),
+        F.count_if("teacher_match").alias("n_match"),
+        F.count_if(F.col("teacher_finish_reason") == "length").alias("n_cut"),
+    )
+
+
 @query(
     "cp_retry_join",
     ("documents", "labels"),
@@ -199,13 +247,21 @@ def cp_quality_rules(spark, sf):
     return distilled(spark, sf).groupBy("family", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Reasons to drop a row on the way to the lite corpus, and from the distilled one.
+LITE_DROPS = ["missing_image", "missing_qa"]
+RULE_DROPS = ["R1_reasoning_too_short", "R2_answer_body_long", "R3_answer_body_multiline", "R4a_numeric_mismatch", "R4b_choice_mismatch"]
+
+
 @query(
     "cp_funnel",
     ("documents", "corpus_lite"),
     DIST_SQL
     + f""", a AS (SELECT family, count(*) AS n_raw FROM ds GROUP BY family), b AS (SELECT {FAMILY} AS family, count(*) AS n_lite FROM corpus_lite WHERE {REASON_SQL} = 'kept' GROUP BY 1),
 c AS (SELECT family, count(*) AS n_kept FROM dr WHERE rule = 'kept' GROUP BY family),
-j AS (SELECT coalesce(a.family, b.family, c.family) AS family, coalesce(n_raw, 0) AS n_raw, coalesce(n_lite, 0) AS n_lite, coalesce(n_kept, 0) AS n_kept FROM a FULL JOIN b ON a.family = b.family FULL JOIN c ON a.family = c.family)
+e AS (SELECT {FAMILY} AS family, {", ".join(f"count(*) FILTER (WHERE {REASON_SQL} = '{x}') AS n_{x}" for x in LITE_DROPS)} FROM corpus_lite GROUP BY 1),
+q AS (SELECT family, {", ".join(f"count(*) FILTER (WHERE rule = '{x}') AS n_{x.lower()}" for x in RULE_DROPS)} FROM dr GROUP BY family),
+j AS (SELECT coalesce(a.family, b.family, c.family) AS family, coalesce(n_raw, 0) AS n_raw, coalesce(n_lite, 0) AS n_lite, coalesce(n_kept, 0) AS n_kept, {", ".join(f"coalesce(n_{x.lower()}, 0) AS n_{x.lower()}" for x in [*LITE_DROPS, *RULE_DROPS])}
+ FROM a FULL JOIN b ON a.family = b.family FULL JOIN c ON a.family = c.family LEFT JOIN e ON e.family = coalesce(a.family, b.family, c.family) LEFT JOIN q ON q.family = coalesce(a.family, b.family, c.family))
 SELECT *, {r6('100.0 * n_raw / sum(n_raw) OVER ()')} AS raw_pct, {r6('100.0 * n_kept / sum(n_kept) OVER ()')} AS kept_pct, {r6('100.0 * n_kept / sum(n_kept) OVER () - 100.0 * n_raw / sum(n_raw) OVER ()')} AS delta_pct FROM j""",
 )
 def cp_funnel(spark, sf):
@@ -216,10 +272,13 @@ def cp_funnel(spark, sf):
     stages = count(rows, "n_raw").join(count(kept_lite, "n_lite"), "family", "full").join(
         count(rows.where("rule = 'kept'"), "n_kept"), "family", "full"
     )
+    reason = K.sft_reason(F.col("image_path"), F.col("question"), F.col("answer").cast("string"))
+    dropped = lambda df, why, names: df.groupBy("family").agg(*[F.count_if(why == x).alias(f"n_{x.lower()}") for x in names])
+    stages = stages.join(dropped(lite, reason, LITE_DROPS), "family", "left").join(dropped(rows, F.col("rule"), RULE_DROPS), "family", "left")
     stages = stages.na.fill(0)
     raw, kept = 100.0 * F.col("n_raw") / over_all("n_raw"), 100.0 * F.col("n_kept") / over_all("n_kept")
     return stages.select(
-        "family", "n_raw", "n_lite", "n_kept",
+        "family", "n_raw", "n_lite", "n_kept", *[f"n_{x.lower()}" for x in [*LITE_DROPS, *RULE_DROPS]],
         F.round(raw, 6).alias("raw_pct"), F.round(kept, 6).alias("kept_pct"), F.round(kept - raw, 6).alias("delta_pct"),
     )
 

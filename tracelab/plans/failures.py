@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracelab.functions import scoring as S
 from tracelab.functions import verdicts as V
 from tracelab.functions.text import every, or_empty, plain_number, strip
+from tracelab.operators import traces as G
 from tracelab.operators.inputdep import percent
 from tracelab.operators.scale import first_rows
 from tracelab.plans.answers import CONTENT, REASON, VERDICT_SQL, label_sql
@@ -17,6 +18,7 @@ from tracelab.plans.corpus import DIST_SQL, distilled
 from tracelab.plans.inputdep import PATTERN_V1, VD_SQL
 from tracelab.plans.registry import query, r6
 from tracelab.plans.sqltext import ra, rm, st
+from tracelab.plans.traces import THINK_SQL
 from tracelab.sources.fixtures import view
 
 KEYS = ["group_id", "k"]
@@ -108,7 +110,7 @@ def ft_no_answer_tag(spark, sf):
     "ft_artifact_audit",
     ("served", "claim_checks", "judge_outputs"),
     f""", i AS (SELECT bench, count(*) AS n, count(*) FILTER (WHERE starts_with({CONTENT}, 'ERROR')) AS inference_errors, count(*) FILTER (WHERE {st(CONTENT)} = '' AND {st(REASON)} = '') AS empty_traces,
- count(*) FILTER (WHERE {st(CONTENT)} = '') AS no_final_text FROM served GROUP BY bench),
+ count(*) FILTER (WHERE {st(CONTENT)} = '') AS no_final_text, count(*) FILTER (WHERE {THINK_SQL} = '') AS segmentation_empty FROM served GROUP BY bench),
 nf AS (SELECT bench, avg(CASE WHEN {NF} THEN 1.0 ELSE 0.0 END) AS rate FROM claim_checks GROUP BY bench, group_id),
 p AS (SELECT bench, {r6('100 * avg(rate)')} AS not_found_pct FROM nf GROUP BY bench),
 j AS (SELECT id, bench, raw, {VERDICT_SQL['remote']} AS v FROM judge_outputs),
@@ -118,11 +120,13 @@ SELECT * FROM i JOIN p USING (bench) JOIN o USING (bench) JOIN s USING (bench)""
 )
 def ft_artifact_audit(spark, sf):
     content, reasoning = strip(or_empty(F.col("content"))), strip(or_empty(F.col("reasoning_content")))
-    inference = view(spark, sf, "served").groupBy("bench").agg(
+    served = view(spark, sf, "served").withColumn("t", G.thinking_text(F.col("content"), F.col("reasoning_content")))
+    inference = G.segment_steps(served, "t", "steps").groupBy("bench").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(content.startswith("ERROR")).alias("inference_errors"),
         F.count_if((content == "") & (reasoning == "")).alias("empty_traces"),
         F.count_if(content == "").alias("no_final_text"),
+        F.count_if(F.size("steps") == 0).alias("segmentation_empty"),
     )
     per_sample = view(spark, sf, "claim_checks").groupBy("bench", "group_id").agg(
         F.avg(V.not_found(F.col("response")).cast("double")).alias("rate")

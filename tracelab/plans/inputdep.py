@@ -223,6 +223,7 @@ def vd_filter_report(spark, sf):
     + FILTER_SQL
     + f""", ok AS (SELECT * FROM fv WHERE n_values > 0),
 s AS (SELECT bench, model, count(*) AS n_attempted, count(*) FILTER (WHERE n_values > 0) AS n_valid, count(*) FILTER (WHERE n_values = 0) AS n_err,
+ count(*) FILTER (WHERE n_values = 0 AND n_steps = 1) AS n_err_one_step, count(*) FILTER (WHERE n_values = 0 AND n_steps > 1) AS n_err_no_value,
  {pct("n_values > 0 AND verdict = 'keep'", "count(*) FILTER (WHERE n_values > 0)")} AS kept_pct FROM fv GROUP BY bench, model),
 c AS (SELECT vd.*, {PATTERN_V1.replace('mc_with', 'vd.mc_with')} AS pattern FROM vd SEMI JOIN ok ON vd.sample_id = ok.sample_id),
 a AS (SELECT bench, model, count(*) AS n_steps_total, count(vd) AS n_vd, {r6('coalesce(avg(vd), 0)')} AS vd_mean, {r6(std0('vd'))} AS vd_std,
@@ -241,6 +242,8 @@ def vd_combo_report(spark, sf):
         F.count(F.lit(1)).alias("n_attempted"),
         F.count_if(valid).alias("n_valid"),
         F.count_if(~valid).alias("n_err"),
+        F.count_if(~valid & (F.col("n_steps") == 1)).alias("n_err_one_step"),
+        F.count_if(~valid & (F.col("n_steps") > 1)).alias("n_err_no_value"),
         D.percent(valid & (F.col("verdict") == "keep"), valid).alias("kept_pct"),
     )
     used = paired(spark, sf).join(verdicts.where(valid).select("sample_id"), "sample_id", "left_semi")

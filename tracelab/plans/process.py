@@ -322,6 +322,8 @@ def branch_proc(proc: str) -> str:
     return f"CASE WHEN NOT numeric THEN 0.0 WHEN cerm >= 0.95 THEN 1.0 ELSE {proc} END"
 
 
+# a question on a chart of one row asks for one fact and has one step
+SINGLE = "ot.group_id NOT IN (SELECT chart_id FROM chart_cells GROUP BY chart_id HAVING count(DISTINCT row_idx) >= 2)"
 REWARDS: dict[str, dict] = {
     "rw_outcome": dict(reward="cerm", acc="cerm", proc="NULL", kind="CASE WHEN cerm >= 0.95 THEN 'correct' ELSE 'wrong' END", process=False),
     "rw_outcome_text_aware": dict(reward=BRANCH_ACC, acc=BRANCH_ACC, proc="NULL", kind=f"CASE WHEN {BRANCH_ACC} >= 0.95 THEN 'correct' ELSE 'wrong' END", process=False),
@@ -342,9 +344,9 @@ REWARDS: dict[str, dict] = {
         proc=f"CASE WHEN NOT numeric THEN 0.0 ELSE {V1} END", kind=TEXT_KIND,
     ),
     "rw_vapv": dict(
-        reward=f"CASE WHEN NOT numeric THEN txt WHEN ot.v = 3 THEN CASE WHEN cerm >= 0.95 THEN 1.0 ELSE 0.0 END WHEN cerm >= 0.95 THEN 1.0 ELSE 0.05 * {VAPV} END",
-        acc=BRANCH_ACC, proc=f"CASE WHEN NOT numeric OR ot.v = 3 THEN 0.0 WHEN cerm >= 0.95 THEN 1.0 ELSE {VAPV} END",
-        kind="CASE WHEN NOT numeric THEN 'text' WHEN ot.v = 3 THEN 'outcome_only' WHEN cerm >= 0.95 THEN 'correct' ELSE 'augmented' END", process=False,
+        reward=f"CASE WHEN NOT numeric THEN txt WHEN {SINGLE} THEN CASE WHEN cerm >= 0.95 THEN 1.0 ELSE 0.0 END WHEN cerm >= 0.95 THEN 1.0 ELSE 0.05 * {VAPV} END",
+        acc=BRANCH_ACC, proc=f"CASE WHEN NOT numeric OR {SINGLE} THEN 0.0 WHEN cerm >= 0.95 THEN 1.0 ELSE {VAPV} END",
+        kind=f"CASE WHEN NOT numeric THEN 'text' WHEN {SINGLE} THEN 'outcome_only' WHEN cerm >= 0.95 THEN 'correct' ELSE 'augmented' END", process=False,
         extra=ANCHOR_SQL,
     ),
 }
@@ -376,7 +378,9 @@ def reward_rows(spark, sf, name):
             {"reward": R.conditional(p), "acc": cerm, "proc": F.when(right, 1.0).otherwise(p), "kind": F.when(right, "correct").otherwise("augmented")}
         )
     if name == "rw_vapv":
-        multi = F.col("v") != 3
+        steps = cells.groupBy(F.col("chart_id").alias("group_id")).agg((F.max("row_idx") > F.min("row_idx")).alias("several"))
+        rows = rows.join(steps, "group_id", "left")
+        multi = F.coalesce("several", F.lit(False))
         p = P.length_weighted(LENGTH_LIMIT)
         joined = attach(R.wrong_numeric() & multi, terms=P.anchored_terms)
         return joined.withColumns(

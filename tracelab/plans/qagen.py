@@ -140,20 +140,21 @@ def option_sql(j: int) -> str:
 
 
 def block_f_sql() -> str:
-    def part(name, kind, num, text, options, source, cond):
-        return f"SELECT chart_id, col, '{name}' AS template, '{kind}' AS answer_type, {num} AS answer_num, {text} AS answer_text, {options} AS options, {wording_sql(name)} FROM {source} WHERE {cond}"
+    def part(name, kind, num, text, options, source, cond, entity="CAST(NULL AS VARCHAR)"):
+        return f"SELECT chart_id, col, '{name}' AS template, '{kind}' AS answer_type, {num} AS answer_num, {text} AS answer_text, {entity} AS entity, {options} AS options, {wording_sql(name)} FROM {source} WHERE {cond}"
 
     none = "CAST(NULL AS VARCHAR)"
-    options = f"CAST(to_json([{', '.join(option_sql(j) for j in range(4))}]) AS VARCHAR)"
+    options = "CAST(to_json([o0, o1, o2, o3]) AS VARCHAR)"
     fakes = ", ".join(f"'{x}'" for x in Q.FICTIONAL)
-    return f""", bf AS (SELECT f.*, list_extract([10, 15, 20, 25, 30, 50], CAST({pick_sql('pct', 6)} + 1 AS INT)) AS raised, {pick_sql('place', 4)} AS place FROM facts f SEMI JOIN
+    return f""", bp AS (SELECT f.*, list_extract([10, 15, 20, 25, 30, 50], CAST({pick_sql('pct', 6)} + 1 AS INT)) AS raised, {pick_sql('place', 4)} AS place FROM facts f SEMI JOIN
  (SELECT chart_id, min(col) AS col FROM facts WHERE n >= 3 GROUP BY chart_id) USING (chart_id, col)),
+bf AS (SELECT *, {', '.join(f'{option_sql(j)} AS o{j}' for j in range(4))} FROM bp),
 fa AS (SELECT chart_id, col, unnest([{fakes}]) AS label FROM bf), fk AS (SELECT fa.* FROM fa ANTI JOIN (SELECT DISTINCT chart_id, label FROM chart_cells) USING (chart_id, label)),
-fu AS (SELECT chart_id, col, arg_min(label, md5(concat_ws('|', CAST(chart_id AS VARCHAR), label))) AS answer_text FROM fk GROUP BY chart_id, col)
+fu AS (SELECT chart_id, col, arg_min(label, md5(concat_ws('|', CAST(chart_id AS VARCHAR), label))) AS entity FROM fk GROUP BY chart_id, col)
 {part('hypothetical', 'numeric', r2('v1 * (1 + raised / 100.0)'), none, none, 'bf', 'v1 <> 0')}
 UNION ALL {part('multi_choice', 'multichoice', 'v1', "substr('ABCD', CAST(place + 1 AS INT), 1)", options, 'bf', 'v1 <> 0')}
 UNION ALL {part('conversational', 'conversational', 'v2', "max_e || '; ' || CAST(v2 AS VARCHAR)", none, 'bf', 'n >= 4 AND e2 <> max_e')}
-UNION ALL {part('unanswerable', 'unanswerable', 'CAST(NULL AS DOUBLE)', 'answer_text', none, 'fu', 'TRUE')}"""
+UNION ALL {part('unanswerable', 'unanswerable', 'CAST(NULL AS DOUBLE)', "'Cannot be determined'", none, 'fu', 'TRUE', 'entity')}"""
 
 
 @query("qa_block_f", "chart_cells", FACTS_SQL + block_f_sql())

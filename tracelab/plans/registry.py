@@ -14,11 +14,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, views: tuple[str, ...] | str = (), sql: str | None = None):
+def query(name: str, views: tuple[str, ...] | str = (), sql: str | None = None, recursive: bool = False):
     """Register a query; ``sql`` is the check, ``views`` the input views it reads.
 
     ``sql`` is either a ``SELECT`` or starts with a comma and goes on with the list of
-    common table expressions.
+    common table expressions, which may be ``recursive``.
     """
 
     def add(fn: Query) -> Query:
@@ -31,7 +31,8 @@ def query(name: str, views: tuple[str, ...] | str = (), sql: str | None = None):
             head = view_sql(*wanted)
             if not head and body.startswith(","):
                 head, body = "WITH", body[1:]
-            ORACLES[name] = f"{head}\n{body}" if head else body
+            whole = f"{head}\n{body}" if head else body
+            ORACLES[name] = whole.replace("WITH", "WITH RECURSIVE", 1) if recursive else whole
         return fn
 
     return add
@@ -42,6 +43,11 @@ def r6(expr: str) -> str:
     return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
 
 
+def mean9(expr: str) -> str:
+    """Check-side mean in fixed point with nine places; see ``scale.exact_mean``."""
+    return f"CAST(sum(CAST(round(({expr}) * 1e9) AS HUGEINT)) AS DOUBLE) / 1e9 / nullif(count({expr}), 0)"
+
+
 def corr_sql(x: str, y: str, min_n: int = 3) -> str:
     """Check-side Pearson correlation, null below ``min_n`` pairs or for a constant side."""
     both = f"FILTER (WHERE ({x}) IS NOT NULL AND ({y}) IS NOT NULL)"

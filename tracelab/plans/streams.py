@@ -59,10 +59,20 @@ def st_resume_dedupe(spark, sf):
 )
 def st_reward_telemetry(spark, sf):
     events = event_stream(spark, sf).select("ts", "event_type", "value")
-    rows = written(spark, jobs.reward_windows(events, "ts", "event_type", "value"), jobs.totals_available)
-    return rows.select(
-        F.date_format("window_start", "yyyy-MM-dd").alias("window_day"),
-        "event_type",
-        "n",
-        *[F.round(c, 6).alias(c) for c in ("reward_mean", "reward_std", "frac_correct")],
-    )
+    keys = ["window_start", "event_type"]
+    moments = written(spark, jobs.reward_windows(events, "ts", "event_type", "value"), partial(jobs.totals_available, keys=keys))
+    day = F.date_format("window_start", "yyyy-MM-dd").alias("window_day")
+    return jobs.telemetry(moments, *keys).select(day, "event_type", "n", *[F.round(c, 6).alias(c) for c in ("reward_mean", "reward_std", "frac_correct")])
+
+
+@query(
+    "st_reward_totals",
+    "events",
+    f"""SELECT event_type, count(value) AS n, {r6('avg(value)')} AS reward_mean, {r6('stddev_pop(value)')} AS reward_std, {r6('avg(CASE WHEN value >= 0.95 THEN 1.0 ELSE 0.0 END)')} AS frac_correct FROM events GROUP BY event_type""",
+)
+def st_reward_totals(spark, sf):
+    """Totals over all days, merged from the windows' moments."""
+    events = event_stream(spark, sf).select("ts", "event_type", "value")
+    moments = written(spark, jobs.reward_windows(events, "ts", "event_type", "value"), partial(jobs.totals_available, keys=["window_start", "event_type"]))
+    rows = jobs.telemetry(jobs.merged_moments(moments, ["event_type"]), "event_type")
+    return rows.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("reward_mean", "reward_std", "frac_correct")])

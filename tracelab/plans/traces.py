@@ -90,7 +90,20 @@ def tr_segment_steps(spark, sf):
     return step_rows(doc_segments(spark, sf), ["doc_id"])
 
 
-@query("tr_split_markers")
+MARKED = "(?i)\\n(" + "|".join(m.replace("\\b", "") for m in G.STEP_MARKERS) + ")"
+_MARK = "regexp_replace({x}, '" + MARKED.replace("'", "''") + "', chr(10) || chr(1) || '\\1', 'g')"
+# a marker may end with the line feed before the next one, so lines are marked twice; packing counts one character more for the first sentence
+MARKER_SQL = f""", mt AS (SELECT group_id, k, replace({THINK_SQL}, chr(10) || chr(10), chr(10)) AS t FROM served),
+mc AS (SELECT group_id, k, t, string_split({_MARK.replace('{x}', _MARK.replace('{x}', 't'))}, chr(10) || chr(1)) AS c FROM mt),
+ml AS (SELECT group_id, k, string_split(regexp_replace(t, '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS b FROM mc WHERE len(c) < 2),
+ms AS (SELECT *, length(t) + CASE WHEN i = 1 THEN 1 ELSE 0 END AS w FROM (SELECT group_id, k, unnest(b) AS t, unnest(range(1, len(b) + 1)) AS i FROM ml)),
+mk AS ({packed_sql('ms', 'group_id, k', 'f.size + p.w <= 200').replace('THEN f.size + p.w ELSE', 'THEN f.size + p.w + 1 ELSE')}),
+mp AS (SELECT group_id, k, unnest(c) AS p, unnest(range(1, len(c) + 1)) AS i FROM mc WHERE len(c) >= 2
+ UNION ALL SELECT group_id, k, string_agg(t, ' ' ORDER BY i), chunk FROM ms JOIN mk USING (group_id, k, i) GROUP BY group_id, k, chunk)
+SELECT group_id, k, CAST(row_number() OVER (PARTITION BY group_id, k ORDER BY i) - 1 AS INT) AS step, {st('p')} AS text FROM mp WHERE length({st('p')}) > 15"""
+
+
+@query("tr_split_markers", "served", MARKER_SQL)
 def tr_split_markers(spark, sf):
     text = G.thinking_text(F.col("content"), F.col("reasoning_content"))
     rows = view(spark, sf, "served").select("group_id", "k", text.alias("t"))
@@ -165,21 +178,20 @@ def tr_outliers(spark, sf):
     return traces.where("n_steps > 50")
 
 
+PILOT = 400
+
+
 @query(
     "tr_pilot_select",
     "documents",
     LINES_SQL
-    + """, p AS (SELECT * FROM tr WHERE n_steps > 0)
-SELECT source, count(*) AS n_picked, CAST(sum(n_steps) AS BIGINT) AS n_steps, CAST(sum(n_steps) * 8 AS BIGINT) AS n_continuations FROM p GROUP BY source""",
+    + f""", p AS (SELECT *, row_number() OVER (ORDER BY doc_id) <= {PILOT} AS picked FROM tr WHERE n_steps > 0)
+SELECT source, count(*) FILTER (WHERE picked) AS n_picked, count(*) FILTER (WHERE NOT picked) AS n_left, CAST(coalesce(sum(n_steps) FILTER (WHERE picked), 0) AS BIGINT) AS n_steps,
+ CAST(coalesce(sum(n_steps) FILTER (WHERE picked), 0) * 8 AS BIGINT) AS n_continuations FROM p GROUP BY source""",
 )
 def tr_pilot_select(spark, sf):
     traces, _ = doc_steps(spark, sf)
-    picked = traces.where("n_steps > 0")
-    return picked.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_picked"),
-        F.sum("n_steps").cast("bigint").alias("n_steps"),
-        (F.sum("n_steps") * 8).cast("bigint").alias("n_continuations"),
-    )
+    return G.pilot(traces, "doc_id", ["source"], PILOT)
 
 
 @query(
@@ -199,17 +211,23 @@ def tr_align_ids(spark, sf):
     )
 
 
+# The annotated step's type, by the language of its document.
+STEP_TYPES = {"en": "perception", "fr": "arithmetic", "de": "comparison", "es": "conclusion"}
+STEP_TYPE = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in STEP_TYPES.items()) + " END"
+
+
 @query(
     "tr_annotation_report",
     ("documents", "labels"),
-    f""", a AS (SELECT source, lang, quality = 1 AS coherent, CASE WHEN quality = 1 THEN NULL WHEN toxic = 1 THEN 'toxic' ELSE 'low_quality' END AS failure FROM labels JOIN documents USING (doc_id))
+    f""", a AS (SELECT source, lang, quality = 1 AS coherent, CASE WHEN quality = 1 THEN NULL WHEN toxic = 1 THEN 'toxic' ELSE 'low_quality' END AS failure, {STEP_TYPE} AS step_type FROM labels JOIN documents USING (doc_id))
 SELECT coalesce(source, 'ALL') AS source, count(*) AS n, count(*) FILTER (WHERE coherent) AS n_coherent, {r6('avg(CASE WHEN coherent THEN 1.0 ELSE 0.0 END)')} AS coherent_rate,
+ {", ".join(f"count(*) FILTER (WHERE step_type = '{t}') AS n_{t}" for t in STEP_TYPES.values())},
  count(*) FILTER (WHERE failure = 'toxic') AS n_toxic, count(*) FILTER (WHERE failure = 'low_quality') AS n_low_quality,
  CASE WHEN avg(CASE WHEN coherent THEN 1.0 ELSE 0.0 END) >= 0.85 THEN 'PASS' WHEN avg(CASE WHEN coherent THEN 1.0 ELSE 0.0 END) >= 0.75 THEN 'CONDITIONAL' ELSE 'FAIL' END AS decision
  FROM a GROUP BY ROLLUP (source)""",
 )
 def tr_annotation_report(spark, sf):
-    notes = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    notes = table(spark, sf, "labels").join(table(spark, sf, "documents").selectExpr("doc_id", "source", f"{STEP_TYPE} AS step_type"), "doc_id")
     good = F.col("quality") == 1
     rate = F.avg(good.cast("double"))
     return (
@@ -218,6 +236,7 @@ def tr_annotation_report(spark, sf):
             F.count(F.lit(1)).alias("n"),
             F.count_if(good).alias("n_coherent"),
             F.round(rate, 6).alias("coherent_rate"),
+            *[F.count_if(F.col("step_type") == t).alias(f"n_{t}") for t in STEP_TYPES.values()],
             F.count_if(~good & (F.col("toxic") == 1)).alias("n_toxic"),
             F.count_if(~good & (F.col("toxic") != 1)).alias("n_low_quality"),
             F.when(rate >= 0.85, "PASS").when(rate >= 0.75, "CONDITIONAL").otherwise("FAIL").alias("decision"),

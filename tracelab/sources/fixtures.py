@@ -116,7 +116,7 @@ JUDGE_OUTPUTS = [
     "replace(CASE o_orderkey % 9 WHEN 0 THEN 'Reasoning. Verdict: Correct' WHEN 1 THEN 'Verdict: Incorrect'"
     " WHEN 2 THEN 'Yes' WHEN 3 THEN 'No.' WHEN 4 THEN 'Analysis: close.~Correctness: Yes'"
     " WHEN 5 THEN 'sure {\"extracted_answer\": \"7\", \"score\": 1} ok' WHEN 6 THEN 'Q1: YES~Q2: NO~Q3: NA~Q4: yes'"
-    " WHEN 7 THEN 'LABEL: D~REASON: wrong series' ELSE 'ERROR: TimeoutError: 120s' END, '~', chr(10)) AS raw",
+    " WHEN 7 THEN 'LABEL: D~QUOTE: the blue bar~is the taller one~REASON: wrong series' ELSE 'ERROR: TimeoutError: 120s' END, '~', chr(10)) AS raw",
 ]
 
 # Claim lists as JSON in surrounding talk, some broken.
