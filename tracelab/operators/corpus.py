@@ -103,15 +103,47 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int) -> DataFr
     return first_rows(keyed, [stratum], ["_o", key], n).drop("_o")
 
 
-def sft_reason(image: Column, question: Column, answer: Column) -> Column:
-    """First reason to drop a training row, or ``kept``."""
+def sft_reason(image: Column, question: Column, answer: Column, source: Column | None = None, only: list[str] | None = None) -> Column:
+    """First reason to drop a training row, or ``kept``; ``only`` names the sources to take."""
+    other = F.lit(False) if only is None else ~F.coalesce(source.isin(only), F.lit(False))
     return (
-        F.when(or_empty(image) == "", "missing_image")
+        F.when(other, "filtered_source")
+        .when(or_empty(image) == "", "missing_image")
         .when((or_empty(question) == "") | (strip(or_empty(answer)) == ""), "missing_qa")
         .otherwise("kept")
     )
 
 
+def reasoning_text(value: Column) -> Column:
+    """One text from a JSON value (a variant) that is a text in one row and a list in the next.
+
+    Items of a list that are neither null nor empty stand one per line; null, a missing field and an empty list give the empty text, anything else
+    its own text.
+    """
+    items = F.try_variant_get(value, "$", "array<string>")
+    listed = F.array_join(F.filter(items, lambda x: x.isNotNull() & (x != "")), "\n")
+    own = F.coalesce(F.try_variant_get(value, "$", "string"), F.lit(""))
+    return F.when(F.coalesce(F.is_variant_null(value), F.lit(True)), "").when(F.schema_of_variant(value).startswith("ARRAY"), listed).otherwise(own)
+
+
+def entity_pairs(lines: DataFrame, chart: str, line: str, fields: str, number) -> DataFrame:
+    """(chart, entity, value) from the lines of chart tables, their first line the header; both shapes in one input.
+
+    A header of two columns makes a long table: the row's label names the entity. A wider one makes a wide table: ``label (column)``, or
+    whichever of the two is not blank. ``number`` reads a cell; cells without a number, behind the header's end or without a name are left out. A
+    table is known by its header alone, which joins its rows, so no table is gathered.
+    """
+    header = lines.where(F.col(line) == 0).select(chart, F.col(fields).alias("_h"))
+    body = lines.where(F.col(line) > 0).join(header, chart)
+    cells = body.select(chart, "_h", strip(F.get(fields, F.lit(0))).alias("_row"), F.posexplode(fields).alias("_at", "_raw"))
+    cells = cells.where((F.col("_at") > 0) & (F.col("_at") < F.size("_h"))).withColumn("value", number(F.col("_raw")))
+    column = strip(F.get("_h", F.col("_at")))
+    row = or_empty(F.col("_row"))
+    wide = F.when((row != "") & (column != ""), F.concat(row, F.lit(" ("), column, F.lit(")"))).otherwise(F.concat(row, column))
+    entity = F.when(F.size("_h") == 2, row).otherwise(wide)
+    return cells.select(chart, entity.alias("entity"), "value").where("value IS NOT NULL AND entity <> ''")
+
+
 def override(base: DataFrame, better: DataFrame, keys: list[str], order: str, fields: list[str]) -> DataFrame:
     """Take ``fields`` from the last matching row of ``better``; rows without a match stay."""
     last = better.groupBy(*keys).agg(

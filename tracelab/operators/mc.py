@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelab.operators.scale import exact_mean
+
 EPS = 1e-9
 GROUP_EPS = 1e-6
 
@@ -39,14 +41,14 @@ def validate_trajectories(steps: DataFrame, keys: list[str], sample: str, step:
     fit = F.try_divide(F.covar_pop(F.col(step).cast("double"), s), F.stddev_pop(F.col(step).cast("double")) * F.when(spread > EPS, spread))
     per = steps.groupBy(*keys, sample).agg(
         F.max_by(s, F.col(step)).alias("_last"),
-        F.avg(s).alias("_mean"),
+        exact_mean(s).alias("_mean"),
         F.count(F.lit(1)).alias("_n"),
         F.when(F.count(F.lit(1)) >= 3, F.coalesce(fit, F.lit(0.0))).alias("_slope"),
         F.count_if(s == 0.0).alias("_zero"),
         F.count_if(s == 1.0).alias("_one"),
     )
     right = F.col("_last") >= 0.5
-    mean = lambda cond, c: F.avg(F.when(cond, F.col(c)))
+    mean = lambda cond, c: exact_mean(F.when(cond, F.col(c)))
     total = F.sum("_n")
     report = per.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_samples"),

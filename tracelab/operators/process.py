@@ -270,11 +270,32 @@ def length_weighted(limit: int = 4096) -> Column:
     return raw * length_factor(F.col("span_words"), limit)
 
 
+TAINT_BUCKET = 0.02  # width of a bucket of magnitudes, in natural logarithms
+
+
+def taint_bounds(numbers: Column) -> Column:
+    """Smallest and largest of the numbers in each bucket of magnitudes: they taint just what all of them taint.
+
+    Numbers of one bucket differ by 2 % at most, so what lies within 5 % of any of them is one range, from below the smallest to above the largest.
+    Numbers about zero stay as they are.
+    """
+    size = F.abs
+    place = lambda n: F.when(size(n) < 1e-9, n).otherwise(F.signum(n) * (F.floor(F.log(size(n)) / TAINT_BUCKET) + 1e6))
+    placed = F.array_sort(F.transform(F.array_distinct(numbers), lambda n: F.struct(place(n).alias("b"), n.alias("n"))))
+
+    def ends(rows: Column) -> Column:
+        other = lambda x, i: F.coalesce(F.get(rows, i)["b"] != x["b"], F.lit(True))
+        return F.filter(rows, lambda x, i: (i == 0) | other(x, i - 1) | other(x, i + 1))
+
+    return F.transform(F.transform(F.array(placed), ends)[0], lambda x: x["n"])
+
+
 def taint_chain(responses: DataFrame, cells: DataFrame, keys: list[str], chart: str, sigma: float = 0.1) -> DataFrame:
     """Mean sentence reward where numbers of a failed sentence taint later uses of them; 0 without a table.
 
-    The table quality of every number comes from the nearest-cell join; the order-dependent part
-    is a fold over the few sentences of one response.
+    The table quality of every number comes from the nearest-cell join; the order-dependent part is a fold over the sentences of
+    one response. A sentence taints only where it uses nothing tainted, so new values lie 5 % away from all older ones, and of its own
+    values ``taint_bounds`` are enough: the set tested against each number is bounded by the range of the numbers, not their count.
     """
     body = group(F.col("response"), r"(?s)<think>(.*?)</think>")
     sentences = F.filter(lines_of(body), lambda s: F.length(s) > 5)
@@ -303,15 +324,19 @@ def taint_chain(responses: DataFrame, cells: DataFrame, keys: list[str], chart:
     )
     ordered = per_sentence.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "nums", "logic"))).alias("chain"))
 
+    ordered = ordered.withColumn("chain", F.transform("chain", lambda s: s.withField("fresh", taint_bounds(F.transform(s["nums"], lambda x: x["n"])))))
+
     def step(state: Column, sentence: Column) -> Column:
         tainted = state["tainted"]
-        hit = lambda n: F.exists(tainted, lambda t: relative_gap(n, t) < 0.05)
-        uses = F.exists(sentence["nums"], lambda x: hit(x["n"]))
-        quality = F.array_min(F.transform(sentence["nums"], lambda x: F.when(hit(x["n"]), 0.3).otherwise(F.coalesce(x["q"], F.lit(0.0)))))
-        reward = sentence["logic"] * quality
-        fresh = F.transform(sentence["nums"], lambda x: x["n"])
-        kept = F.when((reward < 0.5) & ~uses, F.concat(tainted, fresh)).otherwise(tainted)
-        return F.struct(kept.alias("tainted"), (state["total"] + reward).alias("total"), (state["n"] + 1).alias("n"))
+        tested = F.transform(sentence["nums"], lambda x: F.struct(F.exists(tainted, lambda t: relative_gap(x["n"], t) < 0.05).alias("hit"), x["q"].alias("q")))
+
+        def judged(marks: Column) -> Column:
+            quality = F.array_min(F.transform(marks, lambda m: F.when(m["hit"], 0.3).otherwise(F.coalesce(m["q"], F.lit(0.0)))))
+            reward = sentence["logic"] * quality
+            kept = F.when((reward < 0.5) & ~F.exists(marks, lambda m: m["hit"]), F.concat(tainted, sentence["fresh"])).otherwise(tainted)
+            return F.struct(kept.alias("tainted"), (state["total"] + reward).alias("total"), (state["n"] + 1).alias("n"))
+
+        return F.transform(F.array(tested), judged)[0]
 
     start = F.struct(
         F.array().cast("array<double>").alias("tainted"), F.lit(0.0).alias("total"), F.lit(0).alias("n")

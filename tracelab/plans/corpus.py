@@ -17,7 +17,7 @@ from tracelab.plans.sqltext import nest, num, st
 from tracelab.plans.sqltext import sub as sub_sql
 from tracelab.sources.fixtures import table, view
 from tracelab.session import fresh_folder
-from tracelab.sources.readers import append_resume, read_jsonl, write_by_status, write_report
+from tracelab.sources.readers import append_resume, listed_files, read_jsonl, write_by_status, write_report
 
 PLANT = "CASE WHEN vec_id % 10 = 1 AND i < vec_id % 7 THEN 1 - bit ELSE bit END"
 
@@ -139,17 +139,34 @@ def cp_stratified_sample(spark, sf):
 REASON_SQL = "CASE WHEN coalesce(image_path, '') = '' THEN 'missing_image' WHEN coalesce(question, '') = '' OR answer IS NULL THEN 'missing_qa' ELSE 'kept' END"
 
 
+# The distilled records as JSON: reasoning is a list of lines, one text, null, or missing.
+RECORD = """concat('{"source": "', source, '"', CASE doc_id % 4 WHEN 0 THEN concat(', "reasoning_steps": ', to_json(split(text, '\\n')))
+ WHEN 1 THEN concat(', "reasoning_steps": ', substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)) WHEN 2 THEN ', "reasoning_steps": null' ELSE '' END, '}')"""
+SOURCES = ["src0", "src1", "src2", "src3", "src4", "src5"]
+
+
 @query(
     "cp_sft_filter",
-    "corpus_lite",
-    f"SELECT source, {REASON_SQL} AS reason, count(*) AS n, {r6('avg(CASE WHEN answer > 500 THEN 1.0 ELSE 0.0 END)')} AS with_reasoning FROM corpus_lite GROUP BY ALL",
+    "documents",
+    f""", l AS (SELECT doc_id, source, CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'x' END AS image_path, text AS question, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE n_chars END AS answer,
+ CASE doc_id % 4 WHEN 0 THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10)) WHEN 1 THEN text ELSE '' END AS reasoning FROM documents),
+r AS (SELECT *, CASE WHEN source NOT IN ({', '.join(f"'{x}'" for x in SOURCES)}) OR source IS NULL THEN 'filtered_source' ELSE {REASON_SQL} END AS reason FROM l)
+SELECT source, reason, count(*) AS n, count(*) FILTER (WHERE reasoning <> '') AS n_reasoned, {r6("avg(CASE WHEN reasoning <> '' THEN 1.0 ELSE 0.0 END)")} AS with_reasoning,
+ CAST(sum(length(reasoning)) AS BIGINT) AS reasoning_chars, md5(max(reasoning)) AS top FROM r GROUP BY source, reason""",
 )
 def cp_sft_filter(spark, sf):
-    rows = view(spark, sf, "corpus_lite")
-    reason = K.sft_reason(F.col("image_path"), F.col("question"), F.col("answer").cast("string"))
+    records = table(spark, sf, "documents").select("doc_id", F.expr(RECORD).alias("record"))
+    reasoning = K.reasoning_text(F.try_variant_get(F.try_parse_json("record"), "$.reasoning_steps", "variant"))
+    records = records.select("doc_id", reasoning.alias("reasoning"))
+    rows = view(spark, sf, "corpus_lite").join(records, "doc_id")
+    reason = K.sft_reason(F.col("image_path"), F.col("question"), F.col("answer").cast("string"), F.col("source"), SOURCES)
+    said = F.col("reasoning") != ""
     return rows.groupBy("source", reason.alias("reason")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(F.when(F.col("answer") > 500, 1.0).otherwise(0.0)), 6).alias("with_reasoning"),
+        F.count_if(said).alias("n_reasoned"),
+        F.round(F.avg(said.cast("double")), 6).alias("with_reasoning"),
+        F.sum(F.length("reasoning")).cast("bigint").alias("reasoning_chars"),
+        F.md5(F.max("reasoning")).alias("top"),
     )
 
 
@@ -467,7 +484,11 @@ def manifest_columns(k, question, gold, bench, scoring):
 def src_bench_manifest(spark, sf):
     parts = [table(spark, sf, m[0]).selectExpr(*manifest_columns(*m[1:])) for m in MANIFESTS]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    listing = table(spark, sf, "pages").selectExpr(f"{IMAGE.format(k='page_id')} AS image_path").distinct()
+    # the images that exist: one file per page in the shared folder, in a folder of its own
+    folder = fresh_folder(spark)
+    table(spark, sf, "pages").selectExpr("page_id AS image", "url").write.partitionBy("image").text(folder)
+    names = listed_files(spark, folder).select(F.regexp_extract("path", "/image=([^/]+)/", 1).alias("name"))
+    listing = names.select(F.concat(F.lit("img/"), F.col("name"), F.lit(".png")).alias("image_path")).distinct()
     # rows whose image is missing from the listing are dropped
     return rows.join(listing, "image_path", "left_semi").select("sample_id", "bench", "image_path", "question", "gold_answer", "scoring")
 
@@ -525,15 +546,27 @@ def src_chart_cells(spark, sf):
 PICK_CELL = "md5(concat_ws('|', CAST(chart_id AS VARCHAR), entity))"
 
 
+# Lines of chart tables: every fourth chart is long (label, value), the others wide; some labels, heads and numbers are blank.
+LABEL = "CASE WHEN l_partkey % 10 = 0 THEN '' ELSE concat('item ', CAST(l_partkey AS STRING)) END"
+QUANTITY = "CASE WHEN qty % 7 = 0 THEN 'n/a' WHEN qty % 3 = 0 THEN concat(CAST(qty AS STRING), '%') ELSE CAST(qty AS STRING) END"
+SECOND = "CASE WHEN group_id % 9 = 1 THEN ' ' ELSE 'discount_pct' END"
+
+
 @query(
     "src_entity_melt",
-    "chart_cells",
-    f""", e AS (SELECT chart_id, row_idx, concat(label, ' (', col, ')') AS entity, value FROM chart_cells),
-r AS (SELECT *, {PICK_CELL} AS pick FROM e) SELECT chart_id, entity, value, pick FROM r""",
+    "lines",
+    f""", c AS (SELECT group_id AS chart_id, group_id % 4 = 0 AS long, {LABEL} AS label, 'quantity' AS head, {QUANTITY} AS raw FROM lines
+ UNION ALL SELECT group_id, FALSE, {LABEL}, trim({SECOND}), CAST(disc AS VARCHAR) FROM lines WHERE group_id % 4 <> 0),
+e AS (SELECT chart_id, CASE WHEN long OR head = '' THEN label WHEN label = '' THEN head ELSE concat(label, ' (', head, ')') END AS entity, {num(st(sub_sql('raw', '[%$,]')))} AS value FROM c)
+SELECT chart_id, entity, value, {PICK_CELL} AS pick FROM e WHERE value IS NOT NULL AND entity <> ''""",
 )
 def src_entity_melt(spark, sf):
-    entity = F.concat(F.col("label"), F.lit(" ("), F.col("col"), F.lit(")"))
-    rows = view(spark, sf, "chart_cells").where(F.col("value").isNotNull()).select("chart_id", "row_idx", entity.alias("entity"), "value")
+    lines = view(spark, sf, "lines")
+    long = F.col("group_id") % 4 == 0
+    pair = lambda a, b, c: F.when(long, F.array(a, b)).otherwise(F.array(a, b, c))
+    body = lines.select(F.col("group_id").alias("chart_id"), (F.col("k") + 1).alias("line"), pair(F.expr(LABEL), F.expr(QUANTITY), F.col("disc").cast("string")).alias("fields"))
+    head = lines.where("k = 0").select(F.col("group_id").alias("chart_id"), F.lit(0).alias("line"), pair(F.lit("label"), F.lit("quantity"), F.expr(SECOND)).alias("fields"))
+    rows = K.entity_pairs(head.unionByName(body), "chart_id", "line", "fields", lambda raw: to_number(strip(sub(raw, "[%$,]"))))
     # ``pick`` orders the cells of a chart for whoever wants only some of them
     return rows.withColumn("pick", Q.pick_key(F.col("chart_id").cast("string"), F.col("entity"))).select("chart_id", "entity", "value", "pick")
 
@@ -563,6 +596,22 @@ def src_chart_text(spark, sf):
     return lines.select(F.col("group_id").alias("chart_id"), (F.col("k") + 1).alias("line_no"), line.alias("line")).unionByName(head)
 
 
+CHART_ROWS = 50
+
+
+@query(
+    "src_chart_csv",
+    "lines",
+    f""", l AS (SELECT group_id AS chart_id, k, concat('item ', CAST(l_partkey AS VARCHAR), ',', CAST(qty AS VARCHAR), ',', CAST(disc AS VARCHAR)) AS line FROM lines WHERE k < {CHART_ROWS})
+SELECT chart_id, concat('label,quantity,discount_pct', chr(10), string_agg(line, chr(10) ORDER BY k)) AS text FROM l GROUP BY chart_id""",
+)
+def src_chart_csv(spark, sf):
+    """A chart's text as a prompt shows it: the header and the first CHART_ROWS rows (the row limit is part of the form)."""
+    first = src_chart_text(spark, sf).where(F.col("line_no") <= CHART_ROWS)
+    lines = first.groupBy("chart_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    return lines.select("chart_id", F.array_join(F.col("l.line"), "\n").alias("text"))
+
+
 @query(
     "sink_append_resume",
     ("rollouts", "judge_outputs"),

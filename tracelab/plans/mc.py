@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelab.operators import mc as M
-from tracelab.plans.registry import query, r6
+from tracelab.operators.scale import exact_mean
+from tracelab.plans.registry import mean9, query, r6
 from tracelab.sources.fixtures import table, view
 
 CATEGORY = (
@@ -47,12 +48,12 @@ def mc_step_value(spark, sf):
     "mc_validate",
     "steps",
     f""", s AS (SELECT bench, model, sample_id, k, coalesce(mc_with, 0) AS s FROM steps),
-per AS (SELECT bench, model, sample_id, max_by(s, k) AS last, avg(s) AS mean, count(*) AS n,
+per AS (SELECT bench, model, sample_id, max_by(s, k) AS last, {mean9('s')} AS mean, count(*) AS n,
  CASE WHEN count(*) >= 3 THEN CASE WHEN stddev_pop(s) > 1e-9 THEN corr(k, s) ELSE 0 END END AS slope,
  count(*) FILTER (WHERE s = 0) AS z, count(*) FILTER (WHERE s = 1) AS o FROM s GROUP BY bench, model, sample_id),
-rep AS (SELECT bench, model, count(*) AS n_samples, {r6('avg(CASE WHEN last >= 0.5 THEN mean END)')} AS correct_avg,
- {r6('avg(CASE WHEN last < 0.5 THEN mean END)')} AS wrong_avg, {r6('coalesce(avg(CASE WHEN last >= 0.5 THEN slope END), 0)')} AS correct_slope,
- {r6('coalesce(avg(CASE WHEN last < 0.5 THEN slope END), 0)')} AS wrong_slope, {r6('(sum(z) + sum(o)) / sum(n)')} AS bimodal_rate,
+rep AS (SELECT bench, model, count(*) AS n_samples, {r6(mean9('CASE WHEN last >= 0.5 THEN mean END'))} AS correct_avg,
+ {r6(mean9('CASE WHEN last < 0.5 THEN mean END'))} AS wrong_avg, {r6(f"coalesce({mean9('CASE WHEN last >= 0.5 THEN slope END')}, 0)")} AS correct_slope,
+ {r6(f"coalesce({mean9('CASE WHEN last < 0.5 THEN slope END')}, 0)")} AS wrong_slope, {r6('(sum(z) + sum(o)) / sum(n)')} AS bimodal_rate,
  {r6('1 - (sum(z) + sum(o)) / sum(n)')} AS mid_rate FROM per GROUP BY bench, model),
 p AS (SELECT *, CAST(coalesce(correct_avg, 0) - coalesce(wrong_avg, 0) >= 0.2 AS INT) + CAST(correct_slope > 0 AS INT)
  + CAST(wrong_slope <= 0.05 AS INT) + CAST(bimodal_rate >= 0.3 AS INT) + CAST(mid_rate >= 0.15 AS INT) AS passed FROM rep)
@@ -234,7 +235,7 @@ def mc_gated_step_reward(spark, sf):
 # Prompts are customers, their orders the rollouts and the order lines the steps of a rollout.
 PROMPT_BENCH = "CASE prompt_id % 3 WHEN 0 THEN 'bench_a' WHEN 1 THEN 'bench_b' ELSE 'bench_c' END"
 SIGNAL_SQL = f""", ax AS (SELECT *, {AXIS_MEAN_SQL} AS step_perception FROM axes),
-pr AS (SELECT group_id, avg(step_perception) AS perception, count(*) AS n_steps, {std0('step_perception')} AS step_std FROM ax GROUP BY group_id),
+pr AS (SELECT group_id, {mean9('step_perception')} AS perception, count(*) AS n_steps, {std0('step_perception')} AS step_std FROM ax GROUP BY group_id),
 ro AS (SELECT o_custkey AS prompt_id, pr.group_id, pr.perception, outcome, n_steps, step_std, pr.perception * outcome AS combined
  FROM pr JOIN orders ON o_orderkey = pr.group_id JOIN rollouts r ON r.group_id = pr.group_id AND r.k = 0),
 g AS (SELECT prompt_id, {PROMPT_BENCH} AS bench, count(*) AS n_rollouts, {std0('outcome')} AS std_out, {std0('perception')} AS std_per,
@@ -250,7 +251,7 @@ def rollout_perception(spark, sf):
         view(spark, sf, "axes")
         .select("group_id", M.axis_mean(M.axis_map(AXIS_NAMES, AXES)).alias("p"))
         .groupBy("group_id")
-        .agg(F.avg("p").alias("perception"), F.count(F.lit(1)).alias("n_steps"), M.pstd(F.col("p")).alias("step_std"))
+        .agg(exact_mean(F.col("p")).alias("perception"), F.count(F.lit(1)).alias("n_steps"), M.pstd(F.col("p")).alias("step_std"))
     )
     prompts = table(spark, sf, "orders").select(F.col("o_orderkey").alias("group_id"), F.col("o_custkey").alias("prompt_id"))
     outcome = view(spark, sf, "rollouts").where("k = 0").select("group_id", "outcome")
