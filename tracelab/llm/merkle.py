@@ -120,7 +120,8 @@ def proofs(docs: DataFrame, run: int = RUN) -> DataFrame:
     over, root = climb(upper, run)
     root = root.first()
     none = F.array().cast("array<struct<l:string,r:string>>")
-    above = descend(upper, over, docs.sparkSession.range(1).select(F.lit("").alias("tree"), none.alias("path")), run)
+    empty = staged(docs.sparkSession.range(1).select(F.lit("").alias("tree"), none.alias("path")), "merkle-empty")
+    above = descend(upper, over, empty, run)
     above = staged(above.select(F.col("kid.name").alias("tree"), F.struct("path", F.col("kid.h").alias("subroot")).alias("top")), "merkle-above")
     down = descend(nodes, made, above.select("tree", F.col("top.path").alias("path")), run)
     down = down.join(above.select("tree", "top.subroot"), "tree")
