@@ -503,7 +503,10 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def test_edit_join_matches_brute_force(spark):
+@pytest.mark.parametrize("ids", [40, 3])
+def test_edit_join_matches_brute_force(spark, monkeypatch, ids):
+    # three bits: most lines share their id with others
+    monkeypatch.setattr(editlines, "line_id", lambda: F.shiftright("h", 64 - ids))
     rng = random.Random(15)
     base = ["".join(rng.choice("abcdefgé 𝄞") for _ in range(rng.randrange(22, 50))) for _ in range(25)]
     lines = [edit(rng, rng.choice(base), rng.randrange(0, 4)) for _ in range(160)] + base[:5]
@@ -512,16 +515,16 @@ def test_edit_join_matches_brute_force(spark):
     first = {}
     for i, t in enumerate(texts):
         for at, line in enumerate((t or "").split("\n")):
-            if len(line) >= editlines.LEAST_CHARS:
+            if line.strip(" "):
                 first.setdefault(line, (i, at))
     want = {}
-    known = sorted(first.items(), key=lambda x: x[1])
+    known = sorted(((line, p) for line, p in first.items() if len(line) >= editlines.LEAST_CHARS), key=lambda x: x[1])
     for k, (a, p) in enumerate(known):
         for b, q in known[k + 1 :]:
             d = levenshtein(a, b)
             if d <= editlines.EDITS:
                 want[p, q] = d
-    got = {((r["a_doc"], r["a_at"]), (r["b_doc"], r["b_at"])): r["distance"] for r in editlines.links(editlines.distinct_lines(docs)).collect()}
+    got = {((r["a_doc"], r["a_at"]), (r["b_doc"], r["b_at"])): r["distance"] for r in editlines.links(editlines.distinct_lines(docs).where(F.col("n") >= editlines.LEAST_CHARS)).collect()}
     assert got == want and len(want) > 20
     gone = {(r["doc_id"], r["at"]): r["reason"] for r in editlines.decisions(docs).collect()}
     near = {q for _, q in want}
@@ -543,11 +546,11 @@ def test_lines_of_odd_rows(spark):
 def test_copies_of_short_lines(spark):
     texts = ["Les.\nAnd ornd.\n\n \t", "And ornd.\nLes!\n" + "a line long enough to link", "Les.\nLes.\n\n" + "a line long enough to think"]
     docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(None, "Les.", "s")], extra=True)
-    gone = {(r["doc_id"], r["at"], r["reason"]) for r in editlines.decisions(docs, short=True).collect()}
+    gone = {(r["doc_id"], r["at"], r["reason"]) for r in editlines.decisions(docs).collect()}
     assert gone == {(1, 0, "copy"), (2, 0, "copy"), (2, 1, "copy"), (2, 3, "near")}
-    clean = {r["doc_id"]: r["text"] for r in editlines.without_repeats(docs, short=True).collect()}
+    clean = {r["doc_id"]: r["text"] for r in editlines.without_repeats(docs).collect()}
     assert clean == {0: texts[0], 1: "Les!\na line long enough to link", 2: "", None: "Les."}
-    assert {r["doc_id"]: r["dropped"] for r in editlines.report(docs, short=True).collect()} == {0: "", 1: "0", 2: "0,1,3", None: ""}
+    assert {r["doc_id"]: r["dropped"] for r in editlines.report(docs).collect()} == {0: "", 1: "0", 2: "0,1,3", None: ""}
 
 
 # pipeline

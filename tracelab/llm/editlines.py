@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tracelab.llm.common import plain_text, staged
 
 EDITS = 2  # insertions, deletions and substitutions of a link, at most
-LEAST_CHARS = 24  # shorter lines link with nothing; their copies go only where ``short`` is set
-LETTERS = "eatniorhsldcumgb"  # letters whose counts may differ by 2 * EDITS in sum
+LEAST_CHARS = 24  # shorter lines link with nothing, as two edits would turn one into another; their copies go
+LETTERS = "eatniorhsl"  # letters whose counts may differ by 2 * EDITS in sum
 
 
-def lines_of(docs: DataFrame, short: bool = False) -> DataFrame:
-    """Lines (split at line feeds) of LEAST_CHARS characters or more, with ``short`` all lines with a word: ``doc_id, at, line``; ``at`` counts all lines from 0."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """Lines with a word (split at line feeds): ``doc_id, at, line``; ``at`` counts all lines from 0."""
     split = docs.select("doc_id", F.posexplode(F.split(plain_text(), "\n")).alias("at", "line"))
-    return split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]") if short else F.length("line") >= LEAST_CHARS)
+    return split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def segment(length: Column, number: int, edits: int = EDITS) -> tuple[Column, Column]:
@@ -55,7 +55,7 @@ def probe_keys(edits: int = EDITS) -> Column:
 
 
 def letter_counts() -> Column:
-    """Counts of sixteen letters, four bits each, in one number."""
+    """Counts of ten letters, four bits each, in one number."""
     out = F.lit(0).cast("bigint")
     for i, c in enumerate(LETTERS):
         count = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit("")))
@@ -63,11 +63,29 @@ def letter_counts() -> Column:
     return out
 
 
+#: A key row is two numbers: 48 bits of the key and 16 of the counts, 40 bits of the line's hash (its id) and 24 of the counts.
+KEY_BITS, ID_BITS = 48, 40
+
+
+def line_id() -> Column:
+    return F.shiftright("h", 64 - ID_BITS)
+
+
+def packed(made: Column) -> list[Column]:
+    """``k, v`` of a key and the line it is for."""
+    low = F.col("c").bitwiseAND(F.lit((1 << 24) - 1))
+    return [
+        F.shiftleft(made, 64 - KEY_BITS).bitwiseOR(F.shiftrightunsigned("c", 24)).alias("k"),
+        F.shiftleft(line_id(), 64 - ID_BITS).bitwiseOR(low).alias("v"),
+    ]
+
+
 def counts_fit(a: str, b: str, edits: int = EDITS) -> Column:
-    """True wherever the letter counts allow EDITS edits (counts modulo 16: never false for a link)."""
+    """True wherever the letter counts in two key rows allow EDITS edits (counts modulo 16: never false for a link)."""
     total = "0"
     for i in range(len(LETTERS)):
-        x = f"abs(((shiftrightunsigned({a}, {4 * i}) & 15) - (shiftrightunsigned({b}, {4 * i}) & 15)))"
+        part = lambda row: f"(shiftright({row}.v, {4 * i}) & 15)" if i < 6 else f"(shiftright({row}.k, {4 * i - 24}) & 15)"
+        x = f"abs({part(a)} - {part(b)})"
         total += f" + least({x}, 16 - {x})"
     return F.expr(f"({total}) <= {2 * edits}")
 
@@ -101,57 +119,71 @@ def distance(a: str, b: str, edits: int = EDITS) -> Column:
     )
 
 
-def distinct_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """Each different line once: ``h`` (hash), ``c`` (letter counts), ``line``, ``n``, first place ``doc_id, at`` and number of ``copies``."""
-    lines = lines_of(docs, short).where("doc_id is not null")
-    grouped = lines.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("p"), F.count(F.lit(1)).alias("copies"))
-    return grouped.select(F.xxhash64("line").alias("h"), letter_counts().alias("c"), "line", F.length("line").alias("n"), "p.doc_id", "p.at", "copies")
+PLACES = 1 << 31  # places in a document
+
+
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """Each different line once: ``h`` (hash), ``c`` (letter counts), ``line``, ``n``, first place ``doc_id, at`` and number of ``copies``.
+
+    The first place is the least of one decimal, which a hash aggregate can hold; a struct would have the lines sorted.
+    """
+    lines = lines_of(docs).where("doc_id is not null")
+    place = (F.col("doc_id").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(11,0)") + F.col("at")).cast("decimal(38,0)")
+    grouped = lines.groupBy("line").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("copies"))
+    at = F.pmod("p", F.lit(PLACES).cast("decimal(38,0)")).cast("int")
+    doc = ((F.col("p") - at) / F.lit(PLACES).cast("decimal(11,0)")).cast("bigint")
+    return grouped.select(F.xxhash64("line").alias("h"), letter_counts().alias("c"), "line", F.length("line").alias("n"), doc.alias("doc_id"), at.alias("at"), "copies")
 
 
 def links(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
-    """All pairs of different lines within ``edits`` edits, the earlier one first.
+    """All pairs of different lines (of LEAST_CHARS characters or more) within ``edits`` edits, the earlier one first.
 
     ``distinct`` comes from ``distinct_lines`` and should be staged. Returns ``a_doc, a_at, b_doc, b_at, distance`` and the hashes
     ``a, b``. Candidates share a key of the index and pass the letter counts inside the join; copies were merged before, so a
     common line has one row per key. Lines go by a 64-bit hash until the verification, which compares the texts of every
-    line of either hash, so equal hashes of different lines lose nothing.
+    line of either id, so equal ids of different lines lose nothing: such lines are candidates of each other.
     """
     wide = distinct.select("h", "c", "n", F.encode("line", "UTF-32").alias("wide"))
-    rows = lambda keys, h, c: wide.select(F.explode(keys).alias("key"), F.col("h").alias(h), F.col("c").alias(c))
-    waiting, asking = rows(index_keys(edits), "x", "cx"), rows(probe_keys(edits), "y", "cy")
-    in_place = waiting.join(rows(index_keys(edits), "y", "cy"), "key").where((F.col("x") < F.col("y")) & counts_fit("cx", "cy", edits))
-    shifted = waiting.join(asking, "key").where((F.col("x") != F.col("y")) & counts_fit("cx", "cy", edits))
-    pairs = in_place.select("x", "y").unionByName(shifted.select("x", "y"))
-    pairs = staged(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    texts = staged(distinct.join(wanted.hint("shuffle_hash"), "h", "left_semi").select("h", "line", "doc_id", "at"), "line-texts")
-    side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"{c}_line"), F.struct("doc_id", "at").alias(f"{c}_p"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("distance", distance("a_line", "b_line", edits))
+    rows = lambda keys: wide.select("h", "c", F.explode(keys).alias("key")).select(*packed(F.col("key")))
+    ids = [F.shiftright(F.col(f"{s}.v"), 64 - ID_BITS).alias(s) for s in "xy"]
+    same = lambda s: F.shiftright(F.col(f"{s}.k"), 64 - KEY_BITS)
+    fit = counts_fit("x", "y", edits)
+    meet = lambda other, which: rows(index_keys(edits)).alias("x").join(other.alias("y"), same("x") == same("y")).where(fit).select(*ids).where(which)
+    pairs = meet(rows(index_keys(edits)), "x < y").unionByName(meet(rows(probe_keys(edits)), "x != y"))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    named = distinct.withColumn("id", line_id())
+    twice = named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    pairs = staged(pairs.unionByName(twice), "line-pairs")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = staged(named.join(wanted.hint("shuffle_hash"), "id", "left_semi").select("id", "h", "line", "doc_id", "at"), "line-texts")
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("h").alias(f"{c}_h"), F.col("line").alias(f"{c}_line"), F.struct("doc_id", "at").alias(f"{c}_p"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where("a != b or a_p < b_p")
+    met = met.withColumn("distance", distance("a_line", "b_line", edits))
     met = met.where("distance is not null")
     first = F.col("a_p") < F.col("b_p")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     return met.select(
-        pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("a_p", "b_p").alias("p"), pick("b_p", "a_p").alias("q"), "distance"
+        pick("a_h", "b_h").alias("a"), pick("b_h", "a_h").alias("b"), pick("a_p", "b_p").alias("p"), pick("b_p", "a_p").alias("q"), "distance"
     ).select("a", "b", F.col("p.doc_id").alias("a_doc"), F.col("p.at").alias("a_at"), F.col("q.doc_id").alias("b_doc"), F.col("q.at").alias("b_at"), "distance")
 
 
-def decisions(docs: DataFrame, short: bool = False) -> DataFrame:
+def decisions(docs: DataFrame) -> DataFrame:
     """One row per dropped line: ``doc_id, at, reason``.
 
     A line goes as ``copy`` if it equals an earlier line (by doc_id, then line number), as ``near`` if it is the first of its kind but
     within EDITS edits of a line that occurs earlier. Null texts have no lines; lines of a null ``doc_id`` are never dropped and
     drop nothing; a row that repeats a ``doc_id`` and text shares its places, so its lines stay or go as in the first.
 
-    Lines under LEAST_CHARS characters stay, as the check SQL has it. With ``short`` those with a word go as ``copy`` like all others,
-    by the same grouping; their edit bound is 0, as two edits would turn one short line into another one.
+    Lines without a word stay. Lines under LEAST_CHARS characters go as ``copy`` only: their edit bound is 0, as two edits would turn
+    one short line into another one.
     """
     docs = docs.select("doc_id", "text")
-    distinct = staged(distinct_lines(docs, short), "lines", "zstd")
-    near = links(distinct.where(F.col("n") >= LEAST_CHARS) if short else distinct).select(F.col("b_doc").alias("doc_id"), F.col("b_at").alias("at")).distinct().withColumn("near", F.lit(True))
+    distinct = staged(distinct_lines(docs), "lines", "zstd")
+    near = links(distinct.where(F.col("n") >= LEAST_CHARS)).select(F.col("b_doc").alias("doc_id"), F.col("b_at").alias("at")).distinct().withColumn("near", F.lit(True))
     # both hashes are taken below the join, so that no text moves
     kinds = distinct.select("h", F.xxhash64("line", F.lit(1)).alias("h2"), "doc_id", "at", "copies").join(near, ["doc_id", "at"], "left")
     kinds = kinds.where("near or copies > 1").select("h", "h2", F.col("doc_id").alias("f_doc"), F.col("at").alias("f_at"), "near")
-    places = lines_of(docs, short).where("doc_id is not null").select("doc_id", "at", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"))
+    places = lines_of(docs).where("doc_id is not null").select("doc_id", "at", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"))
     is_first = (F.col("doc_id") == F.col("f_doc")) & (F.col("at") == F.col("f_at"))
     return (
         places.join(kinds, ["h", "h2"])
@@ -161,10 +193,10 @@ def decisions(docs: DataFrame, short: bool = False) -> DataFrame:
     )
 
 
-def report(docs: DataFrame, short: bool = False) -> DataFrame:
+def report(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id, n_lines, n_copy, n_near, dropped`` (numbers of the dropped lines, comma-joined)."""
     docs = docs.select("doc_id", "text")
-    gone = decisions(docs, short).groupBy("doc_id").agg(
+    gone = decisions(docs).groupBy("doc_id").agg(
         F.count(F.when(F.col("reason") == "copy", 1)).alias("n_copy"),
         F.count(F.when(F.col("reason") == "near", 1)).alias("n_near"),
         F.array_join(F.array_sort(F.collect_set("at")), ",").alias("dropped"),
@@ -174,19 +206,19 @@ def report(docs: DataFrame, short: bool = False) -> DataFrame:
     return counted.join(gone, "doc_id", "left").select("doc_id", "n_lines", zero("n_copy"), zero("n_near"), F.coalesce("dropped", F.lit("")).alias("dropped"))
 
 
-def without_repeats(docs: DataFrame, short: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``; a document may end up empty, null texts stay null."""
-    gone = decisions(docs, short).groupBy("doc_id").agg(F.collect_set("at").alias("_gone"))
+    gone = decisions(docs).groupBy("doc_id").agg(F.collect_set("at").alias("_gone"))
     kept = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (x, i) -> struct(x, i)), s -> not array_contains(_gone, s.i)), s -> s.x), '\\n')")
     return docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_gone")
 
 
 SQL = f"""
 WITH l AS (SELECT doc_id, unnest(range(0, len(s))) AS ln, unnest(s) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
-k AS (SELECT * FROM l WHERE length(line) >= {LEAST_CHARS}),
+k AS (SELECT * FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 o AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, ln) AS r FROM k),
 d AS (SELECT doc_id, ln, line, length(line) AS n FROM o WHERE r = 1),
-near AS (SELECT DISTINCT y.doc_id, y.ln FROM d x JOIN d y ON y.n BETWEEN x.n - {EDITS} AND x.n + {EDITS} AND (x.doc_id, x.ln) < (y.doc_id, y.ln) WHERE levenshtein(x.line, y.line) <= {EDITS}),
+near AS (SELECT DISTINCT y.doc_id, y.ln FROM d x JOIN d y ON y.n BETWEEN x.n - {EDITS} AND x.n + {EDITS} AND (x.doc_id, x.ln) < (y.doc_id, y.ln) WHERE x.n >= {LEAST_CHARS} AND y.n >= {LEAST_CHARS} AND levenshtein(x.line, y.line) <= {EDITS}),
 g AS (SELECT doc_id, ln, 'copy' AS reason FROM o WHERE r > 1 UNION ALL SELECT doc_id, ln, 'near' FROM near),
 c AS (SELECT doc_id, count(*) FILTER (WHERE reason = 'copy') AS n_copy, count(*) FILTER (WHERE reason = 'near') AS n_near, string_agg(CAST(ln AS VARCHAR), ',' ORDER BY ln) AS dropped FROM g GROUP BY doc_id)
 SELECT doc_id, n_lines, coalesce(n_copy, 0) AS n_copy, coalesce(n_near, 0) AS n_near, coalesce(dropped, '') AS dropped
