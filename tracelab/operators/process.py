@@ -223,11 +223,15 @@ def anchored_counts(responses: DataFrame, cells: DataFrame, keys: list[str], cha
     entities = table_entities(cells)
     known = entities.withColumn("hit", F.lit(1))
     number = F.when(F.col("token").rlike(r"^[-+]?\d"), plain_number(F.col("token")))
-    near = Window.partitionBy(*keys).orderBy("pos").rowsBetween(-REACH, REACH)
+    counted = F.when((F.abs(number) >= ZERO) & ~is_year(number), number)
+    # only entity tokens and numbers go on: the reach counts positions, so the words between need not move again
+    near = Window.partitionBy(*keys).orderBy("pos").rangeBetween(-REACH, REACH)
     mentions = (
         tokens.join(known, ["chart_id", "token"], "left")
-        .select(*keys, "chart_id", number.alias("n"), F.max("hit").over(near).alias("anchored"))
-        .where(F.col("n").isNotNull() & (F.abs("n") >= ZERO) & ~is_year(F.col("n")))
+        .select(*keys, "chart_id", "pos", counted.alias("n"), "hit")
+        .where("n IS NOT NULL OR hit IS NOT NULL")
+        .select(*keys, "chart_id", "n", F.max("hit").over(near).alias("anchored"))
+        .where("n IS NOT NULL")
     )
     match = best_match(
         mentions.select("chart_id", "n").distinct(), cells.select("chart_id", "value").distinct()

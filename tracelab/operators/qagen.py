@@ -31,8 +31,8 @@ def wording(name: str) -> list[Column]:
     ]
 
 
-def write_questions(facts: DataFrame, keys: list[str], templates: list[Template]) -> DataFrame:
-    """One row per question whose condition holds: answer, question, reasoning steps and difficulty."""
+def write_questions(facts: DataFrame, keys: list[str], templates: list[Template], worded: bool = True) -> DataFrame:
+    """One row per question whose condition holds: the answer and, where ``worded``, question, reasoning steps and difficulty."""
     made = []
     for name, kind, condition, number, text in templates:
         value = F.round(F.round(F.expr(number), 6), 2).cast("double") if number else F.lit(None).cast("double")
@@ -45,7 +45,7 @@ def write_questions(facts: DataFrame, keys: list[str], templates: list[Template]
                     F.lit(kind).alias("answer_type"),
                     value.alias("answer_num"),
                     words.alias("answer_text"),
-                    *wording(name),
+                    *(wording(name) if worded else []),
                 ),
             )
         )

@@ -16,7 +16,7 @@ from tracelab.plans.registry import query, r6
 from tracelab.plans.sqltext import nest, num, st
 from tracelab.plans.sqltext import sub as sub_sql
 from tracelab.sources.fixtures import table, view
-from tracelab.session import fresh_folder
+from tracelab.session import checkpoint, fresh_folder
 from tracelab.sources.readers import append_resume, listed_files, read_jsonl, write_by_status, write_report
 
 PLANT = "CASE WHEN vec_id % 10 = 1 AND i < vec_id % 7 THEN 1 - bit ELSE bit END"
@@ -97,7 +97,8 @@ m AS (SELECT doc_id, min(hamming(tr.s, te.s)) AS distance, count(*) AS n_test FR
 SELECT d.doc_id, m.doc_id IS NOT NULL AS contaminated, CAST(m.distance AS INT) AS distance, m.n_test FROM documents d LEFT JOIN m USING (doc_id)""",
 )
 def cp_contamination_text(spark, sf):
-    docs = K.simhash_bits(table(spark, sf, "documents"), "doc_id", "text")
+    # six small numbers a document, asked for twice: written once, so that the words are counted once
+    docs = checkpoint(K.simhash_bits(table(spark, sf, "documents"), "doc_id", "text"))
     items = K.simhash_bits(table(spark, sf, "benchmark"), "item_id", "text")
     near = K.near_fingerprints(docs, items)
     hits = docs.join(near, K.NAMES).select("doc_id", "distance", "n_test")

@@ -303,16 +303,16 @@ u AS ({" UNION ALL ".join(questions_sql(f"(SELECT * FROM tx WHERE chart_type = '
 SELECT chart_type, template, answer_type, count(*) AS n, {r6('avg(answer_num)')} AS mean_answer FROM u GROUP BY ALL""",
 )
 def qa_dispatch(spark, sf):
-    typed_xy = xy(spark, sf).withColumn("chart_type", F.expr(TYPE_OF))
-    typed_facts = facts(spark, sf).withColumn("chart_type", F.expr(TYPE_OF))
-    parts = [
-        Q.write_questions(typed_xy.where(F.col("chart_type") == t), ["chart_type"], ts)
-        for t, ts in zip(CHART_TYPES, XY_SETS.values())
-    ]
-    parts.append(Q.write_questions(typed_facts.where("chart_type = 'other'"), ["chart_type"], Q.CORE + Q.BLOCK_A))
+    # one pass for the charts that share their facts; a template counts for the charts of its type
+    of_type = lambda sets: [(n, kind, f"chart_type = '{t}' AND ({when})", num, text) for t, ts in sets for n, kind, when, num, text in ts]
+    write = lambda rows, templates: Q.write_questions(rows, ["chart_type"], templates, worded=False)
+    typed_xy = xy(spark, sf).withColumn("chart_type", F.expr(TYPE_OF)).where("chart_type <> 'other'")
+    typed_facts = facts(spark, sf).withColumn("chart_type", F.expr(TYPE_OF)).where("chart_type = 'other'")
+    parts = [write(typed_xy, of_type(zip(CHART_TYPES, XY_SETS.values()))), write(typed_facts, Q.CORE + Q.BLOCK_A)]
+    both = methods(spark, sf).withColumn("chart_type", F.explode(F.array(F.lit("band"), F.lit("violin"))))
+    parts.append(write(both, of_type([("band", Q.BAND_Q), ("violin", Q.VIOLIN)])))
     own = {"panels": (panels(spark, sf), Q.PANEL), "heatmap": (matrices(spark, sf), Q.MATRIX)}
-    own |= {"band": (methods(spark, sf), Q.BAND_Q), "violin": (methods(spark, sf), Q.VIOLIN)}
-    parts += [Q.write_questions(rows.withColumn("chart_type", F.lit(t)), ["chart_type"], ts) for t, (rows, ts) in own.items()]
+    parts += [write(rows.withColumn("chart_type", F.lit(t)), ts) for t, (rows, ts) in own.items()]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
@@ -331,7 +331,7 @@ SELECT template, count(*) AS n, {r6('100.0 * count(*) / any_value(total)')} AS s
 )
 def qa_stats(spark, sf):
     base = facts(spark, sf)
-    rows = Q.write_questions(base, KEYS, Q.CORE + Q.BLOCK_A)
+    rows = Q.write_questions(base, KEYS, Q.CORE + Q.BLOCK_A, worded=False)
     counts = rows.groupBy("template").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("answer_num").isNull()).alias("_text")
     )

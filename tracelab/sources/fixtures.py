@@ -7,11 +7,9 @@ the same view for the checks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelab.operators.scale import ordinal_in_group
-
 LINE_ORDER = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
     "l_extendedprice", "l_discount", "l_tax", "l_shipdate",
@@ -175,8 +173,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived input view as a DataFrame."""
     if name == "lines":
         needed = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
-        numbered = ordinal_in_group(needed, ["l_orderkey"], LINE_ORDER, "k")
-        return numbered.withColumn("k", F.col("k").cast("int")).selectExpr(*LINES)
+        # line numbers run from 1 to 7, so an order is a bounded group; the numbering costs nothing where ``k`` is not used
+        place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)) - 1
+        return needed.withColumn("k", place).selectExpr(*LINES)
     if name in LINE_VIEWS:
         return view(spark, sf_dir, "lines").selectExpr(*LINE_VIEWS[name])
     if name == "chart_cells":
