@@ -352,6 +352,43 @@ def last_answer(df: DataFrame, response: str = "response", pattern: str = TAG_AN
     )
 
 
+AFTER_THINK = r"(?s)</think>\s*(.+)"
+BRACKET_TAG = r"(?s)\[answer\](.*?)\[/answer\]"
+
+
+def mc_prediction(df: DataFrame, response: str = "response", most: int = 200) -> DataFrame:
+    """A sub-rollout's answer: the first tag, else the last line, else the text; its first ``most`` characters, as the rule has it."""
+    c = F.col
+    return run_stages(
+        df,
+        [
+            ("_line", lambda: last_line(c(response))),
+            ("route", lambda: F.when(c(response).rlike(TAG_ANY_CASE), "tag").when(c("_line") != "", "last_line").otherwise("whole")),
+            ("_said", lambda: F.when(c("route") == "tag", strip(group(c(response), TAG_ANY_CASE))).when(c("route") == "last_line", c("_line")).otherwise(c(response))),
+            ("pred", lambda: F.left(c("_said"), F.lit(most))),
+        ],
+    )
+
+
+def continuation(df: DataFrame, response: str = "response") -> DataFrame:
+    """Answer of a continuation: the answer found behind ``</think>``, else all that stands there; without the tag the answer found anywhere."""
+    c = F.col
+    closed = c("_whole").rlike(AFTER_THINK)
+    rows = df.withColumn("_whole", c(response)).withColumn(response, F.when(closed, strip(group(c("_whole"), AFTER_THINK))).otherwise(c("_whole")))
+    rows = v5(rows).withColumnsRenamed({"pred": "_answer", "route": "_found"})
+    found = F.coalesce(c("_answer"), F.lit("")) != ""
+    rows = rows.withColumn("route", F.when(found, "answer").when(closed, "tail").otherwise("none"))
+    rows = rows.withColumn("pred", F.when(found, c("_answer")).when(closed, c(response)).otherwise(""))
+    return rows.withColumn(response, c("_whole")).drop("_whole", "_answer", "_found")
+
+
+def bracket(df: DataFrame, response: str = "response") -> DataFrame:
+    """The first ``[answer]`` in square brackets; empty without one."""
+    c = F.col
+    hit = c(response).rlike(BRACKET_TAG)
+    return df.withColumns({"route": F.when(hit, "tag").otherwise("none"), "pred": F.when(hit, strip(group(c(response), BRACKET_TAG))).otherwise("")})
+
+
 def teacher(df: DataFrame, tag_family: str = "bench_c") -> DataFrame:
     """Teacher output: a tag for one answer family, else the last line."""
     c = F.col
@@ -381,6 +418,9 @@ RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "rescore_legacy": rescore_legacy,
     "last_answer_simple": last_answer,
     "teacher_answer": teacher,
+    "mc_prediction": mc_prediction,
+    "continuation": continuation,
+    "bracket": bracket,
 }
 
 

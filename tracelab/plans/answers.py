@@ -198,6 +198,45 @@ def last_answer_sql(source: str) -> str:
     )
 
 
+PRED_CHARS = 200  # part of the rule: a sub-rollout's answer is its first 200 characters
+
+
+def mc_prediction_sql(source: str) -> str:
+    return nest(
+        source,
+        [
+            ("h", rx("response", X.TAG_ANY_CASE)),
+            ("route", f"CASE WHEN {rm('response', X.TAG_ANY_CASE)} THEN 'tag' WHEN {line('response', -1)} <> '' THEN 'last_line' ELSE 'whole' END"),
+            ("pred", f"left(CASE route WHEN 'tag' THEN {st('h')} WHEN 'last_line' THEN {line('response', -1)} ELSE response END, {PRED_CHARS})"),
+        ],
+    )
+
+
+def continuation_sql(source: str) -> str:
+    tail = st(rx("response", X.AFTER_THINK))
+    renamed = f"(SELECT * EXCLUDE (response), response AS whole, CASE WHEN {rm('response', X.AFTER_THINK)} THEN {tail} ELSE response END AS response FROM {source})"
+    answered = f"(SELECT * RENAME (pred AS said, route AS found) FROM {v5_sql(renamed)})"
+    return nest(
+        answered,
+        [
+            ("route", f"CASE WHEN coalesce(said, '') <> '' THEN 'answer' WHEN {rm('whole', X.AFTER_THINK)} THEN 'tail' ELSE 'none' END"),
+            ("pred", "CASE route WHEN 'answer' THEN said WHEN 'tail' THEN response ELSE '' END"),
+        ],
+    )
+
+
+# the bracket form of the same responses
+BRACKETED = "replace(replace(response, '<answer>', '[answer]'), '</answer>', '[/answer]')"
+
+
+def bracket_sql(source: str) -> str:
+    renamed = f"(SELECT * REPLACE ({BRACKETED} AS response) FROM {source})"
+    return nest(
+        renamed,
+        [("route", f"CASE WHEN {rm('response', X.BRACKET_TAG)} THEN 'tag' ELSE 'none' END"), ("pred", st(rx("response", X.BRACKET_TAG)))],
+    )
+
+
 def teacher_sql(source: str) -> str:
     c = st(CONTENT)
     return nest(
@@ -219,6 +258,9 @@ RULE_SQL = {
     "rescore_legacy": ("served", legacy_sql, "extract_rescore_legacy"),
     "last_answer_simple": ("responses", last_answer_sql, "extract_last_answer_simple"),
     "teacher_answer": ("served", teacher_sql, "extract_teacher_answer"),
+    "mc_prediction": ("responses", mc_prediction_sql, "extract_mc_prediction"),
+    "continuation": ("responses", continuation_sql, "extract_continuation"),
+    "bracket": ("responses", bracket_sql, "extract_bracket"),
 }
 
 
@@ -228,7 +270,10 @@ def _register_rule(rule: str) -> None:
 
     @query(name, source, f"SELECT bench, model, v, route, pred, count(*) AS n FROM {sql(source)} GROUP BY ALL")
     def run(spark, sf):
-        return X.answer_histogram(X.RULES[rule](view(spark, sf, source)), keys)
+        rows = view(spark, sf, source)
+        if rule == "bracket":
+            rows = rows.withColumn("response", F.expr(BRACKETED))
+        return X.answer_histogram(X.RULES[rule](rows), keys)
 
 
 for _rule in RULE_SQL:

@@ -68,20 +68,38 @@ def with_years(spark, sf):
     return cells.withColumn("col_idx", order).unionByName(years)
 
 
-@query(
-    "qa_eligible_columns",
-    ("lines", "chart_cells"),
-    """, y AS (SELECT chart_id, row_idx, col, value, CASE col WHEN 'quantity' THEN 1 ELSE 2 END AS col_idx FROM chart_cells
- UNION ALL SELECT group_id, k, 'year', 1990 + k, 0 FROM lines),
+ELIGIBLE_SQL = """, y AS (SELECT chart_id, row_idx, label, col, value, CASE col WHEN 'quantity' THEN 1 ELSE 2 END AS col_idx FROM chart_cells
+ UNION ALL SELECT group_id, k, '', 'year', 1990 + k, 0 FROM lines),
 c AS (SELECT chart_id, col, col_idx, count(value) AS n FROM y GROUP BY ALL HAVING count(value) >= 2),
 p AS (SELECT *, regexp_matches(col, '(?i)year|date|time|index') AS yearish, count(*) FILTER (WHERE NOT regexp_matches(col, '(?i)year|date|time|index')) OVER (PARTITION BY chart_id) AS n_plain FROM c),
-r AS (SELECT chart_id, col, n, CAST(row_number() OVER (PARTITION BY chart_id ORDER BY col_idx) AS INT) AS "rank" FROM p WHERE NOT yearish OR n_plain = 0)
-SELECT * FROM r""",
-)
+r AS (SELECT chart_id, col, n, CAST(row_number() OVER (PARTITION BY chart_id ORDER BY col_idx) AS INT) AS "rank" FROM p WHERE NOT yearish OR n_plain = 0)"""
+
+
+@query("qa_eligible_columns", ("lines", "chart_cells"), ELIGIBLE_SQL + " SELECT * FROM r")
 def qa_eligible_columns(spark, sf):
     return Q.numeric_columns(with_years(spark, sf))
 
 
+VALUE_COLUMNS = 2
+
+
+@query(
+    "qa_core_eligible",
+    ("lines", "chart_cells"),
+    ELIGIBLE_SQL
+    + f""", ec AS (SELECT y.* FROM y SEMI JOIN (SELECT chart_id, col FROM r WHERE "rank" <= {VALUE_COLUMNS}) e ON e.chart_id = y.chart_id AND e.col = y.col)"""
+    + FACTS_SQL.replace("chart_cells", "ec")
+    + " "
+    + questions_sql("facts", "chart_id, col", Q.CORE),
+)
+def qa_core_eligible(spark, sf):
+    """Core questions over the first value columns of charts that also have a year column."""
+    cells = with_years(spark, sf)
+    chosen = Q.numeric_columns(cells, VALUE_COLUMNS).select("chart_id", "col")
+    cells = cells.join(chosen, ["chart_id", "col"], "left_semi")
+    return records(Q.write_questions(Q.column_facts(cells), ["chart_id", "col"], Q.CORE))
+
+
 KEYS = ["chart_id", "col"]
 
 
