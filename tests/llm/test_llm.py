@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -191,6 +192,44 @@ def test_cnn_segments_do_not_matter(monkeypatch):
     assert abs(bytecnn.probability(net, text) - whole) < 1e-5
 
 
+def naive_probability(net, text):
+    """The network by plain loops over positions, chunks and units."""
+    data = list(text)
+    halves = max(2, -(-(len(data) + bytecnn.WIDTH - 1) // bytecnn.HALF))
+    data += [0] * (halves * bytecnn.HALF - len(data))
+    best = [[0.0] * bytecnn.FILTERS for _ in range(halves)]
+    for p in range(len(data)):
+        codes = [data[p + k] if p + k < len(data) else 0 for k in range(bytecnn.WIDTH)]
+        taps = [float(x) for c in codes for x in net["embed"][c]]
+        for f in range(bytecnn.FILTERS):
+            z = float(net["bias"][f]) + sum(t * float(w) for t, w in zip(taps, net["filters"][:, f]))
+            best[p // bytecnn.HALF][f] = max(best[p // bytecnn.HALF][f], z, 0.0)
+    units = []
+    for h in range(halves - 1):
+        chunk = [max(a, b) for a, b in zip(best[h], best[h + 1])]
+        units.append([math.tanh(float(net["mix_bias"][j]) + sum(c * float(w) for c, w in zip(chunk, net["mix"][:, j]))) for j in range(bytecnn.HIDDEN)])
+    z = float(net["top_bias"][0])
+    for j in range(bytecnn.HIDDEN):
+        column = [u[j] for u in units]
+        z += max(column) * float(net["top"][j]) + min(column) * float(net["low"][j])
+    return 1 / (1 + math.exp(-z))
+
+
+@pytest.mark.parametrize("size", [0, 1, 130, 400])
+def test_cnn_matches_plain_loops(size):
+    text = prose(random.Random(24), size, 50)[:size].encode()
+    assert abs(bytecnn.probability(bytecnn.initial(), text) - naive_probability(bytecnn.initial(), text)) < 1e-5
+
+
+def test_cnn_learns_from_the_end_of_long_texts():
+    rng = random.Random(25)
+    long = lambda q: (prose(rng, 1200, 300) + (" spam! spam!" * 6 if q == 0 else "")).encode()
+    labels = [i % 2 for i in range(160)]
+    net = bytecnn.fit([long(q) for q in labels], labels)
+    held = [(q, bytecnn.probability(net, long(q))) for q in labels[:40]]
+    assert sum((p >= 0.5) == q for q, p in held) >= 38
+
+
 def test_cnn_learns_and_scores_odd_rows(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     out = bytecnn.scores(docs, labels)
@@ -399,6 +438,97 @@ def test_secret_threshold():
     )
 
 
+def naive_base(text):
+    """The base spans without regular expressions: position by position, each kind by itself."""
+    text = text or ""
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    out = []
+
+    def run(i, chars):
+        while i < len(text) and text[i] in chars:
+            i += 1
+        return i
+
+    def assign(i):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not low.startswith(word, i):
+                continue
+            j = i + len(word)
+            for quote in (True, False):
+                k = j + 1 if quote and text[j : j + 1] in ("'", '"') else j
+                if quote and k == j:
+                    continue
+                k = run(k, " ")
+                if text[k : k + 1] not in (":", "="):
+                    continue
+                k = run(k + 1, " ")
+                for behind in (True, False):
+                    start = k + 1 if behind and text[k : k + 1] in ("'", '"') else k
+                    if behind and start == k:
+                        continue
+                    end = run(start, value)
+                    if end > start:
+                        return start, end
+        return None
+
+    i = 0
+    while i < len(text):
+        hit = assign(i)
+        if hit:
+            if hit[1] - hit[0] >= 12:
+                out.append((i, hit[1], "assign"))
+            i = hit[1]
+        else:
+            i += 1
+    for kind, head, chars, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 18), ("hex", "", set("0123456789abcdef"), 16)):
+        i = 0
+        while i < len(text):
+            end = run(i + len(head), chars) if text.startswith(head, i) else i
+            if end > i + len(head):
+                if end - i >= least:
+                    out.append((i, end, kind))
+                i = end
+            else:
+                i += 1
+    return sorted(out, key=lambda s: (s[0], ["assign", "access", "hex"].index(s[2])))
+
+
+def test_secret_base_matches_brute_force(spark, sf):
+    rng = random.Random(21)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    bits = ["password", "Api_Key", "APIKEY", "token", "secret", "passwd", ":", "=", " ", "'", '"', "AKIA", "AKIA0", "0123456789abcdef", "deadbeef", "Zz9+/_.-=", "\n", "é", "abcdefghijkl", "==", "b4"]
+    docs += [(10**6 + i, "".join(rng.choice(bits) for _ in range(60))) for i in range(300)]
+    got = {r["doc_id"]: r for r in secretscan.report(docs_of(spark, [(i, t, "s") for i, t in docs])).collect()}
+    for i, text in docs:
+        spans = naive_base(text)
+        kinds = collections.Counter(k for _, _, k in spans)
+        written = ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
+        assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == (kinds["assign"], kinds["access"], kinds["hex"]), text
+        assert got[i]["base_sha256"] == hashlib.sha256(written.encode()).hexdigest()
+    assert sum(r["n_assign"] for r in got.values()) > 100
+
+
+def test_secret_scan_of_many_findings_is_linear():
+    import time
+
+    model = {"net": secretscan.initial(), "scale": 1.0, "offset": 0.0, "threshold": 0.5}
+    text = "\n".join(f"{i:032x} and host-{i}.example.org" for i in range(100_000))
+    start = time.time()
+    spans = secretscan.spans_of(text, model)
+    assert sum(k == "hex" for _, _, k in spans) == 100_000 and time.time() - start < 60
+
+
+def test_secret_pieces_do_not_matter(monkeypatch):
+    rng = random.Random(22)
+    net = secretscan.initial()
+    data = [secretscan.encoded("".join(rng.choice("abcdef0123456789") for _ in range(n)), 0, n) for n in (1, 3, 5, 40, 700)]
+    whole = secretscan.forward(net, data)[0]
+    for segment in (1 << 14, 16, 5):
+        monkeypatch.setattr(secretscan, "SEGMENT", segment)
+        assert secretscan.np.allclose(secretscan.logits(net, data), whole)
+
+
 # quality rules
 
 
@@ -436,6 +566,19 @@ def test_decision_list(spark):
     assert quality.report(docs_of(spark, rows).limit(0), labels).count() == 0
 
 
+def test_pure_kind_behind_an_impure_one(spark):
+    rng = random.Random(23)
+    rows, labels = [], []
+    for i in range(900):
+        kind = "loud" if i % 3 == 0 else "marks" if i % 20 == 1 else "plain"
+        text = prose(rng, 90, 10**6)
+        rows.append((i, {"loud": text.upper(), "marks": text + " !!! ???" * 12, "plain": text}[kind], "s"))
+        labels.append((i, 0 if kind == "marks" or (kind == "loud" and i % 2) else 1))
+    judged, rules = quality.judge(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    assert rules and judged.where("kept and doc_id % 20 = 1 and doc_id % 3 > 0").count() == 0
+    assert judged.where("not kept and doc_id % 20 != 1 and doc_id % 3 > 0").count() == 0
+
+
 # decontamination
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelab.llm.common import plain_text, shipped, small_batches
@@ -16,7 +16,7 @@ HALF = 128  # a chunk is two neighbouring halves; chunks overlap by one half
 DEPTH, FILTERS, HIDDEN = 4, 32, 16
 SEGMENT = 1 << 16  # bytes that are convolved at once, whatever the length of the text
 SAMPLE_ROWS = 2500  # labelled rows that the network is fitted on, at most
-SAMPLE_CHARS = 4096  # length of the stretch, at a place chosen by hash, that fitting sees of each of them
+SAMPLE_BYTES = 24 << 20  # bytes of their whole texts, at most
 EPOCHS, BATCH, RATE = 10, 64, 0.01
 
 
@@ -144,8 +144,8 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 3) -> dict[str, np.nd
 def learn(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     """Fit on at most SAMPLE_ROWS labelled rows outside the held-out part, the first ones by hash of the id.
 
-    Rows without id, label or a quality of 0 or 1 are left out. Each gives a stretch of at most SAMPLE_CHARS characters, so
-    the driver holds a bounded sample; scoring reads whole texts.
+    Rows without id, label or a quality of 0 or 1 are left out. The texts are whole. Rows are taken in that order up to SAMPLE_BYTES in sum (a text
+    that alone takes a sixteenth of it is passed over), so the driver holds a bounded sample.
     """
     chosen = (
         labels.where("quality in (0, 1) and doc_id is not null")
@@ -154,13 +154,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
         .orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
         .limit(SAMPLE_ROWS)
     )
-    place = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.greatest(F.length(plain_text()) - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    order = [F.xxhash64("doc_id", F.lit(12)), "doc_id", "text"]
+    size = F.octet_length("text").cast("bigint")
     rows = (
-        docs.select("doc_id", "text")
+        docs.select("doc_id", plain_text().alias("text"))
         .join(chosen, "doc_id")
-        .select("doc_id", F.substring(plain_text(), place.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), "_quality")
-        .orderBy("doc_id", "text")
+        .where(size <= SAMPLE_BYTES // 16)
+        .orderBy(*order)
         .limit(2 * SAMPLE_ROWS)  # ids are unique; repeated rows cannot outgrow the bound
+        .withColumn("_sum", F.sum(size).over(Window.orderBy(*order)))
+        .where(F.col("_sum") <= SAMPLE_BYTES)
+        .orderBy("doc_id", "text")
         .collect()
     )
     return fit([r["text"].encode() for r in rows], [int(r["_quality"]) for r in rows])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,7 +117,7 @@ def share(good: int, bad: int) -> float:
 
 
 def learn_rules(
-    stats: DataFrame, labels: DataFrame, most_rules: int = 8, most_tests: int = 3, precision: float = 0.97, sure: float = 0.8, least_share: float = 0.002
+    stats: DataFrame, labels: DataFrame, most_tests: int = 3, precision: float = 0.97, sure: float = 0.8, least_share: float = 0.002
 ) -> list[list[Test]]:
     """Ordered rules that reject documents, from all labelled rows.
 
@@ -125,21 +126,22 @@ def learn_rules(
     the threshold with the largest information gain of bad rows (FOIL), at most ``most_tests``; then tests are dropped from
     its end while the pruning rows' smoothed share of bad rows does not fall. It is kept if on both parts the share of bad rows
     is at least ``precision``, smoothed at least ``sure`` (so a few rows prove nothing), and it covers ``least_share`` of
-    the growing rows; covered rows leave, and the next rule starts. Only grouped counts reach the driver: at most (rates x cuts x labels) rows a step.
+    the growing rows; covered rows leave, and the next rule starts. A rule that misses is refused: its rows are set aside for growing, so that
+    a purer kind of bad rows behind it still gets a rule. Ends when the bad growing rows left are too few for a rule, or none gains. Only
+    grouped counts reach the driver: at most (rates x cuts x labels) rows a step.
     """
     binned = {f"bin_{r}": F.expr(" + ".join(f"int(({e}) >= {c!r})" for c in CUTS)) for r, e in RATES.items()}
     rows = stats.where("not base_failed").join(labels.where("quality in (0, 1)").select("doc_id", "quality"), "doc_id")
     grow = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(9)) < 6
     rows = staged(rows.select("quality", grow.alias("grow"), *[e.alias(n) for n, e in binned.items()]), "labelled")
     rules: list[list[Test]] = []
-    while len(rules) < most_rules:
-        covered = F.lit(False)
-        for rule in rules:
-            covered = covered | _held(rule)
-        left = rows.where(~covered)
-        growing = left.where("grow")
+    refused: list[list[Test]] = []
+    any_of = lambda some: reduce(lambda a, b: a | b, [_held(rule) for rule in some], F.lit(False))
+    while True:
+        left = rows.where(~any_of(rules))
+        growing = left.where(F.col("grow") & ~any_of(refused))
         now = total = _pair(growing)
-        if not total[1]:
+        if total[1] < max(3, precision * least_share * sum(total)):
             break
         prior, tests = total[1] / sum(total), []
         while len(tests) < most_tests and now[0]:
@@ -157,8 +159,9 @@ def learn_rules(
         best, n = max(kept, key=lambda x: (round(smoothed(*x[0], prior), 6), -x[1]))
         on_grow = _pair(growing.where(_held(tests[:n])))
         if min(share(*best), share(*on_grow)) < precision or min(smoothed(*best, prior), smoothed(*on_grow, prior)) < sure or sum(on_grow) < max(3, least_share * sum(total)):
-            break
-        rules.append(tests[:n])
+            refused.append(tests[:n])
+        else:
+            rules.append(tests[:n])
     return rules
 
 
@@ -186,7 +189,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[list[Test
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: the base counts, ``base_failed``, the rejecting ``rule`` and ``kept``."""
     return judge(docs, labels)[0].select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
     )
 
 

@@ -28,6 +28,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")  # every base match holds such a run
 BEFORE, AFTER = 24, 8  # characters of context on either side of a candidate
 WIDTH, DEPTH, FILTERS = 5, 4, 24
 SAMPLE_CANDIDATES = 20_000  # bound of what the network is fitted on, half of it for each label
+FIT_CHARS = 4096  # length of a candidate and its context in that sample, at most; longer ones are scored and calibrated whole
+SEGMENT = 1 << 14  # places of a candidate that are convolved at once
 BIN, FURTHEST = 1 / 64, 64  # width of a bin of held-out logits, and where the last bins begin
 RECALL = 0.98  # share of held-out findings that the threshold must keep
 EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 800, 64, 0.02
@@ -46,6 +48,17 @@ def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, s
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def touched(parts: list[tuple[int, int]], spans: list[tuple[int, int, str]]) -> list[bool]:
+    """Which of ``parts`` meet a span, in one sweep; parts are apart and in order, spans in order of their starts."""
+    out, at, furthest = [], 0, -1
+    for a, b in parts:
+        while at < len(spans) and spans[at][0] < b:
+            furthest = max(furthest, spans[at][1])
+            at += 1
+        out.append(furthest > a)
+    return out
+
+
 def candidates(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs with a digit, or with capitals behind a small letter; plain words are none."""
     return [(a, b) for a, b in runs if re.search(r"[0-9]|[a-z][A-Z]", text[a:b])]
@@ -55,7 +68,7 @@ def encoded(text: str, start: int, end: int) -> np.ndarray:
     """Codes of a candidate and its context: ASCII as it is, other characters 127, plus 128 inside the candidate."""
     low = max(0, start - BEFORE)
     part = text[low : end + AFTER]
-    codes = np.minimum(np.frombuffer(part.encode("utf-32-le"), np.uint32), 127).astype(np.int64)
+    codes = np.minimum(np.frombuffer(part.encode("utf-32-le"), np.uint32), 127).astype(np.uint8)
     codes[start - low : end - low] += 128
     return codes
 
@@ -121,7 +134,37 @@ def fit(data: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> dict[str,
 
 
 def logits(net: dict, data: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([forward(net, data[i : i + 256])[0] for i in range(0, len(data), 256)]) if data else np.zeros(0)
+    """Logits of candidates of any length: long ones are convolved in pieces of SEGMENT places, whose maxima are joined.
+
+    A piece takes the WIDTH - 1 places behind it along, so its windows are those of the whole; only the last piece's run into padding.
+    """
+    best = np.zeros((len(data), FILTERS))
+    pieces, starts, owners = [], [], []
+
+    def flush() -> None:
+        lengths = np.array([len(p) + WIDTH - 1 for p in pieces])
+        offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        flat = np.zeros(lengths.sum() + WIDTH, np.int64)
+        for at, codes in zip(offsets, pieces):
+            flat[at : at + len(codes)] = codes
+        taps = np.lib.stride_tricks.sliding_window_view(flat, WIDTH)[: lengths.sum()]
+        response = np.maximum(net["embed"][taps].reshape(len(taps), -1) @ net["filters"] + net["bias"], 0)
+        response[np.arange(len(taps)) - np.repeat(offsets, lengths) >= np.repeat(np.array(starts), lengths)] = 0
+        np.maximum.at(best, np.array(owners), np.maximum.reduceat(response, offsets, axis=0))
+        pieces.clear(), starts.clear(), owners.clear()
+
+    held = 0
+    for i, codes in enumerate(data):
+        for low in range(0, len(codes), SEGMENT):
+            piece = codes[low : low + SEGMENT + WIDTH - 1]
+            pieces.append(piece), starts.append(min(SEGMENT, len(codes) - low)), owners.append(i)
+            held += len(piece)
+            if held >= 4 * SEGMENT:
+                flush()
+                held = 0
+    if pieces:
+        flush()
+    return best @ net["top"] + net["top_bias"][0] if data else np.zeros(0)
 
 
 def calibrated(z: np.ndarray, labels: np.ndarray, count: np.ndarray | float = 1.0) -> tuple[float, float]:
@@ -146,8 +189,8 @@ def labelled(docs: DataFrame) -> DataFrame:
                 text = text or ""
                 runs = [m.span() for m in RUN.finditer(text)]
                 spans = base_spans(text, runs)
-                for a, b in candidates(text, runs):
-                    found = any(s < b and a < e for s, e, _ in spans)
+                parts = candidates(text, runs)
+                for (a, b), found in zip(parts, touched(parts, spans)):
                     low = max(0, a - BEFORE)
                     out.append((text[low : b + AFTER], a - low, b - low, int(found)))
             yield pd.DataFrame(out, columns=["context", "start", "end", "label"])
@@ -167,7 +210,7 @@ def learn(docs: DataFrame) -> dict | None:
     """Fit on a sample of the labelled candidates of all documents; calibrate and choose the threshold on all that are held out.
 
     A candidate is a finding (label 1) if it meets a base span. A third of the candidates, by hash of their context, is held out. Of the
-    others about SAMPLE_CANDIDATES / 2 of each label, by the same hash, fit the network. Held-out logits reach the driver as
+    others about SAMPLE_CANDIDATES / 2 of each label, by the same hash, fit the network, but for those over FIT_CHARS characters. Held-out logits reach the driver as
     counts per label and bin of BIN; they set Platt's scaling and the largest bin edge that still keeps RECALL of the findings.
     None where one label is missing in either part.
     """
@@ -178,7 +221,7 @@ def learn(docs: DataFrame) -> dict | None:
     # by a share of the hash range, so that no task ranks the candidates of all others
     least = {q: int(min(1.0, SAMPLE_CANDIDATES / 2 / sizes[q, False]) * (1 << 40)) for q in (0, 1)}
     picked = F.shiftrightunsigned("h", 24) < F.when(F.col("label") == 1, F.lit(least[1])).otherwise(F.lit(least[0]))
-    rows = sorted(found.where(~F.col("held") & picked).collect(), key=lambda r: (r["h"], r["context"], r["start"]))
+    rows = sorted(found.where(~F.col("held") & picked & (F.length("context") <= FIT_CHARS)).collect(), key=lambda r: (r["h"], r["context"], r["start"]))
     labels = np.array([r["label"] for r in rows])
     net = fit([encoded(r["context"], r["start"], r["end"]) for r in rows], labels)
 
@@ -205,10 +248,11 @@ def spans_of(text: str | None, model: dict | None) -> list[tuple[int, int, str]]
     spans = base_spans(text, runs)
     if model is None:
         return spans
-    free = [(a, b) for a, b in candidates(text, runs) if not any(s < b and a < e for s, e, _ in spans)]
+    parts = candidates(text, runs)
+    free = [part for part, found in zip(parts, touched(parts, spans)) if not found]
     if not free:
         return spans
-    z = logits(model["net"], [encoded(text, a, b) for a, b in free])
+    z = np.concatenate([logits(model["net"], [encoded(text, a, b) for a, b in free[i : i + 1024]]) for i in range(0, len(free), 1024)])
     p = 1 / (1 + np.exp(-(model["scale"] * z + model["offset"])))
     more = [(a, b, "model") for (a, b), x in zip(free, p) if x >= model["threshold"]]
     return sorted(spans + more, key=lambda s: (s[0], KINDS.index(s[2])))
