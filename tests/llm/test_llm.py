@@ -376,6 +376,29 @@ def test_bad_branch_far_down(spark):
     assert got[900] == ("/", "allow") and got[902] == ("/*/*/*/*/*/*/*/*", "allow")
 
 
+def test_tree_and_check_sql_agree_on_wide_and_deep_hosts(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(26)
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    pages, labels = [], []
+    for i in range(3000):
+        section = "abcdefghijklmnopqrstuvwxy"[i % 25]
+        deep = "/".join(rng.choice(["p", "q", "r"]) for _ in range(rng.randrange(0, 4)))
+        pages.append((i, f"http://h{i % 3}.com/{section}/{deep}/{rng.choice(['news', 'spam', word(i)])}/{i}"))
+        if i % 3:
+            labels.append((i, int("spam" not in pages[-1][1] and section != "h" or rng.random() < 0.02)))
+    pages += [(4000 + i, u) for i, u in enumerate([None, "x", "http://h0.com", "http://h1.com//", "http://new.org/a/b/c/d/e/f/g/h/i/j/1"])]
+    spark.createDataFrame(pages, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = urls.report(spark.read.parquet(f"{tmp_path}/pages.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert oracle.compare(got, con, urls.SQL) is None
+    assert len({r["template"] for r in got.collect()}) > 25 and got.where("verdict = 'block'").count() > 500
+
+
 # secrets
 
 

@@ -10,7 +10,7 @@ from tracelab.llm.common import staged
 #: Rules: (rule, verdict).
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
-DEPTH = 4  # levels of the check SQL; the tree goes as deep as the paths
+DEPTH = 8  # levels of the check SQL; the tree goes as deep as the labelled paths
 RARE = 20  # a segment seen in under 1/RARE of its parent's pages is variable, if it has fewer than ENOUGH labelled pages
 ENOUGH = 10
 SIMILAR = 3.84  # chi-square, one degree of freedom, 5 %: below it two branches count as one
@@ -129,31 +129,36 @@ def _case(at: int) -> str:
     return out
 
 
+_ALIKE_SQL = _ALIKE.replace(f"{SIMILAR}D", f"CAST({SIMILAR} AS DOUBLE)").replace("1.0D", "CAST(1 AS DOUBLE)")
+
+
 def _levels() -> str:
-    out, parent = "", ["host"]
+    """The tree, level by level: open groups choose the next segment or ``*``, closed ones end in ``*``."""
+    out = ""
     for d in range(1, DEPTH + 1):
-        p, below = ", ".join(parent), "s0" if d == 1 else f"s{d - 1}"
-        alike = _ALIKE.replace("0D", "0").replace(f"{SIMILAR}D", f"CAST({SIMILAR} AS DOUBLE)").replace("* 1.0 /", "* CAST(1 AS DOUBLE) /").replace("(1.0 - ", "(CAST(1 AS DOUBLE) - ").replace("(1.0 /", "(CAST(1 AS DOUBLE) /").replace("+ 1.0 /", "+ CAST(1 AS DOUBLE) /")
         out += f""",
-c{d} AS (SELECT {p}, a{d}, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM {below} GROUP BY ALL),
-w{d} AS (SELECT {p}, sum(n) AS n_p, sum(lab) AS lab_p, sum(bad) AS bad_p FROM c{d} GROUP BY ALL),
-x{d} AS (SELECT {p}, a{d}, CASE WHEN a{d} = '' THEN '' WHEN {RARE} * n < n_p OR lab = 0 OR lab = lab_p THEN '*' WHEN {alike} THEN '*' ELSE a{d} END AS t{d} FROM c{d} JOIN w{d} USING ({p})),
-s{d} AS (SELECT * FROM {below} JOIN x{d} USING ({p}, a{d}))"""
-        parent.append(f"t{d}")
+o{d} AS (SELECT host, t, count(*) FILTER (WHERE lab > 0) > 1 AND coalesce(max(len(s)) FILTER (WHERE lab > 0), 0) > {d - 1} AS is_open FROM left{d - 1} GROUP BY host, t),
+q{d} AS (SELECT l.*, is_open, coalesce(s[{d}], '') AS a FROM left{d - 1} l JOIN o{d} USING (host, t)),
+c{d} AS (SELECT host, t, a, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM q{d} WHERE is_open GROUP BY ALL),
+w{d} AS (SELECT host, t, sum(n) AS n_p, sum(lab) AS lab_p, sum(bad) AS bad_p FROM c{d} GROUP BY ALL),
+x{d} AS (SELECT host, t, a, CASE WHEN a = '' THEN '' WHEN ({RARE} * n < n_p AND lab < {ENOUGH}) OR lab = 0 OR lab = lab_p THEN '/*' WHEN {_ALIKE_SQL} THEN '/*' ELSE '/' || a END AS step FROM c{d} JOIN w{d} USING (host, t)),
+m{d} AS (SELECT host, k, s, n, lab, bad, t || step AS t FROM q{d} JOIN x{d} USING (host, t, a) WHERE is_open),
+left{d} AS (SELECT * FROM m{d} WHERE len(s) >= {d}),
+done{d} AS (SELECT host, k, lab, bad, t || repeat('/*', len(s) - {d - 1}) AS t FROM q{d} WHERE NOT is_open UNION ALL SELECT host, k, lab, bad, t FROM m{d} WHERE len(s) < {d})"""
     return out
 
 
-_A = ", ".join(f"a{d}" for d in range(1, DEPTH + 1))
-_T = ", ".join(f"t{d}" for d in range(1, DEPTH + 1))
+_DONE = " UNION ALL ".join([f"SELECT * FROM done{d}" for d in range(1, DEPTH + 1)] + [f"SELECT host, k, lab, bad, t || repeat('/*', len(s) - {DEPTH}) FROM left{DEPTH}"])
 SQL = f"""
 WITH r0 AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
 r1 AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM r0),
 r2 AS (SELECT *, list_filter(string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/'), lambda x: x <> '') AS s FROM r1),
-b AS (SELECT page_id, host, path, TRY_CAST(regexp_extract(path, '/([0-9]+)[^/]*/?$', 1) AS BIGINT) AS doc_id, {', '.join(f"coalesce(s[{d}], '') AS a{d}" for d in range(1, DEPTH))}, array_to_string(s[{DEPTH}:], '/') AS a{DEPTH} FROM r2),
+b AS (SELECT page_id, host, path, TRY_CAST(regexp_extract(path, '/([0-9]+)[^/]*/?$', 1) AS BIGINT) AS doc_id, s, array_to_string(s, '/') AS k FROM r2),
 l AS (SELECT doc_id, 1 - min(quality) AS bad FROM labels GROUP BY doc_id),
-s0 AS (SELECT host, {_A}, count(*) AS n, count(bad) AS lab, coalesce(sum(bad), 0) AS bad FROM b LEFT JOIN l USING (doc_id) GROUP BY ALL){_levels()},
-g AS (SELECT sum(bad) * CAST(1 AS DOUBLE) / greatest(sum(lab), 1) AS prior FROM s{DEPTH}),
-t AS (SELECT host, {_T}, sum(bad) AS bad_t, sum(lab) AS lab_t FROM s{DEPTH} GROUP BY ALL),
-f AS (SELECT DISTINCT host, {_A}, (bad_t + {WEIGHT} * prior) / (lab_t + {WEIGHT}) >= {REJECT} AS rejected, '/' || concat_ws('/', {', '.join(f"nullif(t{d}, '')" for d in range(1, DEPTH + 1))}) AS template FROM s{DEPTH} JOIN t USING (host, {_T}), g)
-SELECT page_id, host, path, {_case(0)} AS rule, coalesce({_case(1)}, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, template FROM b JOIN f USING (host, {_A})
+left0 AS (SELECT host, k, s, count(*) AS n, count(bad) AS lab, coalesce(sum(bad), 0) AS bad, '' AS t FROM b LEFT JOIN l USING (doc_id) GROUP BY host, k, s){_levels()},
+z AS ({_DONE}),
+g AS (SELECT sum(bad) * CAST(1 AS DOUBLE) / greatest(sum(lab), 1) AS prior FROM z),
+t AS (SELECT host, t, sum(bad) AS bad_t, sum(lab) AS lab_t FROM z GROUP BY ALL),
+f AS (SELECT host, k, (bad_t + {WEIGHT} * prior) / (lab_t + {WEIGHT}) >= {REJECT} AS rejected, CASE WHEN t = '' THEN '/' ELSE t END AS template FROM z JOIN t USING (host, t), g)
+SELECT page_id, host, path, {_case(0)} AS rule, coalesce({_case(1)}, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, template FROM b JOIN f USING (host, k)
 """
