@@ -49,9 +49,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Columns of ``documents`` plus ``size, shard, slot``."""
+    """Columns of ``documents`` plus ``size, shard, slot``; columns of these names that the input has give way."""
     names = {"_size": "size", "_shard": "shard", "_slot": "slot"}
-    return sharding.shard(docs).withColumnsRenamed(names)
+    return sharding.shard(docs.drop(*names.values())).withColumnsRenamed(names)
 
 
 STAGES = [
