@@ -180,9 +180,11 @@ def test_block_f_questions_hold(spark, sf):
     assert kinds == {"hypothetical", "unanswerable", "multi_choice", "conversational"}
     for r in rows:
         if r["template"] == "unanswerable":
-            assert r["answer_text"] in qagen.FICTIONAL and r["answer_text"] not in labels[r["chart_id"]]
+            assert r["entity"] in qagen.FICTIONAL and r["entity"] not in labels[r["chart_id"]] and r["entity"] in r["question"]
+            assert r["answer_text"] == qagen.UNANSWERABLE
         if r["template"] == "multi_choice":
             assert r["options"]["ABCD".index(r["answer_text"])] == r["answer_num"]
+            assert all(f"{letter}) {option:.2f}" in r["question"] for letter, option in zip("ABCD", r["options"]))
             wrong = [o for i, o in enumerate(r["options"]) if i != "ABCD".index(r["answer_text"])]
             assert all(0.09 <= abs(o - r["answer_num"]) / abs(r["answer_num"]) <= 0.31 for o in wrong)
 
@@ -246,7 +248,7 @@ def test_append_resume_twice_adds_nothing(spark):
     assert spark.read.parquet(path).count() == 3
     again = spark.createDataFrame([(2, "ok now"), (2, "ok now"), (4, "new")], "id int, raw string")
     done = readers.append_resume(again, path, ["id"], raw="raw")
-    assert spark.read.parquet(path).where("id = 2").count() == 2
+    assert spark.read.parquet(path).where("id = 2").count() == 1  # its bucket was replaced
     assert {r["id"]: r["raw"] for r in done.collect()} == {1: "ok", 2: "ok now", 3: "ok", 4: "new"} and done.count() == 4
 
 
@@ -285,6 +287,6 @@ def test_late_keys_and_open_windows_are_kept(spark):
     for ids, day in ((range(100), "20"), ([*range(100, 200), 5, 5], "01")):  # the second file is older and repeats a key
         batch(ids, day).write.mode("append").parquet(f"{base}/in")
         jobs.dedupe_available(stream(), "id", f"{base}/once", f"{base}/s1")
-        jobs.totals_available(jobs.reward_windows(stream(), "ts", "kind", "value"), f"{base}/sums", f"{base}/s2")
+        jobs.totals_available(jobs.reward_windows(stream(), "ts", "kind", "value"), f"{base}/sums", f"{base}/s2", ["window_start", "kind"])
     assert spark.read.parquet(f"{base}/once").count() == spark.read.parquet(f"{base}/once").select("id").distinct().count() == 200
     assert sorted(r["n"] for r in spark.read.parquet(f"{base}/sums").collect()) == [100, 102]
