@@ -746,10 +746,14 @@ def test_pipeline_matches_brute_force(spark, sf, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
-    odd = docs_of(spark, odd_rows(rng))
-    for name, stage in corpus_pipeline.STAGES:
-        odd = stage(spark, odd, str(tmp_path))
-        odd.collect()
+    for extra in (False, True):
+        odd = docs_of(spark, odd_rows(rng), extra)
+        if extra:
+            odd = odd.withColumns({"slot": F.lit("mine"), "shard": F.lit(None).cast("string")})
+        for name, stage in corpus_pipeline.STAGES:
+            odd = stage(spark, odd, str(tmp_path))
+            odd.collect()
+        assert len(set(odd.columns)) == len(odd.columns)
 
 
 def test_near_duplicates_stage_keeps_rows_without_id(spark, tmp_path):
