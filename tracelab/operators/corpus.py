@@ -169,6 +169,7 @@ def quality_rule(family: Column, reasoning_len: Column, answer: Column, kind: Co
     )
 
 
+# Prompt texts that training rows carry.
 SINGLE_WORD = "\nAnswer the question with a single word."
 CHOICE_HINT = "\nAnswer with the value or name of the chosen option."
 

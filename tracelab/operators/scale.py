@@ -123,10 +123,13 @@ def ranked_histogram(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], **ranges
+    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], weight: str | None = None, **ranges
 ) -> DataFrame:
-    """Linear-interpolated quantiles per group from the ranked histogram; no group is gathered."""
-    ranked = ranked_histogram(df, keys, value, {"n": F.count(F.lit(1))}, **ranges)
+    """Linear-interpolated quantiles per group from the ranked histogram; no group is gathered.
+
+    ``weight`` is the number of rows that a row stands for.
+    """
+    ranked = ranked_histogram(df, keys, value, {"n": F.count(F.lit(1)) if weight is None else F.sum(weight)}, **ranges)
     picks = []
     for name, q in quantiles.items():
         pos = F.lit(float(q)) * (F.col("total_n") - 1)

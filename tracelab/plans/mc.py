@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelab.operators import mc as M
-from tracelab.operators.scale import exact_mean
+from tracelab.operators.scale import exact_mean, exact_quantiles
 from tracelab.plans.registry import mean9, query, r6
 from tracelab.sources.fixtures import table, view
 
@@ -105,20 +105,24 @@ def mc_zone_by_category(spark, sf):
     )
     w = F.col("w")
     part = lambda cond: F.round(F.sum(F.when(cond, w).otherwise(0)) / F.sum(w), 6)
-    return (
+    named = {"zone": F.coalesce("zone", F.lit("ALL")), "category": F.coalesce("category", F.lit("ALL"))}
+    rows = (
         states.cube("zone", "category")
         .agg(
             F.sum(w).alias("n"),
             part(F.col("mc_std") > M.EPS).alias("share_varied"),
             part(dead).alias("share_dead"),
             F.round(F.min(perc), 6).alias("dead_perc_min"),
-            F.round(F.percentile(perc, F.lit(0.5), w), 6).alias("dead_perc_median"),
             F.round(F.max(perc), 6).alias("dead_perc_max"),
         )
-        .withColumns(
-            {"zone": F.coalesce("zone", F.lit("ALL")), "category": F.coalesce("category", F.lit("ALL"))}
-        )
+        .withColumns(named)
     )
+    # the medians of the same groups by histogram, so that no group's values are held
+    whole = lambda c: F.array(F.col(c), F.lit("ALL"))
+    levels = states.where(dead).withColumn("zone", F.explode(whole("zone"))).withColumn("category", F.explode(whole("category")))
+    medians = exact_quantiles(levels, ["zone", "category"], "perception", {"dead_perc_median": 0.5}, weight="w", low=0.0, high=1.0)
+    medians = medians.withColumn("dead_perc_median", F.round("dead_perc_median", 6))
+    return rows.join(medians, ["zone", "category"], "left")
 
 
 HALF_SQL = "(0.5 * coalesce(outcome, 0) + 0.5 * coalesce(perception, 0))"
