@@ -619,16 +619,24 @@ def naive_hits(text, items):
     return len(words), len(hit), sorted(str(i) for i in found if i is not None)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
-def test_wu_manber_matches_brute_force(spark, block):
+@pytest.mark.parametrize("slots, bits", [(1 << 21, 1 << 26), (16, 64)])
+def test_wu_manber_matches_brute_force(spark, slots, bits):
+    # full tables give more candidates and the same results
     rng = random.Random(13)
     items = [(i, prose(rng, rng.randrange(0, 25), 12)) for i in range(30)] + [(40, "É a1"), (41, None), (None, "w1 w2 w3"), (42, "a"), (3, "w1 w1 w1 w1")]
     texts = [prose(rng, 40, 12) + " " + items[rng.randrange(30)][1].upper() + " " + prose(rng, 20, 12) for _ in range(25)] + ["", None, "é a1, É-A1", "a"]
+    texts += [prose(rng, 30_000, 3000) + " " + items[1][1] + " end", texts[0], "--,\u20ac9\U0001f600 \u0130 A\x7fb"]
     docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(None, texts[0], None)], extra=True)
+    docs = docs.withColumns({"_digest": F.lit(1), "__Items": F.lit("x"), "found": F.lit(0)})
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    for r in decontaminate.find_benchmark(docs, bench, block_chars=block).collect():
+    got = decontaminate.find_benchmark(docs, bench, slots=slots, bits=bits)
+    assert sorted(got.columns) == sorted(docs.columns) and got.count() == len(texts) + 1
+    for r in got.collect():
         n, hit, found = naive_hits(texts[r["doc_id"] or 0], items)
         assert (r["found"]["n_words"], r["found"]["n_hit"], r["found"]["items"]) == (n, hit, found)
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, t in enumerate(texts) if not naive_hits(t, items)[1]]
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import zlib
+from itertools import islice
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import shipped, small_batches
+from tracelab.llm.common import shipped, small_batches, staged
 
 shipped(__name__)
 
 WINDOW = 10  # consecutive item words of a test string
-BLOCK_CHARS = 8 << 20  # expected characters of items in one block of test strings
+SLOTS = 1 << 21  # slots of the shift table of one length, a byte each
+MAP_BITS = 1 << 26  # bits of the map of test strings
+ROWS = 4096  # rows that a task hands on at once
+SALTS = 8  # parts of a test string's occurrences
 
+#: Words after folding, in a text that is not folded yet.
+_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: A-Z become lower case, digits, a-z and bytes of other letters stay, everything else separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -21,78 +30,88 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
-class Patterns:
-    """Shift table and suffix buckets of the test strings that have one length."""
-
-    def __init__(self, length: int):
-        self.length = length
-        self.block = min(2, length)
-        self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, dict[tuple, list]] = {}
-
-    def add(self, words: list[bytes], item: str | None) -> None:
-        m, b = self.length, self.block
-        for end in range(b, m + 1):
-            key = tuple(words[end - b : end])
-            self.shift[key] = min(self.shift.get(key, m), m - end)
-        same = self.bucket.setdefault(tuple(words[m - b :]), {}).setdefault(tuple(words[:b]), [])
-        for known, items in same:
-            if known == words:
-                items.add(item)
-                return
-        same.append((words, {item}))
-
-    def search(self, words: list[bytes], items: set) -> list[tuple[int, int]]:
-        """Occurrences as (start, end); the items they belong to go to ``items``."""
-        m, b, found = self.length, self.block, []
-        far, shift, at, n = m - b + 1, self.shift, m, len(words)
-        while at <= n:
-            key = tuple(words[at - b : at])
-            step = shift.get(key, far)
-            if step:
-                at += step  # no test string can end before
-                continue
-            start = at - m
-            for known, owners in self.bucket[key].get(tuple(words[start : start + b]), ()):
-                if known == words[start:at]:
-                    found.append((start, at))
-                    items |= owners
-            at += 1
-        return found
-
-
-def compile_patterns(rows: list[tuple[str | None, str | None]]) -> list[Patterns]:
-    by_length: dict[int, Patterns] = {}
-    for item, text in rows:
-        words = words_of(text)
-        length = min(len(words), WINDOW)
-        if length:
-            patterns = by_length.setdefault(length, Patterns(length))
-            for i in range(len(words) - length + 1):
-                patterns.add(words[i : i + length], item)
-    return list(by_length.values())
-
-
-def _searcher(rows: list[tuple[str | None, str | None]]):
-    """A column function that searches one block of items; the tables are built once in each Python worker."""
-    built: list = []
-
-    def search(texts: pd.Series) -> pd.DataFrame:
-        if not built:
-            built.append(compile_patterns(rows))
-        out = []
-        for text in texts:
-            words, items, spans = words_of(text), set(), []
-            for start, end in sorted(span for p in built[0] for span in p.search(words, items)):
-                if spans and start <= spans[-1][1]:
-                    spans[-1][1] = max(end, spans[-1][1])
-                else:
-                    spans.append([start, end])
-            out.append((len(words), [{"start": a, "end": b} for a, b in spans], sorted(i for i in items if i is not None)))
-        return pd.DataFrame(out, columns=["n_words", "spans", "items"])
-
-    kind = "n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>"
-    return F.pandas_udf(search, kind).asNondeterministic()  # else a later filter would repeat the search
+def _block(words: list[bytes], at: int, length: int) -> int:
+    """Hash of the block of two words (one in test strings of a word) that ends at ``at``."""
+    return zlib.crc32(b" ".join(words[at - min(2, length) : at]))
+
+
+def _frames(rows, columns: list[str]):
+    """Data frames of ``ROWS`` rows."""
+    rows = iter(rows)
+    while part := list(islice(rows, ROWS)):
+        yield pd.DataFrame(part, columns=columns)
+
+
+def strings_of(benchmark: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Windows of the items: ``item, length, bucket, window, blocks``.
+
+    ``window`` is the words with blanks between; ``blocks`` the slots of its blocks from first to last, ``bucket`` the last one.
+    """
+
+    def cut(frames):
+        def rows():
+            for frame in frames:
+                for item, text in frame.itertuples(index=False):
+                    words = words_of(text)
+                    length = min(len(words), WINDOW)
+                    first = min(2, length)
+                    blocks = [_block(words, end, length) % slots for end in range(first, len(words) + 1)] if length else []
+                    for i in range(len(words) - length + 1 if length else 0):
+                        own = blocks[i : i + length - first + 1]
+                        yield item, length, own[-1], b" ".join(words[i : i + length]).decode(), own
+
+        return _frames(rows(), ["item", "length", "bucket", "window", "blocks"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return items.mapInPandas(cut, "item string, length int, bucket int, window string, blocks array<int>")
+
+
+class Tables:
+    """Shift tables by length of the test strings, and a bit map of their hashes: of one size whatever the benchmark holds."""
+
+    def __init__(self, strings: DataFrame, slots: int, bits: int):
+        self.slots, self.bits = slots, bits
+        far = F.col("length") - F.least(F.lit(2), F.col("length"))
+        places = strings.select("length", far.alias("far"), F.posexplode("blocks").alias("place", "slot"))
+        shifts = places.groupBy("length", "slot").agg(F.min(F.col("far") - F.col("place")).alias("shift")).toArrow()
+        length, slot, shift = [shifts.column(i).to_numpy() for i in range(3)]
+        self.shifts: dict[int, bytes] = {}
+        for m in sorted(set(length.tolist())):
+            of = np.full(slots, m - min(2, m) + 1, dtype=np.uint8)
+            of[slot[length == m]] = shift[length == m]
+            self.shifts[m] = of.tobytes()
+        bit = F.pmod(F.crc32(F.col("window").cast("binary")), F.lit(bits))
+        marks = strings.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mark")).toArrow()
+        known = np.zeros(bits // 64, dtype="<i8")
+        known[marks.column(0).to_numpy()] = marks.column(1).to_numpy()
+        self.known = known.tobytes()
+
+    def search(self, words: list[bytes]):
+        """Places where a test string may lie: ``start, end, bucket, window``; true ones are never missed."""
+        n, slots, bits, known = len(words), self.slots, self.bits, self.known
+        for m, shift in self.shifts.items():
+            at = m
+            while at <= n:
+                slot = _block(words, at, m) % slots
+                step = shift[slot]
+                if step:
+                    at += step  # no test string can end before
+                    continue
+                window = b" ".join(words[at - m : at])
+                bit = zlib.crc32(window) % bits
+                if known[bit >> 3] >> (bit & 7) & 1:
+                    yield at - m, at, slot, window.decode()
+                at += 1
+
+
+def _candidates(texts: DataFrame, tables: Tables) -> DataFrame:
+    """``digest, start, end, bucket, window`` of possible occurrences in ``texts`` (``digest, text``)."""
+
+    def look(frames):
+        rows = ((digest, *place) for frame in frames for digest, text in frame.itertuples(index=False) for place in tables.search(words_of(text)))
+        return _frames(rows, ["digest", "start", "end", "bucket", "window"])
+
+    return texts.mapInPandas(look, "digest string, start bigint, end bigint, bucket int, window string")
 
 
 def covered(spans: Column) -> Column:
@@ -105,29 +124,54 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step)["n"]
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, name: str = "found", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _digest() -> Column:
+    return F.sha2(F.col("text").cast("string").cast("binary"), 256)
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, slots: int = SLOTS, bits: int = MAP_BITS) -> DataFrame:
+    """Texts of ``docs`` that hold a test string: ``_digest`` (sha256 of the text), ``_n_hit``, ``_items``; one row for equal texts.
+
+    Spark cuts the items into test strings and reduces these to shift tables of hashed blocks (``slots`` bytes for each of at
+    most ten lengths) and a map of ``bits`` bits. Only these go to the tasks, so nothing that grows with the benchmark
+    passes through the driver, and one pass over the texts suffices. Fuller tables give more candidates, never other results: a candidate
+    meets the test strings of its suffix bucket in a join, which compares the words themselves. Occurrences of one
+    test string are dealt over ``SALTS`` parts, and equal texts count once, so frequent passages are spread.
+    """
+    small_batches(docs.sparkSession)
+    strings = staged(strings_of(benchmark, slots), "test-strings")
+    tables = Tables(strings, slots, bits)
+    texts = docs.select(_digest().alias("digest"), F.col("text").cast("string").alias("text")).where("text is not null")
+    salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).alias("salt")
+    places = _candidates(texts, tables).distinct().select("*", salt)
+    owners = strings.groupBy("bucket", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    hits = places.join(owners, ["salt", "bucket", "window"]).groupBy("digest")
+    hits = hits.agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
+    found = hits.select(
+        F.col("digest").alias("_digest"), covered(F.col("spans")).alias("_n_hit"), F.array_sort(F.array_distinct("items")).alias("_items")
+    )
+    return staged(found, "benchmark-hits")
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, name: str = "found", slots: int = SLOTS, bits: int = MAP_BITS) -> DataFrame:
     """Add a struct column ``name``: ``n_words, n_hit, items`` (sorted distinct item ids as text).
 
-    The items are dealt over blocks by a hash of their text, each block about ``block_chars`` characters; one block
-    at a time goes through the driver to the tasks, and every document meets every block in the same pass over
-    its text. A document word inside any occurrence of a test string counts once. Null or empty texts have no
+    A document word inside any occurrence of a test string counts once. Null or empty texts have no
     words; null item texts no test strings; a null ``item_id`` counts for hits but is not listed; repeated items count once.
     All columns of ``docs`` stay; a column called ``name`` is replaced.
     """
-    small_batches(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + total // block_chars
-    part = lambda i: items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i)
-    names = [f"_block{i}" for i in range(blocks)]
-    searched = docs.withColumns(
-        {c: _searcher([tuple(r) for r in part(i).collect()])(F.col("text").cast("string")) for i, c in enumerate(names)}
-    )
-    join = lambda f: F.flatten(F.array(*[F.col(c)[f] for c in names]))
-    found = F.struct(
-        F.col(names[0])["n_words"].alias("n_words"), covered(join("spans")).alias("n_hit"), F.array_sort(F.array_distinct(join("items"))).alias("items")
+    found = occurrences(docs, benchmark, slots, bits)
+    lead = "_"
+    while any(c.lower().startswith(lead) for c in docs.columns):
+        lead += "_"  # no column of the table has such a name
+    digest, n_hit, items = [lead + c for c in found.columns]
+    result = F.struct(
+        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("bigint").alias("n_words"),
+        F.coalesce(n_hit, F.lit(0).cast("bigint")).alias("n_hit"),
+        F.coalesce(items, F.array().cast("array<string>")).alias("items"),
     )
-    return searched.withColumn(name, found).drop(*names)
+    joined = docs.withColumn(digest, _digest()).join(found.toDF(digest, n_hit, items), digest, "left")
+    return joined.withColumn(name, result).drop(digest, n_hit, items)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -145,7 +189,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without any benchmark window, with their own columns."""
-    return find_benchmark(docs, benchmark, "_found").where("_found.n_hit = 0").drop("_found")
+    found = occurrences(docs, benchmark)
+    return docs.join(found, _digest() == found["_digest"], "left_anti")
 
 
 SQL = """
