@@ -97,6 +97,31 @@ def test_chat_windows_keep_the_budget(spark):
     assert new == len(rows) and total > new and len(made) > 5
 
 
+def test_chat_windows_of_long_turns(spark):
+    # turns near the budget, and a system turn of most of it (conversation 1), of more than it (2), none (3)
+    rng = random.Random(5)
+    rows = []
+    for conv, system in ((0, 20), (1, 170), (2, 230), (3, None)):
+        rows += [(conv, 0, "system", prose(rng, system))] if system else []
+        rows += [(conv, i, ["user", "assistant"][i % 2], prose(rng, rng.choice([1, 5, 30, 110, 150, 170, 190, 300]))) for i in range(1, 120)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    words = lambda c: F.size(F.split(F.col(c), " ")).cast("bigint")
+    new, over, repeated = collections.Counter(), collections.Counter(), 0
+    for w in chat.windows(df, words, budget=200, history=60).collect():
+        parts = w["formatted"].split(chat.END)[:-1]
+        sizes = [len(p.partition("\n")[2].split(" ")) + chat.FRAME for p in parts]
+        system = int(w["first_new"] > 0 and w["conv_id"] != 3)
+        assert system == 0 or parts[0].startswith("### system\n")
+        assert sum(sizes[system : w["first_new"]]) <= 60
+        new[w["conv_id"]] += w["turns"] - w["first_new"]
+        repeated += w["first_new"] - system
+        if sum(sizes) > 200:  # one new turn that does not fit beside the system turn, no history
+            assert w["turns"] - w["first_new"] == 1 and w["first_new"] == system
+            over[w["conv_id"]] += 1
+    assert new == collections.Counter(r[0] for r in rows)
+    assert repeated and 0 < over[3] < over[0] < over[1] < over[2]
+
+
 # sharding
 
 

@@ -61,12 +61,14 @@ def windows(conversations: DataFrame, count_tokens, budget: int = BUDGET, histor
     """Training windows: ``conv_id, window, formatted, turns, first_new, loss``.
 
     Prefix sums of turn tokens (template included) place every turn on the conversation's token line. The line is cut into strides of
-    ``budget - history - system`` tokens, at least a quarter of the budget; turns that lie in one stride form a window, and a
-    turn that crosses into the next stride has a window of its own. So a window's new turns fit the stride without a
-    scan over the conversation; only a single turn longer than the budget makes a window longer, as turns are never cut.
-    Each later window repeats the system turn (a conversation's first turn, if its role is ``system``) and, before the new turns, the
-    latest turns of at most ``history`` tokens. ``first_new`` is the index of the first new turn among ``turns``; ``loss`` lists
-    the spans (code points of ``formatted``) of new assistant texts, so every assistant text is a target exactly once.
+    ``budget - history - system`` tokens (with a long system turn a quarter of the budget, or what the system turn leaves, at least 1);
+    turns that lie in one stride form a window, and a turn that crosses into the next stride has a window of its own. So a window's new
+    turns fit the stride without a scan over the conversation. Each later window repeats the system turn (a conversation's first turn,
+    if its role is ``system``) and, before the new turns, the latest turns of at most ``history`` tokens and no more than system turn and
+    new turns leave of the budget. Turns are never cut and the system turn always stays: a window is longer than the budget only if
+    it holds one new turn that does not fit beside the system turn, and then it has no history. ``first_new`` is the index
+    of the first new turn among ``turns``; ``loss`` lists the spans (code points of ``formatted``) of new assistant texts, so every
+    assistant text is a target exactly once.
 
     Sums run per block of ``BLOCK`` turn numbers and then over the blocks, so a conversation with a third of all rows is
     split over many tasks; the join of later steps is by (conversation, window), a bounded group. Turns are in order of turn,
@@ -102,20 +104,25 @@ def windows(conversations: DataFrame, count_tokens, budget: int = BUDGET, histor
         .withColumn("at", F.col("base_at") + F.col("row") - 1)
         .withColumn("start", F.col("base") + F.col("sum"))
         .withColumn("end", F.col("start") + F.col("tokens"))
-        .withColumn("stride", F.greatest(F.lit(budget - history) - F.col("system"), F.lit(max(1, budget // 4))))
+        .withColumn("room", F.lit(budget) - F.col("system"))
+        .withColumn("stride", F.greatest(F.col("room") - history, F.least(F.lit(budget // 4), F.col("room")), F.lit(1)))
         .withColumn("s", F.floor(F.col("start") / F.col("stride")))
         .withColumn("crosses", (F.floor((F.col("end") - 1) / F.col("stride")) > F.col("s")).cast("int"))
         .withColumn("window", 2 * F.col("s") + F.col("crosses"))
         .select("key", "conv_id", "role", "text", "at", "start", "end", "tokens", "window", "system")
     )
     line = staged(line, "line")
-    starts = line.groupBy("key", "window").agg(F.min("start").alias("first_start"), F.min("at").alias("first_at"))
+    starts = line.groupBy("key", "window").agg(
+        F.min("start").alias("first_start"),
+        F.min("at").alias("first_at"),
+        F.least(F.lit(history), F.lit(budget) - F.max("system") - F.sum("tokens")).alias("allowed"),
+    )
     # a turn can only be history of the windows in its own stride and the next one
     own = line.withColumn("new", F.lit(True))
     later = F.expr("filter(sequence(window + 1, 2 * int(window div 2) + 3), w -> w > window)")
     past = line.where((F.col("tokens") <= history) & ~((F.col("at") == 0) & (F.col("system") > 0)))
     past = past.withColumn("window", F.explode(later)).withColumn("new", F.lit(False))
-    near = (F.col("end") <= F.col("first_start")) & (F.col("first_start") - F.col("start") <= history)
+    near = (F.col("end") <= F.col("first_start")) & (F.col("first_start") - F.col("start") <= F.col("allowed"))
     members = own.unionByName(past).join(starts, ["key", "window"]).where(F.col("new") | near)
     system = line.where("at = 0 and system > 0").select("key", "conv_id", "role", "text", "at", "start", "end", "tokens", "system")
     repeated = system.join(starts.where("first_at > 0"), "key").withColumn("new", F.lit(False))
@@ -146,7 +153,21 @@ def windows(conversations: DataFrame, count_tokens, budget: int = BUDGET, histor
 
 
 def _read_back(batches):
-    """Digests of the new turns and of the masked texts, read from windows that come sorted by conversation and window."""
+    """Per window: the new turns as the digest takes them, the masked texts, and their counts, read from the formatted text."""
+    for batch in batches:
+        out = []
+        for conv, window, formatted, first_new, spans in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+            turns = []
+            for part in formatted.split(END)[first_new:-1]:
+                role, _, text = part[len(HEAD) :].partition("\n")
+                turns.append(f"{unescaped(role)}\n{unescaped(text)}\n")
+            masked = "".join(unescaped(formatted[s["start"] : s["end"]]) for s in spans)
+            out.append([conv, window, len(turns), len(masked), len(formatted), "".join(turns), masked])
+        yield _batch(out, _PARTS)
+
+
+def _digests(batches):
+    """Digests and sums over the windows of a conversation, which come sorted by conversation and window."""
     now, state = None, None
 
     def row():
@@ -155,43 +176,43 @@ def _read_back(batches):
 
     for batch in batches:
         out = []
-        for conv, formatted, first_new, spans in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+        for conv, _, n_turns, n_loss, n_formatted, turns, masked in zip(*[batch.column(i).to_pylist() for i in range(7)]):
             if now != (conv,):
                 if now is not None:
                     out.append(row())
                 now, state = (conv,), (hashlib.sha256(), hashlib.sha256(), [0, 0, 0])
-            turns, loss, counts = state
-            parts = formatted.split(END)[:-1]
-            for part in parts[first_new:]:
-                role, _, text = part[len(HEAD) :].partition("\n")
-                turns.update(f"{unescaped(role)}\n{unescaped(text)}\n".encode())
-                counts[0] += 1
-            for span in spans:
-                text = unescaped(formatted[span["start"] : span["end"]])
-                loss.update(text.encode())
-                counts[1] += len(text)
-            counts[2] += len(formatted)
-        yield _digests(out)
+            state[0].update(turns.encode())
+            state[1].update(masked.encode())
+            for i, n in enumerate((n_turns, n_loss, n_formatted)):
+                state[2][i] += n
+        yield _batch(out, _REPORT)
     if now is not None:
-        yield _digests([row()])
+        yield _batch([row()], _REPORT)
+
+
+_PARTS = {"conv_id": "bigint", "window": "bigint", "n_turns": "bigint", "n_loss": "bigint", "n_formatted": "bigint", "turns": "string", "masked": "string"}
+_REPORT = {"conv_id": "bigint", "n_turns": "bigint", "turns_sha256": "string", "loss_chars": "bigint", "loss_sha256": "string", "formatted_chars": "bigint"}
+
+
+def _kind(columns: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in columns.items())
 
 
-def _digests(rows: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    columns = list(zip(*rows)) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+def _batch(rows: list[list], columns: dict[str, str]) -> pa.RecordBatch:
+    kinds = [pa.int64() if kind == "bigint" else pa.string() for kind in columns.values()]
+    values = list(zip(*rows)) if rows else [[] for _ in columns]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], list(columns))
 
 
 def report(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Per conversation, read back from its windows: turns, their digest, masked characters, their digest, formatted characters.
 
-    A conversation's digest runs over its windows in order; the task that computes it holds one batch of windows at a time.
+    Windows are read back wherever they are, also those of a conversation with a third of all rows. A digest runs over a conversation in order,
+    so one task hashes what was read from its windows; it holds one batch at a time and does nothing else.
     """
     made = windows(conversations, tokenizer(vocabulary))
-    lined = made.select("conv_id", "formatted", "first_new", "loss", "window").repartition("conv_id").sortWithinPartitions("conv_id", "window")
-    kind = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return lined.mapInArrow(_read_back, kind)
+    parts = made.select("conv_id", F.col("window").cast("bigint"), "formatted", "first_new", "loss").mapInArrow(_read_back, _kind(_PARTS))
+    return parts.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(_digests, _kind(_REPORT))
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
