@@ -184,6 +184,17 @@ def test_shards_are_exact_and_whole(spark, monkeypatch):
     assert sharding.report(df.limit(0)).count() == 0
 
 
+def test_rows_without_id_are_numbered_in_parts(spark):
+    df = docs_of(spark, [(None, f"text {i}", "s") for i in range(4000)])
+    placed = sharding._placed(df, 2)
+    parts = placed.groupBy("_shard", F.pmod(F.xxhash64("doc_id", "_place"), F.lit(sharding.SPREAD)).alias("part")).count()
+    assert parts.agg(F.max("count")).first()[0] < 40
+    slots = collections.defaultdict(list)
+    for r in sharding.report(df, 2).collect():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(slots) == 2
+
+
 # classifier
 
 

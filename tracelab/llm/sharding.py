@@ -138,8 +138,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Size: UTF-8 bytes of the text (null: none) plus 16. Groups are equal texts (null texts are one group, empty texts another), in the
     order of a 63-bit hash of the text; two texts with one hash are one group. The cuts are constants in the plan, so no
-    row moves for its shard. Slots are numbered from 0 in each shard without gaps: each shard's rows are split by a hash of the
-    id into ``SPREAD`` parts, numbered inside each (by id, then text hash), and shifted by the sizes of the parts before, so no
+    row moves for its shard. Slots are numbered from 0 in each shard without gaps: each shard's rows are split by a hash of
+    id and text into ``SPREAD`` parts, numbered inside each (by id, then text hash), and shifted by the sizes of the parts before, so no
     shard is one task. Repeated rows get slots of their own. An empty table gives an empty result.
     """
     return _slots(_placed(docs, shards))
@@ -160,7 +160,7 @@ def _placed(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def _slots(placed: DataFrame) -> DataFrame:
-    part = placed.withColumn("_part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(SPREAD)).cast("int"))
+    part = placed.withColumn("_part", F.pmod(F.xxhash64(F.col("doc_id"), F.col("_place")), F.lit(SPREAD)).cast("int"))
     # at most shards * SPREAD rows, whatever the input
     sizes = part.groupBy("_shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
