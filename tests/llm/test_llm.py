@@ -670,7 +670,7 @@ def test_wu_manber_matches_brute_force(spark, slots, bits):
     for r in got.collect():
         n, hit, found = naive_hits(texts[r["doc_id"] or 0], items)
         assert (r["found"]["n_words"], r["found"]["n_hit"], r["found"]["items"]) == (n, hit, found)
-    kept = decontaminate.clean(docs, bench)
+    kept = decontaminate.clean(docs, bench, slots=slots, bits=bits)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, t in enumerate(texts) if not naive_hits(t, items)[1]]
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0

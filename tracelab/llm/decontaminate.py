@@ -20,8 +20,6 @@ MAP_BITS = 1 << 26  # bits of the map of test strings
 ROWS = 4096  # rows that a task hands on at once
 SALTS = 8  # parts of a test string's occurrences
 
-#: Words after folding, in a text that is not folded yet.
-_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: A-Z become lower case, digits, a-z and bytes of other letters stay, everything else separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -111,7 +109,7 @@ def _candidates(texts: DataFrame, tables: Tables) -> DataFrame:
         rows = ((digest, *place) for frame in frames for digest, text in frame.itertuples(index=False) for place in tables.search(words_of(text)))
         return _frames(rows, ["digest", "start", "end", "bucket", "window"])
 
-    return texts.mapInPandas(look, "digest string, start bigint, end bigint, bucket int, window string")
+    return texts.mapInPandas(look, "digest binary, start bigint, end bigint, bucket int, window string")
 
 
 def covered(spans: Column) -> Column:
@@ -125,21 +123,38 @@ def covered(spans: Column) -> Column:
 
 
 def _digest() -> Column:
-    return F.sha2(F.col("text").cast("string").cast("binary"), 256)
+    return F.unhex(F.sha2(F.col("text").cast("string").cast("binary"), 256))
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, slots: int = SLOTS, bits: int = MAP_BITS) -> DataFrame:
+def _n_words() -> Column:
+    count = F.pandas_udf(lambda texts: pd.Series([len(words_of(t)) for t in texts], dtype="int64"), "bigint")
+    return count.asNondeterministic()(F.col("text").cast("string"))  # else the optimizer may repeat it
+
+
+def _may_hold(tables: Tables) -> Column:
+    """Whether a text has a candidate at all."""
+    look = F.pandas_udf(lambda texts: pd.Series([any(True for _ in tables.search(words_of(t))) for t in texts], dtype="bool"), "boolean")
+    return look.asNondeterministic()(F.col("text").cast("string"))
+
+
+def prepared(benchmark: DataFrame, slots: int = SLOTS, bits: int = MAP_BITS) -> tuple[DataFrame, Tables]:
+    """The benchmark's test strings, written to the shared folder, and the tables over them.
+
+    Spark cuts the items and reduces them to shift tables of hashed blocks (``slots`` bytes for each of at most ten lengths) and a
+    map of ``bits`` bits. Only these go to the tasks, so nothing that grows with the benchmark passes through the driver.
+    """
+    strings = staged(strings_of(benchmark, slots), "test-strings")
+    return strings, Tables(strings, slots, bits)
+
+
+def occurrences(docs: DataFrame, strings: DataFrame, tables: Tables) -> DataFrame:
     """Texts of ``docs`` that hold a test string: ``_digest`` (sha256 of the text), ``_n_hit``, ``_items``; one row for equal texts.
 
-    Spark cuts the items into test strings and reduces these to shift tables of hashed blocks (``slots`` bytes for each of at
-    most ten lengths) and a map of ``bits`` bits. Only these go to the tasks, so nothing that grows with the benchmark
-    passes through the driver, and one pass over the texts suffices. Fuller tables give more candidates, never other results: a candidate
+    One pass over the texts gives candidates. Fuller tables give more of them, never other results: a candidate
     meets the test strings of its suffix bucket in a join, which compares the words themselves. Occurrences of one
     test string are dealt over ``SALTS`` parts, and equal texts count once, so frequent passages are spread.
     """
     small_batches(docs.sparkSession)
-    strings = staged(strings_of(benchmark, slots), "test-strings")
-    tables = Tables(strings, slots, bits)
     texts = docs.select(_digest().alias("digest"), F.col("text").cast("string").alias("text")).where("text is not null")
     salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).alias("salt")
     places = _candidates(texts, tables).distinct().select("*", salt)
@@ -153,25 +168,30 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, slots: int = SLOTS, bits:
     return staged(found, "benchmark-hits")
 
 
+def _free(docs: DataFrame, names: list[str]) -> list[str]:
+    """The names with as many underscores before them as it takes to differ from every column."""
+    lead = ""
+    while any(c.lower().startswith(lead + "_") for c in docs.columns):
+        lead += "_"
+    return [lead + name for name in names]
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, name: str = "found", slots: int = SLOTS, bits: int = MAP_BITS) -> DataFrame:
     """Add a struct column ``name``: ``n_words, n_hit, items`` (sorted distinct item ids as text).
 
     A document word inside any occurrence of a test string counts once. Null or empty texts have no
     words; null item texts no test strings; a null ``item_id`` counts for hits but is not listed; repeated items count once.
-    All columns of ``docs`` stay; a column called ``name`` is replaced.
+    All columns of ``docs`` stay; a column called ``name`` is replaced. Texts move only if the caller still asks for them.
     """
-    found = occurrences(docs, benchmark, slots, bits)
-    lead = "_"
-    while any(c.lower().startswith(lead) for c in docs.columns):
-        lead += "_"  # no column of the table has such a name
-    digest, n_hit, items = [lead + c for c in found.columns]
+    found = occurrences(docs, *prepared(benchmark, slots, bits))
+    digest, n_hit, items, n_words = _free(docs, [*found.columns, "_n_words"])
+    joined = docs.withColumns({digest: _digest(), n_words: _n_words()}).join(found.toDF(digest, n_hit, items), digest, "left")
     result = F.struct(
-        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("bigint").alias("n_words"),
+        F.col(n_words).alias("n_words"),
         F.coalesce(n_hit, F.lit(0).cast("bigint")).alias("n_hit"),
         F.coalesce(items, F.array().cast("array<string>")).alias("items"),
     )
-    joined = docs.withColumn(digest, _digest()).join(found.toDF(digest, n_hit, items), digest, "left")
-    return joined.withColumn(name, result).drop(digest, n_hit, items)
+    return joined.withColumn(name, result).drop(digest, n_hit, items, n_words)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -187,10 +207,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without any benchmark window, with their own columns."""
-    found = occurrences(docs, benchmark)
-    return docs.join(found, _digest() == found["_digest"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, slots: int = SLOTS, bits: int = MAP_BITS) -> DataFrame:
+    """Documents without any benchmark window, with their own columns.
+
+    Documents without a candidate stay where they are; only the others meet the list of hit texts.
+    """
+    strings, tables = prepared(benchmark, slots, bits)
+    found = occurrences(docs, strings, tables)
+    digest, flag = _free(docs, ["_digest", "_flag"])
+    marked = docs.withColumn(flag, _may_hold(tables))
+    doubtful = marked.where(F.col(flag)).withColumn(digest, _digest()).join(found.select(F.col("_digest").alias(digest)), digest, "left_anti")
+    return marked.where(~F.col(flag)).drop(flag).union(doubtful.drop(digest, flag))
 
 
 SQL = """
