@@ -290,3 +290,37 @@ def test_late_keys_and_open_windows_are_kept(spark):
         jobs.totals_available(jobs.reward_windows(stream(), "ts", "kind", "value"), f"{base}/sums", f"{base}/s2", ["window_start", "kind"])
     assert spark.read.parquet(f"{base}/once").count() == spark.read.parquet(f"{base}/once").select("id").distinct().count() == 200
     assert sorted(r["n"] for r in spark.read.parquet(f"{base}/sums").collect()) == [100, 102]
+
+
+@pytest.mark.parametrize("small", [1, 3, 64])
+def test_small_and_big_charts_count_alike(spark, monkeypatch, small):
+    """The in-row counts of small charts and the joins of big ones agree, with null keys and charts without a table."""
+    rng = random.Random(13)
+    say = lambda: " ".join(rng.choice(["Item", "a_b", "5", "5.2", "-7", "1,999", "0", "60", "word", "1 + 2 = 3"]) for _ in range(rng.randrange(70)))
+    keyed = [(c, k, f"<think>{say()}</think><answer>{rng.randrange(9)}</answer>") for c in (1, 2, 3, 4, None) for k in range(12)]
+    rows = spark.createDataFrame(keyed, "group_id long, k int, response string")
+    cell = [(1, "Item 1", "a_b", 5.0), (1, "x", "a_b", -7.0), (2, "9", "8", 61.0), (3, "Item", "q", None)] + [(4, f"n{i} a_b", "item", float(i)) for i in range(90)]
+    table = spark.createDataFrame(cell, "chart_id long, label string, col string, value double")
+
+    def terms():
+        plain = process.process_terms(rows, table, ["group_id", "k"], "group_id").drop("response").collect()
+        anchored = process.anchored_terms(rows, table, ["group_id", "k"], "group_id").drop("response").collect()
+        return {r[:2]: r.asDict() for r in plain}, {r[:2]: r.asDict() for r in anchored}
+
+    want = terms()
+    monkeypatch.setattr(process, "SMALL", small)
+    got = terms()
+    assert got == want
+    numbers = {(r["group_id"], r["k"]): r["n_numbers"] for r in process.grounding_counts(rows, table, ["group_id", "k"], "group_id", "response").collect()}
+    assert any(v for v in numbers.values()) and len(numbers) > 40
+    assert sum(r["n_anchored"] or 0 for r in want[1].values()) > 0
+
+
+def test_process_terms_move_no_numbers(spark):
+    """A response with many numbers on a small chart shuffles no row per number: no explode outside the route of big charts."""
+    rows = spark.range(3).selectExpr("id AS group_id", "0 AS k", "concat('<think>', repeat('7 ', 500), '</think>') AS response")
+    table = spark.range(3).selectExpr("id AS chart_id", "7.0D AS value")
+    terms = process.process_terms(rows, table, ["group_id", "k"], "group_id")
+    assert {(r["n_numbers"], r["n_match_tight"]) for r in terms.collect()} == {(500, 500)}
+    plan = terms._jdf.queryExecution().optimizedPlan().toString()
+    assert "_big" in plan and plan.count("aggregate(") > 0

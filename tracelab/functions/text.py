@@ -86,13 +86,26 @@ def words(s: Column) -> Column:
     return F.when(inner == "", 0).otherwise(F.regexp_count(inner, F.lit(r"\S+")))
 
 
+def _opened(response: Column) -> Column:
+    """What follows the first ``<think>``."""
+    return F.substring(response, F.instr(response, "<think>") + F.lit(len("<think>")), F.length(response))
+
+
+def has_think_body(response: Column) -> Column:
+    return F.contains(response, F.lit("<think>")) & F.contains(_opened(response), F.lit("</think>"))
+
+
+def think_body(response: Column) -> Column:
+    """Text from the first ``<think>`` to the next ``</think>``, where there are both."""
+    return F.substring_index(_opened(response), "</think>", 1)
+
+
 def reasoning_span(response: Column, cut_answer: bool = True) -> Column:
     """Reasoning part of a response: think body, else what stands before ``</think>``, else
     (with ``cut_answer``) before ``<answer>``, else all."""
-    paired = r"(?s)<think>(.*?)</think>"
     rest = F.substring_index(response, "<answer>", 1) if cut_answer else response
     return (
-        F.when(response.rlike(paired), group(response, paired))
+        F.when(has_think_body(response), think_body(response))
         .when(F.contains(response, F.lit("</think>")), F.substring_index(response, "</think>", 1))
         .otherwise(rest)
     )

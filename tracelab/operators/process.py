@@ -8,12 +8,15 @@ cell is ever built, and a hot chart splits over its value ranges.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelab.functions.text import (
     NUMBER_PATTERNS, calc_pattern, every, explode_items, first_of, group, is_year, lines_of, plain_number, reasoning_span, strip, words,
 )
+from tracelab.operators.scale import first_rows, where_late
 
 ZERO = 1e-10
 
@@ -93,22 +96,23 @@ def best_match(values: DataFrame, cells: DataFrame) -> DataFrame:
     return near.select("chart_id", "n", F.coalesce(1.0 / (1.0 + gap), F.lit(0.0)).alias("best"), gap.alias("gap"))
 
 
-def calculations(text: Column, kind: str = "compat") -> Column:
-    """Calculations in a text as an array of (stated, expected); expected is null for a division by zero."""
+def parse_calculation(hit: Column, kind: str = "compat") -> Column:
+    """Text of one calculation as (stated, expected); expected is null for a division by zero."""
     pattern = calc_pattern(kind)
+    a, b = plain_number(group(hit, pattern, 1)), plain_number(group(hit, pattern, 3))
+    op, stated = group(hit, pattern, 2), plain_number(group(hit, pattern, 4))
+    expected = (
+        F.when(op == "+", a + b)
+        .when(op == "-", a - b)
+        .when(op.isin("*", "×"), a * b)
+        .otherwise(F.try_divide(a, b))
+    )
+    return F.struct(stated.alias("stated"), expected.alias("expected"))
 
-    def parse(hit: Column) -> Column:
-        a, b = plain_number(group(hit, pattern, 1)), plain_number(group(hit, pattern, 3))
-        op, stated = group(hit, pattern, 2), plain_number(group(hit, pattern, 4))
-        expected = (
-            F.when(op == "+", a + b)
-            .when(op == "-", a - b)
-            .when(op.isin("*", "×"), a * b)
-            .otherwise(F.try_divide(a, b))
-        )
-        return F.struct(stated.alias("stated"), expected.alias("expected"))
 
-    return F.transform(every(text, pattern), parse)
+def calculations(text: Column, kind: str = "compat") -> Column:
+    """Calculations in a text as an array of (stated, expected)."""
+    return F.transform(every(text, calc_pattern(kind)), lambda hit: parse_calculation(hit, kind))
 
 
 def calc_ok(c: Column, strict: bool = True) -> Column:
@@ -128,8 +132,85 @@ def arithmetic_terms(span: Column) -> dict[str, Column]:
     }
 
 
+def with_arithmetic(rows: DataFrame, span: str) -> DataFrame:
+    """Rows with ``arithmetic_terms``; the calculations are looked for once a row, as a column of their own."""
+    found = rows.withColumn("_calcs", calculations(F.col(span)))
+    ok = lambda c: F.coalesce(calc_ok(c), F.lit(False))
+    return found.withColumns(
+        {
+            "n_calcs": F.size("_calcs"),
+            "n_checkable": F.size(F.filter("_calcs", lambda c: c["expected"].isNotNull())),
+            "n_right": F.size(F.filter("_calcs", ok)),
+        }
+    ).drop("_calcs")
+
+
+COUNTS = ["n_numbers", "n_nonzero", "n_match_loose", "n_match_tight"]
+SMALL = 64  # cells, and name tokens, of a chart up to which its table goes to the responses as an array
+
+
+def small_tables(cells: DataFrame) -> DataFrame:
+    """One row per chart with numbers: its distinct values, or, beyond SMALL cells, only the mark that it is a big one."""
+    few = first_rows(cells.where(F.col("value").isNotNull()).select("chart_id", "value"), ["chart_id"], ["value"], SMALL + 1, "_r")
+    tables = few.groupBy(F.col("chart_id").alias("_chart")).agg(F.max("_r").alias("_r"), F.collect_set("value").alias("_cells"))
+    return tables.select("_chart", (F.col("_r") > SMALL).alias("_big"), F.when(F.col("_r") <= SMALL, F.col("_cells")).alias("_cells"))
+
+
+def with_tables(responses: DataFrame, cells: DataFrame, chart: str) -> DataFrame:
+    """Responses with ``has_table``, and the values of their chart as ``_cells`` unless it is a big one (``_big``)."""
+    rows = responses.join(small_tables(cells), F.col(chart) == F.col("_chart"), "left").withColumn("has_table", F.col("_chart").isNotNull())
+    return rows.withColumn("_big", F.coalesce("_big", F.lit(False))).drop("_chart")
+
+
+def big_cells(cells: DataFrame, *marks: DataFrame) -> DataFrame:
+    """Cells of the charts that one of the marks (frames of ``_chart``) names."""
+    charts = reduce(DataFrame.union, [m.select(F.col("_chart").alias("chart_id")) for m in marks])
+    return cells.join(charts, "chart_id", "left_semi")
+
+
+def closest(n: Column, cells: Column) -> Column:
+    """Best score of a number over an array of cells, 0 without cells."""
+    gap = F.aggregate(cells, F.lit(float("inf")), lambda least, cell: F.least(least, relative_gap(n, cell)))
+    return F.coalesce(1.0 / (1.0 + gap), F.lit(0.0))
+
+
+def count_struct(counts: dict[str, Column]) -> Column:
+    return F.struct(*[c.cast("bigint").alias(name) for name, c in counts.items()])
+
+
+def row_counts(numbers: Column, cells: Column) -> Column:
+    """The counts of ``grounding_counts`` for the numbers of one response and the few cells of its chart."""
+
+    def step(sums: Column, number: Column) -> Column:
+        def add(best: Column) -> Column:
+            live = ~(F.abs(number) < ZERO)
+            new = {"n_numbers": F.lit(True), "n_nonzero": live, "n_match_loose": live & (best > 0.8), "n_match_tight": live & (best > 0.9)}
+            return count_struct({c: sums[c] + F.coalesce(hit, F.lit(False)).cast("bigint") for c, hit in new.items()})
+
+        return F.transform(F.array(closest(number, cells)), add)[0]
+
+    return F.aggregate(numbers, count_struct({c: F.lit(0) for c in COUNTS}), step)
+
+
+def mentioned(span: Column, kind: str = "compat") -> Column:
+    """Numbers of a span as an array; likely years are left out."""
+    return F.filter(F.transform(every(span, NUMBER_PATTERNS[kind]), plain_number), lambda n: ~is_year(n))
+
+
 def grounding_counts(responses: DataFrame, cells: DataFrame, keys: list[str], chart: str, span: str) -> DataFrame:
-    """Number mentions per response: all, non-zero, and matched at the two thresholds."""
+    """Number mentions per response: all, non-zero, and matched at the two thresholds.
+
+    The values of a small chart go to its responses as an array, so that no mention moves; big charts take the nearest-cell join.
+    """
+    rows = with_tables(responses.select(*dict.fromkeys([*keys, chart, span])), cells, chart)
+    counts = where_late(rows, ~F.col("_big")).select(*keys, row_counts(mentioned(F.col(span)), F.col("_cells")).alias("c"))
+    small = counts.groupBy(*keys).agg(*[F.sum(f"c.{c}").alias(c) for c in COUNTS]).where("n_numbers > 0")
+    big = where_late(rows, F.col("_big"))
+    return small.unionByName(mention_counts(big, big_cells(cells, small_tables(cells).where("_big")), keys, chart, span))
+
+
+def mention_counts(responses: DataFrame, cells: DataFrame, keys: list[str], chart: str, span: str) -> DataFrame:
+    """``grounding_counts`` with one row per mention, for charts of any size."""
     mentions = number_mentions(responses, [*dict.fromkeys([*keys, chart])], span).withColumn("chart_id", F.col(chart))
     zero = F.abs(F.col("n")) < ZERO
     wanted = mentions.where(~zero).select("chart_id", "n").distinct()
@@ -146,27 +227,21 @@ def grounding_counts(responses: DataFrame, cells: DataFrame, keys: list[str], ch
     )
 
 
-COUNTS = ["n_numbers", "n_nonzero", "n_match_loose", "n_match_tight"]
-
-
 def process_terms(
     responses: DataFrame, cells: DataFrame, keys: list[str], chart: str, response: str = "response", cut_answer: bool = True
 ) -> DataFrame:
     """Responses with every count the process rewards are made of."""
-    spanned = responses.withColumn("span", reasoning_span(F.col(response), cut_answer))
-    counts = grounding_counts(spanned, cells, keys, chart, "span")
-    tables = cells.where(F.col("value").isNotNull()).select(F.col("chart_id").alias(chart)).distinct()
-    tables = tables.withColumn("has_table", F.lit(True))
-    joined = spanned.join(counts, keys, "left").join(tables, chart, "left")
-    return joined.withColumns(
-        {
-            **{c: F.coalesce(c, F.lit(0)) for c in COUNTS},
-            "has_table": F.coalesce("has_table", F.lit(False)),
-            "blank": strip(F.col("span")) == "",
-            "span_words": words(F.col("span")),
-            **arithmetic_terms(F.col("span")),
-        }
-    ).drop("span")
+    rows = with_tables(responses, cells, chart)
+    counted = [F.coalesce(f"_c.{c}", F.lit(0)).alias(c) for c in COUNTS]
+    span = reasoning_span(F.col(response), cut_answer)
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*keys, chart]])
+    small = where_late(rows, ~F.col("_big")).withColumn("span", span)
+    small = small.withColumn("_c", F.when(known, row_counts(mentioned(F.col("span")), F.col("_cells")))).select(*responses.columns, "has_table", "span", *counted)
+    big = where_late(rows, F.col("_big")).withColumn("span", span)
+    counts = mention_counts(big, big_cells(cells, small_tables(cells).where("_big")), keys, chart, "span")
+    big = big.join(counts.select(*keys, F.struct(*COUNTS).alias("_c")), keys, "left").select(*responses.columns, "has_table", "span", *counted)
+    terms = small.unionByName(big).withColumns({"blank": strip(F.col("span")) == "", "span_words": words(F.col("span"))})
+    return with_arithmetic(terms, "span").drop("span")
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:
@@ -207,28 +282,66 @@ def reward_v2() -> Column:
 
 def table_entities(cells: DataFrame) -> DataFrame:
     """Distinct name tokens of a chart: column headers and row labels."""
-    names = cells.select("chart_id", F.col("col").alias("name")).union(cells.select("chart_id", "label")).distinct()
+    names = cells.select("chart_id", F.explode(F.array_distinct(F.array("col", "label"))).alias("name"))
     tokens = names.select("chart_id", F.explode(F.split(F.lower(strip(F.col("name"))), r"[\s_/\-]+")).alias("token"))
     return tokens.where((F.length("token") > 1) & ~F.col("token").rlike(r"^\d+$")).distinct()
 
 
+def small_entities(cells: DataFrame) -> DataFrame:
+    """One row per chart with name tokens: the tokens, or, beyond SMALL, only the mark that they are many."""
+    few = first_rows(table_entities(cells), ["chart_id"], ["token"], SMALL + 1, "_r")
+    named = few.groupBy(F.col("chart_id").alias("_chart")).agg(F.max("_r").alias("_r"), F.collect_set("token").alias("_names"))
+    return named.select("_chart", (F.col("_r") > SMALL).alias("_many"), F.when(F.col("_r") <= SMALL, F.col("_names")).alias("_names"))
+
+
 TOKEN = r"[A-Za-z][A-Za-z0-9_'\-]*|" + NUMBER_PATTERNS["compat"]
 REACH = 20
 
 
+def counted_number(token: Column) -> Column:
+    """Number of a token; null for words, zero and likely years."""
+    number = F.when(token.rlike(r"^[-+]?\d"), plain_number(token))
+    return F.when((F.abs(number) >= ZERO) & ~is_year(number), number)
+
+
+def row_anchors(span: Column, cells: Column, names: Column) -> Column:
+    """The counts of ``anchored_counts`` for one response and the few cells and name tokens of its chart."""
+
+    def count(tokens: Column) -> Column:
+        def judge(marks: Column) -> Column:
+            def step(sums: Column, token: Column, at: Column) -> Column:
+                first = F.greatest(at - REACH, F.lit(0))
+                anchored = names.isNull() | F.array_contains(F.slice(marks, first + 1, at + REACH + 1 - first), True)
+
+                def add(number: Column) -> Column:
+                    hit = F.when(number.isNotNull(), (closest(number, cells) > 0.9) & anchored)
+                    new = {"n_mentions": number.isNotNull(), "n_anchored": F.coalesce(hit, F.lit(False))}
+                    return count_struct({c: sums[c] + n.cast("bigint") for c, n in new.items()})
+
+                return F.when(token.rlike(r"^[-+]?\d"), F.transform(F.array(counted_number(token)), add)[0]).otherwise(sums)
+
+            placed = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+            return F.aggregate(placed, count_struct({c: F.lit(0) for c in ANCHORS}), lambda sums, x: step(sums, x["t"], x["i"]))
+
+        return F.transform(F.array(F.transform(tokens, lambda t: F.coalesce(F.array_contains(names, F.lower(t)), F.lit(False)))), judge)[0]
+
+    return F.transform(F.array(every(span, TOKEN)), count)[0]
+
+
+ANCHORS = ["n_mentions", "n_anchored"]
+
+
 def anchored_counts(responses: DataFrame, cells: DataFrame, keys: list[str], chart: str, span: str) -> DataFrame:
-    """Number mentions per response, and those in the table with an entity token within reach."""
+    """Number mentions per response, and those in the table with an entity token within reach, for charts of any size."""
     tokens = explode_items(responses, [*keys, F.col(chart).alias("chart_id")], every(F.col(span), TOKEN), "pos", "text")
     tokens = tokens.withColumn("token", F.lower("text"))
     entities = table_entities(cells)
     known = entities.withColumn("hit", F.lit(1))
-    number = F.when(F.col("token").rlike(r"^[-+]?\d"), plain_number(F.col("token")))
-    counted = F.when((F.abs(number) >= ZERO) & ~is_year(number), number)
     # only entity tokens and numbers go on: the reach counts positions, so the words between need not move again
     near = Window.partitionBy(*keys).orderBy("pos").rangeBetween(-REACH, REACH)
     mentions = (
         tokens.join(known, ["chart_id", "token"], "left")
-        .select(*keys, "chart_id", "pos", counted.alias("n"), "hit")
+        .select(*keys, "chart_id", "pos", counted_number(F.col("token")).alias("n"), "hit")
         .where("n IS NOT NULL OR hit IS NOT NULL")
         .select(*keys, "chart_id", "n", F.max("hit").over(near).alias("anchored"))
         .where("n IS NOT NULL")
@@ -246,15 +359,25 @@ def anchored_counts(responses: DataFrame, cells: DataFrame, keys: list[str], cha
     )
 
 
-def anchored_terms(responses: DataFrame, cells: DataFrame, keys: list[str], chart: str) -> DataFrame:
-    """Responses with anchored grounding, strict arithmetic and the length of the reasoning."""
-    spanned = responses.withColumn("span", reasoning_span(F.col("response")))
-    counts = anchored_counts(spanned, cells, keys, chart, "span")
-    tables = cells.where(F.col("value").isNotNull()).select(F.col("chart_id").alias(chart)).distinct()
-    tables = tables.withColumn("has_table", F.lit(True))
-    rows = spanned.join(counts, keys, "left").join(tables, chart, "left").withColumns(
-        {"span_words": words(F.col("span")), **arithmetic_terms(F.col("span"))}
-    )
+def anchored_terms(responses: DataFrame, cells: DataFrame, keys: list[str], chart: str, response: str = "response") -> DataFrame:
+    """Responses with anchored grounding, strict arithmetic and the length of the reasoning.
+
+    Values and name tokens of a small chart go to its responses as arrays, so that no token moves; big charts take the joins.
+    """
+    rows = with_tables(responses, cells, chart).join(small_entities(cells), F.col(chart) == F.col("_chart"), "left")
+    rows = rows.withColumn("_big", F.col("_big") | F.coalesce("_many", F.lit(False))).drop("_chart", "_many")
+    span = reasoning_span(F.col(response))
+    kept = [*responses.columns, F.when(F.col("has_table"), True).alias("has_table"), "span"]
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*keys, chart]])
+    small = where_late(rows, ~F.col("_big")).withColumn("span", span)
+    small = small.withColumn("_c", F.when(known, row_anchors(F.col("span"), F.col("_cells"), F.col("_names"))))
+    # a response without a number has no counts
+    small = small.select(*kept, *[F.when(F.col("_c.n_mentions") > 0, F.col(f"_c.{c}")).alias(c) for c in ANCHORS])
+    big = where_late(rows, F.col("_big")).withColumn("span", span)
+    marked = big_cells(cells, small_tables(cells).where("_big"), small_entities(cells).where("_many"))
+    counts = anchored_counts(big, marked, keys, chart, "span")
+    big = big.join(counts, keys, "left").select(*kept, *ANCHORS)
+    rows = with_arithmetic(small.unionByName(big).withColumn("span_words", words(F.col("span"))), "span")
     live = F.col("has_table").isNotNull() & (F.coalesce("n_mentions", F.lit(0)) > 0)
     return rows.withColumns(
         {

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelab.functions import extract, scoring
 from tracelab.functions.text import think_words
 from tracelab.operators import process as P
-from tracelab.operators.scale import where_late
 
 RIGHT = 0.95
 BONUS = 0.3
@@ -31,10 +32,12 @@ def outcome_terms(responses: DataFrame) -> DataFrame:
 def with_process(
     rows: DataFrame, cells: DataFrame, keys: list[str], chart: str, needed: Column, terms=P.process_terms, **options
 ) -> DataFrame:
-    """Attach process terms to the rows that need them; the others skip the table join."""
-    wanted = where_late(rows, needed).select(*keys, "response")
-    part = terms(wanted, cells, keys, chart, **options).drop("response")
-    return rows.join(part.withColumn("joined", F.lit(True)), keys, "left")
+    """Attach process terms to the rows that need them, in place: no row moves for it; the others have nulls."""
+    known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    asked = rows.withColumn("joined", F.when(needed & known, F.lit(True))).withColumn("_said", F.when(F.col("joined"), F.col("response")))
+    part = terms(asked, cells, keys, chart, response="_said", **options)
+    new = [c for c in part.columns if c not in asked.columns]
+    return part.select(*rows.columns, *[F.when(F.col("joined"), F.col(c)).alias(c) for c in new], "joined")
 
 
 def wrong_numeric() -> Column:
