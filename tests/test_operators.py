@@ -324,3 +324,16 @@ def test_process_terms_move_no_numbers(spark):
     assert {(r["n_numbers"], r["n_match_tight"]) for r in terms.collect()} == {(500, 500)}
     plan = terms._jdf.queryExecution().optimizedPlan().toString()
     assert "_big" in plan and plan.count("aggregate(") > 0
+
+
+def test_facts_of_short_and_long_columns_alike(spark, monkeypatch):
+    rng = random.Random(17)
+    rows = [(c, i, rng.choice([f"n{i}", None]), col, rng.choice([None, 1.0, 2.5, -3.0, float(i)])) for c in (1, 2, 3, None) for col in ("a", "b") for i in range(rng.choice([1, 3, 9, 70]))]
+    table = spark.createDataFrame([*rows, (4, 0, "x", None, 1.0)], "chart_id long, row_idx int, label string, col string, value double")
+    got = {r[:2]: r for r in qagen.column_facts(table).collect()}
+    want = {r[:2]: r for r in qagen.long_column_facts(table).collect()}
+    assert got.keys() == want.keys() and len(got) == 6
+    for key, r in want.items():
+        assert all(got[key][c] == (pytest.approx(v) if isinstance(v, float) else v) for c, v in r.asDict().items())
+    monkeypatch.setattr(qagen, "SMALL", 2)
+    assert {r[:2]: r["median_v"] for r in qagen.column_facts(table).collect()} == {k: r["median_v"] for k, r in want.items()}
