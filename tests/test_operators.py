@@ -1,12 +1,14 @@
 """Brute-force checks of the operators SQL cannot check, and of the skew paths."""
 
 import random
+import re
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from tracelab.operators import cells, corpus, process, qagen, rewards, scale, traces
+from tracelab.operators import cells, claims, corpus, process, qagen, rewards, scale, traces
+from tracelab.plans import QUERIES
 from tracelab.sources import readers
 from tracelab.sources.fixtures import view
 
@@ -337,3 +339,39 @@ def test_facts_of_short_and_long_columns_alike(spark, monkeypatch):
         assert all(got[key][c] == (pytest.approx(v) if isinstance(v, float) else v) for c, v in r.asDict().items())
     monkeypatch.setattr(qagen, "SMALL", 2)
     assert {r[:2]: r["median_v"] for r in qagen.column_facts(table).collect()} == {k: r["median_v"] for k, r in want.items()}
+
+
+def said_claims(rng):
+    """Texts with claims of every pattern, near misses, and pieces that only almost belong to a pattern."""
+    parts = ["The Value of item", "North-East", " is ", "is", " IS  -4", " equals 5.5", "=7 million", ": 12%", " (", "(3)", "(-2.5)", "5", " for Region B is 7", "highest value is Item 3",
+             "largest=x y", "Smallest category is", "\n", ", ", " this ", "Is 9K", "x" * 40, " ", "\tis\t3", "value of é is 4", "-0", "MINIMUM  Region = a-b"]
+    return "".join(rng.choice(parts) for _ in range(rng.randrange(9)))
+
+
+def test_claims_are_the_groups_of_every_pattern(spark):
+    rng = random.Random(23)
+    rows = [(i, rng.choice([0, 1]), said_claims(rng)) for i in range(600)] + [(None, 0, "North is 4"), (900, 0, None), (901, 0, "")]
+    steps = spark.createDataFrame(rows, "group_id long, k int, text string")
+    got = {(r["group_id"], r["k"], r["type"], r["entity"].lower(), r["value"], r["comparator"]): (r["entity"], r["unit"]) for r in claims.regex_claims(steps, ["group_id", "k"], "text").collect()}
+    want = {}
+    blanks = " \n\t\r\x0b\x0c"
+    for g, k, text in rows:
+        for i, (pattern, e, v) in enumerate(claims.VALUE_PATTERNS):
+            for m in re.finditer(pattern, text or "", re.ASCII):
+                unit = (m[3] or None) if i == claims.WITH_UNIT else None
+                want.setdefault((g, k, "value", m[e].strip(blanks).lower(), float(m[v]), None), (m[e].strip(blanks), unit))
+        for m in re.finditer(claims.SUPERLATIVE, text or "", re.ASCII):
+            want.setdefault((g, k, "categorical", m[2].strip(blanks).lower(), None, m[1].lower()), (m[2].strip(blanks), None))
+    # the unit of a claim is the first one said
+    assert got.keys() == want.keys() and len(want) > 400
+    assert {key: e for key, (e, _) in got.items()} == {key: e for key, (e, _) in want.items()}
+    found = {(r["group_id"], r["k"]): r["f"] for r in steps.select("group_id", "k", claims.has_claim(F.col("text")).alias("f")).collect()}
+    assert {key for key, f in found.items() if f} == {key[:2] for key in want}
+
+
+def test_claims_search_each_pattern_once(spark):
+    """One search for the hits of a pattern; the groups come from the hits. It took nine searches for four patterns."""
+    steps = spark.range(1).selectExpr("id AS group_id", "0 AS k", "concat('North is ', id, '%') AS text")
+    rows = claims.regex_claims(steps, ["group_id", "k"], "text")
+    assert [(r["entity"], r["value"], r["unit"]) for r in rows.collect()] == [("North", 0.0, "%")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == len(claims.VALUE_PATTERNS) + 1
