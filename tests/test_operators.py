@@ -375,3 +375,10 @@ def test_claims_search_each_pattern_once(spark):
     rows = claims.regex_claims(steps, ["group_id", "k"], "text")
     assert [(r["entity"], r["value"], r["unit"]) for r in rows.collect()] == [("North", 0.0, "%")]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == len(claims.VALUE_PATTERNS) + 1
+
+
+def test_fallback_queue_joins_nothing(spark, sf):
+    """Claims of a step are looked for in its row: the queue moves lines once, to number them."""
+    rows = QUERIES["cl_fallback_queue"](spark, sf)
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() > 0
