@@ -382,3 +382,35 @@ def test_fallback_queue_joins_nothing(spark, sf):
     rows = QUERIES["cl_fallback_queue"](spark, sf)
     assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert rows.count() > 0
+
+
+@pytest.mark.parametrize("small", [0, 3])
+def test_taint_chain_in_the_row_and_by_joins_alike(spark, monkeypatch, small):
+    rng = random.Random(29)
+    parts = ["Item 12 is 5", "5 + 8 = 13", "5 + 8 = 14.5", "about 61.2 and 5.1", "1,250 ≈ 0", "no number", "0.004 or -7", "4 / 0 = 4", "3 * 2 = 6 - 1 = 9", "n 5", "88 99 5.2 5.3 61 62 63 64 65 1 2"]
+    body = lambda: "\n".join(rng.choice(parts) for _ in range(rng.randrange(7)))
+    forms = ["<think>{}</think> <answer>3</answer>", "<think>{}</think>", "{}</think>", "<think>{}", "{}"]
+    rows = [(c, None if k == 11 else k, rng.choice(forms[:2] + forms).format(body())) for c in (1, 2, 3, 4, 5, None) for k in range(12)] + [(1, 50, None)]
+    said = spark.createDataFrame(rows, "group_id long, k int, response string")
+    cell = [(1, 5.0), (1, 13.0), (1, 13.0), (2, 61.0), (2, 0.0), (2, -7.0), (3, None), *[(4, float(i)) for i in range(90)], (None, 5.0)]
+    table = spark.createDataFrame(cell, "chart_id long, value double")
+
+    def chains():
+        return sorted((r["group_id"] or 0, r["k"] or 0, r["response"] or "", round(r["taint"], 9)) for r in process.taint_chain(said, table, ["group_id", "k"], "group_id").collect())
+
+    want = chains()
+    monkeypatch.setattr(process, "SMALL", small)
+    assert chains() == want and len(want) == len(rows)
+    assert len({taint for *_, taint in want}) > 8
+    assert all(taint == 0 for g, _, _, taint in want if g in (0, 3, 5))
+
+
+def test_taint_chain_moves_no_numbers(spark):
+    """Only the route of big charts has a row per sentence and number; the others fold in the row."""
+    rows = spark.range(3).selectExpr("id AS group_id", "0 AS k", "concat('<think>', repeat('seven is 7\n', 200), '</think>') AS response")
+    table = spark.range(3).selectExpr("id AS chart_id", "7.0D AS value")
+    scored = process.taint_chain(rows, table, ["group_id", "k"], "group_id")
+    assert [r["taint"] for r in scored.collect()] == [1.0] * 3
+    small = scored._jdf.queryExecution().analyzed().children().head()
+    plan = small.toString()
+    assert "aggregate(" in plan and "generate" not in plan.lower()

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelab.functions.text import (
-    NUMBER_PATTERNS, calc_pattern, every, explode_items, first_of, group, is_year, lines_of, plain_number, reasoning_span, strip, words,
+    NUMBER_PATTERNS, calc_pattern, every, explode_items, group, has_think_body, is_year, lines_of, plain_number, reasoning_span, strip,
+    think_body, words,
 )
 from tracelab.operators.scale import first_rows, where_late
 
@@ -417,17 +418,95 @@ def taint_bounds(numbers: Column) -> Column:
     return F.transform(F.transform(F.array(placed), ends)[0], lambda x: x["n"])
 
 
+FEW = 8  # numbers of a sentence up to which they taint as they are
+
+
+def table_quality(n: Column, cells: Column, sigma: float) -> Column:
+    """How near a number is to the nearest of an array of cells, 1 for equal ones; about zero only a cell of zero is near."""
+    same = F.array_contains(cells, n)
+    gap = F.aggregate(cells, F.lit(float("inf")), lambda least, c: F.least(least, F.when(c != 0, F.abs(n - c) / (F.abs(c) * sigma))))
+    zero = F.when((F.abs(n) < 0.01) & F.array_contains(cells, 0.0), 1.0).otherwise(0.0)
+    return F.when(same, 1.0).otherwise(F.greatest(F.exp(-0.5 * F.pow(gap, F.lit(2.0))), zero))
+
+
+def sentence_logic(sentence: Column) -> Column:
+    """0 where the first calculation of a sentence is off by 5 % or more, else 1."""
+
+    def judged(c: Column) -> Column:
+        wrong = F.abs(c["stated"] - c["expected"]) / F.greatest(F.abs(c["expected"]), F.lit(ZERO)) >= 0.05
+        return F.when(wrong, 0.0).otherwise(1.0)
+
+    hit = F.array(group(sentence, calc_pattern("compat"), 0))
+    return F.when(sentence.contains("=") | sentence.contains("≈"), F.transform(F.transform(hit, lambda h: parse_calculation(h)), judged)[0]).otherwise(1.0)
+
+
+def fold_taint(chain: Column, numbers, value, logic, quality, fresh) -> Column:
+    """Mean reward over an array of sentences; numbers of a failed sentence taint later uses. 0 without a sentence.
+
+    ``numbers`` and ``logic`` read a sentence, ``value`` and ``quality`` one of its numbers, ``fresh`` what the sentence taints.
+    """
+
+    def step(state: Column, sentence: Column) -> Column:
+        hit = lambda x: F.exists(state["tainted"], lambda t: relative_gap(value(x), t) < 0.05)
+        worst = F.array_min(F.transform(numbers(sentence), lambda x: F.when(hit(x), 0.3).otherwise(quality(x))))
+
+        def next_state(reward: Column) -> Column:
+            failed = (reward < 0.5) & ~F.exists(numbers(sentence), hit)
+            kept = F.when(failed, F.concat(state["tainted"], fresh(sentence))).otherwise(state["tainted"])
+            return F.struct(kept.alias("tainted"), (state["total"] + reward).alias("total"), (state["n"] + 1).alias("n"))
+
+        # a sentence without numbers leaves no mark
+        return F.when(F.size(numbers(sentence)) == 0, state).otherwise(F.transform(F.array(logic(sentence) * worst), next_state)[0])
+
+    start = F.struct(F.array().cast("array<double>").alias("tainted"), F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+    return F.aggregate(chain, start, step, lambda s: F.when(s["n"] > 0, s["total"] / s["n"]).otherwise(0.0))
+
+
+def traced(response: Column) -> Column:
+    """Sentences of the think part, longer than five characters."""
+    return F.filter(lines_of(F.when(has_think_body(response), think_body(response)).otherwise(F.when(response.isNotNull(), ""))), lambda s: F.length(s) > 5)
+
+
+def row_taint(response: Column, cells: Column, sigma: float) -> Column:
+    """``taint_chain`` of one response and the few cells of its chart."""
+    chain = F.transform(traced(response), lambda s: F.struct(F.transform(every(s, NUMBER_PATTERNS["compat"]), plain_number).alias("nums"), s.alias("said")))
+    return fold_taint(
+        chain,
+        lambda s: s["nums"],
+        lambda n: n,
+        lambda s: sentence_logic(s["said"]),
+        lambda n: table_quality(n, cells, sigma),
+        lambda s: F.when(F.size(s["nums"]) <= FEW, s["nums"]).otherwise(taint_bounds(s["nums"])),
+    )
+
+
+def big_charts(cells: DataFrame) -> DataFrame:
+    """Charts with more than SMALL numbers, by counts that combine before they move."""
+    return cells.groupBy(F.col("chart_id").alias("_chart")).agg(F.count("value").alias("_n")).where(F.col("_n") > SMALL).select("_chart")
+
+
 def taint_chain(responses: DataFrame, cells: DataFrame, keys: list[str], chart: str, sigma: float = 0.1) -> DataFrame:
     """Mean sentence reward where numbers of a failed sentence taint later uses of them; 0 without a table.
 
-    The table quality of every number comes from the nearest-cell join; the order-dependent part is a fold over the sentences of
-    one response. A sentence taints only where it uses nothing tainted, so new values lie 5 % away from all older ones, and of its own
-    values ``taint_bounds`` are enough: the set tested against each number is bounded by the range of the numbers, not their count.
+    The values of a small chart go to its responses as an array and the chain is a fold inside the row, so that no sentence and no
+    number moves; responses of big charts take ``big_taint``. A sentence taints only where it uses nothing tainted, so new values
+    lie 5 % away from all older ones, and of its own values ``taint_bounds`` are enough: the set tested against each number is bounded
+    by the range of the numbers, not their count.
     """
-    body = group(F.col("response"), r"(?s)<think>(.*?)</think>")
-    sentences = F.filter(lines_of(body), lambda s: F.length(s) > 5)
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*keys, chart]])
+    rows = where_late(with_tables(responses, cells, chart), ~F.col("_big"))
+    value = F.coalesce(F.when(F.col("has_table") & known, row_taint(F.col("response"), F.col("_cells"), sigma)), F.lit(0.0))
+    small = rows.withColumn("taint", value).select(*responses.columns, "taint")
+    marks = big_charts(cells)
+    big = responses.join(marks, F.col(chart) == F.col("_chart"), "left_semi")
+    scored = big.join(big_taint(big, big_cells(cells, marks), keys, chart, sigma), keys, "left")
+    return small.unionByName(scored.withColumn("taint", F.coalesce("taint", F.lit(0.0))))
+
+
+def big_taint(responses: DataFrame, cells: DataFrame, keys: list[str], chart: str, sigma: float) -> DataFrame:
+    """Taint per response on charts of any size: the table quality of every number comes from the nearest-cell join."""
     pattern = NUMBER_PATTERNS["compat"]
-    said = explode_items(responses, [*keys, F.col(chart).alias("chart_id")], sentences, "at", "sentence")
+    said = explode_items(responses, [*keys, F.col(chart).alias("chart_id")], traced(F.col("response")), "at", "sentence")
     numbers = explode_items(said, [*keys, "chart_id", "at"], every(F.col("sentence"), pattern), "pos", "_t").select(*keys, "chart_id", "at", "pos", plain_number(F.col("_t")).alias("n"))
     near = nearest_cells(numbers.select("chart_id", "n").distinct(), cells.select("chart_id", "value").distinct())
     decay = lambda cell: F.when(cell == 0, F.when(F.abs("n") < 0.01, 1.0).otherwise(0.0)).otherwise(
@@ -441,38 +520,18 @@ def taint_chain(responses: DataFrame, cells: DataFrame, keys: list[str], chart:
         F.when(F.col("zero").isNotNull() & (F.abs("n") < 0.01), 1.0).otherwise(0.0),
     )
     near = near.join(zero_tables, "chart_id", "left").select("chart_id", "n", quality.alias("q"))
-    checked = first_of(calculations(F.col("sentence")))
-    wrong = F.abs(checked["stated"] - checked["expected"]) / F.greatest(F.abs(checked["expected"]), F.lit(ZERO)) >= 0.05
     per_sentence = (
         numbers.join(near, ["chart_id", "n"], "left")
         .groupBy(*keys, "at")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "n", "q"))).alias("nums"))
-        .join(said.select(*keys, "at", F.when(wrong, 0.0).otherwise(1.0).alias("logic")), [*keys, "at"])
+        .join(said.select(*keys, "at", sentence_logic(F.col("sentence")).alias("logic")), [*keys, "at"])
     )
     ordered = per_sentence.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "nums", "logic"))).alias("chain"))
-
-    ordered = ordered.withColumn("chain", F.transform("chain", lambda s: s.withField("fresh", taint_bounds(F.transform(s["nums"], lambda x: x["n"])))))
-
-    def step(state: Column, sentence: Column) -> Column:
-        tainted = state["tainted"]
-        tested = F.transform(sentence["nums"], lambda x: F.struct(F.exists(tainted, lambda t: relative_gap(x["n"], t) < 0.05).alias("hit"), x["q"].alias("q")))
-
-        def judged(marks: Column) -> Column:
-            quality = F.array_min(F.transform(marks, lambda m: F.when(m["hit"], 0.3).otherwise(F.coalesce(m["q"], F.lit(0.0)))))
-            reward = sentence["logic"] * quality
-            kept = F.when((reward < 0.5) & ~F.exists(marks, lambda m: m["hit"]), F.concat(tainted, sentence["fresh"])).otherwise(tainted)
-            return F.struct(kept.alias("tainted"), (state["total"] + reward).alias("total"), (state["n"] + 1).alias("n"))
-
-        return F.transform(F.array(tested), judged)[0]
-
-    start = F.struct(
-        F.array().cast("array<double>").alias("tainted"), F.lit(0.0).alias("total"), F.lit(0).alias("n")
+    taint = fold_taint(
+        F.col("chain"), lambda s: s["nums"], lambda x: x["n"], lambda s: s["logic"], lambda x: F.coalesce(x["q"], F.lit(0.0)),
+        lambda s: taint_bounds(F.transform(s["nums"], lambda x: x["n"])),
     )
-    folded = ordered.select(*keys, F.aggregate("chain", start, step).alias("s"))
-    value = folded.select(*keys, (F.col("s.total") / F.col("s.n")).alias("taint"))
-    tables = cells.where("value is not null").select(F.col("chart_id").alias(chart)).distinct().withColumn("_table", F.lit(True))
-    scored = responses.join(value, keys, "left").join(tables, chart, "left")
-    return scored.withColumn("taint", F.when(F.col("_table"), F.coalesce("taint", F.lit(0.0))).otherwise(0.0)).drop("_table")
+    return ordered.select(*keys, taint.alias("taint"))
 
 
 def qa_checks(steps: DataFrame, keys: list[str]) -> DataFrame:
