@@ -181,8 +181,9 @@ def train(df: DataFrame, response: str = "response") -> DataFrame:
         [
             ("_tagged", tagged),
             ("_after", after),
-            ("_after_nums", lambda: every(c("_after"), NUMBER_SIMPLE)),
-            ("_nums", lambda: every(c(response), NUMBER_SIMPLE)),
+            # numbers are looked for only where they decide
+            ("_after_nums", lambda: F.when(c("_tagged").isNull(), every(c("_after"), NUMBER_SIMPLE))),
+            ("_nums", lambda: F.when(c("_tagged").isNull() & (c("_after") == ""), every(c(response), NUMBER_SIMPLE))),
             ("route", route),
             ("pred", pred),
         ],

@@ -28,7 +28,18 @@ def within(p: Column, g: Column, share: float = 0.05) -> Column:
 
 def bare(s: Column) -> Column:
     """Text without thousands commas, percent and currency signs."""
-    return sub(strip(s), r"[,%$]")
+    return F.translate(strip(s), ",%$", "")
+
+
+def texts_and_numbers(pred: Column, gold: Column, clean) -> Column:
+    """One entry with both texts cleaned and the numbers they stand for: each is worked out once, not at every use."""
+    texts = F.array(F.struct(clean(pred).alias("pt"), clean(gold).alias("gt")))
+    return F.transform(texts, lambda t: F.struct(t["pt"].alias("pt"), t["gt"].alias("gt"), to_number(strip(t["pt"])).alias("p"), to_number(strip(t["gt"])).alias("g")))
+
+
+def scored_once(pred: Column, gold: Column, clean, score) -> Column:
+    """``score`` of the cleaned texts and their numbers."""
+    return F.transform(texts_and_numbers(pred, gold, clean), lambda c: score(c["pt"], c["gt"], c["p"], c["g"]))[0]
 
 
 def relaxed_correctness(pred: Column, gold: Column, share: float = 0.05) -> Column:
@@ -46,11 +57,13 @@ def relaxed_accuracy(pred: Column, gold: Column) -> Column:
     """Units and signs stripped, 5% tolerance, near-zero rule for gold 0."""
 
     def clean(s: Column) -> Column:
-        return F.rtrim(sub(strip(sub(strip(s), UNITS)), r"[,%$]"), F.lit("."))
+        return F.rtrim(F.translate(strip(sub(strip(s), UNITS)), ",%$", ""), F.lit("."))
 
-    p, g = to_number(strip(clean(pred))), to_number(strip(clean(gold)))
-    numeric = F.when(g == 0, hit(F.abs(p) < 0.01)).otherwise(within(p, g))
-    return F.when(p.isNotNull() & g.isNotNull(), numeric).otherwise(same_text(clean(pred), clean(gold)))
+    def score(pt: Column, gt: Column, p: Column, g: Column) -> Column:
+        numeric = F.when(g == 0, hit(F.abs(p) < 0.01)).otherwise(within(p, g))
+        return F.when(p.isNotNull() & g.isNotNull(), numeric).otherwise(same_text(pt, gt))
+
+    return scored_once(pred, gold, clean, score)
 
 
 def closeness(pred: Column, gold: Column) -> Column:
@@ -123,9 +136,12 @@ def multichoice_match(pred: Column, gold: Column, multichoice: Column) -> Column
 
 def relaxed_match(pred: Column, gold: Column) -> Column:
     """Earlier scorer: signs stripped, 5%, near-zero rule, text equality."""
-    p, g = to_number(strip(bare(pred))), to_number(strip(bare(gold)))
-    numeric = F.when(g == 0, hit(F.abs(p) < 0.01)).otherwise(within(p, g))
-    return F.when(p.isNotNull() & g.isNotNull(), numeric).otherwise(hit(F.lower(bare(pred)) == F.lower(bare(gold))))
+
+    def score(pt: Column, gt: Column, p: Column, g: Column) -> Column:
+        numeric = F.when(g == 0, hit(F.abs(p) < 0.01)).otherwise(within(p, g))
+        return F.when(p.isNotNull() & g.isNotNull(), numeric).otherwise(hit(F.lower(pt) == F.lower(gt)))
+
+    return scored_once(pred, gold, bare, score)
 
 
 def equal_first(pred: Column, gold: Column) -> Column:

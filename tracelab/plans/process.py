@@ -480,10 +480,11 @@ def rw_legacy_outcome(spark, sf):
 
 
 def legacy_mix(spark, sf):
-    rows = outcomes(spark, sf).withColumns(
+    # the chain first: answers are then read from the rows it returns, once
+    rows = R.outcome_terms(P.taint_chain(view(spark, sf, "responses"), view(spark, sf, "chart_cells"), KEYS, "group_id"))
+    rows = rows.withColumns(
         {"acc": S.relaxed_match(F.col("pred"), F.col("gold")), "fmt": format_rewards(F.col("response"))["quarters"]}
     )
-    rows = P.taint_chain(rows, view(spark, sf, "chart_cells"), KEYS, "group_id")
     return rows.withColumn("reward", 0.5 * F.col("acc") + 0.3 * F.col("taint") + 0.2 * F.col("fmt"))
 
 
