@@ -7,6 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from tracelab.functions import scoring
 from tracelab.operators import cells, claims, corpus, process, qagen, rewards, scale, traces
 from tracelab.plans import QUERIES
 from tracelab.sources import readers
@@ -414,3 +415,39 @@ def test_taint_chain_moves_no_numbers(spark):
     small = scored._jdf.queryExecution().analyzed().children().head()
     plan = small.toString()
     assert "aggregate(" in plan and "generate" not in plan.lower()
+
+
+def test_scorers_read_each_answer_once(spark):
+    """Texts are cleaned and numbers read once a row; a scorer cleaned an answer at each of its uses."""
+    answers = ["5", "5.2%", "$1,000", "1000 million", "abc", "ABC.", " 7 kg", "0", "0.004", "", None, "1e3", "-5", "Yes", "yes ", "5,2", "nan", "%", "3 K", "İ"]
+    rows = spark.createDataFrame([(p, g) for p in answers for g in answers], "pred string, gold string")
+    scored = rows.select("pred", "gold", scoring.relaxed_accuracy(F.col("pred"), F.col("gold")).alias("a"), scoring.relaxed_match(F.col("pred"), F.col("gold")).alias("m"))
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
+    blanks = " \n\t\r\x0b\x0c"
+
+    def want(p, g, clean):
+        if p is None or g is None:
+            return 0.0
+        p, g = clean(p), clean(g)
+        number = lambda s: float(s.strip(blanks)) if re.search(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$", s.strip(blanks)) else None
+        x, y = number(p), number(g)
+        if x is None or y is None:
+            return float(p.strip(blanks).lower() == g.strip(blanks).lower() if clean is accurate else p.lower() == g.lower())
+        return float(abs(x) < 0.01 if y == 0 else abs(x - y) / abs(y) <= 0.05)
+
+    bare = lambda s: re.sub(r"[,%$]", "", s.strip(blanks))
+
+    def accurate(s):
+        return re.sub(r"[,%$]", "", re.sub(scoring.UNITS, "", s.strip(blanks), flags=re.ASCII).strip(blanks)).rstrip(".")
+
+    for r in scored.collect():
+        assert (r["a"], r["m"]) == (want(r["pred"], r["gold"], accurate), want(r["pred"], r["gold"], bare)), r
+
+
+def test_old_answer_is_scored_below_the_new_search(spark, sf):
+    """The scores cut the generated code of the rescoring in two; one piece was too large to be compiled."""
+    from tracelab.plans.answers import rescored
+
+    plan = rescored(spark, sf).groupBy("model").agg(F.avg("old_score"), F.avg("new_score"))
+    lines = [line for line in plan._jdf.queryExecution().optimizedPlan().toString().split("\n") if "AS old_score" in line or "AS new_score" in line]
+    assert len(lines) == 2 and "AS old_score" in lines[1] and "AS new_score" not in lines[1]

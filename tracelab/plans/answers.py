@@ -656,13 +656,10 @@ def rescored(spark, sf):
     rows = view(spark, sf, "served")
     rows = rows.withColumn("response", T.rejoin(F.col("content"), F.col("reasoning_content")))
     rows = X.last_answer(rows).withColumnsRenamed({"pred": "old_pred"}).drop("route")
+    # the old answer is scored before the new one is looked for, so that the generated code comes in pieces small enough to be compiled
+    rows = rows.withColumn("old_score", S.relaxed_match(F.col("old_pred"), F.col("gold")))
     rows = X.v5(rows)
-    return rows.withColumns(
-        {
-            "old_score": S.relaxed_match(F.col("old_pred"), F.col("gold")),
-            "new_score": F.when(F.col("pred") == "", 0.0).otherwise(S.relaxed_accuracy(F.col("pred"), F.col("gold"))),
-        }
-    )
+    return rows.withColumn("new_score", F.when(F.col("pred") == "", 0.0).otherwise(S.relaxed_accuracy(F.col("pred"), F.col("gold"))))
 
 
 FLIP_SQL = "count(*) FILTER (WHERE old_score = 1 AND new_score <> 1) AS flips_lost, count(*) FILTER (WHERE old_score <> 1 AND new_score = 1) AS flips_gained, count(*) FILTER (WHERE pred = '') AS empty_pred"
