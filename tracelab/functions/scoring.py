@@ -19,7 +19,7 @@ def hit(condition: Column) -> Column:
 
 
 def same_text(p: Column, g: Column) -> Column:
-    return hit(F.lower(strip(p)) == F.lower(strip(g)))
+    return hit((p == g) | (F.lower(strip(p)) == F.lower(strip(g))))
 
 
 def within(p: Column, g: Column, share: float = 0.05) -> Column:
@@ -139,7 +139,7 @@ def relaxed_match(pred: Column, gold: Column) -> Column:
 
     def score(pt: Column, gt: Column, p: Column, g: Column) -> Column:
         numeric = F.when(g == 0, hit(F.abs(p) < 0.01)).otherwise(within(p, g))
-        return F.when(p.isNotNull() & g.isNotNull(), numeric).otherwise(hit(F.lower(pt) == F.lower(gt)))
+        return F.when(p.isNotNull() & g.isNotNull(), numeric).otherwise(hit((pt == gt) | (F.lower(pt) == F.lower(gt))))
 
     return scored_once(pred, gold, bare, score)
 
