@@ -451,3 +451,35 @@ def test_old_answer_is_scored_below_the_new_search(spark, sf):
     plan = rescored(spark, sf).groupBy("model").agg(F.avg("old_score"), F.avg("new_score"))
     lines = [line for line in plan._jdf.queryExecution().optimizedPlan().toString().split("\n") if "AS old_score" in line or "AS new_score" in line]
     assert len(lines) == 2 and "AS old_score" in lines[1] and "AS new_score" not in lines[1]
+
+
+@pytest.mark.parametrize("small", [0, 2])
+def test_facts_of_short_and_long_methods_alike(spark, monkeypatch, small):
+    rng = random.Random(31)
+    rows = [
+        (c, m, i // rng.choice([1, 1, 2]), rng.choice([None, float(rng.randrange(9)), 2.5]), float(rng.randrange(3)), rng.choice([9.0, None]))
+        for c in (1, 2, 3, None) for m in (7, 8, 9, None) for i in range(rng.choice([1, 2, 3, 5, 90]))
+    ]
+    rows += rows[::7]
+    points = spark.createDataFrame(rows, "chart_id long, method long, row int, y double, y_lower double, y_upper double")
+    shape = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+    per = lambda: sorted(map(str, map(shape, qagen.method_facts(points).drop("mid_width", "mid_y", "mean_width", "max_y", "min_y", "med", "iqr").collect())))
+    got, picks = per(), {str(r[:1]): r for r in qagen.method_facts(points).collect()}
+    monkeypatch.setattr(qagen, "SMALL", small)
+    assert per() == got and len(got) == 4
+    monkeypatch.undo()
+    # the facts of each method by itself, so that every one is picked
+    alone = points.withColumn("chart_id", F.expr("chart_id * 100 + method"))
+    facts = lambda: sorted(str(sorted(map(str, shape(r)))) for r in qagen.method_facts(alone.dropDuplicates(["chart_id", "method", "row"])).collect())
+    want = facts()
+    monkeypatch.setattr(qagen, "SMALL", small)
+    assert facts() == want and len(want) == 10 and picks
+
+
+def test_short_methods_are_joined_with_nothing(spark):
+    """Once no method is long, rows of methods meet in one stage: no join of rows with their own counts is left to run."""
+    points = spark.range(60).selectExpr("id % 5 AS chart_id", "id % 15 AS method", "CAST(id AS INT) AS row", "CAST(id AS DOUBLE) AS y", "0.0D AS y_lower", "9.0D AS y_upper")
+    facts = qagen.method_facts(points)
+    assert {(r["n_methods"], r["n_rows"]) for r in facts.collect()} == {(3, 12)}
+    final = facts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Join" not in final
