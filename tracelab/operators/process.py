@@ -481,8 +481,12 @@ def row_taint(response: Column, cells: Column, sigma: float) -> Column:
 
 
 def big_charts(cells: DataFrame) -> DataFrame:
-    """Charts with more than SMALL numbers, by counts that combine before they move."""
-    return cells.groupBy(F.col("chart_id").alias("_chart")).agg(F.count("value").alias("_n")).where(F.col("_n") > SMALL).select("_chart")
+    """Charts with more than SMALL numbers, by counts that combine before they move.
+
+    They come in an exchange of their own: where there are none, the joins with them are dropped before they start.
+    """
+    counts = cells.groupBy(F.col("chart_id").alias("_chart")).agg(F.count("value").alias("_n"))
+    return counts.where((F.col("_n") > SMALL) & F.col("_chart").isNotNull()).select("_chart").repartition("_chart")
 
 
 def taint_chain(responses: DataFrame, cells: DataFrame, keys: list[str], chart: str, sigma: float = 0.1) -> DataFrame:
@@ -494,12 +498,15 @@ def taint_chain(responses: DataFrame, cells: DataFrame, keys: list[str], chart:
     by the range of the numbers, not their count.
     """
     known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*keys, chart]])
-    rows = where_late(with_tables(responses, cells, chart), ~F.col("_big"))
-    value = F.coalesce(F.when(F.col("has_table") & known, row_taint(F.col("response"), F.col("_cells"), sigma)), F.lit(0.0))
-    small = rows.withColumn("taint", value).select(*responses.columns, "taint")
     marks = big_charts(cells)
-    big = responses.join(marks, F.col(chart) == F.col("_chart"), "left_semi")
-    scored = big.join(big_taint(big, big_cells(cells, marks), keys, chart, sigma), keys, "left")
+    few = cells.select(F.col("chart_id").alias("_chart"), "value").where(F.col("value").isNotNull() & F.col("_chart").isNotNull())
+    tables = few.join(marks, "_chart", "left_anti").groupBy("_chart").agg(F.collect_set("value").alias("_cells"))
+    at = F.col(chart) == F.col("_chart")
+    rows = responses.join(marks, at, "left_anti").join(tables, at, "left")
+    value = F.coalesce(F.when(F.col("_cells").isNotNull() & known, row_taint(F.col("response"), F.col("_cells"), sigma)), F.lit(0.0))
+    small = rows.withColumn("taint", value).select(*responses.columns, "taint")
+    big = responses.join(marks, at, "left_semi")
+    scored = big.join(big_taint(big, big_cells(cells, marks), keys, chart, sigma), keys, "left").select(*responses.columns, "taint")
     return small.unionByName(scored.withColumn("taint", F.coalesce("taint", F.lit(0.0))))
 
 
