@@ -483,3 +483,25 @@ def test_short_methods_are_joined_with_nothing(spark):
     assert {(r["n_methods"], r["n_rows"]) for r in facts.collect()} == {(3, 12)}
     final = facts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "Join" not in final
+
+
+def test_violins_deal_lines_and_orders_by_rows_and_number_none(spark, monkeypatch, tmp_path):
+    """More rows make more tasks of the same size, lines and orders move once, and no row is numbered or read for bands."""
+    line = "CAST(id % 900 AS BIGINT) AS l_orderkey, id AS l_partkey, id AS l_suppkey, 1 AS l_linenumber, CAST(id % 50 AS DOUBLE) AS l_quantity"
+    line += ", 1.0D AS l_extendedprice, 0.1D AS l_discount, 0.0D AS l_tax, TIMESTAMP'2020-01-01' AS l_shipdate"
+    spark.range(3000).selectExpr(*line.split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(900).selectExpr("id AS o_orderkey", "id % 90 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(scale, "TASK_ROWS", 100)
+    asked = QUERIES["qa_sci_violin"](spark, str(tmp_path))
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2 and "l_discount" not in plan and "Window" not in plan
+    assert len(re.findall(r"hashpartitioning\([lo]_orderkey#\d+L?, 30\), REPARTITION_BY_NUM", plan)) == 2
+    assert asked.where("template = 'sci_violin_range'").count() == 90
+
+
+def test_lines_without_an_order_are_not_dealt(spark, sf, tmp_path):
+    """Dealt lines are numbered as others are; those of no order, which join with nothing, do not meet in one task."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("l_orderkey", F.when(F.col("l_partkey") % 3 > 0, F.col("l_orderkey")))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    plain, dealt = view(spark, str(tmp_path), "lines").where("group_id IS NOT NULL"), view(spark, str(tmp_path), "lines", 5)
+    assert dealt.count() == plain.count() and dealt.exceptAll(plain).isEmpty()
