@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelab.functions import scoring
+from tracelab.functions.text import words
 from tracelab.operators import cells, claims, corpus, process, qagen, rewards, scale, traces
 from tracelab.plans import QUERIES
 from tracelab.sources import readers
@@ -329,6 +330,31 @@ def test_process_terms_move_no_numbers(spark):
     assert "_big" in plan and plan.count("aggregate(") > 0
 
 
+def final_plan(df):
+    """What adaptive execution ended with."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("terms", [process.process_terms, process.anchored_terms])
+def test_no_big_chart_leaves_one_route(spark, terms):
+    """Where no chart is big, responses are read and scored once: the route of big charts and its ranks are gone when the job ends."""
+    rows = spark.range(40).selectExpr("id % 9 AS group_id", "id AS k", "concat('<think>item ', id, ' is 7 + 1 = 8</think>') AS response")
+    table = spark.range(30).selectExpr("id % 9 AS chart_id", "concat('item ', id) AS label", "'q' AS col", "CAST(id AS DOUBLE) AS value")
+    plan = final_plan(terms(rows, table, ["group_id", "k"], "group_id").repartition(2))
+    assert not any(part in plan for part in ("Window", "Generate", "monotonically"))
+
+
+def test_words_and_scores_of_odd_texts(spark):
+    texts = [None, "", "  ", " a\tb\nc ", "one", "TRUE", "yes, so", "7 million", "$7.0", "0", "7%"]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "p string, g string")
+    both = pairs.select("p", "g", scoring.closeness(F.col("p"), F.col("g")), scoring.text_match(F.col("p"), F.col("g")), words(F.col("p"))).collect()
+    got = {r[:2]: r[2:] for r in both}
+    assert [got[(t, "one")][2] for t in texts] == [None, 0, 0, 3, 1, 1, 2, 2, 1, 1, 1]
+    assert got[("$7.0", "7%")][0] == 1.0 and got[("0", "0")][0] == 1.0 and got[("one", "7%")][0] == 0.0 and got[(None, "one")][0] == 0.0
+    assert got[("TRUE", "yes, so")][1] == 0.0 and got[("yes, so", "yes, so")][1] == 1.0 and got[("", "")][1] == 0.0 and got[("7 million", "7%")][1] == 0.0
+
+
 def test_facts_of_short_and_long_columns_alike(spark, monkeypatch):
     rng = random.Random(17)
     rows = [(c, i, rng.choice([f"n{i}", None]), col, rng.choice([None, 1.0, 2.5, -3.0, float(i)])) for c in (1, 2, 3, None) for col in ("a", "b") for i in range(rng.choice([1, 3, 9, 70]))]

@@ -68,10 +68,12 @@ def relaxed_accuracy(pred: Column, gold: Column) -> Column:
 
 def closeness(pred: Column, gold: Column) -> Column:
     """Continuous score 1 / (1 + relative error), else text equality."""
-    p, g = to_number(strip(bare(pred))), to_number(strip(bare(gold)))
-    numeric = F.when(g == 0, hit(F.abs(p) < 0.01)).otherwise(1.0 / (1.0 + F.try_divide(F.abs(p - g), F.abs(g))))
-    text = hit(F.lower(bare(pred)) == F.lower(bare(gold)))
-    return F.when(p.isNotNull() & g.isNotNull(), numeric).otherwise(text)
+
+    def score(pt: Column, gt: Column, p: Column, g: Column) -> Column:
+        numeric = F.when(g == 0, hit(F.abs(p) < 0.01)).otherwise(1.0 / (1.0 + F.try_divide(F.abs(p - g), F.abs(g))))
+        return F.when(p.isNotNull() & g.isNotNull(), numeric).otherwise(hit(F.lower(pt) == F.lower(gt)))
+
+    return scored_once(pred, gold, bare, score)
 
 
 def closeness_strict(pred: Column, gold: Column) -> Column:
@@ -88,18 +90,21 @@ def closeness_strict(pred: Column, gold: Column) -> Column:
 
 def text_match(pred: Column, gold: Column) -> Column:
     """Equality, short gold contained in the answer, or the same yes/no first word."""
-    p, g = F.lower(strip(pred)), F.lower(strip(gold))
 
     def polarity(s: Column) -> Column:
         word = group(s, r"^(\S+)")
         return F.when(word.isin("yes", "true"), "yes").when(word.isin("no", "false"), "no")
 
-    return (
-        F.when((p == "") | (g == ""), 0.0)
-        .when(p == g, 1.0)
-        .when((F.length(g) < 50) & p.contains(g), 1.0)
-        .otherwise(hit(F.coalesce(polarity(p) == polarity(g), F.lit(False))))
-    )
+    def score(p: Column, g: Column) -> Column:
+        return (
+            F.when((p == "") | (g == ""), 0.0)
+            .when(p == g, 1.0)
+            .when((F.length(g) < 50) & p.contains(g), 1.0)
+            .otherwise(hit(F.coalesce(polarity(p) == polarity(g), F.lit(False))))
+        )
+
+    texts = F.struct(F.lower(strip(pred)).alias("p"), F.lower(strip(gold)).alias("g"))
+    return F.transform(F.array(texts), lambda t: score(t["p"], t["g"]))[0]
 
 
 def is_numeric(gold: Column) -> Column:

@@ -77,13 +77,12 @@ def plain_number(s: Column) -> Column:
 
 
 def is_year(n: Column) -> Column:
-    return (n == F.floor(n)) & n.between(YEAR_MIN, YEAR_MAX)
+    return n.between(YEAR_MIN, YEAR_MAX) & (n == F.floor(n))
 
 
 def words(s: Column) -> Column:
     """Number of whitespace-separated words."""
-    inner = strip(s)
-    return F.when(inner == "", 0).otherwise(F.regexp_count(inner, F.lit(r"\S+")))
+    return F.regexp_count(s, F.lit(r"\S+"))
 
 
 def _opened(response: Column) -> Column:

@@ -17,7 +17,6 @@ from tracelab.functions.text import (
     NUMBER_PATTERNS, calc_pattern, every, explode_items, group, has_think_body, is_year, lines_of, plain_number, reasoning_span, strip,
     think_body, words,
 )
-from tracelab.operators.scale import first_rows, where_late
 
 ZERO = 1e-10
 
@@ -100,15 +99,20 @@ def best_match(values: DataFrame, cells: DataFrame) -> DataFrame:
 def parse_calculation(hit: Column, kind: str = "compat") -> Column:
     """Text of one calculation as (stated, expected); expected is null for a division by zero."""
     pattern = calc_pattern(kind)
-    a, b = plain_number(group(hit, pattern, 1)), plain_number(group(hit, pattern, 3))
-    op, stated = group(hit, pattern, 2), plain_number(group(hit, pattern, 4))
-    expected = (
-        F.when(op == "+", a + b)
-        .when(op == "-", a - b)
-        .when(op.isin("*", "×"), a * b)
-        .otherwise(F.try_divide(a, b))
-    )
-    return F.struct(stated.alias("stated"), expected.alias("expected"))
+    number = lambda i: plain_number(group(hit, pattern, i))
+    parts = F.struct(number(1).alias("a"), group(hit, pattern, 2).alias("op"), number(3).alias("b"), number(4).alias("stated"))
+
+    def judged(c: Column) -> Column:
+        a, b, op = c["a"], c["b"], c["op"]
+        expected = (
+            F.when(op == "+", a + b)
+            .when(op == "-", a - b)
+            .when(op.isin("*", "×"), a * b)
+            .otherwise(F.try_divide(a, b))
+        )
+        return F.struct(c["stated"].alias("stated"), expected.alias("expected"))
+
+    return F.transform(F.array(parts), judged)[0]
 
 
 def calculations(text: Column, kind: str = "compat") -> Column:
@@ -147,50 +151,62 @@ def with_arithmetic(rows: DataFrame, span: str) -> DataFrame:
 
 
 COUNTS = ["n_numbers", "n_nonzero", "n_match_loose", "n_match_tight"]
-SMALL = 64  # cells, and name tokens, of a chart up to which its table goes to the responses as an array
+SMALL = 64  # cells of a chart up to which its table goes to the responses as an array
+
+
+def big_charts(cells: DataFrame, column: str = "value") -> DataFrame:
+    """Charts (``_big``) with more than SMALL cells where ``column`` is not null, and the number of their values, by counts that combine before they move.
+
+    They come in an exchange of their own: where there are none, the joins with them are dropped before they start.
+    """
+    counts = cells.groupBy(F.col("chart_id").alias("_big")).agg(F.count(column).alias("_n"), F.count("value").alias("_values"))
+    return counts.where((F.col("_n") > SMALL) & F.col("_big").isNotNull()).select("_big", "_values").repartition("_big")
 
 
-def small_tables(cells: DataFrame) -> DataFrame:
-    """One row per chart with numbers: its distinct values, or, beyond SMALL cells, only the mark that it is a big one."""
-    few = first_rows(cells.where(F.col("value").isNotNull()).select("chart_id", "value"), ["chart_id"], ["value"], SMALL + 1, "_r")
-    tables = few.groupBy(F.col("chart_id").alias("_chart")).agg(F.max("_r").alias("_r"), F.collect_set("value").alias("_cells"))
-    return tables.select("_chart", (F.col("_r") > SMALL).alias("_big"), F.when(F.col("_r") <= SMALL, F.col("_cells")).alias("_cells"))
+def small_tables(cells: DataFrame, marks: DataFrame) -> DataFrame:
+    """One row per chart with numbers that is not marked as a big one: its distinct values."""
+    few = cells.select(F.col("chart_id").alias("_chart"), "value").where(F.col("value").isNotNull() & F.col("_chart").isNotNull())
+    return few.join(marks, F.col("_chart") == F.col("_big"), "left_anti").groupBy("_chart").agg(F.collect_set("value").alias("_cells"))
 
 
-def with_tables(responses: DataFrame, cells: DataFrame, chart: str) -> DataFrame:
-    """Responses with ``has_table``, and the values of their chart as ``_cells`` unless it is a big one (``_big``)."""
-    rows = responses.join(small_tables(cells), F.col(chart) == F.col("_chart"), "left").withColumn("has_table", F.col("_chart").isNotNull())
-    return rows.withColumn("_big", F.coalesce("_big", F.lit(False))).drop("_chart")
+def by_size(responses: DataFrame, marks: DataFrame, tables: DataFrame, chart: str) -> tuple[DataFrame, DataFrame]:
+    """Responses of small charts with the row of ``tables``, and those of big ones."""
+    at = F.col(chart) == F.col("_big")
+    small = responses.join(marks, at, "left_anti").join(tables, F.col(chart) == F.col("_chart"), "left").drop("_chart")
+    return small, responses.join(marks, at, "left_semi")
 
 
-def big_cells(cells: DataFrame, *marks: DataFrame) -> DataFrame:
-    """Cells of the charts that one of the marks (frames of ``_chart``) names."""
-    charts = reduce(DataFrame.union, [m.select(F.col("_chart").alias("chart_id")) for m in marks])
-    return cells.join(charts, "chart_id", "left_semi")
+def big_cells(cells: DataFrame, marks: DataFrame) -> DataFrame:
+    """Cells of the charts that the marks name."""
+    return cells.join(marks, F.col("chart_id") == F.col("_big"), "left_semi")
 
 
 def closest(n: Column, cells: Column) -> Column:
     """Best score of a number over an array of cells, 0 without cells."""
     gap = F.aggregate(cells, F.lit(float("inf")), lambda least, cell: F.least(least, relative_gap(n, cell)))
-    return F.coalesce(1.0 / (1.0 + gap), F.lit(0.0))
+    equal = (F.abs(n) < float("inf")) & F.array_contains(cells, n)
+    return F.when(equal, 1.0).otherwise(F.coalesce(1.0 / (1.0 + gap), F.lit(0.0)))
 
 
-def count_struct(counts: dict[str, Column]) -> Column:
-    return F.struct(*[c.cast("bigint").alias(name) for name, c in counts.items()])
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
 
 
-def row_counts(numbers: Column, cells: Column) -> Column:
-    """The counts of ``grounding_counts`` for the numbers of one response and the few cells of its chart."""
+def sizes(parts: dict[str, Column]) -> Column:
+    return F.struct(*[F.size(part).cast("bigint").alias(name) for name, part in parts.items()])
 
-    def step(sums: Column, number: Column) -> Column:
-        def add(best: Column) -> Column:
-            live = ~(F.abs(number) < ZERO)
-            new = {"n_numbers": F.lit(True), "n_nonzero": live, "n_match_loose": live & (best > 0.8), "n_match_tight": live & (best > 0.9)}
-            return count_struct({c: sums[c] + F.coalesce(hit, F.lit(False)).cast("bigint") for c, hit in new.items()})
 
-        return F.transform(F.array(closest(number, cells)), add)[0]
+def row_counts(numbers: Column, cells: Column) -> Column:
+    """The counts of ``grounding_counts`` for the numbers of one response and the few cells of its chart; null without a text."""
+
+    def counted(found: Column) -> Column:
+        live = F.filter(found, lambda n: ~(F.abs(n) < ZERO))
+        over = lambda limit: lambda best: F.filter(best, lambda b: b > limit)
+        match = lambda best: sizes({"n_numbers": found, "n_nonzero": best, "n_match_loose": over(0.8)(best), "n_match_tight": over(0.9)(best)})
+        return F.when(found.isNotNull(), let(F.transform(live, lambda n: closest(n, cells)), match))
 
-    return F.aggregate(numbers, count_struct({c: F.lit(0) for c in COUNTS}), step)
+    return let(numbers, counted)
 
 
 def mentioned(span: Column, kind: str = "compat") -> Column:
@@ -203,11 +219,11 @@ def grounding_counts(responses: DataFrame, cells: DataFrame, keys: list[str], ch
 
     The values of a small chart go to its responses as an array, so that no mention moves; big charts take the nearest-cell join.
     """
-    rows = with_tables(responses.select(*dict.fromkeys([*keys, chart, span])), cells, chart)
-    counts = where_late(rows, ~F.col("_big")).select(*keys, row_counts(mentioned(F.col(span)), F.col("_cells")).alias("c"))
+    marks = big_charts(cells)
+    rows, big = by_size(responses.select(*dict.fromkeys([*keys, chart, span])), marks, small_tables(cells, marks), chart)
+    counts = rows.select(*keys, row_counts(mentioned(F.col(span)), F.col("_cells")).alias("c"))
     small = counts.groupBy(*keys).agg(*[F.sum(f"c.{c}").alias(c) for c in COUNTS]).where("n_numbers > 0")
-    big = where_late(rows, F.col("_big"))
-    return small.unionByName(mention_counts(big, big_cells(cells, small_tables(cells).where("_big")), keys, chart, span))
+    return small.unionByName(mention_counts(big, big_cells(cells, marks), keys, chart, span))
 
 
 def mention_counts(responses: DataFrame, cells: DataFrame, keys: list[str], chart: str, span: str) -> DataFrame:
@@ -231,15 +247,19 @@ def mention_counts(responses: DataFrame, cells: DataFrame, keys: list[str], char
 def process_terms(
     responses: DataFrame, cells: DataFrame, keys: list[str], chart: str, response: str = "response", cut_answer: bool = True
 ) -> DataFrame:
-    """Responses with every count the process rewards are made of."""
-    rows = with_tables(responses, cells, chart)
+    """Responses with every count the process rewards are made of.
+
+    The values of a small chart go to its responses as an array, so that no mention moves; big charts take the nearest-cell join.
+    """
     counted = [F.coalesce(f"_c.{c}", F.lit(0)).alias(c) for c in COUNTS]
     span = reasoning_span(F.col(response), cut_answer)
     known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*keys, chart]])
-    small = where_late(rows, ~F.col("_big")).withColumn("span", span)
+    marks = big_charts(cells)
+    small, big = by_size(responses, marks, small_tables(cells, marks), chart)
+    small = small.withColumns({"span": span, "has_table": F.col("_cells").isNotNull()})
     small = small.withColumn("_c", F.when(known, row_counts(mentioned(F.col("span")), F.col("_cells")))).select(*responses.columns, "has_table", "span", *counted)
-    big = where_late(rows, F.col("_big")).withColumn("span", span)
-    counts = mention_counts(big, big_cells(cells, small_tables(cells).where("_big")), keys, chart, "span")
+    big = big.withColumns({"span": span, "has_table": F.lit(True)})
+    counts = mention_counts(big, big_cells(cells, marks), keys, chart, "span")
     big = big.join(counts.select(*keys, F.struct(*COUNTS).alias("_c")), keys, "left").select(*responses.columns, "has_table", "span", *counted)
     terms = small.unionByName(big).withColumns({"blank": strip(F.col("span")) == "", "span_words": words(F.col("span"))})
     return with_arithmetic(terms, "span").drop("span")
@@ -281,18 +301,28 @@ def reward_v2() -> Column:
     return F.when(none, 0.0).otherwise(value)
 
 
+def name_tokens(name: Column) -> Column:
+    return F.split(F.lower(strip(name)), r"[\s_/\-]+")
+
+
+def is_name(token: Column) -> Column:
+    return (F.length(token) > 1) & ~token.rlike(r"^\d+$")
+
+
 def table_entities(cells: DataFrame) -> DataFrame:
     """Distinct name tokens of a chart: column headers and row labels."""
     names = cells.select("chart_id", F.explode(F.array_distinct(F.array("col", "label"))).alias("name"))
-    tokens = names.select("chart_id", F.explode(F.split(F.lower(strip(F.col("name"))), r"[\s_/\-]+")).alias("token"))
-    return tokens.where((F.length("token") > 1) & ~F.col("token").rlike(r"^\d+$")).distinct()
+    tokens = names.select("chart_id", F.explode(name_tokens(F.col("name"))).alias("token"))
+    return tokens.where(is_name(F.col("token"))).distinct()
 
 
-def small_entities(cells: DataFrame) -> DataFrame:
-    """One row per chart with name tokens: the tokens, or, beyond SMALL, only the mark that they are many."""
-    few = first_rows(table_entities(cells), ["chart_id"], ["token"], SMALL + 1, "_r")
-    named = few.groupBy(F.col("chart_id").alias("_chart")).agg(F.max("_r").alias("_r"), F.collect_set("token").alias("_names"))
-    return named.select("_chart", (F.col("_r") > SMALL).alias("_many"), F.when(F.col("_r") <= SMALL, F.col("_names")).alias("_names"))
+def named_tables(cells: DataFrame, marks: DataFrame) -> DataFrame:
+    """One row per chart that is not marked as a big one: its distinct values and name tokens, null where it has none."""
+    few = cells.select(F.col("chart_id").alias("_chart"), "value", "col", "label").where(F.col("_chart").isNotNull())
+    sets = few.join(marks, F.col("_chart") == F.col("_big"), "left_anti").groupBy("_chart").agg(*[F.collect_set(c).alias(f"_{c}") for c in ("value", "col", "label")])
+    split = F.flatten(F.transform(F.array_union("_col", "_label"), name_tokens))
+    filled = lambda c: F.when(F.size(c) > 0, F.col(c))
+    return sets.withColumn("_tokens", F.array_distinct(F.filter(split, is_name))).select("_chart", filled("_value").alias("_cells"), filled("_tokens").alias("_names"))
 
 
 TOKEN = r"[A-Za-z][A-Za-z0-9_'\-]*|" + NUMBER_PATTERNS["compat"]
@@ -306,27 +336,21 @@ def counted_number(token: Column) -> Column:
 
 
 def row_anchors(span: Column, cells: Column, names: Column) -> Column:
-    """The counts of ``anchored_counts`` for one response and the few cells and name tokens of its chart."""
+    """The counts of ``anchored_counts`` for one response and the few cells and name tokens of its chart; names are looked for about matched numbers only."""
 
     def count(tokens: Column) -> Column:
-        def judge(marks: Column) -> Column:
-            def step(sums: Column, token: Column, at: Column) -> Column:
-                first = F.greatest(at - REACH, F.lit(0))
-                anchored = names.isNull() | F.array_contains(F.slice(marks, first + 1, at + REACH + 1 - first), True)
-
-                def add(number: Column) -> Column:
-                    hit = F.when(number.isNotNull(), (closest(number, cells) > 0.9) & anchored)
-                    new = {"n_mentions": number.isNotNull(), "n_anchored": F.coalesce(hit, F.lit(False))}
-                    return count_struct({c: sums[c] + n.cast("bigint") for c, n in new.items()})
+        def anchored(at: Column) -> Column:
+            first = F.greatest(at - REACH, F.lit(0))
+            near = F.slice(tokens, first + 1, at + REACH + 1 - first)
+            return names.isNull() | F.exists(near, lambda t: F.coalesce(F.array_contains(names, F.lower(t)), F.lit(False)))
 
-                return F.when(token.rlike(r"^[-+]?\d"), F.transform(F.array(counted_number(token)), add)[0]).otherwise(sums)
+        # signs and digits come before all letters
+        placed = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"] < "A")
+        numbers = F.filter(F.transform(placed, lambda x: F.struct(counted_number(x["t"]).alias("n"), x["i"].alias("i"))), lambda x: x["n"].isNotNull())
+        hits = lambda found: F.filter(found, lambda x: (closest(x["n"], cells) > 0.9) & anchored(x["i"]))
+        return let(numbers, lambda found: F.when(found.isNotNull(), sizes({"n_mentions": found, "n_anchored": hits(found)})))
 
-            placed = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-            return F.aggregate(placed, count_struct({c: F.lit(0) for c in ANCHORS}), lambda sums, x: step(sums, x["t"], x["i"]))
-
-        return F.transform(F.array(F.transform(tokens, lambda t: F.coalesce(F.array_contains(names, F.lower(t)), F.lit(False)))), judge)[0]
-
-    return F.transform(F.array(every(span, TOKEN)), count)[0]
+    return let(every(span, TOKEN), count)
 
 
 ANCHORS = ["n_mentions", "n_anchored"]
@@ -365,18 +389,19 @@ def anchored_terms(responses: DataFrame, cells: DataFrame, keys: list[str], char
 
     Values and name tokens of a small chart go to its responses as arrays, so that no token moves; big charts take the joins.
     """
-    rows = with_tables(responses, cells, chart).join(small_entities(cells), F.col(chart) == F.col("_chart"), "left")
-    rows = rows.withColumn("_big", F.col("_big") | F.coalesce("_many", F.lit(False))).drop("_chart", "_many")
     span = reasoning_span(F.col(response))
-    kept = [*responses.columns, F.when(F.col("has_table"), True).alias("has_table"), "span"]
+    kept = [*responses.columns, "has_table", "span"]
     known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*keys, chart]])
-    small = where_late(rows, ~F.col("_big")).withColumn("span", span)
+    # charts count as big by all their cells, so that the names of a small one are few
+    marks = big_charts(cells, "chart_id")
+    small, big = by_size(responses, marks, named_tables(cells, marks), chart)
+    small = small.withColumns({"span": span, "has_table": F.when(F.col("_cells").isNotNull(), True)})
     small = small.withColumn("_c", F.when(known, row_anchors(F.col("span"), F.col("_cells"), F.col("_names"))))
     # a response without a number has no counts
     small = small.select(*kept, *[F.when(F.col("_c.n_mentions") > 0, F.col(f"_c.{c}")).alias(c) for c in ANCHORS])
-    big = where_late(rows, F.col("_big")).withColumn("span", span)
-    marked = big_cells(cells, small_tables(cells).where("_big"), small_entities(cells).where("_many"))
-    counts = anchored_counts(big, marked, keys, chart, "span")
+    valued = marks.where("_values > 0").select("_big", F.lit(True).alias("has_table"))
+    big = big.withColumn("span", span).join(valued, F.col(chart) == F.col("_big"), "left").drop("_big")
+    counts = anchored_counts(big, big_cells(cells, marks), keys, chart, "span")
     big = big.join(counts, keys, "left").select(*kept, *ANCHORS)
     rows = with_arithmetic(small.unionByName(big).withColumn("span_words", words(F.col("span"))), "span")
     live = F.col("has_table").isNotNull() & (F.coalesce("n_mentions", F.lit(0)) > 0)
@@ -480,15 +505,6 @@ def row_taint(response: Column, cells: Column, sigma: float) -> Column:
     )
 
 
-def big_charts(cells: DataFrame) -> DataFrame:
-    """Charts with more than SMALL numbers, by counts that combine before they move.
-
-    They come in an exchange of their own: where there are none, the joins with them are dropped before they start.
-    """
-    counts = cells.groupBy(F.col("chart_id").alias("_chart")).agg(F.count("value").alias("_n"))
-    return counts.where((F.col("_n") > SMALL) & F.col("_chart").isNotNull()).select("_chart").repartition("_chart")
-
-
 def taint_chain(responses: DataFrame, cells: DataFrame, keys: list[str], chart: str, sigma: float = 0.1) -> DataFrame:
     """Mean sentence reward where numbers of a failed sentence taint later uses of them; 0 without a table.
 
@@ -499,13 +515,9 @@ def taint_chain(responses: DataFrame, cells: DataFrame, keys: list[str], chart:
     """
     known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*keys, chart]])
     marks = big_charts(cells)
-    few = cells.select(F.col("chart_id").alias("_chart"), "value").where(F.col("value").isNotNull() & F.col("_chart").isNotNull())
-    tables = few.join(marks, "_chart", "left_anti").groupBy("_chart").agg(F.collect_set("value").alias("_cells"))
-    at = F.col(chart) == F.col("_chart")
-    rows = responses.join(marks, at, "left_anti").join(tables, at, "left")
+    rows, big = by_size(responses, marks, small_tables(cells, marks), chart)
     value = F.coalesce(F.when(F.col("_cells").isNotNull() & known, row_taint(F.col("response"), F.col("_cells"), sigma)), F.lit(0.0))
     small = rows.withColumn("taint", value).select(*responses.columns, "taint")
-    big = responses.join(marks, at, "left_semi")
     scored = big.join(big_taint(big, big_cells(cells, marks), keys, chart, sigma), keys, "left").select(*responses.columns, "taint")
     return small.unionByName(scored.withColumn("taint", F.coalesce("taint", F.lit(0.0))))
 
