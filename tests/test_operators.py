@@ -345,6 +345,11 @@ def test_no_big_chart_leaves_one_route(spark, terms):
     assert not any(part in plan for part in ("Window", "Generate", "monotonically"))
 
 
+def test_conditional_variance_scores_a_response_once(spark, sf):
+    plan = final_plan(QUERIES["sg_conditional_variance"](spark, sf))
+    assert plan.count("RLIKE(response") == 1
+
+
 def test_words_and_scores_of_odd_texts(spark):
     texts = [None, "", "  ", " a\tb\nc ", "one", "TRUE", "yes, so", "7 million", "$7.0", "0", "7%"]
     pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "p string, g string")

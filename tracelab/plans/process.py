@@ -594,16 +594,17 @@ def sg_conditional_variance(spark, sf):
     rows = R.with_process(outcomes(spark, sf), view(spark, sf, "chart_cells"), KEYS, "group_id", ~right)
     rows = rows.withColumn("cond", F.when(right, 1.0).otherwise(P.reward_v1()))
     groups = rows.groupBy("bench", "group_id").agg(
-        F.round(M.pstd(F.col("cond")), 9).alias("sc"), F.round(M.pstd(F.col("cerm")), 9).alias("so")
+        F.round(M.pstd(F.col("cond")), 9).alias("cond"), F.round(M.pstd(F.col("cerm")), 9).alias("outcome")
     )
-    summary = groups.groupBy("bench").agg(
-        F.count(F.lit(1)).alias("n_groups"),
-        F.round(F.avg("sc"), 6).alias("cond_mean"),
-        F.round(F.avg("so"), 6).alias("outcome_mean"),
-        F.count_if(F.col("sc") > 0.1).alias("n_cond_live"),
-        F.count_if(F.col("sc") < 0.01).alias("n_cond_dead"),
+    # all figures come from one histogram of both spreads, so that no row is scored twice
+    spread = groups.select("bench", F.expr("stack(2, 'cond', cond, 'outcome', outcome) AS (what, s)"))
+    counts = where_late(spread.groupBy("bench", "what", "s").agg(F.count(F.lit(1)).alias("rows")), F.col("rows") > 0)
+    count = lambda where: F.sum(F.when(where, F.col("n")).otherwise(0))
+    also = {"n": F.sum("n"), "mean": F.sum(F.col("s") * F.col("n")) / F.sum("n"), "live": count(F.col("s") > 0.1), "dead": count(F.col("s") < 0.01)}
+    found = exact_quantiles(counts, ["bench", "what"], "s", {"median": 0.5}, weight="rows", also=also, low=0.0, high=0.5)
+    pick = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))
+    whole = lambda c: F.coalesce(pick("cond", c), F.lit(0)).cast("bigint")
+    rounded = lambda c: [F.round(pick(what, c), 6).alias(f"{what}_{c}") for what in ("cond", "outcome")]
+    return found.groupBy("bench").agg(
+        whole("n").alias("n_groups"), *rounded("mean"), whole("live").alias("n_cond_live"), whole("dead").alias("n_cond_dead"), *rounded("median")
     )
-    median = lambda c, name: exact_quantiles(groups, ["bench"], c, {"m": 0.5}, low=0.0, high=0.5).select(
-        "bench", F.round("m", 6).alias(name)
-    )
-    return summary.join(median("sc", "cond_median"), "bench").join(median("so", "outcome_median"), "bench")
