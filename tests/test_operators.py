@@ -350,6 +350,26 @@ def test_conditional_variance_scores_a_response_once(spark, sf):
     assert plan.count("RLIKE(response") == 1
 
 
+def test_simhash_moves_no_word(spark):
+    """Votes are summed before they move, by id; rows of one id vote together, and copies of a word each vote."""
+    import hashlib
+
+    texts = [(1, "a b b"), (1, "c, A"), (2, " ."), (None, "x y x"), (3, "a B; b"), (3, None)]
+    bits = corpus.simhash_bits(spark.createDataFrame(texts, "doc_id int, text string"), "doc_id", "text")
+    assert bits._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    said: dict = {}
+    for key, text in texts:
+        said.setdefault(key, []).extend(re.findall(r"\w+", (text or "").lower()))
+
+    def blocks(words):
+        halves = [[int(hashlib.md5(w.encode()).hexdigest()[8 * i : 8 * i + 8], 16) for w in words] for i in (0, 1)]
+        signs = [int(2 * sum(h >> i & 1 for h in half) > len(words)) for half in halves for i in range(32)]
+        ends = [sum(corpus.BLOCKS[:i]) for i in range(len(corpus.BLOCKS) + 1)]
+        return tuple(int("".join(map(str, signs[a:b])), 2) for a, b in zip(ends, ends[1:]))
+
+    assert {r[0]: tuple(r[1:]) for r in bits.collect()} == {k: blocks(w) for k, w in said.items() if w}
+
+
 def test_words_and_scores_of_odd_texts(spark):
     texts = [None, "", "  ", " a\tb\nc ", "one", "TRUE", "yes, so", "7 million", "$7.0", "0", "7%"]
     pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "p string, g string")

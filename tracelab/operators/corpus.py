@@ -88,12 +88,12 @@ def near_fingerprints(train: DataFrame, test: DataFrame, limit: int = 5) -> Data
 def simhash_bits(docs: DataFrame, key: str, text: str) -> DataFrame:
     """64-bit simhash over the words (letters and digits of any script) of a text, as blocks; texts without a word are left out."""
     words = docs.select(key, F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+")).alias("w")).where("w <> ''")
-    half = lambda i: F.conv(F.substring(F.md5("w"), 8 * i + 1, 8), 16, 10).cast("bigint").alias(f"h{i}")
-    # copies of a word in a text vote together, so its hash is taken once
-    hashed = words.groupBy(key, "w").agg(F.count(F.lit(1)).alias("n")).select(key, "n", half(0), half(1))
-    # two votes in one sum, one in each half of a number; a text has fewer than 2**31 words
+    half = lambda i: F.conv(F.substring(F.col("_md5"), 8 * i + 1, 8), 16, 10).cast("bigint").alias(f"h{i}")
+    hashed = words.withColumn("_md5", F.md5("w")).select(key, half(0), half(1))
+    # every word votes where it stands: its text's votes are summed before they move, so no word does. Two votes share one sum, one in each
+    # half of a number; a text has fewer than 2**31 words
     bit = lambda h, i: F.shiftright(h, i).bitwiseAND(F.lit(1))
-    summed = hashed.groupBy(key).agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * (bit("h0", i) + F.shiftleft(bit("h1", i), 32))).alias(f"v{i}") for i in range(32)])
+    summed = hashed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(bit("h0", i) + F.shiftleft(bit("h1", i), 32)).alias(f"v{i}") for i in range(32)])
     votes = [F.col(f"v{i}").bitwiseAND(F.lit((1 << 32) - 1)) for i in range(32)] + [F.shiftright(f"v{i}", 32) for i in range(32)]
     return summed.select(key, *[c.alias(n) for n, c in bit_blocks([(2 * v > F.col("n")).cast("int") for v in votes]).items()])
 
